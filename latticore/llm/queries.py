@@ -1,16 +1,21 @@
 """The registered queries of this subpackage, and their SQL where it can express them."""
 
-from latticore.llm import bpe_fst, chat, mixing, quality, url_trie
+from latticore.llm import bpe_fst, chat, mixing, parity_join, quality, substring_dedup, topk, url_trie
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_url_filter": url_trie.op4_url_filter,
     "op5_bpe": bpe_fst.op5_bpe,
+    "op6_jaccard_join": parity_join.op6_jaccard_join,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_top_k": topk.op8_top_k,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_perspectives": chat.op10_perspectives,
 }
 
 ORACLES = {
     "op4_url_filter": url_trie.OP4_SQL,
+    "op7_substring_dedup": substring_dedup.OP7_SQL,
+    "op8_top_k": topk.OP8_SQL,
     "op10_perspectives": chat.OP10_SQL,
 }
