@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and their SQL where it can express them."""
 
-from latticore.llm import bpe_fst, chat, mixing, parity_join, quality, substring_dedup, topk, url_trie
+from latticore.llm import bpe_fst, chat, mixing, page_diff, parity_join, quality, substring_dedup, topk, url_trie
 
 QUERIES = {
+    "op1_page_text": page_diff.op1_page_text,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_url_filter": url_trie.op4_url_filter,
     "op5_bpe": bpe_fst.op5_bpe,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_page_text": page_diff.OP1_SQL,
     "op4_url_filter": url_trie.OP4_SQL,
     "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op8_top_k": topk.OP8_SQL,
