@@ -1,9 +1,10 @@
 """The registered queries of this subpackage, and their SQL where it can express them."""
 
-from latticore.llm import bpe_fst, chat, mixing, page_diff, parity_join, quality, substring_dedup, topk, url_trie
+from latticore.llm import bpe_fst, chat, hmm_lm, mixing, page_diff, parity_join, quality, substring_dedup, topk, url_trie
 
 QUERIES = {
     "op1_page_text": page_diff.op1_page_text,
+    "op2_hmm_scores": hmm_lm.op2_hmm_scores,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_url_filter": url_trie.op4_url_filter,
     "op5_bpe": bpe_fst.op5_bpe,
