@@ -88,7 +88,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "sourc
     C.need(docs, doc_id, source, text)
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
-    sized = C.cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size")), "sizes")
+    sized = C.cut(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(source).cast("string").alias("source"), size.alias("size")), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     rows = totals.limit(max_sources + 1).collect()
     if len(rows) > max_sources:
@@ -103,7 +103,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "sourc
     )
     # the plan has one row per source, at most max_sources, and Spark broadcasts it only under its own size threshold
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    dealt = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", "p.source_quota", "p.shards", key.alias("key"))
+    dealt = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.doc_id", "d.text_hash", "d.source", "d.size", "p.source_size", "p.target", "p.source_quota", "p.shards", key.alias("key"))
     dealt = dealt.withColumn("shard", F.pmod(F.shiftrightunsigned("key", 20), F.col("shards")))
     each = C.cut(dealt.groupBy("source", "shard", "source_quota").agg(F.sum("size").alias("words")), "shards")
 
@@ -118,13 +118,25 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "sourc
     laid = dealt.alias("d").withColumn("end", F.sum("size").over(_in_shard())).alias("d").join(quotas.alias("q"), same)
     start = F.pmod(F.xxhash64(F.col("d.source"), F.col("d.shard"), F.lit(seed)), F.col("blocks"))
     words = lambda at: _taken(at, F.col("quota"), F.col("blocks"), start, block)
-    return laid.select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", (words(F.col("end")) - words(F.col("end") - F.col("d.size"))).cast("bigint").alias("taken"))
+    return laid.select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", (words(F.col("end")) - words(F.col("end") - F.col("d.size"))).cast("bigint").alias("taken"), "d.text_hash")
+
+
+def mixed(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17, **how) -> DataFrame:
+    """The mix as documents, with the columns of docs: each stands whole as often as its taken words make it, the rest of the
+    division rounded up or down by a seeded draw, so that sources keep to their targets.  Texts without words go."""
+    found = mix_sources(docs, doc_id=doc_id, source=source, text=text, seed=seed, **how).where("size > 0")
+    by = found.groupBy("doc_id", "text_hash", "source").agg((F.sum("taken") / F.sum("size")).alias("times"))
+    draw = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed + 1)), F.lit(1 << 20)) / (1 << 20)
+    stay = by.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), (F.floor("times") + (F.col("times") - F.floor("times") > draw).cast("bigint")).alias("_times")).where("_times > 0")
+    keyed = docs.withColumn("_text_hash", F.xxhash64(text))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")) & F.col(source).cast("string").eqNullSafe(F.col("_source"))
+    return keyed.join(C.cut(stay, "mix"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
 
 
 def _in_shard():
     from pyspark.sql import Window
 
-    return Window.partitionBy("source", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    return Window.partitionBy("source", "shard").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:

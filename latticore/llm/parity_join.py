@@ -114,7 +114,7 @@ def _sets(width: int, s: Fraction):
                     bits.append(sketch(u).tobytes())
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([C.column(b, "_id"), *(pa.array(x, pa.int64()) for x in (n, one, two)), flat, pa.array(bits, pa.binary())], ["id", "n", "one", "two", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([C.column(b, "_id"), C.column(b, "_hash"), *(pa.array(x, pa.int64()) for x in (n, one, two)), flat, pa.array(bits, pa.binary())], ["id", "text_hash", "n", "one", "two", "keys", "sketch"])
 
     return run
 
@@ -231,14 +231,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: str = "0.75", width: int = 5, tile: int = 1024) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+    """doc_id, n_shingles, component_id, component (unique; null for an empty set) and text_hash of every row."""
     C.need(docs, doc_id, text)
     C.short_batches(docs.sparkSession)
     s = Fraction(similarity)
     if not 0 < s <= 1:
         raise ValueError("a similarity over 0 and up to 1")
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
-    found = C.cut(rows.mapInArrow(_sets(width, s), "id bigint, n bigint, one bigint, two bigint, keys array<bigint>, sketch binary"), "sets")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    found = C.cut(rows.mapInArrow(_sets(width, s), "id bigint, text_hash bigint, n bigint, one bigint, two bigint, keys array<bigint>, sketch binary"), "sets")
     nodes = found.where("n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = C.cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     sketches = nodes.select("node", "n", "sketch")
@@ -270,9 +270,23 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     named = nodes.select("n", "one", "two", "node", "id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = C.cut(named.select("n", "one", "two", "comp"), "named").join(C.cut(least, "least"), "comp").select("n", "one", "two", "component_id")
-    out = found.select("id", "n", "one", "two").join(C.cut(named, "named"), ["n", "one", "two"], "left")
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    named = C.cut(named.select("n", "one", "two", "comp"), "named").join(C.cut(least, "least"), "comp").select("n", "one", "two", "comp", "component_id")
+    out = found.select("id", "text_hash", "n", "one", "two").join(C.cut(named, "named"), ["n", "one", "two"], "left")
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("comp").alias("component"), "text_hash")
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: str = "0.75", width: int = 5) -> DataFrame:
+    """The documents without all but one of each component: the one of smallest id stays (ties: of the smaller text hash).
+
+    Texts without words are in no component and all stay.
+    """
+    found = jaccard_components(docs, doc_id=doc_id, text=text, similarity=similarity, width=width).where("component is not null")
+    best = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id).alias("_id"), F.col("text_hash"))).alias("best")
+    stay = C.cut(found.groupBy("component").agg(best).select("best._id", F.col("best.text_hash").alias("_hash")), "stay")
+    wordless = F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    keyed = docs.withColumn("_hash", F.xxhash64(text))
+    held = keyed.where(~wordless).join(stay, F.col(doc_id).cast("bigint").eqNullSafe(stay["_id"]) & (keyed["_hash"] == stay["_hash"]), "left_semi")
+    return held.dropDuplicates([doc_id, "_hash"]).select(docs.columns).unionByName(docs.where(wordless))
 
 
 def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, s: Fraction) -> DataFrame:
@@ -287,4 +301,4 @@ def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, s
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Every document with the component of its links at 0.75 of 5-word shingles."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")

@@ -100,14 +100,15 @@ def _repeats(w: C.Words) -> np.ndarray:
 def counted(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of `keep` and the counts of each text."""
     C.need(docs, doc_id, text, *keep)
+    keep = tuple(c for c in dict.fromkeys(keep) if c != doc_id)
     C.short_batches(docs.sparkSession)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(doc_id, *keep).schema.fields]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in (doc_id, *keep))).schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([C.column(b, c) for c in (doc_id, *keep)] + [pa.array(v) for v in text_counts(C.column(b, text)).values()], [doc_id, *keep, *COUNTS])
 
-    return docs.select(doc_id, *keep, text).mapInArrow(run, ", ".join([*fields, *(f"{c} bigint" for c in COUNTS)]))
+    return docs.select(*(f"`{c}`" for c in dict.fromkeys((doc_id, *keep, text)))).mapInArrow(run, ", ".join([*fields, *(f"{c} bigint" for c in COUNTS)]))
 
 
 def upper_bound(k: int, n: int, error: float) -> float:
@@ -188,6 +189,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang",
     return judged(features, cutoffs, stratum=stratum)
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_false_rejection: float = 0.02, error: float = 0.05) -> DataFrame:
+    """The documents that the rules keep, with the columns of docs; texts are not shuffled."""
+    features = C.cut(counted(docs, doc_id=doc_id, text=text, keep=(stratum,)), "counts")
+    cutoffs = certified_cutoffs(features, labels, stratum=stratum, doc_id=doc_id, label=label, max_false_rejection=max_false_rejection, error=error)
+    clash = set(docs.columns) & {*COUNTS, "_stratum", "base_failed", "failed_rules", "kept"}
+    hidden = docs.withColumnsRenamed({c: f"_own.{c}" for c in clash})
+    names = {f"_own.{c}" if c in clash else c: c for c in docs.columns}
+    every = counted(hidden, doc_id=doc_id, text=text, keep=tuple(n for n in names if n != doc_id))
+    return judged(every, cutoffs, stratum=stratum).where("kept").select(*(F.col(f"`{n}`").alias(c) for n, c in names.items()))
+
+
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Every document judged by the base rules and the certified ones."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

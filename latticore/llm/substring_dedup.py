@@ -259,9 +259,18 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     kept = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "spans", "kept")]
     names = [f.name for f in kept]
-    joined = docs.select(*names, key, salt, F.col(text).alias("_text")).join(gone, (F.col("_doc") == F.col("doc")) & (F.col("_salt") == F.col("salt")), "left")
+    joined = docs.select(*(f"`{n}`" for n in names), key, salt, F.col(text).alias("_text")).join(gone, (F.col("_doc") == F.col("doc")) & (F.col("_salt") == F.col("salt")), "left")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-    return joined.select(*(docs[n] for n in names), "_text", "spans").mapInArrow(_finish(names), ", ".join([*fields, "n_words bigint, n_removed bigint, spans array<bigint>, kept string"]))
+    return joined.select(*(docs[f"`{n}`"] for n in names), "_text", "spans").mapInArrow(_finish(names), ", ".join([*fields, "n_words bigint, n_removed bigint, spans array<bigint>, kept string"]))
+
+
+def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", width: int = 13) -> DataFrame:
+    """The documents with the columns of docs; texts that lost words are their other words, joined by a space."""
+    clash = {c: f"_own.{c}" for c in docs.columns if c in ("n_words", "n_removed", "spans", "kept")}
+    done = dedup_substrings(docs.withColumnsRenamed(clash), doc_id=doc_id, text=text, width=width)
+    changed = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text))
+    new = {text: changed} | ({n_chars: F.when(F.col("n_removed") > 0, F.length("kept").cast("bigint")).otherwise(F.col(n_chars))} if n_chars in docs.columns else {})
+    return done.select(*(new.get(c, F.col(f"`{clash.get(c, c)}`")).alias(c) for c in docs.columns))
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
