@@ -226,7 +226,7 @@ def _finish(names: list[str]):
     return run
 
 
-def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, stream_words: int = 200_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, stream_words: int = 10_000) -> DataFrame:
     """docs with n_words, n_removed, spans (begin, end, begin, end ... of the words removed) and kept (the other words, joined by a space)."""
     C.need(docs, doc_id, text)
     if width < GRAM:
@@ -243,7 +243,10 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     found = keyed.join(held, (F.col("_doc") == F.col("doc")) & (F.col("_salt") == F.col("salt"))).select("_doc", "_salt", "_text", "anchors", "firsts")
     passages = C.cut(found.mapInArrow(_passages(width), "holder bigint, kind int, doc bigint, salt bigint, start bigint, n bigint, words binary"), "passages")
-    hot = C.cut(passages.where("kind = 1").groupBy("holder").agg(F.ceil(F.sum("n") / stream_words).cast("int").alias("parts")).where("parts > 1"), "hot")
+    own, stream = F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.sum(F.when(F.col("kind") == 1, F.col("n")))
+    # a part streams many times the words that its automaton is made of
+    parts = F.ceil(stream / F.greatest(F.lit(stream_words), 10 * own)).cast("int")
+    hot = C.cut(passages.groupBy("holder").agg(parts.alias("parts")).where("parts > 1"), "hot")
     dealt = passages.join(hot, "holder", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     # a shard goes to every part of its stream
     part = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc", "start"), F.col("parts")).cast("int")))
