@@ -7,6 +7,7 @@ text, a slice of a batch at a time, so that memory follows the slice (or the lon
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +27,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_LEFT: list = []
+_LEFT: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,20 +41,35 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs one task.
 
-    The files are removed when the driver's process ends.
+    The shuffle files behind df are free to go then.  What is written is removed by drop(), or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _LEFT.append((spark, path))
+    _LEFT[path] = spark
+    gc.collect()
+    spark._jvm.System.gc()  # Spark's cleaner follows the driver's collector
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*cuts: DataFrame) -> None:
+    """Remove the files of frames that cut() gave and that nothing reads any more."""
+    for df in cuts:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = next((p for p in _LEFT if p.rpartition("/")[2] == path.rpartition("/")[2]), None)
+            if at:
+                _delete(_LEFT.pop(at), at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _remove() -> None:
-    for spark, path in _LEFT:
+    for path, spark in _LEFT.items():
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone already; the files are then the cluster's to clean
             return
 

@@ -238,19 +238,23 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     if not 0 < s <= 1:
         raise ValueError("a similarity over 0 and up to 1")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
-    found = C.cut(rows.mapInArrow(_sets(width, s), "id bigint, text_hash bigint, n bigint, one bigint, two bigint, keys array<bigint>, sketch binary"), "sets")
-    nodes = found.where("n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    whole = C.cut(rows.mapInArrow(_sets(width, s), "id bigint, text_hash bigint, n bigint, one bigint, two bigint, keys array<bigint>, sketch binary"), "sets")
+    found = C.cut(whole.drop("keys", "sketch"), "sizes")
+    nodes = whole.where("n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = C.cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    sketches = nodes.select("node", "n", "sketch")
+    C.drop(whole)
+    sketches = C.cut(nodes.select("node", "n", "sketch"), "sketches")
 
     keys = nodes.select("node", F.explode("keys").alias("key"))
     shared = C.cut(keys.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
     held = C.cut(keys.join(shared, "key").select("key", "node", "low", "m"), "held")
 
+    named = C.cut(nodes.select("n", "one", "two", "node", "id"), "nodes")
+    C.drop(nodes, shared)
     star = held.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     near = star.join(sketches.select(F.col("node").alias("a"), "n", F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
     ratio = F.least("n", "m") * s.denominator >= F.greatest("n", "m") * s.numerator
-    links = _verified(rows, nodes, C.cut(near.where(ratio).mapInArrow(_near(s), "a bigint, b bigint"), "near"), width, s)
+    links = _verified(rows, named, C.cut(near.where(ratio).mapInArrow(_near(s), "a bigint, b bigint"), "near"), width, s)
     comps = components(links)
 
     wide = held.where("m > 2").select("key", "node", "m")
@@ -265,10 +269,10 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         more = C.cut(tiles, "near")
         if more.isEmpty():
             break
-        links = links.unionByName(_verified(rows, nodes, more, width, s))
+        links = links.unionByName(_verified(rows, named, more, width, s))
         comps = components(links)
 
-    named = nodes.select("n", "one", "two", "node", "id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = C.cut(named.select("n", "one", "two", "comp"), "named").join(C.cut(least, "least"), "comp").select("n", "one", "two", "comp", "component_id")
     out = found.select("id", "text_hash", "n", "one", "two").join(C.cut(named, "named"), ["n", "one", "two"], "left")
