@@ -194,8 +194,8 @@ def keep_quality(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", d
     features = C.cut(counted(docs, doc_id=doc_id, text=text, keep=(stratum,)), "counts")
     cutoffs = certified_cutoffs(features, labels, stratum=stratum, doc_id=doc_id, label=label, max_false_rejection=max_false_rejection, error=error)
     clash = set(docs.columns) & {*COUNTS, "_stratum", "base_failed", "failed_rules", "kept"}
-    hidden = docs.withColumnsRenamed({c: f"_own.{c}" for c in clash})
-    names = {f"_own.{c}" if c in clash else c: c for c in docs.columns}
+    hidden = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
+    names = {f"_own_{c}" if c in clash else c: c for c in docs.columns}
     every = counted(hidden, doc_id=doc_id, text=text, keep=tuple(n for n in names if n != doc_id))
     return judged(every, cutoffs, stratum=stratum).where("kept").select(*(F.col(f"`{n}`").alias(c) for n, c in names.items()))
 

@@ -269,7 +269,7 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
 def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", width: int = 13) -> DataFrame:
     """The documents with the columns of docs; texts that lost words are their other words, joined by a space."""
-    clash = {c: f"_own.{c}" for c in docs.columns if c in ("n_words", "n_removed", "spans", "kept")}
+    clash = {c: f"_own_{c}" for c in docs.columns if c in ("n_words", "n_removed", "spans", "kept")}
     done = dedup_substrings(docs.withColumnsRenamed(clash), doc_id=doc_id, text=text, width=width)
     changed = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text))
     new = {text: changed} | ({n_chars: F.when(F.col("n_removed") > 0, F.length("kept").cast("bigint")).otherwise(F.col(n_chars))} if n_chars in docs.columns else {})

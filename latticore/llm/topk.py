@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from latticore.llm import common as C
 
 LAST = (1 << 63) - 1
-FLOOR = -(1 << 62)
+FLOOR = -(1 << 56)  # stands for no cutoff
 
 
 def _matrix(lists: pa.Array, scale: float, dims: int | None = None) -> np.ndarray:
@@ -95,8 +95,8 @@ def _phase(shared, k: int, lists: int, scale: float, cutoffs):
                 line = cutoff[:, None]
                 known = [lists * p >= line for p in parts]
                 bound = sum(np.where(m, lists * p, line) for m, p in zip(known, parts))
-                seen = np.logical_or.reduce(known) & (bound >= lists * line) & other
-                seen &= total >= line  # phase 3: the scores resolved
+                seen = np.logical_or.reduce(known) & (bound >= lists * line) & (total >= line)  # phase 3: the scores resolved
+                seen = (seen | (line == FLOOR)) & other
             q, x = np.nonzero(seen)
             best = _merge(best, (q, total[q, x], own[x]), k)
         yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[2]), pa.array(best[1])], ["q", "_id", "score"])
