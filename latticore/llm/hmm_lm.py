@@ -251,7 +251,9 @@ def train(encoded: DataFrame, share: np.ndarray, *, states: int, rounds: int, sa
     """Baum-Welch over all training rows of encoded (held_out false)."""
     spark = encoded.sparkSession
     training = encoded.where(~F.col("held_out")).select("row", "classes")
-    sample = training.orderBy(F.xxhash64("row"), "row").limit(sample_docs).toArrow()
+    # a draw of a few times the sample, so that few rows meet in the sort
+    draw = F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, (3 * sample_docs + 100) / max(1, training.count())))
+    sample = training.where(draw).orderBy(F.xxhash64("row"), "row").limit(sample_docs).toArrow()
     lists = sample["classes"].combine_chunks()
     sizes = np.array([len(x) for x in lists], np.int64)
     flat = np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy() for x in lists)]).astype(np.int64)
@@ -275,7 +277,18 @@ def train(encoded: DataFrame, share: np.ndarray, *, states: int, rounds: int, sa
     return model
 
 
-def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", states: int = 8, rounds: int = 2, top_words: int = 65_536, min_count: int = 8, sample_docs: int = 1500, group_tokens: int = 2_000_000) -> DataFrame:
+def _line(counts: DataFrame, most: int) -> int:
+    """A count that at least the `most` commonest tokens reach, and few others, so that few meet in the last sort."""
+    step = F.floor(F.log2("c") * 200)
+    held = 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r.step):
+        held += r.n
+        if held >= most:
+            return r.c
+    return 0
+
+
+def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", states: int = 8, rounds: int = 2, top_words: int = 65_536, min_count: int = 8, sample_docs: int = 1500, group_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     C.need(docs, doc_id, text)
     spark = docs.sparkSession
@@ -287,7 +300,7 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     counts = rows.where(~F.col("held_out")).mapInArrow(_counted(1_500_000), "token bigint, c bigint")
     counts = C.cut(counts.groupBy("token").agg(F.sum("c").alias("c")), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    best = counts.where(F.col("c") >= min_count).orderBy(F.desc("c"), "token").limit(top_words).toArrow().sort_by("token")
+    best = counts.where(F.col("c") >= max(min_count, _line(counts, top_words))).orderBy(F.desc("c"), "token").limit(top_words).toArrow().sort_by("token")
     top, often = best["token"].to_numpy(), best["c"].to_numpy()
     rare_weight = total - int(often.sum()) + kinds - len(top) + 1
     share = np.append(often + 1.0, float(rare_weight)) / (total + kinds + 1)
