@@ -446,3 +446,75 @@ def simulate(fit: Fit, n: int, seed: int = 1) -> pd.DataFrame:
                     v[rng.random(n) < p["zero"][c, j]] = 0.0
             out[name] = v
     return pd.DataFrame(out).assign(**{"class": c + 1})
+
+
+# ---------------------------------------------------------------- one iteration as a query
+
+
+def m_step(scored: DataFrame, spec: Spec, params: list[Params], marginals: list[Params], weight: str | None = None) -> tuple[np.ndarray, list[Params]]:
+    """The update from scored rows (posterior array) by one aggregation in SQL functions."""
+    w, k = F.col(weight) if weight else F.lit(1.0), spec.k
+    cells, plan = [F.sum(w * F.col("posterior")[c]).alias(f"n{c}") for c in range(k)], []
+    for b, (f, cols) in enumerate(spec.blocks):
+        for j, name in enumerate(cols):
+            x = F.col(f"`{name}`").cast("double")
+            for c in range(k):
+                r, at = w * F.col("posterior")[c], f"{b}_{j}_{c}"
+                if f in ("categorical", "ordinal"):
+                    for v in range(spec.cats[name]):
+                        cells.append(F.sum(F.when(x == v + 1, r).otherwise(0.0)).alias(f"c{at}_{v}"))
+                    continue
+                cells += [F.sum(F.when(x.isNotNull(), r).otherwise(0.0)).alias(f"s{at}"), F.sum(F.coalesce(r * x, F.lit(0.0))).alias(f"x{at}")]
+                if f.startswith("continuous"):
+                    cells.append(F.sum(F.coalesce(r * x * x, F.lit(0.0))).alias(f"q{at}"))
+                if f == "zip":
+                    cells.append(F.sum(F.when(x == 0, r).otherwise(0.0)).alias(f"z{at}"))
+    row = scored.where(F.col("posterior").isNotNull()).agg(*cells).first()
+    for b, ((f, cols), p) in enumerate(zip(spec.blocks, params)):
+        get = lambda n, b=b, cols=cols: np.array([[row[f"{n}{b}_{j}_{c}"] or 0.0 for j in range(len(cols))] for c in range(k)])
+        if f in ("categorical", "ordinal"):
+            top = max(spec.cats[c] for c in cols)
+            plan.append({"c": np.array([[[row[f"c{b}_{j}_{c}_{v}"] or 0.0 if v < spec.cats[name] else 0.0 for v in range(top)] for j, name in enumerate(cols)] for c in range(k)])})
+        elif f == "zip":
+            inflated = get("z") * (p["zero"] / (p["zero"] + (1 - p["zero"]) * np.exp(-p["rate"])))
+            plan.append({"n": get("s") - inflated, "x": get("x"), "inflated": inflated, "all": get("s")})
+        else:
+            plan.append({"n": get("s"), "x": get("x")} | ({"xx": get("q")} if f.startswith("continuous") else {}))
+    return _maximised(spec, {"n": np.array([row[f"n{c}"] or 0.0 for c in range(k)]), "blocks": plan}, marginals, params)
+
+
+def marginals(df: DataFrame, spec: Spec, weight: str | None = None) -> list[Params]:
+    """Weighted means and variances (or category shares) of the items, by one aggregation."""
+    w, cells = F.col(weight) if weight else F.lit(1.0), []
+    for b, (f, cols) in enumerate(spec.blocks):
+        for j, name in enumerate(cols):
+            x = F.col(f"`{name}`").cast("double")
+            if f in ("categorical", "ordinal"):
+                cells += [F.sum(F.when(x == v + 1, w).otherwise(0.0)).alias(f"c{b}_{j}_{v}") for v in range(spec.cats[name])]
+            else:
+                cells += [F.sum(F.when(x.isNotNull(), w)).alias(f"n{b}_{j}"), F.sum(w * x).alias(f"x{b}_{j}"), F.sum(w * x * x).alias(f"q{b}_{j}")]
+    row, out = df.agg(*cells).first(), []
+    for b, (f, cols) in enumerate(spec.blocks):
+        if f in ("categorical", "ordinal"):
+            top = max(spec.cats[c] for c in cols)
+            s = np.array([[row[f"c{b}_{j}_{v}"] or 0.0 if v < spec.cats[name] else 0.0 for v in range(top)] for j, name in enumerate(cols)])
+            out.append({"share": s / np.maximum(s.sum(axis=1, keepdims=True), EPS)})
+        else:
+            n = np.array([row[f"n{b}_{j}"] or EPS for j in range(len(cols))])
+            mean = np.array([row[f"x{b}_{j}"] or 0.0 for j in range(len(cols))]) / n
+            out.append({"mean": mean, "var": np.maximum(np.array([row[f"q{b}_{j}"] or 0.0 for j in range(len(cols))]) / n - mean**2, 1e-12)})
+    return out
+
+
+def with_parameters(spec: Spec, pi: np.ndarray, params: list[Params], loglik: float = math.nan, n: float = math.nan) -> Fit:
+    """A model of given parameters, for scoring."""
+    return Fit(spec, np.asarray(pi, float), params, loglik, loglik, 0, n, math.nan, 0, True)
+
+
+def em_rounds(table: DataFrame, spec: Spec, pi: np.ndarray, params: list[Params], rounds: int, weight: str | None = "w") -> Fit:
+    """A fixed number of iterations, each an aggregation over the (persisted) table in SQL functions."""
+    table = table.persist()
+    m = marginals(table, spec, weight)
+    for _ in range(rounds):
+        pi, params = m_step(with_parameters(spec, pi, params).transform(table), spec, params, m, weight)
+    return with_parameters(spec, pi, params)

@@ -21,3 +21,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+from latticore.plans import queries_data  # noqa: E402, F401
