@@ -12,8 +12,8 @@ intersection >= similarity * union.  Sets of a and b shingles that link differ i
    agree.  A set with too few blocks that are not empty hands on all, and joins again with twice the blocks.
 3. Star round: a set is compared with the smallest node of each of its blocks, first by parity sketches, whose Hamming
    distance never exceeds the symmetric difference, then, if that leaves a link possible, by the shingles themselves.
-4. In blocks that hold several components by then, sketches are compared within tiles of bounded size, and pairs of different components that may
-   link are verified: first the likeliest for each set and component, at last all.  Only connectivity is asked for,
+4. In blocks that hold several components by then (blocks of the same members count once), sketches are compared within tiles of bounded
+   size, and pairs of different components that may link are verified: first the likeliest for each set, then for each set and component, at last all.  Only connectivity is asked for,
    so pairs within one component need no test; no pair of different components that share a block goes untested.
 
 Defined cases: words are runs of bytes other than space and 0x09-0x0D, with A-Z lowered; a null or empty text has the empty set, which
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from pyspark.sql import functions as F
 from latticore.llm import common as C
 
 U = np.uint64
+#: Rows of (node, id, size, two hashes) that may be broadcast: some 50 MB.
+MOST_BROADCAST = 300_000
 BITS = 4  # bits of the sketch for each block of a set's own band
 
 
@@ -166,32 +169,34 @@ def _linked(s: Fraction):
     return run
 
 
-def _tiles(s: Fraction, most: int):
+def _tiles(s: Fraction, most: str):
     """In each tile (its rows come together, sorted): pairs of different components that may link.
 
-    `most`: for each set and other component, so many of the likeliest; 0: all.
+    `most`: "one" gives the likeliest for each set, "each" the likeliest for each set and other component, "all" all.
     """
 
     def pairs(rows: list) -> Iterator[tuple[int, int]]:
         words = min(len(r[5]) for r in rows) // 8
         sketches = np.stack([folded(np.frombuffer(r[5], U), words) for r in rows])
         node, comp, n, chunk = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
-        across = len(np.unique(chunk)) > 1
+        across = chunk[0] != chunk[-1] or len(np.unique(chunk)) > 1
         for i in range(len(rows) - 1):
-            j = np.arange(i + 1, len(rows))
-            j = j[(comp[j] != comp[i]) & (np.minimum(n[j], n[i]) * s.denominator >= np.maximum(n[j], n[i]) * s.numerator)]
+            m, c = n[i + 1 :], comp[i + 1 :]
+            ok = (c != comp[i]) & (np.minimum(m, n[i]) * s.denominator >= np.maximum(m, n[i]) * s.numerator)
             if across:
-                j = j[chunk[j] != chunk[i]]
+                ok &= chunk[i + 1 :] != chunk[i]
+            j = np.flatnonzero(ok) + i + 1
             if not len(j):
                 continue
             apart = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype=np.int64)
             ok = apart * (s.numerator + s.denominator) <= (n[j] + n[i]) * (s.denominator - s.numerator)
             j, apart = j[ok], apart[ok]
-            if most and len(j) > most:
+            if most == "one" and len(j) > 1:
+                j = j[[int(apart.argmin())]]
+            elif most == "each" and len(j) > 1:
                 order = np.lexsort((apart, comp[j]))
                 j = j[order]
-                rank = np.arange(len(j)) - np.searchsorted(comp[j], comp[j])
-                j = j[rank < most]
+                j = j[np.flatnonzero(np.concatenate([[True], comp[j][1:] != comp[j][:-1]]))]
             for k in j.tolist():
                 yield (int(min(node[i], node[k])), int(max(node[i], node[k])))
 
@@ -216,8 +221,9 @@ def _tiles(s: Fraction, most: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and comp (the smallest node it is connected with) of every node of edges (a, b)."""
+def components(links: list[DataFrame]) -> DataFrame:
+    """node and comp (the smallest node it is connected with) of every node of the edges (a, b)."""
+    edges = reduce(DataFrame.unionByName, links)
     both = C.cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = C.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "labels")
     while True:
@@ -225,8 +231,10 @@ def components(edges: DataFrame) -> DataFrame:
         new = labels.join(hop, "node").select("node", F.least("comp", "near").alias("to"), F.col("comp").alias("old"))
         jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("far"))
         after = C.cut(new.join(jump, "to").select("node", F.least("to", "far").alias("comp"), "old"), "labels")
+        C.drop(labels)
         labels = after.select("node", "comp")
         if after.where("comp <> old").isEmpty():
+            C.drop(both)
             return labels
 
 
@@ -254,23 +262,35 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     star = held.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     near = star.join(sketches.select(F.col("node").alias("a"), "n", F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
     ratio = F.least("n", "m") * s.denominator >= F.greatest("n", "m") * s.numerator
-    links = _verified(rows, named, C.cut(near.where(ratio).mapInArrow(_near(s), "a bigint, b bigint"), "near"), width, s)
+    near = C.cut(near.where(ratio).mapInArrow(_near(s), "a bigint, b bigint"), "near")
+    links = [_verified(rows, named, near, width, s)]
     comps = components(links)
+    C.drop(near)
 
-    wide = held.where("m > 2").select("key", "node", "m")
-    for most in (1, 8, 0):
+    wide = C.cut(held.where("m > 2 and node <> low").select("key", "node"), "wide")
+    C.drop(held)
+    for most in ("one", "one", "each", "all"):
         now = wide.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = C.cut(now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key"), "mixed")
+        # blocks with more than one component; of blocks with the same members, one
+        members = (F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("v"))
+        mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m"), *members).where("x < y")
+        mixed = C.cut(mixed.groupBy("m", "u", "v").agg(F.min("key").alias("key")).select("key", "m"), "mixed")
         chunks = F.ceil(F.col("m") / tile).cast("int")
         dealt = now.join(mixed, "key").join(sketches, "node").withColumns({"chunk": F.pmod(F.xxhash64("node"), chunks).cast("int"), "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
         # a tile is the rows of two chunks; those of one chunk alone are the tile (chunk, chunk)
         dealt = dealt.select("key", "node", "comp", "n", "chunk", "sketch", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"))
         tiles = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_tiles(s, most), "a bigint, b bigint").distinct()
         more = C.cut(tiles, "near")
-        if more.isEmpty():
+        found_more = not more.isEmpty()
+        if found_more:
+            links.append(_verified(rows, named, more, width, s))
+            if not links[-1].isEmpty():
+                old, comps = comps, components(links)
+                C.drop(old)
+        C.drop(mixed, more)
+        if not found_more and most != "one":
             break
-        links = links.unionByName(_verified(rows, named, more, width, s))
-        comps = components(links)
+    C.drop(wide, sketches, *links)
 
     named = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
@@ -297,10 +317,13 @@ def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, s
     """The pairs that link, by their whole sets."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     asked = C.cut(asked.join(nodes.select("node", "id", "n", "one", "two"), "node"), "asked")
-    texts = rows.join(asked, rows["_id"].eqNullSafe(asked["id"])).select("_text", "node", "n", "one", "two")
+    few = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
+    texts = rows.join(few, rows["_id"].eqNullSafe(asked["id"])).select("_text", "node", "n", "one", "two")
     sets = C.cut(texts.mapInArrow(_whole_sets(width), "node bigint, set binary").dropDuplicates(["node"]), "whole")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return C.cut(both.mapInArrow(_linked(s), "a bigint, b bigint"), "links")
+    links = C.cut(both.mapInArrow(_linked(s), "a bigint, b bigint"), "links")
+    C.drop(asked, sets)
+    return links
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

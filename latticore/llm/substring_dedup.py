@@ -243,6 +243,7 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     found = keyed.join(held, (F.col("_doc") == F.col("doc")) & (F.col("_salt") == F.col("salt"))).select("_doc", "_salt", "_text", "anchors", "firsts")
     passages = C.cut(found.mapInArrow(_passages(width), "holder bigint, kind int, doc bigint, salt bigint, start bigint, n bigint, words binary"), "passages")
+    C.drop(held, shared)
     own, stream = F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.sum(F.when(F.col("kind") == 1, F.col("n")))
     # a part streams many times the words that its automaton is made of
     parts = F.ceil(stream / F.greatest(F.lit(stream_words), 10 * own)).cast("int")
@@ -254,6 +255,8 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     dealt = dealt.repartition("holder", "part").sortWithinPartitions("holder", "part", "kind")
     spans = C.cut(dealt.mapInArrow(_streamed(width), "doc bigint, salt bigint, start bigint, end bigint, words binary"), "spans")
 
+    C.drop(passages, hot)
+
     left = spans.where("words is not null")
     firsts = left.groupBy("words").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first < final").select("words", "first")
     late = left.join(C.cut(firsts, "left"), "words").where("doc > first").select("doc", "salt", "start", "end")
