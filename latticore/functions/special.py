@@ -116,6 +116,13 @@ def pinv(a: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(a, rcond=math.sqrt(np.finfo(float).eps))
 
 
+def inverse(a: np.ndarray) -> np.ndarray:
+    """Pseudo-inverse of a moment or information matrix, scaled to a unit diagonal first, so that units do not matter."""
+    d = np.sqrt(np.abs(np.diag(a)))
+    d = np.where(d > 0, d, 1.0)
+    return pinv(a / np.outer(d, d)) / np.outer(d, d)
+
+
 def gauss_hermite(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and weights of the standard normal; one node is the mean."""
     if n == 1:
@@ -167,7 +174,7 @@ def newton(score: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]],
     """Maximise a concave function given (value, gradient, Hessian), halving steps that do not climb."""
     value, g, h = score(x)
     for _ in range(rounds):
-        step = pinv(-h) @ g
+        step = inverse(-h) @ g
         if not np.isfinite(step).all() or np.abs(step).max(initial=0) < tol:
             break
         size = 1.0

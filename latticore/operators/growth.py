@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticore.functions.special import EPS, expit, gauss_hermite, golden, lgamma, logsumexp, pinv
+from latticore.functions.special import EPS, expit, gauss_hermite, golden, inverse, lgamma, logsumexp, pinv
 from latticore.operators import mixture as M
 from latticore.plans import patterns as P
 from latticore.sources import panel
@@ -84,7 +84,7 @@ def _density(family: str, y: np.ndarray, x: np.ndarray, beta: np.ndarray, extra:
     seen, z = ~np.isnan(y), np.where(np.isnan(y), 0, y)
     out = np.zeros((len(y), len(beta)))
     for k, b in enumerate(beta):
-        eta = np.clip(x @ b, -30, 30)
+        eta = x @ b if family == "gaussian" else np.clip(x @ b, -30, 30)
         if family == "binomial":
             cell = z * eta - np.logaddexp(0, eta)
         elif family == "gaussian":
@@ -129,7 +129,7 @@ def _binary_random(y, x, beta, extra):
 
 
 def _wls(x, y, w):
-    return pinv(x.T @ (x * w[:, None])) @ (x.T @ (w * y))
+    return inverse(x.T @ (x * w[:, None])) @ (x.T @ (w * y))
 
 
 def _irls(family: str, x: np.ndarray, n: np.ndarray, s: np.ndarray, b: np.ndarray, alpha: float = 0.0, rounds: int = 50) -> np.ndarray:
@@ -262,7 +262,7 @@ def _gmm_run(y, w, x, k, q, start, psi_equal, max_iter, tol) -> dict:
                 a += rr.sum() * x[s].T @ (x[s] * wt[:, None])
                 b += x[s].T @ (wt * (rr @ adj))
                 eff.append((rows, s, u, rr, np.einsum("ti,ij,tj->t", zs, left, zs)))
-            new_beta[c] = pinv(a) @ b
+            new_beta[c] = inverse(a) @ b
             new_psi[c] = second
             for rows, s, u, rr, spread in eff:
                 d = y[rows][:, s] - x[s] @ new_beta[c] - u @ z[s].T

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticore.functions.special import EPS, gradient, hessian, logsumexp, pinv, two_sided
+from latticore.functions.special import EPS, gradient, hessian, inverse, logsumexp, two_sided
 from latticore.operators.emissions import Emission, Params, build
 from latticore.plans import patterns as P
 from latticore.sources import panel
@@ -135,8 +135,8 @@ class Fit:
         scores = gradient(lambda t: self.case_logliks(x, t), theta)
         meat = scores.T @ (scores * w[:, None])
         if kind == "opg":
-            return pinv(meat)
-        bread = pinv(-hessian(lambda t: float(w @ self.case_logliks(x, t)), theta))
+            return inverse(meat)
+        bread = inverse(-hessian(lambda t: float(w @ self.case_logliks(x, t)), theta))
         return bread if kind == "hessian" else bread @ meat @ bread
 
     def measurement_estimates(self, x: np.ndarray, w: np.ndarray, kind: str = "robust") -> pd.DataFrame:

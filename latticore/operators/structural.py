@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticore.functions.special import EPS, chi2_sf, gradient, hessian, newton, pinv, softmax, two_sided
+from latticore.functions.special import EPS, chi2_sf, gradient, hessian, inverse, newton, pinv, softmax, two_sided
 
 
 def _w(weight: str | None) -> Column:
@@ -110,7 +110,7 @@ def fit_mnl(x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(K - 1) x D coefficients against the last category, and their covariance."""
     k, d = counts.shape[1], x.shape[1]
     beta = newton(lambda b: mnl_score(b, x, counts), np.zeros((k - 1) * d))
-    return beta.reshape(k - 1, d), pinv(-mnl_score(beta, x, counts)[2])
+    return beta.reshape(k - 1, d), inverse(-mnl_score(beta, x, counts)[2])
 
 
 def add_covariates(scored: DataFrame, columns: Sequence[str], k: int, *, correction: str = "ML", assignment: str = "proportional", weight: str | None = None) -> pd.DataFrame:
@@ -155,7 +155,7 @@ def ml_covariates(x: np.ndarray, assigned: np.ndarray, error: np.ndarray, *, rou
         if now - last < tol * (1 + abs(now)):
             break
         last = now
-    return beta, pinv(-hessian(ll, beta.ravel()))
+    return beta, inverse(-hessian(ll, beta.ravel()))
 
 
 def ml_outcome(scored: DataFrame, outcome: str, k: int, *, assignment: str = "modal", weight: str | None = None, rounds: int = 500, tol: float = 1e-9) -> pd.DataFrame:
@@ -203,7 +203,7 @@ def two_step_covariates(scored: DataFrame, columns: Sequence[str], pi: Sequence[
         if now - last < 1e-10 * (1 + abs(now)):
             break
         last = now
-    v = pinv(-hessian(ll, beta.ravel()))
+    v = inverse(-hessian(ll, beta.ravel()))
     names, rows = ["(intercept)", *columns], []
     for c in range(k - 1):
         for j, t in enumerate(names):
@@ -231,9 +231,9 @@ def outcome_regression(weighted: DataFrame, outcome: str, columns: Sequence[str]
     rows = []
     if slopes == "class":
         for c, (a, b, yy) in eq.items():
-            beta = pinv(a) @ b
+            beta = inverse(a) @ b
             var = max(1e-5, (yy - b @ beta) / max(a[0, 0], EPS))
-            se = np.sqrt(np.maximum(var * np.diag(pinv(a)), 0))
+            se = np.sqrt(np.maximum(var * np.diag(inverse(a)), 0))
             rows += [(c, t, beta[j], se[j]) for j, t in enumerate(names)]
     else:
         d = len(columns)
@@ -242,9 +242,9 @@ def outcome_regression(weighted: DataFrame, outcome: str, columns: Sequence[str]
             at = [c - 1, *range(k, k + d)]
             a[np.ix_(at, at)] += aa
             b[at] += bb
-        beta = pinv(a) @ b
+        beta = inverse(a) @ b
         var = max(1e-5, (sum(v[2] for v in eq.values()) - b @ beta) / max(sum(v[0][0, 0] for v in eq.values()), EPS))
-        se = np.sqrt(np.maximum(var * np.diag(pinv(a)), 0))
+        se = np.sqrt(np.maximum(var * np.diag(inverse(a)), 0))
         rows = [(c + 1, "(intercept)", beta[c], se[c]) for c in range(k)] + [(None, t, beta[k + j], se[k + j]) for j, t in enumerate(columns)]
     return pd.DataFrame(rows, columns=["class", "term", "estimate", "se"])
 

@@ -265,3 +265,34 @@ def path_enumeration(log_b: np.ndarray, start: np.ndarray, moves: np.ndarray) ->
             v = np.log(start[q[0]]) + sum(np.log(moves[t, q[t], q[t + 1]]) for t in range(t_max - 1))
         parts.append(v + sum(log_b[:, t, q[t]] for t in range(t_max)))
     return logsumexp(np.stack(parts, axis=1))
+
+
+def transition_counts(chain: Chain, df: DataFrame, weight: str | None = None) -> DataFrame:
+    """occasion, from_status, to_status, count: expected moves, summed in each partition and then across."""
+    cols, k, t_max = chain.columns, chain.spec.k, len(chain.times)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((t_max - 1, k, k))
+        for f in frames:
+            if len(f):
+                w = f[weight].to_numpy(float) if weight else np.ones(len(f))
+                xi = forward_backward(chain.log_b(f[cols].to_numpy(float, na_value=np.nan)), chain.start, chain.moves)[2]
+                total += np.einsum("n,ntab->tab", w, xi)
+        t, a, b = np.indices(total.shape)
+        yield pd.DataFrame({"occasion": t.ravel() + 1, "from_status": a.ravel() + 1, "to_status": b.ravel() + 1, "count": total.ravel()})
+
+    part = df.select(*(F.col(f"`{c}`") for c in cols), *([weight] if weight else [])).mapInPandas(run, "occasion int, from_status int, to_status int, count double")
+    return part.groupBy("occasion", "from_status", "to_status").agg(F.sum("count").alias("count"))
+
+
+def status_prevalences(chain: Chain, scored: DataFrame) -> DataFrame:
+    """occasion, status, model (implied) and posterior (mean) shares."""
+    k, t_max, p = chain.spec.k, len(chain.times), chain.prevalences()
+    by = scored.agg(*(F.avg(F.col("posteriors")[t][c]).alias(f"g{t}_{c}") for t in range(t_max) for c in range(k)))
+    rows = [F.struct(F.lit(t + 1).alias("occasion"), F.lit(c + 1).alias("status"), F.lit(float(p[t, c])).alias("model"), F.col(f"g{t}_{c}").alias("posterior")) for t in range(t_max) for c in range(k)]
+    return by.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def with_parameters(spec: M.Spec, times, start, moves, params) -> Chain:
+    """A chain of given parameters, the same measurement at each occasion."""
+    return Chain(spec, list(times), np.asarray(start, float), np.asarray(moves, float), [params] * len(times), math.nan, math.nan, 0, math.nan, math.nan, True)
