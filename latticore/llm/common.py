@@ -45,10 +45,11 @@ def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    for step in (lambda: None, lambda: df.write.parquet(path)):  # Spark's cleaner follows the driver's collector
+        step()
+        gc.collect()
+        spark._jvm.System.gc()
     _LEFT[path] = spark
-    gc.collect()
-    spark._jvm.System.gc()  # Spark's cleaner follows the driver's collector
     return spark.read.schema(df.schema).parquet(path)
 
 

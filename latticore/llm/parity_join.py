@@ -29,7 +29,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +116,7 @@ def _sets(width: int, s: Fraction):
                     bits.append(sketch(u).tobytes())
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([C.column(b, "_id"), C.column(b, "_hash"), *(pa.array(x, pa.int64()) for x in (n, one, two)), flat, pa.array(bits, pa.binary())], ["id", "text_hash", "n", "one", "two", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([C.column(b, "_id"), C.column(b, "_hash"), C.column(b, "_row"), *(pa.array(x, pa.int64()) for x in (n, one, two)), flat, pa.array(bits, pa.binary())], ["id", "text_hash", "row", "n", "one", "two", "keys", "sketch"])
 
     return run
 
@@ -204,7 +203,7 @@ def _tiles(s: Fraction, most: str):
         found = list(dict.fromkeys(pairs(rows))) if len(rows) > 1 else []
         if found:
             a, b = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -221,9 +220,19 @@ def _tiles(s: Fraction, most: str):
     return run
 
 
-def components(links: list[DataFrame]) -> DataFrame:
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps after more links: these connect components, each of which counts as one node."""
+    side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    edges = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    edges = edges.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).where("a <> b").distinct()
+    high = components(C.cut(edges, "links")).select(F.col("node").alias("of"), F.col("comp").alias("to"))
+    old = comps.join(high, comps["comp"] == F.col("of"), "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    new = high.join(comps, F.col("of") == comps["node"], "left_anti").select(F.col("of").alias("node"), F.col("to").alias("comp"))
+    return C.cut(old.unionByName(new), "labels")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """node and comp (the smallest node it is connected with) of every node of the edges (a, b)."""
-    edges = reduce(DataFrame.unionByName, links)
     both = C.cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = C.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "labels")
     while True:
@@ -246,25 +255,23 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     if not 0 < s <= 1:
         raise ValueError("a similarity over 0 and up to 1")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
-    whole = C.cut(rows.mapInArrow(_sets(width, s), "id bigint, text_hash bigint, n bigint, one bigint, two bigint, keys array<bigint>, sketch binary"), "sets")
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    whole = C.cut(numbered.mapInArrow(_sets(width, s), "id bigint, text_hash bigint, row bigint, n bigint, one bigint, two bigint, keys array<bigint>, sketch binary"), "sets")
     found = C.cut(whole.drop("keys", "sketch"), "sizes")
-    nodes = whole.where("n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    nodes = C.cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    C.drop(whole)
-    sketches = C.cut(nodes.select("node", "n", "sketch"), "sketches")
+    named = C.cut(found.where("n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("id"), F.min("row").alias("node")), "nodes")
+    one_each = whole.drop("n").join(_small(named.select("node", "n")), F.col("row") == F.col("node"))
+    sketches = C.cut(one_each.select("node", "n", "sketch"), "sketches")
 
-    keys = nodes.select("node", F.explode("keys").alias("key"))
+    keys = one_each.select("node", F.explode("keys").alias("key"))
     shared = C.cut(keys.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
     held = C.cut(keys.join(shared, "key").select("key", "node", "low", "m"), "held")
+    C.drop(whole, shared)
 
-    named = C.cut(nodes.select("n", "one", "two", "node", "id"), "nodes")
-    C.drop(nodes, shared)
     star = held.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     near = star.join(sketches.select(F.col("node").alias("a"), "n", F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
     ratio = F.least("n", "m") * s.denominator >= F.greatest("n", "m") * s.numerator
     near = C.cut(near.where(ratio).mapInArrow(_near(s), "a bigint, b bigint"), "near")
-    links = [_verified(rows, named, near, width, s)]
-    comps = components(links)
+    comps = components(_verified(rows, named, near, width, s))
     C.drop(near)
 
     wide = C.cut(held.where("m > 2 and node <> low").select("key", "node"), "wide")
@@ -279,18 +286,17 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         dealt = now.join(mixed, "key").join(sketches, "node").withColumns({"chunk": F.pmod(F.xxhash64("node"), chunks).cast("int"), "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
         # a tile is the rows of two chunks; those of one chunk alone are the tile (chunk, chunk)
         dealt = dealt.select("key", "node", "comp", "n", "chunk", "sketch", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"))
-        tiles = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_tiles(s, most), "a bigint, b bigint").distinct()
-        more = C.cut(tiles, "near")
-        found_more = not more.isEmpty()
-        if found_more:
-            links.append(_verified(rows, named, more, width, s))
-            if not links[-1].isEmpty():
-                old, comps = comps, components(links)
-                C.drop(old)
-        C.drop(mixed, more)
-        if not found_more and most != "one":
+        tiles = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_tiles(s, most), "key bigint, a bigint, b bigint")
+        tiles = C.cut(tiles, "tiles")
+        more = C.cut(tiles.select("a", "b").distinct(), "near")
+        if not more.isEmpty():
+            comps = merged(comps, _verified(rows, named, more, width, s))
+        # a block without a pair that may link has none later either
+        before, wide = wide, C.cut(wide.join(tiles.select("key").distinct(), "key", "left_semi"), "wide")
+        C.drop(before, mixed, more, tiles)
+        if wide.isEmpty():
             break
-    C.drop(wide, sketches, *links)
+    C.drop(wide, sketches)
 
     named = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
@@ -313,12 +319,16 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sim
     return held.dropDuplicates([doc_id, "_hash"]).select(docs.columns).unionByName(docs.where(wordless))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast only where it is counted to be small."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, s: Fraction) -> DataFrame:
     """The pairs that link, by their whole sets."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     asked = C.cut(asked.join(nodes.select("node", "id", "n", "one", "two"), "node"), "asked")
-    few = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
-    texts = rows.join(few, rows["_id"].eqNullSafe(asked["id"])).select("_text", "node", "n", "one", "two")
+    texts = rows.join(_small(asked), rows["_id"].eqNullSafe(asked["id"])).select("_text", "node", "n", "one", "two")
     sets = C.cut(texts.mapInArrow(_whole_sets(width), "node bigint, set binary").dropDuplicates(["node"]), "whole")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     links = C.cut(both.mapInArrow(_linked(s), "a bigint, b bigint"), "links")
