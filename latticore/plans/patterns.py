@@ -28,7 +28,8 @@ def numbered(patterns: DataFrame, items: Sequence[str]) -> DataFrame:
 
 
 def expand(df: DataFrame, patterns: DataFrame, items: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Each row of df with its pattern's values (null-safe join; Spark broadcasts the patterns where they are small enough)."""
+    """Each row of df with its pattern's values, in place of columns of the same name (null-safe join; Spark broadcasts the patterns where they are small enough)."""
+    df = df.drop(*values)
     p = patterns.select(*(F.col(f"`{c}`").alias(f"_p{k}") for k, c in enumerate(items)), *values)
     same = F.lit(True)
     for k, c in enumerate(items):
