@@ -83,7 +83,7 @@ def _taken(at, quota, blocks, start, block: int):
     return at * full + before(whole) * block + rest * (before(whole + 1) - before(whole))
 
 
-def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, block: int = 32, shard_docs: int = 1024, seed: int = 17, max_sources: int = 1_000_000) -> DataFrame:
+def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, block: int = 8, shard_docs: int = 1024, seed: int = 17, max_sources: int = 1_000_000) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every document."""
     C.need(docs, doc_id, source, text)
     spark = docs.sparkSession
