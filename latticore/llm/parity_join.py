@@ -13,7 +13,7 @@ intersection >= similarity * union.  Sets of a and b shingles that link differ i
 3. Star round: a set is compared with the smallest node of each of its blocks, first by parity sketches, whose Hamming
    distance never exceeds the symmetric difference, then, if that leaves a link possible, by the shingles themselves.
 4. In blocks that hold several components by then (blocks of the same members count once), sketches are compared within tiles of bounded
-   size, and pairs of different components that may link are verified: first the likeliest for each set, then for each set and component, at last all.  Only connectivity is asked for,
+   size, and pairs of different components that may link are verified: first the likeliest for each set, and for each set and component, in the set's largest block, at last all in all blocks.  Only connectivity is asked for,
    so pairs within one component need no test; no pair of different components that share a block goes untested.
 
 Defined cases: words are runs of bytes other than space and 0x09-0x0D, with A-Z lowered; a null or empty text has the empty set, which
@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 from latticore.llm import common as C
 
 U = np.uint64
+#: Pairs that a task remembers so as not to give them again.
+SEEN = 200_000
 #: Rows of (node, id, size, two hashes) that may be broadcast: some 50 MB.
 MOST_BROADCAST = 300_000
-BITS = 4  # bits of the sketch for each block of a set's own band
+BITS = 8  # bits of the sketch for each block of a set's own band
 
 
 def shingles(w: C.Words, width: int, h: np.ndarray) -> Iterator[np.ndarray]:
@@ -199,23 +201,26 @@ def _tiles(s: Fraction, most: str):
             for k in j.tolist():
                 yield (int(min(node[i], node[k])), int(max(node[i], node[k])))
 
-    def out(rows: list) -> Iterator[pa.RecordBatch]:
-        found = list(dict.fromkeys(pairs(rows))) if len(rows) > 1 else []
+    def out(rows: list, seen: set) -> Iterator[pa.RecordBatch]:
+        found = [x for x in dict.fromkeys(pairs(rows)) if x not in seen] if len(rows) > 1 else []
+        if len(seen) > SEEN:
+            seen.clear()
+        seen.update(found)
         if found:
             a, b = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, rows, seen = None, [], set()  # pairs that this task has given lately
         for b in batches:
             for tile, r in zip(zip(*(C.column(b, c).to_pylist() for c in ("key", "p", "q"))), zip(*(C.column(b, c).to_pylist() for c in ("key", "node", "comp", "n", "chunk", "sketch")))):
                 if tile != now:
                     if rows:
-                        yield from out(rows)
+                        yield from out(rows, seen)
                     now, rows = tile, []
                 rows.append(r)
         if rows:
-            yield from out(rows)
+            yield from out(rows, seen)
 
     return run
 
@@ -282,20 +287,20 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         members = (F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("v"))
         mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m"), *members).where("x < y")
         mixed = C.cut(mixed.groupBy("m", "u", "v").agg(F.min("key").alias("key")).select("key", "m"), "mixed")
+        dealt = now.join(mixed, "key")
+        if most != "all":  # the rounds before the last: each set in its largest block only
+            dealt = C.cut(dealt, "blocks")
+            largest = dealt.groupBy("node").agg(F.max(F.struct("m", "key")).alias("top")).select("node", "top.key")
+            dealt = dealt.join(largest, ["node", "key"])
         chunks = F.ceil(F.col("m") / tile).cast("int")
-        dealt = now.join(mixed, "key").join(sketches, "node").withColumns({"chunk": F.pmod(F.xxhash64("node"), chunks).cast("int"), "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
+        dealt = dealt.join(sketches, "node").withColumns({"chunk": F.pmod(F.xxhash64("node"), chunks).cast("int"), "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
         # a tile is the rows of two chunks; those of one chunk alone are the tile (chunk, chunk)
         dealt = dealt.select("key", "node", "comp", "n", "chunk", "sketch", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"))
-        tiles = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_tiles(s, most), "key bigint, a bigint, b bigint")
-        tiles = C.cut(tiles, "tiles")
-        more = C.cut(tiles.select("a", "b").distinct(), "near")
+        tiles = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_tiles(s, most), "a bigint, b bigint")
+        more = C.cut(tiles.distinct(), "near")
         if not more.isEmpty():
             comps = merged(comps, _verified(rows, named, more, width, s))
-        # a block without a pair that may link has none later either
-        before, wide = wide, C.cut(wide.join(tiles.select("key").distinct(), "key", "left_semi"), "wide")
-        C.drop(before, mixed, more, tiles)
-        if wide.isEmpty():
-            break
+        C.drop(mixed, more)
     C.drop(wide, sketches)
 
     named = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
