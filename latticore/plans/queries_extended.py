@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from latticore.operators import diagnostics as D
 from latticore.operators import extended as X
+from latticore.operators import inference as I
 from latticore.operators import mixture as M
 from latticore.operators import report as R
 from latticore.operators import structural as S
@@ -104,3 +105,70 @@ def link_models(spark, sf):
     ea, eb = S.classification_error(both.select(F.col("pa").alias("posterior"), F.col("first").alias("class")), 2), S.classification_error(both, 2)
     r = S.link_models(both, "first", "class", ea, eb)
     return spark.createDataFrame(pd.DataFrame([{"loglik": r["loglik"], "n_parameters": r["n_parameters"], "bic": r["bic"]}]))
+
+
+# ---------------------------------------------------------------- finishing and inference
+
+
+def _patterns(df, items):
+    return M.pattern_arrays(P.collapse(df, items, names=("_weight", "_rows")).toPandas(), items)  # a few items: few patterns
+
+
+@query("absolute_fit_mar")
+def absolute_fit_mar(spark, sf):
+    df = Q.gaps(Q.flags(spark, sf))
+    return spark.createDataFrame(pd.DataFrame([I.absolute_fit_mar(M.fit_mixture(df, Q.FLAGS, 2, "binary", n_init=3, tol=1e-8), *_patterns(df, Q.FLAGS))]))
+
+
+@query("bvr_bootstrap")
+def bvr_bootstrap(spark, sf):
+    df = Q.flags(spark, sf)
+    return spark.createDataFrame(I.bvr_bootstrap(df, M.fit_mixture(df, Q.FLAGS, 2, "binary", n_init=3, tol=1e-6), n_reps=19))
+
+
+@query("polish")
+def polish(spark, sf):
+    df = Q.flags(spark, sf)
+    f = M.fit_mixture(df, Q.FLAGS, 2, "binary", n_init=3, tol=1e-4)
+    return I.polish(f, *_patterns(df, Q.FLAGS)).measurement_summary(spark)
+
+
+@query("chain_estimates")
+def chain_estimates(spark, sf):
+    df = QM.states(spark, sf)
+    c = QM.chain()
+    return spark.createDataFrame(I.chain_estimates(c, *_patterns(df, c.columns), "opg"))
+
+
+SQL_COMPLETE = " AND ".join(f"{n}{t} IS NOT NULL" for t in QM.TIMES for n in QM.LTA_ITEMS)
+SQL_KEYS = ", ".join(f"{n}{t}" for t in QM.TIMES for n in QM.LTA_ITEMS)
+
+
+@query("lta_g2", f"WITH {QM.SQL_PATHS}, c AS (SELECT {SQL_KEYS}, count(*) AS o, any_value(total.ll) AS ll FROM states JOIN total USING (user_id) WHERE {SQL_COMPLETE} GROUP BY {SQL_KEYS}) SELECT round(sum(2 * o * (ln(o) - ln((SELECT sum(o) FROM c)) - ll)), 4) AS g2, count(*) AS n_patterns FROM c")
+def lta_g2(spark, sf):
+    c = QM.chain()
+    t = I.lta_g2(c, *_patterns(QM.states(spark, sf), c.columns))
+    return spark.createDataFrame([(round(t["g2"], 4), t["n_patterns"])], "g2 double, n_patterns bigint")
+
+
+@query("lta_distal", f"WITH {QM.SQL_PATHS}, y AS (SELECT user_id, avg(value) AS y FROM events GROUP BY user_id) SELECT s3 AS class, round(sum(p), 6) AS n, round(sum(p * y) / sum(p), 6) AS mean FROM pp JOIN y USING (user_id) GROUP BY s3")
+def lta_distal(spark, sf):
+    y = table(spark, sf, "events").groupBy("user_id").agg(F.avg("value").alias("y"))
+    m = I.lta_distal(QM.chain().transform(QM.states(spark, sf)).join(y, "user_id"), "y", 2)
+    return Q.rounded(m.select("class", "n", "mean"))
+
+
+@query("add_outcome")
+def add_outcome(spark, sf):
+    return spark.createDataFrame(I.add_outcome(QM.priced(spark, sf), "y", 2)["estimates"])
+
+
+@query("growth_estimates")
+def growth_estimates(spark, sf):
+    y = QM.trajectories(spark, sf).toPandas()[QM.VALUES].to_numpy(float)  # a row per user of the panel
+    return spark.createDataFrame(I.growth_estimates(QM.lcga_fit(), y, np.ones(len(y)), "opg"))
+
+
+@query("fit_rmlca_invariant")
+def fit_rmlca_invariant(spark, sf):
+    return I.fit_rmlca_invariant(QM.states(spark, sf), QM.LTA_ITEMS, QM.TIMES, 2, n_init=3, tol=1e-7).transition_matrix(spark)
