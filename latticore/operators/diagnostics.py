@@ -369,24 +369,22 @@ def skew_kurtosis_test(fit: M.Fit, x: np.ndarray, *, nsim: int = 100, seed: int
     return pd.DataFrame(rows, columns=["statistic", "sample", "mean", "sd", "p_value"])
 
 
-def local_dependence(fit: M.Fit, x: np.ndarray, w: np.ndarray) -> pd.DataFrame:
-    """Residual covariances and correlations of continuous items within classes."""
-    (f, cols), p = fit.spec.blocks[0], fit.params[0]
+def local_dependence(scored: DataFrame, fit: M.Fit, weight: str | None = None) -> DataFrame:
+    """class, item_a, item_b, residual_cov, residual_cor and mi (n r^2) of continuous items within classes: one aggregation."""
+    (f, cols), p, w = fit.spec.blocks[0], fit.params[0], _weight(weight)
     if len(fit.spec.blocks) > 1 or not f.startswith("continuous"):
         raise ValueError("only for models of continuous items")
-    joint = M._joint(fit.spec, fit.pi, fit.params, x)
-    r = np.exp(joint - logsumexp(joint)[:, None]) * w[:, None]
-    rows = []
+    cells, rows = [], []
     for k in range(fit.spec.k):
-        d = x - p["mean"][k]
+        r = w * F.col("posterior")[k]
         for a, b in itertools.combinations(range(len(cols)), 2):
-            both = ~np.isnan(d[:, a]) & ~np.isnan(d[:, b])
-            n = r[both, k].sum()
-            cov = float((r[both, k] * d[both, a] * d[both, b]).sum() / n)
+            d = (F.col(f"`{cols[a]}`") - float(p["mean"][k, a])) * (F.col(f"`{cols[b]}`") - float(p["mean"][k, b]))
+            at = f"{k}_{a}_{b}"
+            cells += [F.sum(r * d).alias(f"s{at}"), F.sum(F.when(d.isNotNull(), r)).alias(f"n{at}")]
+            cov = F.col(f"s{at}") / F.col(f"n{at}")
             cor = cov / math.sqrt(p["var"][k, a] * p["var"][k, b])
-            mi = n * cor**2
-            rows.append((k + 1, cols[a], cols[b], cov, cor, mi, chi2_sf(mi, 1)))
-    return pd.DataFrame(rows, columns=["class", "item_a", "item_b", "residual_cov", "residual_cor", "mi", "p_value"])
+            rows.append(F.struct(F.lit(k + 1).alias("class"), F.lit(cols[a]).alias("item_a"), F.lit(cols[b]).alias("item_b"), cov.alias("residual_cov"), cor.alias("residual_cor"), (F.col(f"n{at}") * cor * cor).alias("mi")))
+    return scored.agg(*cells).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def align_classes(reference: np.ndarray, other: np.ndarray) -> list[int]:

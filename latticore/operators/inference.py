@@ -215,6 +215,40 @@ def growth_estimates(g: G.Growth, y: np.ndarray, w: np.ndarray, kind: str = "rob
     return out.assign(z=out["estimate"] / out["se"], p_value=two_sided(out["estimate"] / out["se"]))
 
 
+def growth_estimates_opg(g: G.Growth, df: DataFrame, weight: str | None = None) -> pd.DataFrame:
+    """growth_estimates() from the outer products of scores, of which each partition returns the sum: for any number of rows."""
+    k, d = g.beta.shape
+    size, cols = k - 1 + k * d, g.columns
+
+    def run(frames):
+        total = np.zeros((size, size))
+        for f in frames:
+            if len(f):
+                w = f[weight].to_numpy(float) if weight else np.ones(len(f))
+                s = _growth_scores(g, f[cols].to_numpy(float, na_value=np.nan))
+                total += s.T @ (s * w[:, None])
+        i, j = np.indices(total.shape)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+
+    rows = df.select(*(F.col(f"`{c}`") for c in cols), *([weight] if weight else [])).mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    meat = np.zeros((size, size))
+    for r in rows:
+        meat[r.i, r.j] = r.v
+    se = np.sqrt(np.maximum(np.diag(inverse(meat))[k - 1 :], 0))
+    out = pd.DataFrame([(c + 1, j) for c in range(k) for j in range(d)], columns=["class", "degree"]).assign(estimate=g.beta.ravel(), se=se)
+    return out.assign(z=out["estimate"] / out["se"], p_value=two_sided(out["estimate"] / out["se"]))
+
+
+def _growth_scores(g: G.Growth, y: np.ndarray) -> np.ndarray:
+    k, d = g.beta.shape
+
+    def ll(t):
+        e = np.exp(np.append(t[: k - 1], 0.0))
+        return logsumexp(np.log(e / e.sum() + EPS) + G._density(g.family, y, g.design, t[k - 1 :].reshape(k, d), g.extra))
+
+    return gradient(ll, np.concatenate([np.log(g.pi[:-1] / g.pi[-1]), g.beta.ravel()]))
+
+
 def simulate_growth(g: G.Growth, n: int, seed: int = 1) -> pd.DataFrame:
     """n complete rows drawn from a growth model, with their class."""
     rng = np.random.default_rng(seed)

@@ -136,16 +136,15 @@ def weights_rescale(spark, sf):
 
 
 WEEKS, KINDS = [0, 1, 2, 3], ["view", "click", "purchase"]
-DAY0 = "TIMESTAMP '2024-01-01 00:00:00'"
 
 
 def weekly(spark, sf):
-    """One row per user and week with events: counts by kind and the mean value."""
-    e = table(spark, sf, "events").withColumn("week", F.floor(F.datediff("ts", F.to_date(F.lit("2024-01-01"))) / 7).cast("int"))
-    return e.where("week < 4").groupBy("user_id", "week").agg(*(F.sum(F.when(F.col("event_type") == k, 1).otherwise(0)).alias(k) for k in KINDS), F.avg("value").alias("value"))
+    """One row per user and week (of eight days, the last open) with events: counts by kind and the mean value."""
+    e = table(spark, sf, "events").withColumn("week", F.least(F.floor(F.datediff("ts", F.to_date(F.lit("2024-01-01"))) / 8), F.lit(3)).cast("int"))
+    return e.groupBy("user_id", "week").agg(*(F.sum(F.when(F.col("event_type") == k, 1).otherwise(0)).alias(k) for k in KINDS), F.avg("value").alias("value"))
 
 
-SQL_WEEKLY = "weekly AS (SELECT user_id, CAST(floor(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7) AS INTEGER) AS week, " + ", ".join(f"CAST(sum(CASE WHEN event_type = '{k}' THEN 1 ELSE 0 END) AS BIGINT) AS {k}" for k in KINDS) + ", avg(value) AS value FROM events WHERE datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) < 28 GROUP BY 1, 2)"
+SQL_WEEKLY = "weekly AS (SELECT user_id, CAST(least(floor(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 8), 3) AS INTEGER) AS week, " + ", ".join(f"CAST(sum(CASE WHEN event_type = '{k}' THEN 1 ELSE 0 END) AS BIGINT) AS {k}" for k in KINDS) + ", avg(value) AS value FROM events GROUP BY 1, 2)"
 SQL_WIDE = "wide AS (SELECT user_id, " + ", ".join(f'max(CASE WHEN week = {t} THEN {k} END) AS "{k}@{t}"' for t in WEEKS for k in KINDS) + " FROM weekly GROUP BY user_id)"
 WIDE = [f"{k}@{t}" for t in WEEKS for k in KINDS]
 

@@ -91,10 +91,20 @@ def confint(spark, sf):
     return spark.createDataFrame(R.confint(M.fit_mixture(df, Q.FLAGS, 2, "binary", n_init=3, tol=1e-8), *M.pattern_arrays(t, Q.FLAGS)).drop(columns="category"))
 
 
-@query("local_dependence")
+def local_sql() -> str:
+    out = []
+    for c in range(2):
+        (ma, mb), (va, vb) = Q.GAUSS["mean"][c], Q.GAUSS["var"][c]
+        cov = f"(sum(p{c + 1} * (quantity - {Q.num(ma)}) * (discount - {Q.num(mb)})) / sum(p{c + 1}))"
+        cor = f"({cov} / {Q.num(float(np.sqrt(va * vb)))})"
+        out.append(f"SELECT {c + 1} AS class, 'quantity' AS item_a, 'discount' AS item_b, round({cov}, 6) AS residual_cov, round({cor}, 6) AS residual_cor, round(sum(p{c + 1}) * {cor} * {cor}, 4) AS mi FROM post")
+    return f"WITH {Q.SQL_LPA} " + " UNION ALL ".join(out)
+
+
+@query("local_dependence", local_sql())
 def local_dependence(spark, sf):
-    t = P.collapse(Q.sizes(spark, sf), ["quantity", "discount"], names=("_weight", "_rows")).limit(100_000).toPandas()
-    return spark.createDataFrame(D.local_dependence(M.with_parameters(Q.LPA, np.array([0.55, 0.45]), [Q.GAUSS]), *M.pattern_arrays(t, ["quantity", "discount"])))
+    t = D.local_dependence(Q.lpa_scored(spark, sf), M.with_parameters(Q.LPA, np.array([0.55, 0.45]), [Q.GAUSS]))
+    return t.select(F.col("class").cast("bigint").alias("class"), "item_a", "item_b", F.round("residual_cov", 6).alias("residual_cov"), F.round("residual_cor", 6).alias("residual_cor"), F.round("mi", 4).alias("mi"))
 
 
 @query("link_models")
@@ -165,8 +175,7 @@ def add_outcome(spark, sf):
 
 @query("growth_estimates")
 def growth_estimates(spark, sf):
-    y = QM.trajectories(spark, sf).toPandas()[QM.VALUES].to_numpy(float)  # a row per user of the panel
-    return spark.createDataFrame(I.growth_estimates(QM.lcga_fit(), y, np.ones(len(y)), "opg"))
+    return spark.createDataFrame(I.growth_estimates_opg(QM.lcga_fit(), QM.trajectories(spark, sf)))
 
 
 @query("fit_rmlca_invariant")

@@ -84,6 +84,7 @@ def test_growth_inference(spark, family):
     e = I.growth_estimates(true, rows[cols].to_numpy(), np.ones(1500))
     assert len(e) == 4 and ((e["se"] > 0) & (e["se"] < 0.2)).all()
     df = spark.createDataFrame(rows[cols])
+    assert I.growth_estimates_opg(true, df)["se"].to_numpy() == pytest.approx(I.growth_estimates(true, rows[cols].to_numpy(), np.ones(1500), "opg")["se"].to_numpy())
     g = (G.fit_gmm if family.endswith("random") else lambda *a, **k: G.fit_lcga(*a, family=family, **k))(df, cols, 2, n_init=3, tol=1e-6)
     assert g.beta == pytest.approx(true.beta, abs=0.25)
     assert true.transform(df).select(F.sum("loglik")).first()[0] <= g.loglik + 5
