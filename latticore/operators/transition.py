@@ -145,38 +145,76 @@ def _emissions(spec: M.Spec, params: list[list[Params]], x: np.ndarray, t_max: i
     return out
 
 
-def _chain_em(spec: M.Spec, t_max: int, x, w, m, state, *, invariant: bool, same_moves: bool, allowed: np.ndarray, alpha: float, max_iter: int, tol: float) -> dict:
+def _chain_sums(spec: M.Spec, t_max: int, x: np.ndarray, w: np.ndarray, state: tuple) -> dict:
+    """One pass over rows: log-likelihood, expected starts and moves, each occasion's statistics, entropy and weight."""
     start, moves, params = state
-    j, k = len(spec.items), spec.k
-    last, done = -math.inf, False
-    blocks = [spec.split(x[:, t * j : (t + 1) * j]) for t in range(t_max)]
+    j = len(spec.items)
+    ll, gamma, xi = forward_backward(_emissions(spec, params, x, t_max), start, moves)
+    stats = [[e.stats(b, gamma[:, t] * w[:, None], p) for e, b, p in zip(spec.emissions(), spec.split(x[:, t * j : (t + 1) * j]), params[t])] for t in range(t_max)]
+    return {"ll": float(w @ ll), "start": (gamma[:, 0] * w[:, None]).sum(axis=0), "moves": np.einsum("n,ntab->tab", w, xi), "stats": stats, "entropy": -float((w[:, None, None] * gamma * np.log(gamma + EPS)).sum()) / t_max, "n": float(w.sum())}
+
+
+def _added(a: dict | None, b: dict) -> dict:
+    if a is None:
+        return b
+    out = {k: a[k] + b[k] for k in ("ll", "start", "moves", "entropy", "n")}
+    return out | {"stats": [M._add({"ll": 0, "entropy": 0, "n": 0, "blocks": s}, {"ll": 0, "entropy": 0, "n": 0, "blocks": t})["blocks"] for s, t in zip(a["stats"], b["stats"])]}
+
+
+def _chain_em(spec: M.Spec, t_max: int, step, m, state, *, invariant: bool, same_moves: bool, allowed: np.ndarray, alpha: float, max_iter: int, tol: float) -> dict:
+    """EM with step(state) giving summed statistics, from any number of partitions."""
+    start, moves, params = state
+    k, last, done = spec.k, -math.inf, False
     for i in range(max_iter + 1):
-        lb = _emissions(spec, params, x, t_max)
-        ll, gamma, xi = forward_backward(lb, start, moves)
+        s = step((start, moves, params))
         prior = alpha / k * np.log(start + EPS).sum() + sum((alpha / (k * allowed[t].sum(axis=1, keepdims=True)) * np.where(allowed[t], np.log(moves[t] + EPS), 0)).sum() for t in range(1 if same_moves else t_max - 1)) + sum(e.log_prior(p, mm) for t in range(1 if invariant else t_max) for e, p, mm in zip(spec.emissions(), params[t], m[t]))
-        value = float(w @ ll) + float(prior)
+        value = s["ll"] + float(prior)
         done = i > 0 and value - last < tol * (1 + abs(value))
         if done or i == max_iter:
             break
         last = value
-        s = (gamma[:, 0] * w[:, None]).sum(axis=0) + alpha / k
-        start = s / s.sum()
-        counts = np.einsum("n,ntab->tab", w, xi)
+        first = s["start"] + alpha / k
+        start = first / first.sum()
+        counts = s["moves"]
         if same_moves and len(counts):
             counts = np.repeat(counts.sum(axis=0, keepdims=True), len(counts), axis=0)
         counts = np.where(allowed, counts + alpha / (k * np.maximum(allowed.sum(axis=2, keepdims=True), 1)), 0.0)
         moves = counts / np.maximum(counts.sum(axis=2, keepdims=True), EPS)
-        stats = [[e.stats(b, gamma[:, t] * w[:, None], p) for e, b, p in zip(spec.emissions(), blocks[t], params[t])] for t in range(t_max)]
+        stats = s["stats"]
         if invariant:
             total = stats[0]
             for more in stats[1:]:
-                total = [{n: a[n] + b[n] for n in a} for a, b in zip(total, more)]
+                total = M._add({"ll": 0, "entropy": 0, "n": 0, "blocks": total}, {"ll": 0, "entropy": 0, "n": 0, "blocks": more})["blocks"]
             one = [e.update(b, mm, p) for e, b, mm, p in zip(spec.emissions(), total, m[0], params[0])]
             params = [one] * t_max
         else:
             params = [[e.update(b, mm, p) for e, b, mm, p in zip(spec.emissions(), stats[t], m[t], params[t])] for t in range(t_max)]
-    ent = -float((w[:, None, None] * gamma * np.log(gamma + EPS)).sum()) / t_max
-    return {"start": start, "moves": moves, "params": params, "ll": float(w @ ll), "penalised": value, "entropy": ent, "n": float(w.sum()), "converged": bool(done)}
+    return {"start": start, "moves": moves, "params": params, "ll": s["ll"], "penalised": value, "entropy": s["entropy"], "n": s["n"], "converged": bool(done)}
+
+
+def _partition_step(rows: DataFrame, spec: M.Spec, cols: list[str], t_max: int, weight: str | None):
+    """A step over a persisted table: a row of sums from each partition."""
+
+    def step(state):
+        shared = rows.sparkSession.sparkContext.broadcast((spec, state))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            spec, state = shared.value
+            total = None
+            for f in frames:
+                if len(f):
+                    w = f[weight].to_numpy(float) if weight else np.ones(len(f))
+                    total = _added(total, _chain_sums(spec, t_max, f[cols].to_numpy(float, na_value=np.nan), w, state))
+            if total is not None:
+                yield pd.DataFrame({"s": [pickle.dumps(total)]})
+
+        total = None
+        for r in rows.mapInPandas(run, "s binary").toLocalIterator():
+            total = _added(total, pickle.loads(r.s))
+        shared.unpersist()
+        return total
+
+    return step
 
 
 def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: int = 2, *, measurement="binary", invariance: str = "full", transition_invariance: str = "none", forbidden: Sequence[tuple[int, int]] = (), weight: str | None = None, n_init: int = 20, alpha: float = 1.0, max_iter: int = 1000, tol: float = 1e-8, seed: int = 1, max_patterns: int = 100_000) -> Chain:
@@ -188,18 +226,24 @@ def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: in
     df = panel.drop_empty(df, cols)
     rows = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in cols), *([F.col(weight).cast("double").alias("_w")] if weight else []))
     table = P.collapse(rows, cols, "_w" if weight else None, names=("_weight", "_rows")).limit(max_patterns + 1).toPandas()
-    if len(table) > max_patterns:
-        raise ValueError(f"more than {max_patterns} response patterns")
     if not len(table):
         raise ValueError("no row with an observed item")
-    table = table.sort_values(cols, na_position="first", ignore_index=True)
-    x, w = M.pattern_arrays(table, cols)
+    invariant, small = invariance == "full", len(table) <= max_patterns
     j = len(spec.items)
-    stacked = np.concatenate([x[:, t * j : (t + 1) * j] for t in range(t_max)])
-    M._resolved(spec, stacked)
-    whole = [e.marginal(b, np.tile(w, t_max)) for e, b in zip(spec.emissions(), spec.split(stacked))]
-    invariant = invariance == "full"
-    m = [whole if invariant else [e.marginal(b, w) for e, b in zip(spec.emissions(), spec.split(x[:, t * j : (t + 1) * j]))] for t in range(t_max)]
+    if small:
+        table = table.sort_values(cols, na_position="first", ignore_index=True)
+        x, w = M.pattern_arrays(table, cols)
+        stacked = np.concatenate([x[:, t * j : (t + 1) * j] for t in range(t_max)])
+        M._resolved(spec, stacked)
+        whole = [e.marginal(b, np.tile(w, t_max)) for e, b in zip(spec.emissions(), spec.split(stacked))]
+        m = [whole if invariant else [e.marginal(b, w) for e, b in zip(spec.emissions(), spec.split(x[:, t * j : (t + 1) * j]))] for t in range(t_max)]
+    else:  # the table stays where it is
+        rows = rows.persist()
+        long = panel.stack_occasions(rows, spec.items, times, ["_w"] if weight else [])
+        named = [c for f, own in spec.blocks if f in ("categorical", "ordinal") for c in own]
+        spec.cats = {c: int(v) for c, v in long.agg(*(F.max(f"`{c}`").alias(c) for c in named)).first().asDict().items()} if named else {}
+        whole = M.marginals(long, spec, "_w" if weight else None)
+        m = [whole if invariant else M.marginals(long.where(F.col("occasion") == t + 1), spec, "_w" if weight else None) for t in range(t_max)]
     allowed = np.ones((max(t_max - 1, 0), k, k), bool)
     for a, b in forbidden:
         allowed[:, a - 1, b - 1] = False
@@ -214,8 +258,14 @@ def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: in
         one = [e.start(mm, rng) for e, mm in zip(spec.emissions(), whole)]
         states.append((rng.dirichlet(np.full(k, 5.0)), mv / np.maximum(mv.sum(axis=2, keepdims=True), EPS), [one] * t_max if invariant else [one] + [[{n: v.copy() for n, v in p.items()} for p in one] for _ in range(t_max - 1)]))
     how = {"invariant": invariant, "same_moves": transition_invariance == "full", "allowed": allowed, "alpha": alpha, "max_iter": max_iter, "tol": tol}
-    if len(states) == 1 or len(w) * t_max * len(states) < 2000:
-        runs = [_chain_em(spec, t_max, x, w, m, s, **how) for s in states]
+    if not small:
+        step = _partition_step(rows, spec, cols, t_max, "_w" if weight else None)
+        short = [_chain_em(spec, t_max, step, m, s, **(how | {"max_iter": min(10, max_iter)})) for s in states]
+        lead = sorted(short, key=lambda r: -r["penalised"])[: max(1, len(short) // 4)]  # ten passes each, then only the leading starts go on
+        runs = [_chain_em(spec, t_max, step, m, (r["start"], r["moves"], r["params"]), **how) for r in lead]
+        rows.unpersist()
+    elif len(states) == 1 or len(w) * t_max * len(states) < 2000:
+        runs = [_chain_em(spec, t_max, lambda s: _chain_sums(spec, t_max, x, w, s), m, s, **how) for s in states]
     else:
         spark = df.sparkSession
         shared = spark.sparkContext.broadcast((spec, t_max, x, w, m, states, how))
@@ -223,7 +273,7 @@ def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: in
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             spec, t_max, x, w, m, states, how = shared.value
             for f in frames:
-                yield pd.DataFrame({"start": f["start"], "run": [pickle.dumps(_chain_em(spec, t_max, x, w, m, states[i], **how)) for i in f["start"]]})
+                yield pd.DataFrame({"start": f["start"], "run": [pickle.dumps(_chain_em(spec, t_max, lambda s: _chain_sums(spec, t_max, x, w, s), m, states[i], **how)) for i in f["start"]]})
 
         ids = spark.createDataFrame([(i,) for i in range(len(states))], "start int").repartition(len(states), "start")
         runs = [pickle.loads(r.run) for r in ids.mapInPandas(run, "start int, run binary").orderBy("start").collect()]

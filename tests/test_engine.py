@@ -399,6 +399,12 @@ def test_lta_recovers_the_chain(spark, chains):
         T.fit_lta(df, [f"i{j}" for j in range(4)], [0, 1, 2], 2, forbidden=[(1, 1), (1, 2)])
 
 
+def test_chain_over_partitions_is_the_chain_over_patterns(spark, chains):
+    df = wide(spark, chains[1]).repartition(3)
+    a, b = (T.fit_lta(df, [f"i{j}" for j in range(4)], [0, 1, 2], 2, n_init=4, tol=1e-7, max_patterns=m) for m in (100_000, 10))
+    assert a.loglik == pytest.approx(b.loglik, abs=0.05) and a.moves == pytest.approx(b.moves, abs=5e-3) and a.n_params == b.n_params
+
+
 def test_chain_extensions(spark, chains):
     s, x = chains
     rng = np.random.default_rng(12)
