@@ -162,169 +162,195 @@ def _irls(family: str, x: np.ndarray, n: np.ndarray, s: np.ndarray, b: np.ndarra
     return b
 
 
-def _lcga_run(family, y, w, x, k, start, dispersion, max_iter, tol) -> dict:
+def _lcga_sums(family: str, y: np.ndarray, w: np.ndarray, x: np.ndarray, state: tuple) -> dict:
+    """One pass over rows: what the update needs, by class and occasion."""
+    pi, beta, extra = state
+    k, seen, z = len(pi), ~np.isnan(y), np.where(np.isnan(y), 0, y)
+    joint = np.log(pi + EPS) + _density(family, y, x, beta, extra)
+    ll = logsumexp(joint)
+    post = np.exp(joint - ll[:, None])
+    r = post * w[:, None]
+    out = {"ll": float(w @ ll), "entropy": -float((r * np.log(post + EPS)).sum()), "size": r.sum(axis=0), "n": r.T @ seen, "s": r.T @ z, "q": r.T @ z**2, "zero": r.T @ (seen & (y == 0))}
+    if family == "negbin":
+        top = int(z.max(initial=0)) + 1
+        out["hist"] = np.stack([[np.bincount(z[seen[:, t], t].astype(int), weights=r[seen[:, t], c], minlength=top) for t in range(len(x))] for c in range(k)])
+    return out
+
+
+def _lcga_run(family, step, m, x, k, start, dispersion, max_iter, tol) -> dict:
+    """EM of curves; step(state) gives sums over all rows, m the outcome's overall mean and variance."""
     pi, beta, extra = start
-    seen, z = ~np.isnan(y), np.where(np.isnan(y), 0, y)
     t_max, last, done = len(x), -math.inf, False
-    total_var = np.nanvar(y)
+    mean = max(m["mean"], 1e-6)
     for it in range(max_iter + 1):
-        joint = np.log(pi + EPS) + _density(family, y, x, beta, extra)
-        ll = logsumexp(joint)
-        value = float(w @ ll)
+        a = step((pi, beta, extra))
+        value = a["ll"]
         done = it > 0 and value - last < tol * (1 + abs(value))
         if done or it == max_iter:
             break
         last = value
-        r = np.exp(joint - ll[:, None]) * w[:, None]
-        pi = (r.sum(axis=0) + 1.0 / k) / (w.sum() + 1.0)
-        n, s = r.T @ seen, r.T @ z
-        beta = beta.copy()
+        pi = (a["size"] + 1.0 / k) / (a["size"].sum() + 1.0)
+        n, s, beta = a["n"], a["s"], beta.copy()
         if family == "gaussian":
             for c in range(k):
                 beta[c] = _wls(x, np.divide(s[c], n[c], out=np.zeros(t_max), where=n[c] > 0), n[c] / extra["var"][c])
-            ss = np.stack([(r[:, c][:, None] * seen * (z - x @ beta[c]) ** 2).sum(axis=0) for c in range(k)])
+            mu = beta @ x.T
+            ss = np.maximum(a["q"] - 2 * mu * s + mu**2 * n, 0)
             if dispersion == "class":
-                v = (ss.sum(axis=1) + total_var / k) / (n.sum(axis=1) + 1 / k)
+                v = (ss.sum(axis=1) + m["var"] / k) / (n.sum(axis=1) + 1 / k)
                 extra = {"var": np.repeat(v[:, None], t_max, axis=1)}
             else:
-                v = (ss.sum(axis=0) + total_var / t_max) / (n.sum(axis=0) + 1 / t_max)
+                v = (ss.sum(axis=0) + m["var"] / t_max) / (n.sum(axis=0) + 1 / t_max)
                 extra = {"var": np.repeat(v[None, :], k, axis=0)}
         elif family == "binomial":
-            mean = np.nanmean(y)
             for c in range(k):
-                beta[c] = _irls("binomial", x, n[c] + 1 / (k * t_max), s[c] + mean / (k * t_max), beta[c])
+                beta[c] = _irls("binomial", x, n[c] + 1 / (k * t_max), s[c] + m["mean"] / (k * t_max), beta[c])
+        elif family == "zip":
+            eta, zero = np.exp(np.clip(x @ beta.T, -30, 30)).T, extra["zero"].copy()
+            for c in range(k):
+                inflated = a["zero"][c] * (zero[c] / (zero[c] + (1 - zero[c]) * np.exp(-eta[c])))
+                zero[c] = np.clip((inflated.sum() + 0.5 / k) / (n[c].sum() + 1 / k), 1e-12, 1 - 1e-12)
+                beta[c] = _irls("poisson", x, n[c] - inflated + 1 / (k * t_max * mean), s[c] + 1 / (k * t_max), beta[c])
+            extra = {"zero": zero}
         else:
-            mean = max(np.nanmean(y), 1e-6)
-            if family == "zip":
-                eta = np.exp(np.clip(x @ beta.T, -30, 30)).T
-                zero = extra["zero"].copy()
-                for c in range(k):
-                    none = zero[c] / (zero[c] + (1 - zero[c]) * np.exp(-eta[c]))
-                    inflated = (r[:, c] @ (seen & (y == 0))) * none
-                    zero[c] = np.clip((inflated.sum() + 0.5 / k) / (n[c].sum() + 1 / k), 1e-12, 1 - 1e-12)
-                    beta[c] = _irls("poisson", x, n[c] - inflated + 1 / (k * t_max * mean), s[c] + 1 / (k * t_max), beta[c])
-                extra = {"zero": zero}
-            else:
-                a = extra.get("alpha", 0.0)
-                for c in range(k):
-                    beta[c] = _irls("poisson", x, n[c] + 1 / (k * t_max * mean), s[c] + 1 / (k * t_max), beta[c], a)
-                if family == "negbin":
-                    top = int(z.max()) + 1
-                    hist = np.zeros((k, t_max, top))
-                    for c in range(k):
-                        for t in range(t_max):
-                            hist[c, t] = np.bincount(z[seen[:, t], t].astype(int), weights=r[seen[:, t], c], minlength=top)
-                    mu, v = np.exp(np.clip(beta @ x.T, -30, 30))[:, :, None], np.arange(top, dtype=float)
-
-                    def cost(log_alpha):
-                        size = math.exp(-log_alpha)
-                        return -float((hist * (lgamma(v + size) - math.lgamma(size) + size * np.log(size / (size + mu)) + v * np.log(mu / (size + mu)))).sum())
-
-                    extra = {"alpha": math.exp(golden(cost, math.log(1e-6), math.log(50.0), 1e-7))}
+            for c in range(k):
+                beta[c] = _irls("poisson", x, n[c] + 1 / (k * t_max * mean), s[c] + 1 / (k * t_max), beta[c], extra.get("alpha", 0.0))
+            if family == "negbin":
+                hist, mu = a["hist"], np.exp(np.clip(beta @ x.T, -30, 30))[:, :, None]
+                v = np.arange(hist.shape[2], dtype=float)
+
+                def cost(log_alpha, hist=hist, mu=mu, v=v):
+                    size = math.exp(-log_alpha)
+                    return -float((hist * (lgamma(v + size) - math.lgamma(size) + size * np.log(size / (size + mu)) + v * np.log(mu / (size + mu)))).sum())
+
+                extra = {"alpha": math.exp(golden(cost, math.log(1e-6), math.log(50.0), 1e-7))}
+    return {"pi": pi, "beta": beta, "extra": extra, "ll": value, "entropy": a["entropy"], "converged": bool(done)}
+
+
+def _gmm_sums(y: np.ndarray, w: np.ndarray, x: np.ndarray, q: int, state: tuple) -> dict:
+    """One pass over rows of the structured normal: moments of the random effects and of what they leave of the outcome."""
+    pi, beta, extra = state
+    psi, theta, k, d, t_max = extra["psi"], extra["theta"], len(pi), x.shape[1], len(x)
+    z, mask = x[:, :q], np.isnan(y)
+    joint = np.log(pi + EPS) + _density("gaussian+random", y, x, beta, extra)
+    ll = logsumexp(joint)
     post = np.exp(joint - ll[:, None])
-    return {"pi": pi, "beta": beta, "extra": extra, "ll": value, "entropy": -float((w[:, None] * post * np.log(post + EPS)).sum()), "converged": bool(done)}
+    r = post * w[:, None]
+    out = {"ll": float(w @ ll), "entropy": -float((r * np.log(post + EPS)).sum()), "size": r.sum(axis=0), "second": np.zeros((k, q, q)), "n": np.zeros((k, t_max)), "s1": np.zeros((k, t_max)), "s2": np.zeros((k, t_max)), "spread": np.zeros((k, t_max))}
+    for m in np.unique(mask, axis=0):
+        rows, s = np.flatnonzero((mask == m).all(axis=1)), ~m
+        if not s.any():
+            continue
+        for c in range(k):
+            zs = z[s]
+            v = zs @ psi[c] @ zs.T + np.diag(theta[c][s])
+            gain = psi[c] @ zs.T @ np.linalg.inv(v)
+            left = psi[c] - gain @ zs @ psi[c]
+            own = y[rows][:, s]
+            u, rr = (own - x[s] @ beta[c]) @ gain.T, r[rows, c]
+            out["second"][c] += (u * rr[:, None]).T @ u + rr.sum() * left
+            adj = own - u @ zs.T
+            out["n"][c, s] += rr.sum()
+            out["s1"][c, s] += rr @ adj
+            out["s2"][c, s] += rr @ adj**2
+            out["spread"][c, s] += rr.sum() * np.einsum("ti,ij,tj->t", zs, left, zs)
+    return out
 
 
-def _gmm_run(y, w, x, k, q, start, psi_equal, max_iter, tol) -> dict:
-    """EM of the structured normal: q random effects on the first q columns of x, theta by occasion (equal over classes)."""
+def _gmm_run(step, x, k, start, psi_equal, max_iter, tol) -> dict:
+    """EM of the structured normal: psi equal or free over classes, theta by occasion, equal over classes."""
     pi, beta, extra = start
     psi, theta = extra["psi"], extra["theta"]
-    z, mask = x[:, :q], np.isnan(y)
-    groups = [(np.flatnonzero((mask == m).all(axis=1)), ~m) for m in np.unique(mask, axis=0)]
-    last, done = -math.inf, False
+    q, last, done = psi.shape[1], -math.inf, False
     for it in range(max_iter + 1):
-        joint = np.log(pi + EPS) + _density("gaussian+random", y, x, beta, {"psi": psi, "theta": theta})
-        ll = logsumexp(joint)
-        value = float(w @ ll)
+        a = step((pi, beta, {"psi": psi, "theta": theta}))
+        value = a["ll"]
         done = it > 0 and value - last < tol * (1 + abs(value))
         if done or it == max_iter:
             break
-        last = value
-        r = np.exp(joint - ll[:, None]) * w[:, None]
-        pi = (r.sum(axis=0) + 1.0 / k) / (w.sum() + 1.0)
-        new_beta, new_psi = beta.copy(), np.zeros_like(psi)
-        e2, n_t = np.zeros(len(x)), np.zeros(len(x))
-        for c in range(k):
-            a, b, eff, second = np.zeros((x.shape[1],) * 2), np.zeros(x.shape[1]), [], np.zeros((q, q))
-            for rows, s in groups:
-                if not s.any():
-                    continue
-                zs, ts = z[s], theta[c][s]
-                v = zs @ psi[c] @ zs.T + np.diag(ts)
-                gain = psi[c] @ zs.T @ np.linalg.inv(v)
-                left = psi[c] - gain @ zs @ psi[c]
-                res = y[rows][:, s] - x[s] @ beta[c]
-                u = res @ gain.T
-                rr = r[rows, c]
-                second += (u * rr[:, None]).T @ u + rr.sum() * left
-                wt = 1 / ts
-                adj = y[rows][:, s] - u @ zs.T
-                a += rr.sum() * x[s].T @ (x[s] * wt[:, None])
-                b += x[s].T @ (wt * (rr @ adj))
-                eff.append((rows, s, u, rr, np.einsum("ti,ij,tj->t", zs, left, zs)))
-            new_beta[c] = inverse(a) @ b
-            new_psi[c] = second
-            for rows, s, u, rr, spread in eff:
-                d = y[rows][:, s] - x[s] @ new_beta[c] - u @ z[s].T
-                e2[s] += rr @ d**2 + rr.sum() * spread
-                n_t[s] += rr.sum()
-        size = r.sum(axis=0)
-        psi = np.repeat((new_psi.sum(axis=0) / size.sum())[None], k, axis=0) if psi_equal else (new_psi + 1e-6 * np.eye(q)) / np.maximum(size, EPS)[:, None, None]
-        theta = np.repeat(np.maximum(e2 / np.maximum(n_t, EPS), 1e-8)[None, :], k, axis=0)
-        beta = new_beta
+        last, size = value, a["size"]
+        pi = (size + 1.0 / k) / (size.sum() + 1.0)
+        beta = np.stack([inverse(x.T @ (x * (a["n"][c] / theta[c])[:, None])) @ (x.T @ (a["s1"][c] / theta[c])) for c in range(k)])
+        mu = beta @ x.T
+        e2 = (a["s2"] - 2 * mu * a["s1"] + mu**2 * a["n"] + a["spread"]).sum(axis=0)
+        psi = np.repeat((a["second"].sum(axis=0) / size.sum())[None], k, axis=0) if psi_equal else (a["second"] + 1e-6 * np.eye(q)) / np.maximum(size, EPS)[:, None, None]
+        theta = np.repeat(np.maximum(e2 / np.maximum(a["n"].sum(axis=0), EPS), 1e-8)[None, :], k, axis=0)
+    return {"pi": pi, "beta": beta, "extra": {"psi": psi, "theta": theta}, "ll": value, "entropy": a["entropy"], "converged": bool(done)}
+
+
+def _binary_gmm_sums(y: np.ndarray, w: np.ndarray, x: np.ndarray, state: tuple) -> dict:
+    """One pass over rows of binary growth: expected trials and successes by class, node and occasion."""
+    pi, beta, extra = state
+    seen, z = ~np.isnan(y), np.where(np.isnan(y), 0, y)
+    dens, nodes, _ = _binary_random(y, x, beta, extra)
+    joint = np.log(pi + EPS) + dens
+    ll = logsumexp(joint)
     post = np.exp(joint - ll[:, None])
-    return {"pi": pi, "beta": beta, "extra": {"psi": psi, "theta": theta}, "ll": value, "entropy": -float((w[:, None] * post * np.log(post + EPS)).sum()), "converged": bool(done)}
+    r = post * w[:, None]
+    mass = [(r[:, c][:, None] * nodes[:, c]).T for c in range(len(pi))]
+    return {"ll": float(w @ ll), "entropy": -float((r * np.log(post + EPS)).sum()), "size": r.sum(axis=0), "n": np.stack([v @ seen for v in mass]), "s": np.stack([v @ z for v in mass])}
 
 
-def _binary_gmm_run(y, w, x, k, nodes, start, max_iter, tol) -> dict:
+def _binary_gmm_run(step, x, k, nodes, start, max_iter, tol) -> dict:
     pi, beta, extra = start
-    sd = extra["sd"].copy()
-    seen, z = ~np.isnan(y), np.where(np.isnan(y), 0, y)
-    last, done = -math.inf, False
+    sd, (q, _), last, done = extra["sd"].copy(), gauss_hermite(nodes), -math.inf, False
+    rows = np.column_stack([np.tile(x, (len(q), 1)), np.repeat(q, len(x))])  # the node is a covariate with slope sd
     for it in range(max_iter + 1):
-        dens, npost, q = _binary_random(y, x, beta, {"sd": sd, "nodes": nodes})
-        joint = np.log(pi + EPS) + dens
-        ll = logsumexp(joint)
-        value = float(w @ ll)
+        a = step((pi, beta, {"sd": sd, "nodes": nodes}))
+        value = a["ll"]
         done = it > 0 and value - last < tol * (1 + abs(value))
         if done or it == max_iter:
             break
-        last = value
-        r = np.exp(joint - ll[:, None]) * w[:, None]
-        pi = (r.sum(axis=0) + 1.0 / k) / (w.sum() + 1.0)
-        beta = beta.copy()
-        for c in range(k):  # a logistic regression on occasion x node, the node as a covariate with slope sd
-            m = r[:, c][:, None] * npost[:, c]
-            n, s = m.T @ seen, m.T @ z  # nodes x T
-            rows = np.column_stack([np.tile(x, (len(q), 1)), np.repeat(q, len(x))])
-            b = _irls("binomial", rows, n.ravel() + 1e-6, s.ravel() + 5e-7, np.append(beta[c], sd[c]), rounds=3)
+        last, beta, sd = value, beta.copy(), sd.copy()
+        pi = (a["size"] + 1.0 / k) / (a["size"].sum() + 1.0)
+        for c in range(k):
+            b = _irls("binomial", rows, a["n"][c].ravel() + 1e-6, a["s"][c].ravel() + 5e-7, np.append(beta[c], sd[c]), rounds=3)
             beta[c], sd[c] = b[:-1], abs(b[-1])
-    post = np.exp(joint - ll[:, None])
-    return {"pi": pi, "beta": beta, "extra": {"sd": sd, "nodes": nodes}, "ll": value, "entropy": -float((w[:, None] * post * np.log(post + EPS)).sum()), "converged": bool(done)}
+    return {"pi": pi, "beta": beta, "extra": {"sd": sd, "nodes": nodes}, "ll": value, "entropy": a["entropy"], "converged": bool(done)}
+
 
+def _added(a: dict | None, b: dict) -> dict:
+    if a is None:
+        return b
+    if "hist" in a and a["hist"].shape != b["hist"].shape:
+        top = max(a["hist"].shape[2], b["hist"].shape[2])
+        a, b = (v | {"hist": np.pad(v["hist"], [(0, 0), (0, 0), (0, top - v["hist"].shape[2])])} for v in (a, b))
+    return {n: a[n] + b[n] for n in a}
 
-def _fit(df: DataFrame, columns, kernel, make_start, n_init, seed, weight, max_patterns):
-    """Patterns to the driver (bounded), a task for each start."""
+
+def _fit(df: DataFrame, columns, sums, kernel, make_start, n_init, seed, weight, max_patterns):
+    """A task for each start on a small pattern table; else a pass over the rows in each iteration, with sums from each partition.
+
+    sums(y, w, state) are additive statistics of rows; kernel(step, moments, state) is the EM loop.  Starts are drawn from a table's
+    rows: where it is large, from a sample of it.
+    """
     df = panel.drop_empty(df, columns)
     rows = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in columns), *([F.col(weight).cast("double").alias("_w")] if weight else []))
     table = P.collapse(rows, columns, "_w" if weight else None, names=("_weight", "_rows")).limit(max_patterns + 1).toPandas()
-    if len(table) > max_patterns:
-        raise ValueError(f"more than {max_patterns} response patterns")
     if not len(table):
         raise ValueError("no row with an observed occasion")
+    small = len(table) <= max_patterns
+    if not small:
+        table = table.head(10_000)  # only for starting values
     table = table.sort_values(columns, na_position="first", ignore_index=True)
     y, w = M.pattern_arrays(table, columns)
     starts = [make_start(y, w, np.random.default_rng([seed, i])) for i in range(n_init)]
-    if n_init == 1 or len(w) * n_init < 2000:
-        runs = [kernel(y, w, s) for s in starts]
+    m = {"mean": float(np.nanmean(y)), "var": float(np.nanvar(y))}
+    if not small:
+        rows = rows.persist()
+        step, total = _partition_step(rows, columns, sums, "_w" if weight else None), rows.agg(F.sum("_w") if weight else F.count(F.lit(1))).first()[0]
+        runs = [kernel(step, m, s) for s in starts]
+        rows.unpersist()
+    elif n_init == 1 or len(w) * n_init < 2000:
+        total, runs = w.sum(), [kernel(lambda state: sums(y, w, state), m, s) for s in starts]
     else:
-        spark = df.sparkSession
+        total, spark = w.sum(), df.sparkSession
         shared = spark.sparkContext.broadcast((y, w, starts))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             y, w, starts = shared.value
             for f in frames:
-                yield pd.DataFrame({"start": f["start"], "run": [pickle.dumps(kernel(y, w, starts[i])) for i in f["start"]]})
+                yield pd.DataFrame({"start": f["start"], "run": [pickle.dumps(kernel(lambda state: sums(y, w, state), m, starts[i])) for i in f["start"]]})
 
         ids = spark.createDataFrame([(i,) for i in range(n_init)], "start int").repartition(n_init, "start")
         runs = [pickle.loads(r.run) for r in ids.mapInPandas(run, "start int, run binary").orderBy("start").collect()]
@@ -332,7 +358,28 @@ def _fit(df: DataFrame, columns, kernel, make_start, n_init, seed, weight, max_p
     order = np.argsort(-best["pi"], kind="stable")
     k = len(order)
     extra = {n: (v[order] if isinstance(v, np.ndarray) and v.ndim and len(v) == k else v) for n, v in best["extra"].items()}
-    return best | {"pi": best["pi"][order], "beta": best["beta"][order], "extra": extra}, float(w.sum()), [r["ll"] for r in runs]
+    return best | {"pi": best["pi"][order], "beta": best["beta"][order], "extra": extra}, float(total), [r["ll"] for r in runs]
+
+
+def _partition_step(rows: DataFrame, columns, sums, weight: str | None):
+    def step(state):
+        shared = rows.sparkSession.sparkContext.broadcast(state)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
+            for f in frames:
+                if len(f):
+                    total = _added(total, sums(f[columns].to_numpy(float, na_value=np.nan), f[weight].to_numpy(float) if weight else np.ones(len(f)), shared.value))
+            if total is not None:
+                yield pd.DataFrame({"s": [pickle.dumps(total)]})
+
+        total = None
+        for r in rows.mapInPandas(run, "s binary").toLocalIterator():  # a row per partition
+            total = _added(total, pickle.loads(r.s))
+        shared.unpersist()
+        return total
+
+    return step
 
 
 def _check(columns, degree, scores):
@@ -363,7 +410,7 @@ def fit_lcga(df: DataFrame, columns: Sequence[str], n_classes: int = 2, *, degre
         extra = {"gaussian": {"var": np.full((k, len(x)), np.nanvar(y))}, "zip": {"zero": rng.uniform(0.1, 0.4, k)}, "negbin": {"alpha": 0.5}}.get(family, {})
         return rng.dirichlet(np.full(k, 5.0)), np.array(beta), extra
 
-    best, n, lls = _fit(df, columns, lambda y, w, s: _lcga_run(family, y, w, x, k, s, dispersion, max_iter, tol), make, n_init if k > 1 else 1, seed, weight, max_patterns)
+    best, n, lls = _fit(df, columns, lambda y, w, state: _lcga_sums(family, y, w, x, state), lambda step, m, s: _lcga_run(family, step, m, x, k, s, dispersion, max_iter, tol), make, n_init if k > 1 else 1, seed, weight, max_patterns)
     p = k - 1 + k * (degree + 1) + {"gaussian": k if dispersion == "class" else len(x), "zip": k, "negbin": 1}.get(family, 0)
     return Growth(family, columns, x, best["pi"], best["beta"], best["extra"], best["ll"], p, n, best["entropy"], best["converged"], lls)
 
@@ -380,9 +427,9 @@ def fit_gmm(df: DataFrame, columns: Sequence[str], n_classes: int = 2, *, degree
         def make(y, w, rng):
             base = np.log((np.nanmean(y, axis=0) + 0.05) / (1.05 - np.nanmean(y, axis=0)))
             b = _wls(x, base, np.ones(len(x)))
-            return rng.dirichlet(np.full(k, 5.0)), b + rng.standard_normal((k, degree + 1)) * np.array([1.0] + [0.3] * degree), {"sd": np.full(k, 0.8)}
+            return rng.dirichlet(np.full(k, 5.0)), b + rng.standard_normal((k, degree + 1)) * np.array([1.0] + [0.3] * degree), {"sd": np.full(k, 0.8), "nodes": n_quadrature}
 
-        best, n, lls = _fit(df, columns, lambda y, w, s: _binary_gmm_run(y, w, x, k, n_quadrature, s, max_iter, tol), make, n_init if k > 1 else 1, seed, weight, max_patterns)
+        best, n, lls = _fit(df, columns, lambda y, w, state: _binary_gmm_sums(y, w, x, state), lambda step, m, s: _binary_gmm_run(step, x, k, n_quadrature, s, max_iter, tol), make, n_init if k > 1 else 1, seed, weight, max_patterns)
         return Growth("binomial+random", columns, x, best["pi"], best["beta"], best["extra"], best["ll"], k - 1 + k * (degree + 1) + k, n, best["entropy"], best["converged"], lls)
 
     if psi not in ("equal", "free"):
@@ -395,7 +442,7 @@ def fit_gmm(df: DataFrame, columns: Sequence[str], n_classes: int = 2, *, degree
         scale = np.diag([var.mean() / 3] + [var.mean() / 30] * (q - 1))
         return rng.dirichlet(np.full(k, 5.0)), beta, {"psi": np.repeat(scale[None], k, axis=0), "theta": np.repeat((var / 2)[None, :], k, axis=0)}
 
-    best, n, lls = _fit(df, columns, lambda y, w, s: _gmm_run(y, w, x, k, q, s, psi == "equal", max_iter, tol), make, n_init if k > 1 else 1, seed, weight, max_patterns)
+    best, n, lls = _fit(df, columns, lambda y, w, state: _gmm_sums(y, w, x, q, state), lambda step, m, s: _gmm_run(step, x, k, s, psi == "equal", max_iter, tol), make, n_init if k > 1 else 1, seed, weight, max_patterns)
     p = k - 1 + k * (degree + 1) + q * (q + 1) // 2 * (1 if psi == "equal" else k) + len(x)
     return Growth("gaussian+random", columns, x, best["pi"], best["beta"], best["extra"], best["ll"], p, n, best["entropy"], best["converged"], lls)
 

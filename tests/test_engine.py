@@ -461,6 +461,31 @@ def test_lcga(spark, family):
     assert ll == pytest.approx(g.loglik, rel=1e-6)
 
 
+@pytest.mark.parametrize("family", ["gaussian", "negbin"])
+def test_growth_over_partitions_is_growth_over_patterns(spark, family):
+    rng = np.random.default_rng(23)
+    eta = ETA[rng.choice(2, 600, p=[0.6, 0.4])]
+    y = rng.poisson(np.exp(eta) * rng.gamma(2, 0.5, eta.shape)) * 1.0 if family == "negbin" else eta + 0.5 * rng.standard_normal(eta.shape)
+    y[rng.random(y.shape) < 0.03] = np.nan
+    df = frame(spark, **{f"y{t}": y[:, t] for t in TIMES}).repartition(3)
+    cols = [f"y{t}" for t in TIMES]
+    fit = lambda m: G.fit_lcga(df, cols, 2, family=family, n_init=1, tol=1e-7, max_iter=100, max_patterns=m)
+    a, b = fit(200_000), fit(10)
+    assert a.loglik == pytest.approx(b.loglik, abs=0.5) and a.beta == pytest.approx(b.beta, abs=0.1) and a.n == b.n == (~np.isnan(y).all(axis=1)).sum()
+
+
+def test_random_effect_sums_add_up():
+    rng = np.random.default_rng(24)
+    x, w = G.polynomial(TIMES, 1), rng.uniform(0.5, 2, 300)
+    y = rng.standard_normal((300, 5))
+    y[rng.random(y.shape) < 0.1] = np.nan
+    state = (np.array([0.6, 0.4]), ETA[:, :2].copy(), {"psi": np.repeat(np.diag([1.0, 0.1])[None], 2, axis=0), "theta": np.full((2, 5), 0.5)})
+    binary = (state[0], state[1], {"sd": np.array([0.5, 1.0]), "nodes": 7})
+    for sums in (lambda y, w: G._gmm_sums(y, w, x, 2, state), lambda y, w: G._binary_gmm_sums((y > 0) * 1.0, w, x, binary)):
+        whole, parts = sums(y, w), G._added(sums(y[:110], w[:110]), sums(y[110:], w[110:]))
+        assert set(whole) == set(parts) and all(parts[k] == pytest.approx(whole[k]) for k in whole)
+
+
 def test_growth_mixtures(spark):
     rng = np.random.default_rng(22)
     c = rng.choice(2, 1200, p=[0.6, 0.4])
