@@ -1,22 +1,25 @@
 """Quality rules whose cutoffs are certified on labelled documents: limited false rejection in every stratum.
 
 Each rule is a ratio of a text, in whole percent; a document is rejected where a rule's value is over the cutoff of its
-stratum.  Cutoffs come from the labelled documents, all of them, which serve as the holdout (the rules have no other
-fitted part): in each stratum and for each rule, cutoffs are tried from the loosest on, and one is certified while the
-exact (Clopper-Pearson) upper bound on the share of good documents over it stays within the rule's part of
-`max_false_rejection`.  Testing in that fixed order needs no correction for the number of cutoffs; over rules and strata
-the error probability `error` is divided evenly (Bonferroni), so with probability 1 - error no stratum loses more than
-`max_false_rejection` of its good documents to all rules together.  Of the certified cutoffs, the one with the greatest
-difference between the shares of bad and of good labelled documents over it is taken (ties: the loosest); a rule that
-separates nothing, or too few labels to certify it, leaves the rule off.
+stratum.  A stratum's cutoffs are certified together, as one vector, on its labelled documents: good ones serve as the holdout,
+all of them.  Vectors are tried in a fixed order from the loosest on, each a percent point lower in one rule than the one
+before it.  The order never looks at the good documents that test it: it comes from the bad ones and the documents without a
+label, the rule and range next that take most bad documents for each unlabelled one (where all are labelled: for each percent
+point).  A vector is certified while the exact (Clopper-Pearson) upper bound on the share of good documents that any rule
+rejects stays within `max_false_rejection`.  Testing in a fixed order needs no correction for the number of vectors or rules;
+the error probability `error` is divided evenly over strata (Bonferroni), so with probability 1 - error no stratum loses
+more than `max_false_rejection` of its good documents to all rules together.  Of the certified vectors, the one with the
+greatest difference between the shares of bad and of good labelled documents rejected is taken (ties: the loosest).  A rule
+that this vector leaves at 100 is off, and all are where nothing is separated or labels are too few to certify any vector.
 
 Defined cases: a null text has no words and fails the base rules; labels that are null are ignored, and a document with
 several labels counts as good if one says so; a null stratum is a stratum of its own; without labels, or with an empty
 table of documents, no rule is certified and only the base rules reject; repeated document rows are judged alike.
 
-Scale: one pass over the texts writes a narrow table of counts per document (no text is shuffled); the labelled part is
-joined by document id, and its histograms (strata x rules x 101 bins x 2) are counted with map-side combination.  Cutoffs are
-one row per stratum, and Spark broadcasts them only under its own size threshold.
+Scale: one pass over the texts writes a narrow table of counts per document (no text is shuffled); it meets the labels by
+document id, and is counted twice with map-side combination: the rules' values one by one (strata x rules x 101 x 2), which give
+the order, and the step that first rejects each labelled document (strata x 601 x 2), which certifies.  Cutoffs are one row
+per stratum, and Spark broadcasts them only under its own size threshold.
 """
 
 from __future__ import annotations
@@ -127,11 +130,11 @@ def upper_bound(k: int, n: int, error: float) -> float:
 
 
 def certified_cutoff(good: np.ndarray, bad: np.ndarray, max_false: float, error: float) -> int | None:
-    """The cutoff taken from histograms over 0..100 of good and bad documents; None where none helps."""
+    """The cutoff taken from histograms of good and bad documents over values from 0; None where none helps."""
     n, m = int(good.sum()), int(bad.sum())
     best, gain = None, 0.0
     over_good = over_bad = 0
-    for cutoff in range(99, -1, -1):  # documents over the cutoff go
+    for cutoff in range(len(good) - 2, -1, -1):  # documents over the cutoff go
         over_good += int(good[cutoff + 1])
         over_bad += int(bad[cutoff + 1])
         if upper_bound(over_good, n, error) > max_false:
@@ -141,6 +144,30 @@ def certified_cutoff(good: np.ndarray, bad: np.ndarray, max_false: float, error:
     return best
 
 
+def levels(bad: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The order of the vectors, from histograms (rules x 101) of bad documents and of those without a label.
+
+    A vector is a level: a rule rejects a value where the value's level is over it.  Value 0 has level 0; the others have
+    1 to 100 x rules, the greatest first to go, and within a rule greater values have greater levels.
+    """
+    out = np.zeros(bad.shape, np.int64)
+    at, left = [100] * len(bad), 100 * len(bad)  # the next value of each rule to go
+    while left:
+        best, taken = (-1.0, 0), 0
+        for r, v in enumerate(at):
+            if v:
+                more = np.cumsum(others[r, v:0:-1]) + np.arange(1, v + 1) / 100  # the last: where there are none
+                ratio = np.cumsum(bad[r, v:0:-1]) / more
+                n = int(np.argmax(ratio))
+                if ratio[n] > best[0]:
+                    best, taken = (ratio[n], r), n + 1
+        for _ in range(taken):
+            out[best[1], at[best[1]]] = left
+            at[best[1]] -= 1
+            left -= 1
+    return out
+
+
 def _percent(a: str, b: str):
     return F.when(F.col(b) > 0, F.least(F.lit(100), F.floor(100 * F.col(a) / F.col(b)))).otherwise(0).cast("int")
 
@@ -150,23 +177,32 @@ def certified_cutoffs(features: DataFrame, labels: DataFrame, *, stratum: str, d
     C.need(features, doc_id, stratum)
     C.need(labels, doc_id, label)
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max((F.col(label) > 0).cast("int")).alias("_good"))
-    rows = features.join(known, doc_id).select(_stratum(stratum), "_good", F.posexplode(F.array(*(_percent(*r) for r in RULES.values()))).alias("_rule", "_bin"))
-    hist = C.cut(rows.groupBy("_stratum", "_rule", "_good", "_bin").count(), "quality")
-    share = error / max(1, hist.select("_stratum").distinct().count() * len(RULES))
-    each = max_false_rejection / len(RULES)
+    rows = features.join(known, doc_id, "left").select(_stratum(stratum), "_good", F.array(*(_percent(*r) for r in RULES.values())).alias("_values"))
+    rows = C.cut(rows, "quality")
+    hist = rows.where("_good IS NULL OR _good = 0").select("_stratum", "_good", F.posexplode("_values").alias("_rule", "_bin"))
+
+    def order(h: pd.DataFrame) -> pd.DataFrame:
+        both = np.zeros((2, len(RULES), 101), np.int64)
+        both[h["_good"].isna().to_numpy().astype(int), h["_rule"].to_numpy(), h["_bin"].to_numpy()] = h["count"].to_numpy()
+        return pd.DataFrame([{"_stratum": h["_stratum"].iloc[0], "_levels": levels(both[0], both[1]).ravel().tolist()}])
+
+    paths = hist.groupBy("_stratum", "_good", "_rule", "_bin").count().groupBy("_stratum").applyInPandas(order, "_stratum string, _levels array<int>")
+    paths = C.cut(paths, "quality")
+    first = F.array_max(F.transform("_values", lambda v, k: F.element_at("_levels", (k * 101 + v + 1).cast("int"))))
+    steps = rows.where("_good IS NOT NULL").join(paths, "_stratum").groupBy("_stratum", "_good", first.alias("_level")).count()
+    steps = C.cut(steps, "quality")
+    share = error / max(1, rows.where("_good IS NOT NULL").select("_stratum").distinct().count())
 
     def fit(h: pd.DataFrame) -> pd.DataFrame:
-        row: dict = {"_stratum": h["_stratum"].iloc[0]}
-        for k, name in enumerate(RULES):
-            both = np.zeros((2, 102), np.int64)
-            own = h[h["_rule"] == k]
-            both[own["_good"].to_numpy(), own["_bin"].to_numpy()] = own["count"].to_numpy()
-            c = certified_cutoff(both[1], both[0], each, share)
-            row[name] = -1 if c is None else c
-        return pd.DataFrame([row])
-
-    found = hist.groupBy("_stratum").applyInPandas(fit, "_stratum string, " + ", ".join(f"`{r}` int" for r in RULES))
-    return C.cut(found.select("_stratum", *(F.when(F.col(r) >= 0, F.col(r)).alias(r) for r in RULES)), "quality")
+        both = np.zeros((2, 100 * len(RULES) + 1), np.int64)
+        both[h["_good"].to_numpy(), h["_level"].to_numpy()] = h["count"].to_numpy()
+        c = certified_cutoff(both[1], both[0], max_false_rejection, share)
+        own = np.array(h["_levels"].iloc[0]).reshape(len(RULES), 101)
+        cutoffs = np.full(len(RULES), 100) if c is None else (own <= c).sum(axis=1) - 1
+        return pd.DataFrame([{"_stratum": h["_stratum"].iloc[0], **dict(zip(RULES, cutoffs.tolist()))}])
+
+    found = steps.join(paths, "_stratum").groupBy("_stratum").applyInPandas(fit, "_stratum string, " + ", ".join(f"`{r}` int" for r in RULES))
+    return C.cut(found.select("_stratum", *(F.when(F.col(r) < 100, F.col(r)).alias(r) for r in RULES)), "quality")
 
 
 def _stratum(name: str):

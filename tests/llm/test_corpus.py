@@ -549,6 +549,38 @@ def test_quality_rules(spark):
     assert quality.quality_rules(docs.limit(0), labels).collect() == []
 
 
+def test_cutoffs_are_certified_together(spark):
+    """The registered values certify from 217 good labels in each of four strata, and not from 216."""
+    rows, marks = [], []
+    for lang, good in (("a", 217), ("b", 217), ("c", 217), ("d", 216)):
+        for i in range(good + 40):
+            d, junk = len(rows), i >= good
+            # half of the junk has digits, the other half capitals; good texts hold a few of both
+            counts = dict.fromkeys(quality.COUNTS, 0) | {"n_words": 100, "word_chars": 1000, "n_digits": 400 if junk and i % 2 else i % 30, "n_upper": 500 if junk and not i % 2 else i % 50}
+            rows.append((d, lang, *counts.values()))
+            rows.append((100_000 + d, lang, *counts.values()))  # without a label
+            marks.append((d, int(not junk)))
+    features = spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in quality.COUNTS))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    cutoffs = quality.certified_cutoffs(features, labels, stratum="lang")
+    got = {r._stratum: r for r in cutoffs.collect()}
+    assert all(got["=d"][rule] is None for rule in quality.RULES)
+    for lang in "abc":
+        assert 2 <= got[f"={lang}"].digits < 40 and 4 <= got[f"={lang}"].capitals < 50
+    kept = {r.doc_id for r in quality.judged(features, cutoffs, stratum="lang").where("kept AND lang <> 'd'").collect()}
+    strata = {d: lang for d, lang, *_ in rows}
+    assert kept & {d for d, _ in marks} == {d for d, good in marks if good and strata[d] != "d"}
+
+
+def test_order_of_cutoffs():
+    bad, others = np.zeros((6, 101), int), np.zeros((6, 101), int)
+    bad[0, 30], others[0, 30], others[0, 3] = 10, 2, 500
+    bad[1, 5], others[1, 5] = 10, 400
+    order = quality.levels(bad, others)
+    assert sorted(order[:, 1:].ravel()) == list(range(1, 601)) and not order[:, 0].any()
+    assert (np.diff(order, axis=1) > 0).all() and order[0, 30] > order[1].max()
+
+
 # ---------------------------------------------------------------- 10
 
 
