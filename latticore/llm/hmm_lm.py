@@ -1,14 +1,15 @@
 """A hidden Markov language model of a corpus: trained by Baum-Welch over all training documents, scoring by scaled forward recursion.
 
 Tokens are words (runs of bytes other than space and 0x09-0x0D, with A-Z lowered), then one end token.  The latent states emit word classes: each
-of the `top_words` commonest training tokens (ties: by hash) that stand there `min_count` times is a class, all others share the class *rare*, in which a token that
+token that stands `min_count` times in the training tokens is a class, however many there are; all others share the class *rare*, in which a token that
 the training tokens have c times weighs c + 1, and one that they lack weighs 1.  So a text's probability is that of its classes
 under the chain, times those of its rare tokens within their class, and sums to one over texts.
 
-1. Token counts are combined in each task, then across tasks.  2. Texts become sequences of classes, written once; rare tokens meet their counts
-in a join.  3. A mixture over a bounded sample of training documents gives starting values only.  4. Each round of
-Baum-Welch runs forward and backward over every training document, whole, and adds up expected counts by partition; the
-sums, one row per class, make the next model.  5. The forward recursion, scaled at each step, gives each text's exact likelihood.
+1. Token counts are combined in each task, then across tasks.  2. Texts become blocks of about `block_tokens` tokens, written once: a block has its
+own vocabulary, which meets the counts in a join, and its texts are places in it.  3. A mixture over a bounded sample of training documents
+gives starting values only.  4. In each round of Baum-Welch the emissions, a table with a row for each class, are joined to the
+blocks' vocabularies, and a task takes a block with just the emissions that its words need; it runs forward and backward over every training document, whole,
+and the expected counts, summed by token, make the next table.  5. The forward recursion, scaled at each step, gives each text's exact likelihood.
 
 Base score: every token on its own, log10((c + 1) / (N + V + 1)), N training tokens of V kinds.
 
@@ -16,8 +17,9 @@ Defined cases: a null text is empty, and consists of the end token; a null id co
 training documents nothing is known (N = V = 0, base score 0) and the model knows one class; repeated rows are scored alike; an empty
 table stays empty; tokens are told apart by 64-bit hashes; extra columns are ignored.
 
-Scale: broadcasts hold top_words x (states + 2) numbers, whatever the corpus.  Rare tokens, whose kinds grow with the corpus,
-are joined, not broadcast; a token that a third of all texts hold is a top word.  A task works through `group_tokens` tokens at a time.
+Scale: nothing that grows with the vocabulary is broadcast or sent to the driver, which holds the moves between states, their starts and
+the class of rare tokens.  A block's vocabulary and texts are the unit of work; a token stands once in a block, so the commonest token has as
+many rows in a join as there are blocks.  A task works through `group_tokens` tokens at a time.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,32 +77,38 @@ def _counted(most: int):
     return run
 
 
-def _encoded(shared):
-    """Texts as classes, with the base score's part of top words and the hashes of rare tokens."""
+def _blocks(most: int):
+    """Texts in blocks of about `most` tokens, as places in the block's vocabulary, and a row with that vocabulary."""
+    own = ("doc_id", "held_out", "row")
+    names = [*own, "block", "places", "tokens"]
+
+    def block(number: int, parts: list) -> Iterator[pa.RecordBatch]:
+        tokens, places = np.unique(np.concatenate([t for _, t, _ in parts]), return_inverse=True)
+        a = 0
+        for b, t, ends in parts:
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places[a : a + len(t)].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, number)), lists, pa.nulls(b.num_rows, pa.list_(pa.int64()))], names)
+            a += len(t)
+        nothing = [pa.nulls(1, c.type) for c in parts[0][0].columns]
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array([number]), pa.nulls(1, pa.list_(pa.int32())), pa.array([tokens], pa.list_(pa.int64()))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, logs = shared.value  # sorted hashes; log10(c + 1) of each
+        number, parts, held = TaskContext.get().partitionId() << 32, [], 0
         for b in batches:
-            ids, ends, rare, rare_ends, known = [], [np.zeros(1, np.int64)], [], [np.zeros(1, np.int64)], []
-            base = 0
-            rare_base = 0
+            if not b.num_rows:
+                continue
+            tokens, ends = [], [np.zeros(1, np.int64)]
             for _, _, w in C.slices(C.column(b, "_text"), lower=True):
                 t, first = _tokens(w)
-                at = np.minimum(np.searchsorted(top, t), max(len(top) - 1, 0))
-                hit = top[at] == t if len(top) else np.zeros(len(t), bool)
-                ids.append(np.where(hit, at, len(top)).astype(np.int32))
-                ends.append(first[1:] + base)
-                base += len(t)
-                weights = np.where(hit, logs[at], 0.0) if len(top) else np.zeros(len(t))
-                sums = np.add.reduceat(weights, first[:-1])
-                known.append(sums)
-                rare.append(t[~hit])
-                per = np.add.reduceat((~hit).astype(np.int64), first[:-1])
-                rare_ends.append(np.cumsum(per) + rare_base)
-                rare_base += int(per.sum())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-            rares = pa.ListArray.from_arrays(pa.array(np.concatenate(rare_ends).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *rare])))
-            yield pa.RecordBatch.from_arrays([*(C.column(b, c) for c in ("doc_id", "held_out", "row")), pa.array(np.concatenate([np.zeros(0), *known])), lists, rares], ["doc_id", "held_out", "row", "top_logs", "classes", "rare"])
+                tokens.append(t)
+                ends.append(first[1:] + ends[-1][-1])
+            parts.append((b.select(list(own)), np.concatenate(tokens), np.concatenate(ends)))
+            held += len(parts[-1][1])
+            if held >= most:
+                yield from block(number, parts)
+                number, parts, held = number + 1, [], 0
+        if parts:
+            yield from block(number, parts)
 
     return run
 
@@ -115,6 +125,7 @@ class Group:
 
     def __init__(self, classes: np.ndarray, first: np.ndarray):
         lengths = np.diff(first)
+        self.first = first
         self.order = np.argsort(-lengths, kind="stable")
         size = lengths[self.order]
         steps = int(size[0]) if len(size) else 0
@@ -169,54 +180,73 @@ class Group:
         return gamma[: self.n[0]].sum(axis=0, dtype=np.float64) if n else np.zeros(k), moves * m.move, emits
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, Group]]:
-    """Rows (all but their classes) and their sequences, about `most` tokens at a time."""
-    rows: list = []
-    parts: list = []
-    held = 0
-    for b in batches:
-        lists = C.column(b, "classes")
-        offsets = lists.offsets.to_numpy()
-        parts.append((lists.values.to_numpy()[offsets[0] : offsets[-1]], np.diff(offsets)))
-        rows.append(b.select([c for c in b.schema.names if c != "classes"]))
-        held += len(parts[-1][0])
-        if held >= most:
-            yield rows, _group(parts)
-            rows, parts, held = [], [], 0
-    if rows:
-        yield rows, _group(parts)
+def _groups(lists: pa.ChunkedArray, classes: np.ndarray, most: int) -> Iterator[tuple[int, int, np.ndarray, Group]]:
+    """(from row, to row, places, sequences of classes), about `most` tokens at a time; classes are those of the places."""
+    lists = lists.combine_chunks()
+    offsets, places = lists.offsets.to_numpy(), lists.values.to_numpy()
+    a, n = 0, len(lists)
+    while a < n:
+        b = min(n, max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1))
+        own = places[offsets[a] : offsets[b]]
+        yield a, b, own, Group(classes[own], (offsets[a : b + 1] - offsets[a]).astype(np.int64))
+        a = b
 
 
-def _group(parts: list) -> Group:
-    classes, lengths = (np.concatenate(x) for x in zip(*parts))
-    return Group(classes, np.concatenate([[0], np.cumsum(lengths)]))
+def _block_model(start: np.ndarray, move: np.ndarray, rare: np.ndarray, words: pa.Table, size: int) -> tuple[Model, np.ndarray]:
+    """The model with the emissions of a block's words, the class of rare tokens last, and the classes of the block's places."""
+    emit = np.stack([words[f"s{j}"].to_numpy().astype(np.float64) for j in range(len(start))], axis=1)
+    classes = np.full(size, len(emit), np.int32)
+    classes[words["place"].to_numpy()] = np.arange(len(emit), dtype=np.int32)
+    return Model(start, move, np.vstack([emit, rare])), classes
 
 
-def _expectation(shared, most: int):
-    """Expected counts of the partition: a row per class it holds; -1 - j: moves out of state j; -1 - K: starts."""
+def _size(texts: pa.Table, words: pa.Table) -> int:
+    """One more than the last place of a block."""
+    last = [pc.max(x).as_py() for x in (pc.list_flatten(texts["places"]), words["place"])]
+    return 1 + max((x for x in last if x is not None), default=-1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        k = len(m.start)
+
+WORD, RARE, MOVES = 0, 1, 2
+
+
+def _expectation(start: np.ndarray, move: np.ndarray, rare: np.ndarray, most: int):
+    """Expected counts of a block: a row per class it holds (WORD, RARE), moves out of state j (MOVES + j), starts (MOVES + K)."""
+    k = len(start)
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        m, classes = _block_model(start, move, rare, words, _size(texts, words))
         starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros(m.emit.shape)
-        for _, g in _grouped(batches, most):
+        for _, _, _, g in _groups(texts["places"], classes, most):
             for total, part in zip((starts, moves, emits), g.expected(m)):
                 total += part
-        held = np.flatnonzero(emits.any(axis=1))
-        rows = np.concatenate([emits[held], moves, starts[None, :]])
-        ids = np.concatenate([held, -1 - np.arange(k + 1)])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(rows[:, j]) for j in range(k))], ["id", *(f"s{j}" for j in range(k))])
+        n = words.num_rows
+        rows = np.concatenate([emits, moves, starts[None, :]])
+        ids = np.concatenate([np.full(n, WORD), [RARE], MOVES + np.arange(k + 1)]).astype(np.int32)
+        tokens = np.concatenate([words["token"].to_numpy(), np.zeros(k + 2, np.int64)])
+        return pa.table([pa.array(ids), pa.array(tokens), *(pa.array(rows[:, j].astype(np.float32)) for j in range(k))], ["id", "token", *(f"s{j}" for j in range(k))])
 
     return run
 
 
-def _scored(shared, most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, g in _grouped(batches, most):
-            logs, a = g.log10(shared.value), 0
-            for b in rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(logs[a : a + b.num_rows])], [*b.schema.names, "class_score"])
-                a += b.num_rows
+def _scored(start: np.ndarray, move: np.ndarray, rare: np.ndarray, rare_weight: float, most: int):
+    """Rows with n_tokens, n_known, the sum of log10(c + 1) of their tokens, and the log10 of their probability."""
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        size = _size(texts, words)
+        c = np.zeros(size)
+        c[words["place"].to_numpy()] = words["c"].to_numpy()
+        m, classes = _block_model(start, move, rare, words.filter(pc.is_valid(words["s0"])), size)
+        logs = np.log10(c + 1)
+        within = np.where(classes == len(m.emit) - 1, logs - np.log10(rare_weight), 0.0)
+        out: list = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
+        for _, _, places, g in _groups(texts["places"], classes, most):
+            first = g.first[:-1]
+            out[0].append(np.diff(g.first))
+            out[1].append(np.add.reduceat((c[places] > 0).astype(np.int64), first))
+            out[2].append(np.add.reduceat(logs[places], first))
+            out[3].append(g.log10(m) + np.add.reduceat(within[places], first))
+        own = ["doc_id", "held_out"]
+        return pa.table([*(texts[c] for c in own), *(pa.array(np.concatenate(x)) for x in out)], [*own, "n_tokens", "n_known", "logs", "score"])
 
     return run
 
@@ -247,85 +277,101 @@ def starting_model(classes: np.ndarray, first: np.ndarray, share: np.ndarray, st
     return Model(np.full(states, 1.0 / states), move, emit)
 
 
-def train(encoded: DataFrame, share: np.ndarray, *, states: int, rounds: int, sample_docs: int, group_tokens: int) -> Model:
-    """Baum-Welch over all training rows of encoded (held_out false)."""
-    spark = encoded.sparkSession
-    training = encoded.where(~F.col("held_out")).select("row", "classes")
+def _start(rows: DataFrame, counts: DataFrame, share_of, rare_share: float, *, min_count: int, states: int, sample_docs: int) -> tuple[DataFrame, Model, bool]:
+    """Starting emissions (token, c, s0 ..) of every class, the model of the sample (rare tokens last), and whether any training document was sampled."""
+    spark = rows.sparkSession
+    training = rows.where(~F.col("held_out")).select("row", "_text")
     # a draw of a few times the sample, so that few rows meet in the sort
     draw = F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, (3 * sample_docs + 100) / max(1, training.count())))
     sample = training.where(draw).orderBy(F.xxhash64("row"), "row").limit(sample_docs).toArrow()
-    lists = sample["classes"].combine_chunks()
-    sizes = np.array([len(x) for x in lists], np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy() for x in lists)]).astype(np.int64)
-    model = starting_model(flat, np.concatenate([[0], np.cumsum(sizes)]), share, states)
-    if not len(sizes):
-        return model
+    parts = [_tokens(w) for _, _, w in C.slices(sample["_text"], lower=True)]
+    tokens = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in parts)])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(f) for _, f in parts)]))])
+    classes = counts.where(F.col("c") >= min_count)
+    kinds = spark.createDataFrame(pa.table({"token": np.unique(tokens)}))
+    known = classes.join(F.broadcast(kinds), "token").toArrow().sort_by("token")
+    top, often = known["token"].to_numpy(), known["c"].to_numpy()
+    share = np.append(share_of(often), rare_share)
+    at = np.minimum(np.searchsorted(top, tokens), max(len(top) - 1, 0))
+    local = np.where(top[at] == tokens, at, len(top)) if len(top) else np.zeros(len(tokens), np.int64)
+    model = starting_model(local, first, share, states)
     names = [f"s{j}" for j in range(states)]
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
-        rows = training.select("classes").mapInArrow(_expectation(shared, group_tokens), "id bigint, " + ", ".join(f"{c} double" for c in names))
-        sums = rows.groupBy("id").agg(*(F.sum(c).alias(c) for c in names)).toArrow()  # a row per class and state
-        ids = sums["id"].to_numpy()
-        values = np.stack([sums[c].to_numpy() for c in names], axis=1)
-        emits, rest = np.zeros(model.emit.shape), np.zeros((states + 1, states))
-        emits[ids[ids >= 0]] = values[ids >= 0]
-        rest[-1 - ids[ids < 0]] = values[ids < 0]
-        move, start = rest[:states] + 0.5, rest[states] + 0.5
-        weight = 50.0  # of the corpus' own distribution in each state's
-        emit = (emits + weight * share[:, None]) / (emits.sum(axis=0) + weight)
-        model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit)
-    return model
+    # what the sampled classes leave to the others, in proportion to their shares
+    rest = (1 - model.emit.sum(axis=0)) / (1 - share.sum()) if 1 - share.sum() > 1e-9 else np.ones(states)
+    own = spark.createDataFrame(pa.table([pa.array(top), *(pa.array(model.emit[:-1, j]) for j in range(states))], ["token", *names]))
+    emissions = classes.join(own, "token", "left").select("token", "c", *(F.coalesce(n, share_of(F.col("c")) * float(r)).alias(n) for n, r in zip(names, rest)))
+    return C.cut(emissions, "emissions"), model, len(first) > 1
+
 
+def _expected(texts: DataFrame, words: DataFrame, emissions: DataFrame, model: Model, names: list[str], group_tokens: int) -> DataFrame:
+    """The expected counts of all blocks, summed; their shuffles are free to go on return."""
+    side = words.select("block", "place", "token").join(emissions, "token").select("block", "place", "token", *(F.col(n).cast("float").alias(n) for n in names))
+    run = _expectation(model.start, model.move, model.emit[-1], group_tokens)
+    rows = texts.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(run, "id int, token bigint, " + ", ".join(f"{n} float" for n in names))
+    rows = rows.repartition("id", "token")  # as floats: sums are twice as wide
+    return C.cut(rows.groupBy("id", "token").agg(*(F.sum(n).alias(n) for n in names)), "expected")
 
-def _line(counts: DataFrame, most: int) -> int:
-    """A count that at least the `most` commonest tokens reach, and few others, so that few meet in the last sort."""
-    step = F.floor(F.log2("c") * 200)
-    held = 0
-    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r.step):
-        held += r.n
-        if held >= most:
-            return r.c
-    return 0
+
+def train(coded: DataFrame, words: DataFrame, emissions: DataFrame, model: Model, share_of, rare_share: float, *, rounds: int, group_tokens: int) -> tuple[DataFrame, Model]:
+    """Baum-Welch over all training rows of coded (held_out false): the emissions, and the model with that of rare tokens only."""
+    states = len(model.start)
+    names = [f"s{j}" for j in range(states)]
+    texts = coded.where(~F.col("held_out")).select("block", "places")
+    for _ in range(rounds):
+        sums = _expected(texts, words, emissions, model, names, group_tokens)
+        total = np.array(sums.where(F.col("id") <= RARE).agg(*(F.sum(n) for n in names)).first())
+        few = sums.where(F.col("id") >= RARE).orderBy("id").select(*names).toArrow()
+        few = np.stack([few[n].to_numpy() for n in names], axis=1)
+        weight = 50.0  # of the corpus' own distribution in each state's
+        move, start = few[1 : 1 + states] + 0.5, few[1 + states] + 0.5
+        rare = (few[:1] + weight * rare_share) / (total + weight)
+        model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), rare)
+        old = emissions
+        emissions = sums.where(F.col("id") == WORD).join(old.select("token", "c"), "token").select("token", "c", *(((F.col(n) + weight * share_of(F.col("c"))) / float(t + weight)).alias(n) for n, t in zip(names, total)))
+        emissions = C.cut(emissions, "emissions")
+        C.drop(sums, old)
+    return emissions, model
 
 
-def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", states: int = 8, rounds: int = 2, top_words: int = 65_536, min_count: int = 8, sample_docs: int = 1500, group_tokens: int = 1_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", states: int = 8, rounds: int = 2, min_count: int = 8, sample_docs: int = 1500, group_tokens: int = 1_000_000, block_tokens: int = 4_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     C.need(docs, doc_id, text)
-    spark = docs.sparkSession
-    C.short_batches(spark)
+    C.short_batches(docs.sparkSession)
     modulus, held = HELD_OUT
     outside = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == held
     rows = docs.select(F.col(doc_id).alias("doc_id"), outside.alias("held_out"), F.col(text).alias("_text"))
 
     counts = rows.where(~F.col("held_out")).mapInArrow(_counted(1_500_000), "token bigint, c bigint")
     counts = C.cut(counts.groupBy("token").agg(F.sum("c").alias("c")), "counts")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    best = counts.where(F.col("c") >= max(min_count, _line(counts, top_words))).orderBy(F.desc("c"), "token").limit(top_words).toArrow().sort_by("token")
-    top, often = best["token"].to_numpy(), best["c"].to_numpy()
-    rare_weight = total - int(often.sum()) + kinds - len(top) + 1
-    share = np.append(often + 1.0, float(rare_weight)) / (total + kinds + 1)
-
-    coded = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_encoded(spark.sparkContext.broadcast((top, np.log10(often + 1.0)))), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, held_out boolean, row bigint, top_logs double, classes array<int>, rare array<bigint>")
-    coded = C.cut(coded, "classes")
-
-    line = max(min_count - 1, int(often.min()) if len(top) == top_words else 0)
-    others = counts.where(F.col("c") <= line)
-    seen = coded.select("row", F.explode("rare").alias("token")).join(others, "token", "left").groupBy("row")
-    seen = C.cut(seen.agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("rare_logs"), F.count("c").alias("rare_known")), "rare")
-
-    model = train(coded, share, states=states, rounds=rounds, sample_docs=sample_docs, group_tokens=group_tokens)
-    scored = coded.select("doc_id", "held_out", "row", "top_logs", F.size("rare").cast("bigint").alias("n_rare"), F.size("classes").cast("bigint").alias("n_tokens"), "classes")
-    fields = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, held_out boolean, row bigint, top_logs double, n_rare bigint, n_tokens bigint, class_score double"
-    scored = scored.mapInArrow(_scored(spark.sparkContext.broadcast(model), group_tokens), fields).join(seen, "row", "left")
-    rare_logs, rare_known = F.coalesce("rare_logs", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
+    is_class = F.col("c") >= min_count
+    total, kinds, often, n_classes = counts.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("c"), F.count(F.lit(1)), F.sum(F.when(is_class, F.col("c"))), F.count(F.when(is_class, 1))))).first()
+    weights = float(total + kinds + 1)
+    rare_weight = float(total - often + kinds - n_classes + 1)
+    share_of = lambda c: (c + 1.0) / weights
+
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    kind = docs.schema[doc_id].dataType.simpleString()
+    coded = C.cut(rows.mapInArrow(_blocks(block_tokens), f"doc_id {kind}, held_out boolean, row bigint, block bigint, places array<int>, tokens array<bigint>"), "blocks")
+    words = coded.where("tokens IS NOT NULL").select("block", F.posexplode("tokens").alias("place", "token")).join(counts, "token")
+    words = C.cut(words, "words")
+    coded = coded.where("places IS NOT NULL")
+
+    emissions, model, any_row = _start(rows, counts, share_of, rare_weight / weights, min_count=min_count, states=states, sample_docs=sample_docs)
+    C.drop(counts)
+    if any_row:
+        emissions, model = train(coded, words.where(is_class), emissions, model, share_of, rare_weight / weights, rounds=rounds, group_tokens=group_tokens)
+    side = words.join(emissions.drop("c"), "token", "left").select("block", "place", "c", *(F.col(f"s{j}").cast("float").alias(f"s{j}") for j in range(states)))
+    run = _scored(model.start, model.move, model.emit[-1], rare_weight, group_tokens)
+    fields = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double"
+    scored = coded.select("doc_id", "held_out", "block", "places").groupBy("block").cogroup(side.groupBy("block")).applyInArrow(run, fields)
     return scored.select(
         F.col("doc_id").alias(doc_id),
         "held_out",
         "n_tokens",
-        (F.col("n_tokens") - F.col("n_rare") + rare_known).alias("n_known"),
+        "n_known",
         F.lit(int(total)).cast("bigint").alias("train_tokens"),
-        (F.col("top_logs") + rare_logs - F.col("n_tokens") * float(np.log10(total + kinds + 1))).alias("base_score"),
-        (F.col("class_score") + rare_logs - F.col("n_rare") * float(np.log10(rare_weight))).alias("score"),
+        (F.col("logs") - F.col("n_tokens") * float(np.log10(weights))).alias("base_score"),
+        "score",
     )
 
 

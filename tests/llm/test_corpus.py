@@ -199,6 +199,26 @@ def test_hmm_one_state_is_the_base(docs):
         assert r.score == pytest.approx(r.base_score)
 
 
+def test_hmm_every_frequent_token_is_a_class(spark):
+    """70,000 kinds, each twice in texts of one of two halves: every one gets emissions of its own."""
+    n = 70_000
+    inside = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    texts = [" ".join(f"w{k}" for k in range(a, a + 100)) for a in range(0, n, 100)]
+    rows = spark.createDataFrame(list(zip(inside, texts + texts)), "doc_id long, text string").repartition(3)
+    seen = []
+    plain = hmm_lm.train
+    hmm_lm.train = lambda *a, **b: seen.append(plain(*a, **b)) or seen[-1]
+    try:
+        got = hmm_lm.score_texts(rows, states=2, min_count=2, block_tokens=30_000).collect()
+    finally:
+        hmm_lm.train = plain
+    (emissions, model), = seen
+    assert len(got) == 2 * len(texts) and emissions.count() == n + 1  # and the end token
+    sums = emissions.selectExpr("sum(s0)", "sum(s1)").first()
+    assert np.allclose(np.array(sums) + model.emit[-1], 1)
+    assert emissions.where("abs(s0 / s1 - 1) > 0.001").count() > n // 2
+
+
 def test_hmm_without_training_rows(spark):
     d = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     r, = hmm_lm.score_texts(spark.createDataFrame([(d, "a b")], "doc_id long, text string")).collect()
