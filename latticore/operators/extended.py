@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticore.functions.special import EPS, expit, gauss_hermite, hessian, inverse, logsumexp, softmax, two_sided
+from latticore.operators import growth as G
 from latticore.operators import mixture as M
 from latticore.operators import structural as S
 from latticore.operators import transition as T
@@ -341,10 +342,17 @@ def fit_three_step_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_s
 
 
 def compare_longitudinal(df: DataFrame, items: Sequence[str], times: Sequence, k_range: Sequence[int], *, model: str = "lta", **how) -> DataFrame:
-    """The enumeration table of chains or repeated-measures classes."""
+    """The enumeration table of chains (lta), repeated-measures classes (rmlca), or curves of one item (lcga, gmm)."""
+    fits = {"lta": T.fit_lta, "rmlca": T.fit_rmlca, "lcga": G.fit_lcga, "gmm": G.fit_gmm}
+    if model not in fits:
+        raise ValueError(f"no such model: {model}")
+    curves = model in ("lcga", "gmm")
+    if curves and len(items) != 1:
+        raise ValueError("curves are fitted to one item")
+    over = ([f"{items[0]}@{t}" for t in times],) if curves else (items, times)
     rows = []
     for k in k_range:
-        f = (T.fit_lta if model == "lta" else T.fit_rmlca)(df, items, times, k, **how)
+        f = fits[model](df, *over, k, **how)
         m = f.metrics()
         rows.append((k, m["loglik"], m["n_params"], m["aic"], m["bic"], m["sabic"], None if k == 1 else m["relative_entropy"]))
     return df.sparkSession.createDataFrame(rows, "classes int, ll double, params int, aic double, bic double, sabic double, entropy double")

@@ -511,3 +511,19 @@ def test_stream_scores_what_batch_scores(spark, lca, df, tmp_path):
     a = scoring.run_available(scoring.score_stream(lca, stream).select("i", "loglik", "class")).orderBy("i").toPandas()
     b = lca.transform(spark.read.parquet(f"{tmp_path}/t.parquet")).select("i", "loglik", "class").orderBy("i").toPandas()
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_compare_longitudinal_dispatches(spark):
+    rng = np.random.default_rng(3)
+    y = np.where(rng.random(200) < 0.5, 0.0, 4.0)[:, None] + rng.normal(0, 1, (200, 3)) + rng.normal(0, 0.7, (200, 1))
+    cols = [f"v@{t}" for t in range(3)]
+    df = spark.createDataFrame(pd.DataFrame(y, columns=cols))
+    for model, fit in (("lcga", G.fit_lcga), ("gmm", G.fit_gmm)):
+        how = {"n_init": 1, "tol": 1e-5, "max_iter": 50}
+        row, = X.compare_longitudinal(df, ["v"], range(3), [2], model=model, **how).collect()
+        own = fit(df, cols, 2, **how)
+        assert row.ll == pytest.approx(own.loglik) and row.params == own.n_params
+    with pytest.raises(ValueError):
+        X.compare_longitudinal(df, ["v"], range(3), [2], model="lgca")
+    with pytest.raises(ValueError):
+        X.compare_longitudinal(df, ["v", "w"], range(3), [2], model="gmm")
