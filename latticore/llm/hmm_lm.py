@@ -5,8 +5,8 @@ token that stands `min_count` times in the training tokens is a class, however m
 the training tokens have c times weighs c + 1, and one that they lack weighs 1.  So a text's probability is that of its classes
 under the chain, times those of its rare tokens within their class, and sums to one over texts.
 
-1. Token counts are combined in each task, then across tasks.  2. Texts become blocks of about `block_tokens` tokens, written once: a block has its
-own vocabulary, which meets the counts in a join, and its texts are places in it.  3. A mixture over a bounded sample of training documents
+1. Texts become blocks of about `block_tokens` tokens, written once: a block has its own vocabulary, and its texts are places in it, packed by
+about `group_tokens` tokens.  2. The vocabularies' counts are summed by token.  3. A mixture over a bounded sample of training documents
 gives starting values only.  4. In each round of Baum-Welch the emissions, a table with a row for each class, are joined to the
 blocks' vocabularies, and a task takes a block with just the emissions that its words need; it runs forward and backward over every training document, whole,
 and the expected counts, summed by token, make the next table.  5. The forward recursion, scaled at each step, gives each text's exact likelihood.
@@ -15,11 +15,12 @@ Base score: every token on its own, log10((c + 1) / (N + V + 1)), N training tok
 
 Defined cases: a null text is empty, and consists of the end token; a null id counts as the empty string for the split; without
 training documents nothing is known (N = V = 0, base score 0) and the model knows one class; repeated rows are scored alike; an empty
-table stays empty; tokens are told apart by 64-bit hashes; extra columns are ignored.
+table stays empty; tokens are told apart by 64-bit hashes; the starting sample is drawn by hashes of id and text, so it does not depend on
+partitions; extra columns are ignored.
 
 Scale: nothing that grows with the vocabulary is broadcast or sent to the driver, which holds the moves between states, their starts and
 the class of rare tokens.  A block's vocabulary and texts are the unit of work; a token stands once in a block, so the commonest token has as
-many rows in a join as there are blocks.  A task works through `group_tokens` tokens at a time.
+many rows in a join as there are blocks.  A task works through `group_tokens` tokens at a time, texts of like lengths side by side.
 """
 
 from __future__ import annotations
@@ -50,63 +51,62 @@ def _tokens(w: C.Words) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _counted(most: int):
-    """(token, count) of the texts, combined over the task in tables of at most about `most` tokens."""
+def packed(places: np.ndarray, lengths: np.ndarray) -> bytes:
+    """Texts as places one after the other, and their lengths: byte by byte, the first bytes of all numbers first, compressed."""
+    numbers = np.concatenate([lengths, places]).astype("<i4")
+    return pa.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
 
-    def combined(parts: list) -> tuple[np.ndarray, np.ndarray]:
-        k, c = (np.concatenate(x) for x in zip(*parts))
-        keys, back = np.unique(k, return_inverse=True)
-        return keys, np.bincount(back, weights=c, minlength=len(keys)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for b in batches:
-            for _, _, w in C.slices(C.column(b, "_text"), lower=True):
-                keys, counts = np.unique(_tokens(w)[0], return_counts=True)
-                parts.append((keys, counts))
-                held += len(keys)
-            if held > most:
-                parts = [combined(parts)]
-                held = len(parts[0][0])
-                if held > most // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], ["token", "c"])
-                    parts, held = [], 0
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in combined(parts)], ["token", "c"])
-
-    return run
+def unpacked(data: bytes, texts: int, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """What packed() was given."""
+    planes = pa.decompress(data, decompressed_size=4 * (texts + tokens), codec="zstd", asbytes=True)
+    numbers = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+    return numbers[texts:], numbers[:texts].astype(np.int64)
 
 
-def _blocks(most: int):
-    """Texts in blocks of about `most` tokens, as places in the block's vocabulary, and a row with that vocabulary."""
-    own = ("doc_id", "held_out", "row")
-    names = [*own, "block", "places", "tokens"]
+def _blocks(most: int, group: int):
+    """Texts in blocks of about `most` tokens: rows of about `group` tokens each, packed as places in the block's vocabulary, and a row
+    with that vocabulary, the commonest token first, and how often the block's training texts have each token."""
+    names = ["block", "top", "held_out", "ids", "m", "n", "packed", "tokens", "seen"]
 
     def block(number: int, parts: list) -> Iterator[pa.RecordBatch]:
-        tokens, places = np.unique(np.concatenate([t for _, t, _ in parts]), return_inverse=True)
-        a = 0
-        for b, t, ends in parts:
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places[a : a + len(t)].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, number)), lists, pa.nulls(b.num_rows, pa.list_(pa.int64()))], names)
-            a += len(t)
-        nothing = [pa.nulls(1, c.type) for c in parts[0][0].columns]
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array([number]), pa.nulls(1, pa.list_(pa.int32())), pa.array([tokens], pa.list_(pa.int64()))], names)
+        ids = pa.concat_arrays([p[0] for p in parts])
+        held = np.concatenate([p[1] for p in parts])
+        lengths = np.concatenate([p[3] for p in parts])
+        tokens, places, often = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        places = rank[places]
+        first = np.concatenate([[0], np.cumsum(lengths)])
+        seen = np.bincount(places[np.repeat(~held, lengths)], minlength=len(tokens))
+        for side in (False, True):
+            rows = np.flatnonzero(held == side)
+            rows = rows[np.argsort(-lengths[rows], kind="stable")]  # texts of like lengths side by side
+            ends = np.cumsum(lengths[rows])
+            a = 0
+            while a < len(rows):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + group, "right")))
+                own, size = rows[a:b], lengths[rows[a:b]]
+                at = np.repeat(first[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                row = [[number], [len(tokens) - 1], [side], None, [len(own)], [len(at)], [packed(places[at], size)]]
+                lists = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), ids.take(pa.array(own)))
+                yield pa.RecordBatch.from_arrays([lists if x is None else pa.array(x) for x in row] + [pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64()))], names)
+                a = b
+        nothing = [pa.nulls(1, t) for t in (pa.bool_(), pa.list_(ids.type), pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(tokens) - 1]), *nothing, pa.array([tokens[order]], pa.list_(pa.int64())), pa.array([seen], pa.list_(pa.int64()))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, parts, held = TaskContext.get().partitionId() << 32, [], 0
+        number, parts, total = TaskContext.get().partitionId() << 32, [], 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            tokens, ends = [], [np.zeros(1, np.int64)]
-            for _, _, w in C.slices(C.column(b, "_text"), lower=True):
+            at = 0
+            for _, z, w in C.slices(C.column(b, "_text"), lower=True):
                 t, first = _tokens(w)
-                tokens.append(t)
-                ends.append(first[1:] + ends[-1][-1])
-            parts.append((b.select(list(own)), np.concatenate(tokens), np.concatenate(ends)))
-            held += len(parts[-1][1])
-            if held >= most:
-                yield from block(number, parts)
-                number, parts, held = number + 1, [], 0
+                parts.append((C.column(b, "doc_id").slice(at, z - at), C.column(b, "held_out").slice(at, z - at).to_numpy(zero_copy_only=False), t, np.diff(first)))
+                at, total = z, total + len(t)
+                if total >= most:
+                    yield from block(number, parts)
+                    number, parts, total = number + 1, [], 0
         if parts:
             yield from block(number, parts)
 
@@ -180,73 +180,131 @@ class Group:
         return gamma[: self.n[0]].sum(axis=0, dtype=np.float64) if n else np.zeros(k), moves * m.move, emits
 
 
-def _groups(lists: pa.ChunkedArray, classes: np.ndarray, most: int) -> Iterator[tuple[int, int, np.ndarray, Group]]:
-    """(from row, to row, places, sequences of classes), about `most` tokens at a time; classes are those of the places."""
-    lists = lists.combine_chunks()
-    offsets, places = lists.offsets.to_numpy(), lists.values.to_numpy()
-    a, n = 0, len(lists)
-    while a < n:
-        b = min(n, max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1))
-        own = places[offsets[a] : offsets[b]]
-        yield a, b, own, Group(classes[own], (offsets[a : b + 1] - offsets[a]).astype(np.int64))
-        a = b
+def _groups(texts: pa.Table, classes: np.ndarray) -> Iterator[tuple[np.ndarray, Group]]:
+    """(places, sequences of classes) of each packed row; classes are those of the block's places."""
+    for m, n, data in zip(texts["m"], texts["n"], texts["packed"]):
+        places, lengths = unpacked(data.as_py(), m.as_py(), n.as_py())
+        yield places, Group(classes[places], np.concatenate([[0], np.cumsum(lengths)]))
+
+
+def _floats(column: pa.ChunkedArray, k: int, kind: str = "<f4") -> np.ndarray:
+    """A column of k numbers each, as bytes, as an array (rows x k)."""
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(data, kind).reshape(-1, k) if data else np.zeros((0, k))
+
+
+def _bytes(rows: np.ndarray, kind: str = "<f4") -> pa.Array:
+    """Rows of numbers as bytes."""
+    data = np.ascontiguousarray(rows.astype(kind))
+    width = data.shape[1] * data.itemsize
+    offsets = (np.arange(len(data) + 1) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
 
 
 def _block_model(start: np.ndarray, move: np.ndarray, rare: np.ndarray, words: pa.Table, size: int) -> tuple[Model, np.ndarray]:
     """The model with the emissions of a block's words, the class of rare tokens last, and the classes of the block's places."""
-    emit = np.stack([words[f"s{j}"].to_numpy().astype(np.float64) for j in range(len(start))], axis=1)
+    emit = _floats(words["e"], len(start)).astype(np.float64)
     classes = np.full(size, len(emit), np.int32)
     classes[words["place"].to_numpy()] = np.arange(len(emit), dtype=np.int32)
     return Model(start, move, np.vstack([emit, rare])), classes
 
 
-def _size(texts: pa.Table, words: pa.Table) -> int:
-    """One more than the last place of a block."""
-    last = [pc.max(x).as_py() for x in (pc.list_flatten(texts["places"]), words["place"])]
-    return 1 + max((x for x in last if x is not None), default=-1)
-
+WORD, RARE, MOVES, TOTALS = 0, 1, 2, -1
 
-WORD, RARE, MOVES = 0, 1, 2
 
-
-def _expectation(start: np.ndarray, move: np.ndarray, rare: np.ndarray, most: int):
+def _expectation(start: np.ndarray, move: np.ndarray, rare: np.ndarray):
     """Expected counts of a block: a row per class it holds (WORD, RARE), moves out of state j (MOVES + j), starts (MOVES + K)."""
     k = len(start)
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        m, classes = _block_model(start, move, rare, words, _size(texts, words))
+        if not texts.num_rows:  # a block of texts held out only
+            return pa.table({"id": pa.array([], pa.int32()), "token": pa.array([], pa.int64()), "e": pa.array([], pa.binary())})
+        m, classes = _block_model(start, move, rare, words, 1 + int(texts["top"][0].as_py()))
         starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros(m.emit.shape)
-        for _, _, _, g in _groups(texts["places"], classes, most):
+        for _, g in _groups(texts, classes):
             for total, part in zip((starts, moves, emits), g.expected(m)):
                 total += part
         n = words.num_rows
-        rows = np.concatenate([emits, moves, starts[None, :]])
         ids = np.concatenate([np.full(n, WORD), [RARE], MOVES + np.arange(k + 1)]).astype(np.int32)
         tokens = np.concatenate([words["token"].to_numpy(), np.zeros(k + 2, np.int64)])
-        return pa.table([pa.array(ids), pa.array(tokens), *(pa.array(rows[:, j].astype(np.float32)) for j in range(k))], ["id", "token", *(f"s{j}" for j in range(k))])
+        return pa.table([pa.array(ids), pa.array(tokens), _bytes(np.concatenate([emits, moves, starts[None, :]]))], ["id", "token", "e"])
+
+    return run
+
+
+def _summed(k: int):
+    """Sums of rows that come sorted by (id, token), and the totals of all emissions (id TOTALS, as doubles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, totals = None, np.zeros(k)
+
+        def rows(ids, tokens, sums) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(tokens, pa.int64()), _bytes(sums)], ["id", "token", "e"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, tokens, e = C.column(b, "id").to_numpy(), C.column(b, "token").to_numpy(), _floats(C.column(b, "e"), k).astype(np.float64)
+            totals += e[ids <= RARE].sum(axis=0)
+            if held is not None:
+                ids, tokens, e = np.append(held[0], ids), np.append(held[1], tokens), np.vstack([held[2][None, :], e])
+            at = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tokens[1:] != tokens[:-1])]))
+            sums = np.add.reduceat(e, at, axis=0)
+            held = (ids[-1], tokens[-1], sums[-1])
+            yield rows(ids[at[:-1]], tokens[at[:-1]], sums[:-1])
+        if held is not None:
+            yield rows([held[0]], [held[1]], held[2][None, :])
+            yield pa.RecordBatch.from_arrays([pa.array([TOTALS], pa.int32()), pa.array([0], pa.int64()), _bytes(totals[None, :], "<f8")], ["id", "token", "e"])
 
     return run
 
 
-def _scored(start: np.ndarray, move: np.ndarray, rare: np.ndarray, rare_weight: float, most: int):
+def _updated(total: np.ndarray, weight: float, weights: float):
+    """Emissions (token, c, e) from summed counts and c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            share = (C.column(b, "c").to_numpy() + 1.0) / weights
+            e = (_floats(C.column(b, "e"), len(total)).astype(np.float64) + weight * share[:, None]) / (total + weight)
+            yield pa.RecordBatch.from_arrays([C.column(b, "token"), C.column(b, "c"), _bytes(e)], ["token", "c", "e"])
+
+    return run
+
+
+def _joined(names: list[str]):
+    """The columns `names` as one column of bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e = np.stack([C.column(b, n).to_numpy() for n in names], axis=1)
+            yield pa.RecordBatch.from_arrays([C.column(b, "token"), C.column(b, "c"), _bytes(e)], ["token", "c", "e"])
+
+    return run
+
+
+EMISSIONS = "token bigint, c bigint, e binary"
+
+
+def _scored(start: np.ndarray, move: np.ndarray, rare: np.ndarray, rare_weight: float):
     """Rows with n_tokens, n_known, the sum of log10(c + 1) of their tokens, and the log10 of their probability."""
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        size = _size(texts, words)
+        size = 1 + int(texts["top"][0].as_py())
         c = np.zeros(size)
         c[words["place"].to_numpy()] = words["c"].to_numpy()
-        m, classes = _block_model(start, move, rare, words.filter(pc.is_valid(words["s0"])), size)
+        m, classes = _block_model(start, move, rare, words.filter(pc.is_valid(words["e"])), size)
         logs = np.log10(c + 1)
         within = np.where(classes == len(m.emit) - 1, logs - np.log10(rare_weight), 0.0)
-        out: list = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
-        for _, _, places, g in _groups(texts["places"], classes, most):
+        ids, held, out = [], [], [[], [], [], []]
+        for own, side, (places, g) in zip(texts["ids"], texts["held_out"], _groups(texts, classes)):
             first = g.first[:-1]
+            ids.append(own.values)
+            held.append(np.full(len(first), side.as_py()))
             out[0].append(np.diff(g.first))
             out[1].append(np.add.reduceat((c[places] > 0).astype(np.int64), first))
             out[2].append(np.add.reduceat(logs[places], first))
             out[3].append(g.log10(m) + np.add.reduceat(within[places], first))
-        own = ["doc_id", "held_out"]
-        return pa.table([*(texts[c] for c in own), *(pa.array(np.concatenate(x)) for x in out)], [*own, "n_tokens", "n_known", "logs", "score"])
+        return pa.table([pa.concat_arrays(ids), *(pa.array(np.concatenate(x)) for x in (held, *out))], ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
 
     return run
 
@@ -277,13 +335,15 @@ def starting_model(classes: np.ndarray, first: np.ndarray, share: np.ndarray, st
     return Model(np.full(states, 1.0 / states), move, emit)
 
 
-def _start(rows: DataFrame, counts: DataFrame, share_of, rare_share: float, *, min_count: int, states: int, sample_docs: int) -> tuple[DataFrame, Model, bool]:
-    """Starting emissions (token, c, s0 ..) of every class, the model of the sample (rare tokens last), and whether any training document was sampled."""
+def _start(rows: DataFrame, counts: DataFrame, weights: float, rare_share: float, *, min_count: int, states: int, sample_docs: int) -> tuple[DataFrame, Model, bool]:
+    """Starting emissions (token, c, e) of every class, the model of the sample (rare tokens last), and whether any training document was sampled."""
     spark = rows.sparkSession
-    training = rows.where(~F.col("held_out")).select("row", "_text")
+    share_of = lambda c: (c + 1.0) / weights
+    training = rows.where(~F.col("held_out"))
     # a draw of a few times the sample, so that few rows meet in the sort
-    draw = F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, (3 * sample_docs + 100) / max(1, training.count())))
-    sample = training.where(draw).orderBy(F.xxhash64("row"), "row").limit(sample_docs).toArrow()
+    lot = F.xxhash64("doc_id", "_text")
+    draw = F.pmod(lot, F.lit(1 << 40)) < int((1 << 40) * min(1.0, (3 * sample_docs + 100) / max(1, training.count())))
+    sample = training.where(draw).select("_text", lot.alias("lot")).orderBy("lot").limit(sample_docs).toArrow()
     parts = [_tokens(w) for _, _, w in C.slices(sample["_text"], lower=True)]
     tokens = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in parts)])
     first = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(f) for _, f in parts)]))])
@@ -300,35 +360,34 @@ def _start(rows: DataFrame, counts: DataFrame, share_of, rare_share: float, *, m
     rest = (1 - model.emit.sum(axis=0)) / (1 - share.sum()) if 1 - share.sum() > 1e-9 else np.ones(states)
     own = spark.createDataFrame(pa.table([pa.array(top), *(pa.array(model.emit[:-1, j]) for j in range(states))], ["token", *names]))
     emissions = classes.join(own, "token", "left").select("token", "c", *(F.coalesce(n, share_of(F.col("c")) * float(r)).alias(n) for n, r in zip(names, rest)))
-    return C.cut(emissions, "emissions"), model, len(first) > 1
+    return C.cut(emissions.mapInArrow(_joined(names), EMISSIONS), "emissions"), model, len(first) > 1
 
 
-def _expected(texts: DataFrame, words: DataFrame, emissions: DataFrame, model: Model, names: list[str], group_tokens: int) -> DataFrame:
+def _expected(texts: DataFrame, words: DataFrame, emissions: DataFrame, model: Model) -> DataFrame:
     """The expected counts of all blocks, summed; their shuffles are free to go on return."""
-    side = words.select("block", "place", "token").join(emissions, "token").select("block", "place", "token", *(F.col(n).cast("float").alias(n) for n in names))
-    run = _expectation(model.start, model.move, model.emit[-1], group_tokens)
-    rows = texts.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(run, "id int, token bigint, " + ", ".join(f"{n} float" for n in names))
-    rows = rows.repartition("id", "token")  # as floats: sums are twice as wide
-    return C.cut(rows.groupBy("id", "token").agg(*(F.sum(n).alias(n) for n in names)), "expected")
+    side = words.join(emissions.select("token", "e"), "token").select("at", "place", "token", "e")
+    run = _expectation(model.start, model.move, model.emit[-1])
+    rows = texts.groupBy("block").cogroup(side.groupBy("at")).applyInArrow(run, "id int, token bigint, e binary")
+    rows = rows.repartition("id", "token").sortWithinPartitions("id", "token")
+    return C.cut(rows.mapInArrow(_summed(len(model.start)), "id int, token bigint, e binary"), "expected")
 
 
-def train(coded: DataFrame, words: DataFrame, emissions: DataFrame, model: Model, share_of, rare_share: float, *, rounds: int, group_tokens: int) -> tuple[DataFrame, Model]:
-    """Baum-Welch over all training rows of coded (held_out false): the emissions, and the model with that of rare tokens only."""
+def train(texts: DataFrame, words: DataFrame, emissions: DataFrame, model: Model, weights: float, rare_share: float, *, rounds: int) -> tuple[DataFrame, Model]:
+    """Baum-Welch over all training texts: the emissions, and the model with that of rare tokens only."""
     states = len(model.start)
-    names = [f"s{j}" for j in range(states)]
-    texts = coded.where(~F.col("held_out")).select("block", "places")
     for _ in range(rounds):
-        sums = _expected(texts, words, emissions, model, names, group_tokens)
-        total = np.array(sums.where(F.col("id") <= RARE).agg(*(F.sum(n) for n in names)).first())
-        few = sums.where(F.col("id") >= RARE).orderBy("id").select(*names).toArrow()
-        few = np.stack([few[n].to_numpy() for n in names], axis=1)
+        sums = _expected(texts, words, emissions, model)
+        few = sums.where(F.col("id") != WORD).orderBy("id").toArrow()  # a row per task, and states + 2
+        ids = few["id"].to_numpy()
+        total = _floats(few["e"].filter(pa.array(ids == TOTALS)), states, "<f8").sum(axis=0)
+        few = _floats(few["e"].filter(pa.array(ids != TOTALS)), states).astype(np.float64)
         weight = 50.0  # of the corpus' own distribution in each state's
         move, start = few[1 : 1 + states] + 0.5, few[1 + states] + 0.5
         rare = (few[:1] + weight * rare_share) / (total + weight)
         model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), rare)
         old = emissions
-        emissions = sums.where(F.col("id") == WORD).join(old.select("token", "c"), "token").select("token", "c", *(((F.col(n) + weight * share_of(F.col("c"))) / float(t + weight)).alias(n) for n, t in zip(names, total)))
-        emissions = C.cut(emissions, "emissions")
+        emissions = sums.where(F.col("id") == WORD).select("token", "e").join(old.select("token", "c"), "token")
+        emissions = C.cut(emissions.mapInArrow(_updated(total, weight, weights), EMISSIONS), "emissions")
         C.drop(sums, old)
     return emissions, model
 
@@ -340,30 +399,28 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     modulus, held = HELD_OUT
     outside = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == held
     rows = docs.select(F.col(doc_id).alias("doc_id"), outside.alias("held_out"), F.col(text).alias("_text"))
-
-    counts = rows.where(~F.col("held_out")).mapInArrow(_counted(1_500_000), "token bigint, c bigint")
-    counts = C.cut(counts.groupBy("token").agg(F.sum("c").alias("c")), "counts")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    coded = rows.mapInArrow(_blocks(block_tokens, group_tokens), f"block bigint, top bigint, held_out boolean, ids array<{kind}>, m bigint, n bigint, packed binary, tokens array<bigint>, seen array<bigint>")
+    coded = C.cut(coded, "blocks")
+    vocabularies = coded.where("tokens IS NOT NULL")
+    counts = vocabularies.select(F.explode(F.arrays_zip("tokens", "seen")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.seen").alias("c"))
+    counts = C.cut(counts.where("c > 0").groupBy("token").agg(F.sum("c").alias("c")), "counts")
     is_class = F.col("c") >= min_count
     total, kinds, often, n_classes = counts.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("c"), F.count(F.lit(1)), F.sum(F.when(is_class, F.col("c"))), F.count(F.when(is_class, 1))))).first()
     weights = float(total + kinds + 1)
     rare_weight = float(total - often + kinds - n_classes + 1)
-    share_of = lambda c: (c + 1.0) / weights
-
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    kind = docs.schema[doc_id].dataType.simpleString()
-    coded = C.cut(rows.mapInArrow(_blocks(block_tokens), f"doc_id {kind}, held_out boolean, row bigint, block bigint, places array<int>, tokens array<bigint>"), "blocks")
-    words = coded.where("tokens IS NOT NULL").select("block", F.posexplode("tokens").alias("place", "token")).join(counts, "token")
-    words = C.cut(words, "words")
-    coded = coded.where("places IS NOT NULL")
 
-    emissions, model, any_row = _start(rows, counts, share_of, rare_weight / weights, min_count=min_count, states=states, sample_docs=sample_docs)
-    C.drop(counts)
+    words = vocabularies.select(F.col("block").alias("at"), F.posexplode("tokens").alias("place", "token"))
+    texts = coded.where("packed IS NOT NULL").select("block", "top", "held_out", "ids", "m", "n", "packed")
+    emissions, model, any_row = _start(rows, counts, weights, rare_weight / weights, min_count=min_count, states=states, sample_docs=sample_docs)
     if any_row:
-        emissions, model = train(coded, words.where(is_class), emissions, model, share_of, rare_weight / weights, rounds=rounds, group_tokens=group_tokens)
-    side = words.join(emissions.drop("c"), "token", "left").select("block", "place", "c", *(F.col(f"s{j}").cast("float").alias(f"s{j}") for j in range(states)))
-    run = _scored(model.start, model.move, model.emit[-1], rare_weight, group_tokens)
+        training = texts.where(~F.col("held_out")).select("block", "top", "m", "n", "packed")
+        emissions, model = train(training, words, emissions, model, weights, rare_weight / weights, rounds=rounds)
+    known = counts.join(emissions.select("token", "e"), "token", "left")
+    side = words.join(known, "token").select("at", "place", "c", "e")
+    run = _scored(model.start, model.move, model.emit[-1], rare_weight)
     fields = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double"
-    scored = coded.select("doc_id", "held_out", "block", "places").groupBy("block").cogroup(side.groupBy("block")).applyInArrow(run, fields)
+    scored = texts.groupBy("block").cogroup(side.groupBy("at")).applyInArrow(run, fields)
     return scored.select(
         F.col("doc_id").alias(doc_id),
         "held_out",
