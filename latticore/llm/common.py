@@ -7,7 +7,6 @@ text, a slice of a batch at a time, so that memory follows the slice (or the lon
 from __future__ import annotations
 
 import atexit
-import gc
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,25 +30,36 @@ _LEFT: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) a local one."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, a local one if the executors are this very process, else none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file:///tmp/checkpoints/latticore"
     return at.rstrip("/")
 
 
+#: Spark removes a query's shuffle files at its end, not when the driver's collector next runs.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs one task.
 
-    The shuffle files behind df are free to go then.  What is written is removed by drop(), or when the driver's process ends.
+    The shuffle files behind df go then.  What is written is removed by drop(), or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for step in (lambda: None, lambda: df.write.parquet(path)):  # Spark's cleaner follows the driver's collector
-        step()
-        gc.collect()
-        spark._jvm.System.gc()
     _LEFT[path] = spark
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
