@@ -1,14 +1,15 @@
 """Exact top-k search by a three-phase uniform threshold.
 
 Vectors are cut into `lists` runs of dimensions; a query's inner product with a candidate is the sum of its scores in these
-lists.  Phase 1: every task ranks its candidates in each list, and gathers the total scores of the best k of each list; the k-th
-best of all of them is a safe cutoff, as k candidates reach it.  Phase 2: the cutoffs are broadcast; a total of at least
-the cutoff needs a score of at least cutoff / lists in some list, so only such candidates are collected, and of these only
-those whose scores known so far, with the uniform threshold for the others, can still reach the cutoff.  Phase 3: the remaining candidates' scores are
-resolved exactly.  Each task hands on its k best, which are ranked for good by score, ties to the smaller id.
+lists.  Phase 1: every task ranks its candidates in each list by their score there alone, and gathers the best k of each list with
+their total scores; the k-th best of all of them is a safe cutoff, as k candidates reach it.  Phase 2: the cutoffs are broadcast; a total of
+at least the cutoff needs a score of at least cutoff / lists in some list, so only such entries are collected, and of their candidates only those go on
+whose scores known so far can still reach the cutoff, a score not known being under cutoff / lists and within the product of both
+runs' norms.  Phase 3: the scores not known of these candidates alone are computed, and totals are exact.  Each task hands on its k best, which are
+ranked for good by score, ties to the smaller id.  `phase_counts` tells how many entries each phase handles.
 
-Components are floor(scale * x), x as double; scores are integers, exact in double precision or, for large components,
-in 64-bit integers (which wrap where a score has no place in them).
+Components are floor(scale * x), x as double; scores are integers, computed in floating point of as many bits as hold them
+exactly, or else as integers of any size; a total beyond 64 bits counts as the nearest number that they hold.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, as query or candidate; shorter
 vectors count as ending in zeros; rows with the query's id are its own rows, never its candidates; a null id is never
@@ -16,7 +17,7 @@ a query and comes last among ties; repeated query rows are repeated queries; few
 table or no query gives no rows.
 
 Scale: queries are taken in blocks of about `query_block`, each broadcast, against all rows, without a shuffle of candidates; a task
-keeps k entries per query.  Work is queries times rows, as it must be where every score counts.
+keeps k entries per query and list.  Work is queries times rows, as it must be where every score counts.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from latticore.llm import common as C
 
 LAST = (1 << 63) - 1
-FLOOR = -(1 << 56)  # stands for no cutoff
+FLOOR = -(1 << 63)  # stands for no cutoff
 
 
 def _matrix(lists: pa.Array, scale: float, dims: int | None = None) -> np.ndarray:
@@ -46,66 +47,149 @@ def _matrix(lists: pa.Array, scale: float, dims: int | None = None) -> np.ndarra
     return np.floor(scale * out)
 
 
-def _scores(queries: np.ndarray, rows: np.ndarray, lists: int) -> list[np.ndarray]:
-    """The exact scores of rows for queries in each list, as integers."""
-    dims = max(queries.shape[1], 1)
-    top = (np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0)) * dims
-    edges = np.linspace(0, queries.shape[1], lists + 1).astype(int)
-    exact = np.float64 if top < 2**52 else np.int64
-    q, r = queries.astype(exact), rows.astype(exact)
-    return [(q[:, a:b] @ r[:, a:b].T).astype(np.int64) for a, b in zip(edges, edges[1:])]
+def _numbers(queries: np.ndarray, rows: np.ndarray) -> type:
+    """The fastest kind of number that holds all their scores exactly."""
+    top = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(queries.shape[1], 1)
+    return np.float32 if top < 2**23 else np.float64 if top < 2**52 else object
+
+
+def _integers(x: np.ndarray) -> np.ndarray:
+    return np.array([int(v) for v in x.ravel()], object).reshape(x.shape)
+
+
+def _long(x: np.ndarray) -> np.ndarray:
+    """Exact scores as 64-bit integers, the nearest where they have no place."""
+    return np.array([max(FLOOR + 1, min(LAST, v)) for v in x.tolist()], np.int64) if x.dtype == object else x.astype(np.int64)
 
 
 def _merge(best: tuple, found: tuple, k: int) -> tuple:
-    """The k best (score, then smaller id) of each query among two sets of (query, score, id)."""
-    q, s, i = (np.concatenate(x) for x in zip(best, found))
+    """The k best (score, then smaller id) of each query among two sets of (query, score, id, ...)."""
+    all_ = [np.concatenate(x) for x in zip(best, found)]
+    q, s, i = all_[:3]
     order = np.lexsort((i, -s, q))
-    q, s, i = q[order], s[order], i[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q)
-    keep = rank < k
-    return q[keep], s[keep], i[keep]
+    q = q[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return tuple(x[order][keep] for x in all_)
+
+
+def _none(n: int) -> tuple:
+    return tuple(np.zeros(0, np.int64) for _ in range(n))
+
+
+#: What a task reports beside its entries, as negative q: entries gathered, entries collected, candidates left, scores resolved, all scores.
+GATHERED, COLLECTED, CANDIDATES, RESOLVED, ALL = -1, -2, -3, -4, -5
+
 
+class _Batch:
+    """A batch of rows before the queries: scores of a list for all pairs, or for given ones."""
 
-def _none() -> tuple:
-    return tuple(np.zeros(0, np.int64) for _ in range(3))
+    def __init__(self, queries: np.ndarray, rows: np.ndarray, lists: int):
+        dims = min(rows.shape[1], queries.shape[1])
+        q, r = queries[:, :dims], rows[:, :dims]
+        kind = _numbers(q, r)
+        self.q, self.r = (_integers(q), _integers(r)) if kind is object else (q.astype(kind), r.astype(kind))
+        edges = np.linspace(0, queries.shape[1], lists + 1).astype(int)
+        self.runs = [slice(min(a, dims), min(b, dims)) for a, b in zip(edges, edges[1:])]
 
+    def every(self, run: slice) -> np.ndarray:
+        return self.q[:, run] @ self.r[:, run].T if run.start < run.stop else np.zeros((len(self.q), len(self.r)))
+
+    def of(self, q: np.ndarray, x: np.ndarray, run: slice) -> np.ndarray:
+        out = [(self.q[q[a : a + 65536], run] * self.r[x[a : a + 65536], run]).sum(axis=1) for a in range(0, len(q), 65536)]
+        out = np.concatenate([np.zeros(0, self.q.dtype), *out])
+        return out if out.dtype == object else out.astype(np.int64)
+
+    def totals(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return _long(self.of(q, x, slice(0, self.q.shape[1])))
+
+    def norms(self, run: slice) -> np.ndarray:
+        """Upper bounds of the scores in a run, a factor for each query and one for each row."""
+        return [np.sqrt((m[:, run].astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9) for m in (self.q, self.r)]
+
+
+def _gather(shared, k: int, lists: int, scale: float):
+    """Phase 1: the best k of each of the task's lists, with their totals."""
 
-def _phase(shared, k: int, lists: int, scale: float, cutoffs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
-        cutoff = None if cutoffs is None else cutoffs.value
-        best = _none()
+        best = [_none(5) for _ in range(lists)]  # query, score in the list, id, row of the task, total
+        line = [np.full(len(ids), -np.inf) for _ in range(lists)]
+        row = seen = resolved = 0
         for b in batches:
-            if not b.num_rows:
+            own = C.column(b, "_id").to_numpy(zero_copy_only=False)
+            if not len(own):
                 continue
+            batch = _Batch(queries, _matrix(C.column(b, "_vector"), scale), lists)
+            other = ids[:, None] != own[None, :]
+            for j, part in enumerate(batch.runs):
+                p = np.where(other, batch.every(part).astype(np.float64), -np.inf)
+                top = np.argpartition(-p, min(k, p.shape[1]) - 1, axis=1)[:, :k]
+                score = np.take_along_axis(p, top, 1)
+                q, at = np.nonzero((score > -np.inf) & (score >= line[j][:, None]))
+                x = top[q, at]
+                best[j] = _merge(best[j], (q, score[q, at], own[x], row + x, batch.totals(q, x)), k)
+                resolved += len(q)
+                full = np.flatnonzero(np.bincount(best[j][0], minlength=len(ids)) == k)
+                line[j][full] = best[j][1][np.searchsorted(best[j][0], full, "right") - 1]
+            row += len(own)
+            seen += p.size * lists
+        q, _, i, r, total = (np.concatenate(x) for x in zip(*best))
+        _, once = np.unique(np.stack([q, r]), axis=1, return_index=True)
+        q, i, total = q[once], i[once], total[once]
+        counts = {GATHERED: sum(len(x[0]) for x in best), RESOLVED: resolved * lists, ALL: seen}
+        yield _entries((q, total, i), counts)
+
+    return run
+
+
+def _collect(shared, cutoffs, k: int, lists: int, scale: float):
+    """Phases 2 and 3: entries that reach the uniform threshold in a list, and the exact totals of their candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (ids, queries), cutoff = shared.value, cutoffs.value
+        best = _none(3)
+        counts = dict.fromkeys((COLLECTED, CANDIDATES, RESOLVED), 0)
+        line = np.where(cutoff == FLOOR, -np.inf, cutoff.astype(np.float64) * (1 - 1e-12 * np.sign(cutoff)))  # never above the cutoff
+        for b in batches:
             own = C.column(b, "_id").to_numpy(zero_copy_only=False)
-            rows = _matrix(C.column(b, "_vector"), scale)
-            dims = min(rows.shape[1], queries.shape[1])
-            parts = _scores(queries[:, :dims], rows[:, :dims], lists)
-            total = sum(parts)
+            if not len(own):
+                continue
+            batch = _Batch(queries, _matrix(C.column(b, "_vector"), scale), lists)
             other = ids[:, None] != own[None, :]
-            if cutoff is None:  # phase 1: the best k of each local list
-                seen = np.zeros(total.shape, bool)
-                for p in parts:
-                    p = np.where(other, p, FLOOR)
-                    top = np.argpartition(-p, min(k, p.shape[1]) - 1, axis=1)[:, :k]
-                    np.put_along_axis(seen, top, True, axis=1)
-                seen &= other
-            else:  # phase 2: what reaches the uniform threshold in a list and can reach the cutoff at all
-                line = cutoff[:, None]
-                known = [lists * p >= line for p in parts]
-                bound = sum(np.where(m, lists * p, line) for m, p in zip(known, parts))
-                seen = np.logical_or.reduce(known) & (bound >= lists * line) & (total >= line)  # phase 3: the scores resolved
-                seen = (seen | (line == FLOOR)) & other
-            q, x = np.nonzero(seen)
-            best = _merge(best, (q, total[q, x], own[x]), k)
-        yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[2]), pa.array(best[1])], ["q", "_id", "score"])
+            known, sums = [], np.zeros(other.shape, object if batch.q.dtype == object else np.int64)
+            for part in batch.runs:  # phase 2
+                p = batch.every(part)
+                hit = other & (p.astype(np.float64) >= line[:, None] / lists)
+                sums[hit] += p[hit] if p.dtype == object else p[hit].astype(np.int64)
+                known.append(hit)
+                counts[COLLECTED] += int(hit.sum())
+            q, x = np.nonzero(np.logical_or.reduce(known))
+            total, most = sums[q, x], sums[q, x].astype(np.float64)
+            for part, hit in zip(batch.runs, known):
+                a, c = batch.norms(part)
+                most += np.where(hit[q, x], 0.0, np.minimum(a[q] * c[x] + 1, line[q] / lists + 1))
+            can = most >= line[q]
+            q, x, total = q[can], x[can], total[can]
+            counts[CANDIDATES] += len(q)
+            for part, hit in zip(batch.runs, known):  # phase 3
+                lacking = np.flatnonzero(~hit[q, x])
+                total[lacking] += batch.of(q[lacking], x[lacking], part)
+                counts[RESOLVED] += len(lacking)
+            total = _long(total)
+            reach = total >= cutoff[q]
+            best = _merge(best, (q[reach], total[reach], own[x[reach]]), k)
+        yield _entries(best, counts)
 
     return run
 
 
-def exact_top_k(vectors: DataFrame, queries: Column, *, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 256.0, lists: int = 4, query_block: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id and score of the k best rows of every row for which `queries` holds."""
+def _entries(found: tuple, counts: dict[int, int]) -> pa.RecordBatch:
+    q, score, i = (np.concatenate([x, y]).astype(np.int64) for x, y in zip(found, (list(counts), list(counts.values()), [0] * len(counts))))
+    return pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(score)], ["q", "_id", "score"])
+
+
+def _phases(vectors: DataFrame, queries: Column, *, k: int, vec_id: str, embedding: str, scale: float, lists: int, query_block: int) -> Iterator[tuple[DataFrame, DataFrame, pa.Array]]:
+    """For each block of queries: what phase 1 gathers (written), what phases 2 and 3 find, and the queries' ids by q."""
     C.need(vectors, vec_id, embedding)
     spark = vectors.sparkSession
     C.short_batches(spark)
@@ -114,33 +198,43 @@ def exact_top_k(vectors: DataFrame, queries: Column, *, k: int = 5, vec_id: str
     rows = usable.select(F.coalesce(F.col(vec_id).cast("bigint"), F.lit(LAST)).alias("_id"), F.col(embedding).alias("_vector"))
     asked = usable.where(F.col(vec_id).isNotNull() & queries).select(F.col(vec_id).cast("bigint").alias("_id"), F.col(embedding).alias("_vector"))
     blocks = -(-asked.count() // query_block)
-    done = []
+    schema = "q bigint, _id bigint, score bigint"
     for block in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == block).toArrow().combine_chunks().sort_by("_id")
         if not own.num_rows:
             continue
-        ids = own["_id"].to_numpy()
-        shared = spark.sparkContext.broadcast((ids, _matrix(own["_vector"].combine_chunks(), scale)))
-        schema = "q bigint, _id bigint, score bigint"
-        ranked = Window.partitionBy("q").orderBy(F.desc("score"), "_id")
-        gathered = rows.mapInArrow(_phase(shared, k, lists, scale, None), schema).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+        ids = own["_id"].combine_chunks()
+        shared = spark.sparkContext.broadcast((ids.to_numpy(), _matrix(own["_vector"].combine_chunks(), scale)))
+        gathered = C.cut(rows.mapInArrow(_gather(shared, k, lists, scale), schema), "gathered")
         cutoff = np.full(len(ids), FLOOR, np.int64)
-        for r in gathered.where(F.col("rank") == k).select("q", "score").collect():  # a row per query of the block
+        for r in _ranked(gathered, k).where(F.col("rank") == k).select("q", "score").collect():  # a row per query of the block
             cutoff[r.q] = r.score
-        cutoffs = spark.sparkContext.broadcast(cutoff)
-        found = rows.mapInArrow(_phase(shared, k, lists, scale, cutoffs), schema).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-        names = F.array(*(F.lit(int(i)) for i in ids)) if len(ids) <= 64 else None
-        if names is None:
-            found = found.join(spark.createDataFrame(own.select(["_id"]).append_column("q", pa.array(np.arange(len(ids)))).rename_columns(["query_id", "q"])), "q")
-        else:
-            found = found.withColumn("query_id", F.element_at(names, (F.col("q") + 1).cast("int")))
-        found = found.select(F.col("query_id").cast("bigint").alias("query_id"), "rank", F.when(F.col("_id") != LAST, F.col("_id")).alias("vec_id"), "score")
-        done.append(found if blocks == 1 else C.cut(found, "topk"))
-    if not done:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+        yield gathered, rows.mapInArrow(_collect(shared, spark.sparkContext.broadcast(cutoff), k, lists, scale), schema), ids
+
+
+def _ranked(entries: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "_id"))
+    return entries.where("q >= 0").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def exact_top_k(vectors: DataFrame, queries: Column, *, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 256.0, lists: int = 2, query_block: int = 4096) -> DataFrame:
+    """query_id, rank, vec_id and score of the k best rows of every row for which `queries` holds."""
+    spark = vectors.sparkSession
+    out = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    for gathered, found, ids in _phases(vectors, queries, k=k, vec_id=vec_id, embedding=embedding, scale=scale, lists=lists, query_block=query_block):
+        names = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(ids))), "query_id": ids}))
+        found = _ranked(found, k).join(names, "q").select("query_id", "rank", F.when(F.col("_id") != LAST, F.col("_id")).alias("vec_id"), "score")
+        out = out.unionByName(C.cut(found, "topk"))
+        C.drop(gathered)
+    return out
+
+
+def phase_counts(vectors: DataFrame, queries: Column, *, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 256.0, lists: int = 2, query_block: int = 4096) -> dict[str, int]:
+    """How many entries the phases handle: gathered, collected, candidates left, scores resolved for them, and the scores of all pairs and lists."""
+    out = dict.fromkeys(("gathered", "collected", "candidates", "resolved", "all"), 0)
+    for gathered, found, _ in _phases(vectors, queries, k=k, vec_id=vec_id, embedding=embedding, scale=scale, lists=lists, query_block=query_block):
+        for r in gathered.unionByName(found).where("q < 0").groupBy("q").agg(F.sum("score").alias("n")).collect():
+            out[list(out)[-1 - r.q]] += r.n
     return out
 
 

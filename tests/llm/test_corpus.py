@@ -579,6 +579,17 @@ def test_exact_top_k(spark):
     large = [(i, [x * 1e6 for x in v]) for i, v in vectors if v and i is not None and i < 60]
     got = topk.exact_top_k(spark.createDataFrame(large, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(brute_top(large, 5, 10))
+    huge = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 0.0]), (2, [1e30, 0.0]), (3, [-1e30, 0.0]), (4, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    top = (1 << 63) - 1  # totals beyond 64 bits count as the nearest number
+    assert [tuple(r) for r in topk.exact_top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, top), (0, 2, 2, top), (0, 3, 4, 65536 * 10**12), (0, 4, 3, -top)]
+
+
+def test_top_k_phases_handle_few_entries(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.standard_normal(32).tolist()) for i in range(2000)], "vec_id long, embedding array<double>").repartition(4)
+    n = topk.phase_counts(df, F.col("vec_id") % 50 == 0)
+    assert n["all"] == 40 * 2000 * 2 and 40 * 5 <= n["gathered"] <= 40 * 5 * 2 * 4
+    assert n["candidates"] <= n["collected"] < n["all"] // 10 and n["resolved"] < n["all"] // 10
 
 
 # ---------------------------------------------------------------- 9
