@@ -25,7 +25,7 @@ from __future__ import annotations
 import base64
 import gc
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -185,6 +185,17 @@ class _Pieces(dict):
         return out
 
 
+def _unfinished(data: bytes) -> int:
+    """Where a character begins that may go on after the end; the length, if none does."""
+    for k in range(1, min(3, len(data)) + 1):
+        b = data[-k]
+        if b >= 0xC0:
+            return len(data) - k if 2 + (b >= 0xE0) + (b >= 0xF0) > k else len(data)
+        if b < 0x80:
+            break
+    return len(data)
+
+
 class Utf8Machine:
     """Bytes in, whole characters out; what is unfinished waits in the state."""
 
@@ -192,8 +203,21 @@ class Utf8Machine:
         self.held, self.need, self.low, self.high = b"", 0, 0x80, 0xBF
 
     def feed(self, data: bytes) -> str:
-        if not self.need and data.isascii():
-            return data.decode("ascii")
+        """The characters that are complete now.  Runs of whole characters are taken at once, all else byte by byte."""
+        out, at = [], 0
+        while self.need and at < len(data):  # what an earlier call left unfinished
+            out.append(self._steps(data[at : at + 1]))
+            at += 1
+        last = max(at, _unfinished(data))
+        if at < last:
+            try:
+                out.append(data[at:last].decode("utf-8"))
+            except UnicodeDecodeError:
+                out.append(self._steps(data[at:last]))
+        out.append(self._steps(data[last:]))
+        return "".join(out)
+
+    def _steps(self, data: bytes) -> str:
         out, i, n = [], 0, len(data)
         while i < n:
             b = data[i]
@@ -242,14 +266,11 @@ class Codec:
     def encode(self, text: str | None) -> Iterator[int]:
         return chain.from_iterable(map(self.pieces.__getitem__, self.findall(text))) if text else iter(())
 
-    def decode(self, ids: Iterable[int] | None) -> bytes:
-        return b"".join([self.tokens[i] for i in ids]) if ids is not None else b""
-
-    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text as its characters become complete, token by token."""
-        machine = Utf8Machine()
-        for i in ids:
-            if out := machine.feed(self.tokens[i]):
+    def decode_stream(self, ids: Sequence[int], tokens: int = 4096) -> Iterator[str]:
+        """Text as its characters become complete, some tokens at a time."""
+        machine, of = Utf8Machine(), self.tokens.__getitem__
+        for a in range(0, len(ids), tokens):
+            if out := machine.feed(b"".join(map(of, ids[a : a + tokens]))):
                 yield out
         if out := machine.close():
             yield out
@@ -279,7 +300,7 @@ class _Shared:
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
-    """docs with the token ids of each text, and, where `decoded` names a column, the bytes that those ids decode to."""
+    """docs with the token ids of each text, and, where `decoded` names a column, the text that the streaming decoder makes of them."""
     C.need(docs, text)
     C.short_batches(docs.sparkSession)
     shared = _Shared(docs.sparkSession, ranks, pattern)
@@ -295,12 +316,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str
                 ends.append(len(flat))
             if decoded:
                 whole = flat.tolist()
-                back = [pa.array([codec.decode(whole[a:z]) for a, z in zip(ends, ends[1:])], pa.binary())]
+                back = [pa.array(["".join(codec.decode_stream(whole[a:z])) for a, z in zip(ends, ends[1:])], pa.string())]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*(C.column(b, n) for n in names), lists, *back], [*names, ids, *([decoded] if decoded else [])])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, ", ".join([*fields, f"`{ids}` array<int>", *([f"`{decoded}` binary"] if decoded else [])]))
+    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, ", ".join([*fields, f"`{ids}` array<int>", *([f"`{decoded}` string"] if decoded else [])]))
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -314,7 +335,10 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, ids: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for b in batches:
-            texts = ["".join(codec.decode_stream(x.as_py() or ())) for x in C.column(b, ids)]
+            lists = [x.as_py() or () for x in C.column(b, ids)]
+            if any(i is None or not 0 <= i < len(codec.tokens) or codec.tokens[i] is None for x in lists for i in x):
+                raise ValueError("an id outside the vocabulary")
+            texts = ["".join(codec.decode_stream(x)) for x in lists]
             yield pa.RecordBatch.from_arrays([*(C.column(b, n) for n in names), pa.array(texts, pa.string())], [*names, text])
 
     return docs.select(*names).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{text}` string"]))
@@ -332,7 +356,7 @@ def digests(coded: DataFrame, *, ids: str = "ids", decoded: str = "decoded"):
     return {
         "n_tokens": F.size(ids).cast("bigint"),
         "ids_sha256": F.sha2(F.array_join(F.col(ids).cast("array<string>"), ",").cast("binary"), 256),
-        "decoded_sha256": F.sha2(F.col(decoded), 256),
+        "decoded_sha256": F.sha2(F.col(decoded).cast("binary"), 256),
     }
 
 

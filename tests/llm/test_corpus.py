@@ -391,7 +391,7 @@ def test_transducer_is_the_library(vocabulary, library, states):
     for t in texts:
         ids = list(codec.encode(t))
         assert ids == library.encode_ordinary(t or "")
-        assert codec.decode(ids) == (t or "").encode() and "".join(codec.decode_stream(ids)) == (t or "")
+        assert all("".join(codec.decode_stream(ids, n)) == (t or "") for n in (1, 3, 4096))
 
 
 def test_unreachable_tokens():
@@ -410,8 +410,8 @@ def test_utf8_machine():
     rng = random.Random(8)
     for _ in range(5000):
         data = bytes(rng.choice([0x41, 0x80, 0xBF, 0xC3, 0xA9, 0xE0, 0xA0, 0x9F, 0xED, 0xF0, 0x90, 0xF4, 0x8F, 0xFF, 0xC0]) for _ in range(8))
-        m, k = bpe_fst.Utf8Machine(), rng.randint(0, 8)
-        assert m.feed(data[:k]) + m.feed(data[k:]) + m.close() == data.decode("utf-8", "replace")
+        m, j, k = bpe_fst.Utf8Machine(), *sorted((rng.randint(0, 8), rng.randint(0, 8)))
+        assert m.feed(data[:j]) + m.feed(data[j:k]) + m.feed(data[k:]) + m.close() == data.decode("utf-8", "replace")
 
 
 def test_bpe_tables(docs, rows, vocabulary, library, empty):
@@ -427,6 +427,11 @@ def test_bpe_tables(docs, rows, vocabulary, library, empty):
     back = bpe_fst.decode(coded.drop("decoded", "text"), *vocabulary).collect()
     assert {r.doc_id: r.text for r in back} == text
     assert bpe_fst.encode(empty, *vocabulary).collect() == []
+    again = coded.unionByName(coded).select("doc_id", "ids")
+    assert sorted((r.doc_id, r.text) for r in bpe_fst.decode(again, *vocabulary).collect()) == sorted([*text.items()] * 2)
+    for bad in ([-1], [10**6]):
+        with pytest.raises(Exception, match="vocabulary"):
+            bpe_fst.decode(docs.sparkSession.createDataFrame([(bad,)], "ids array<int>"), *vocabulary).collect()
 
 
 # ---------------------------------------------------------------- 6
