@@ -94,14 +94,37 @@ def test_slices_cover_long_texts(monkeypatch):
 # ---------------------------------------------------------------- 1
 
 
+def kinds(page):
+    lines = page_diff.page_lines(page)
+    return {k: [t for x, _, t in lines if x == k] for k in (page_diff.CONTENT, page_diff.UNDECIDED, page_diff.PERHAPS)}
+
+
 def test_page_lines():
     page = '<title>t</title><body class="has-sidebar"><header>H</header><div class="with-sidebar"><article><h1>A &amp;\n B</h1><p>x<b>y</b> z<br>w<section id="comments"><article><p>c</p></article></section><form>f</form><p>&lt;end&#33;</article></div><footer>F</footer><p>tail'
-    lines = page_diff.page_lines(page)
-    assert [t for k, t in lines if k == page_diff.CONTENT] == ["A & B", "xy z", "w", "<end!"]
-    assert [t for k, t in lines if k == page_diff.UNDECIDED] == ["tail"]
+    assert kinds(page) == {page_diff.CONTENT: ["A & B", "xy z", "w", "<end!"], page_diff.UNDECIDED: ["tail"], page_diff.PERHAPS: []}
     assert page_diff.page_lines(None) == page_diff.page_lines("") == []
-    assert page_diff.page_lines("<p>cut off <a href='x") == [(1, "cut off")]
-    assert page_diff.page_lines("<script>var a='<p>no</p>'") == []
+    assert [x[::2] for x in page_diff.page_lines("<p>cut off <a href='x")] == [(1, "cut off")]
+    assert page_diff.page_lines("<script>var a='<p>no</p>'") == page_diff.page_lines("<noframes><p>no</p></noframes>") == []
+    assert [x[1][-1] for x in page_diff.page_lines("<li><a href='/'>x <b>y</b></a></li><li>z <a>w</a></li><li><a>v</a>")] == ["a", "-", "a"]
+
+
+def test_comments_and_names():
+    text = lambda page: page_diff.main_text(page_diff.page_lines(page), None)
+    assert text('<main><p>Real body.</p></main><section id="comments"><article><p>reader comment</p></article></section>') == "Real body."
+    assert text('<article><p>Real.</p><div class="comment-list"><article><p>c</p></article></div></article><div id=disqus><main>d</main></div>') == "Real."
+    assert text('<article>Real.</article><article class="comment">c</article><article class="user comment">c</article>') == "Real."
+    assert text('<article class="comment">An opinion.</article>') == "An opinion."
+    assert text('<article><h2 id="related">A</h2><p class="search">b</p><ul class="notice-of-meeting"><li class="ad">c</li></ul><div class="notice">n</div><div class="ad">x</div></article>') == "A b c"
+    assert text('<div class="sidebar-layout"><article><p hidden>no</p>yes</article></div><div class="related"><article>teaser</article></div>') == "yes"
+
+
+def test_long_pages():
+    rng = np.random.default_rng(2)
+    a = [str(i) for i in rng.permutation(100_000) // 3]
+    b = a[50_000:] + a[:50_000]
+    assert len(page_diff.shared_lines(a, b)) >= 50_000
+    lines = [(1, "00000000-", t) for t in a]
+    assert page_diff.unpacked(page_diff.packed(lines)) == lines and page_diff.unpacked(page_diff.packed([])) == []
 
 
 def test_shared_lines_is_a_longest_common_subsequence():
@@ -131,14 +154,37 @@ def test_extract_text(spark):
         (7, "http://c.org/z", "<p>copy</p>", "x"),
     ]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
-    for bucket in (256, 1):
-        got = page_diff.extract_text(df, bucket_pages=bucket).collect()
-        assert len(got) == 8 and {len(r) for r in got} == {3}
-        if bucket == 256:
-            assert sorted((r.page_id, r.text) for r in got) == [(1, "first text"), (2, "second text more"), (3, ""), (4, "Site name alone Contact us"), (5, "same"), (6, "same"), (7, "copy"), (7, "copy")]
+    for n in (128, 1):
+        got = page_diff.extract_text(df, segment_pages=n).collect()
+        assert {len(r) for r in got} == {3}
+        assert sorted((r.page_id, r.text) for r in got) == [(1, "first text"), (2, "second text more"), (3, ""), (4, "Site name alone Contact us"), (5, "same"), (6, "same"), (7, "copy"), (7, "copy")]
     assert page_diff.extract_text(df.limit(0)).collect() == []
 
 
+def test_pages_meet_their_nearest_url(spark):
+    """Whatever the segments and partitions, over folders and lone folders: each page against the nearest of its host, by brute force."""
+    rng = random.Random(12)
+    pages = []
+    for i in range(120):
+        host = rng.choice(["a.org", "a.org", "a.org", "b.org", "c.org"]) if i else "lone.org"
+        path = "/".join(rng.choice(["en", "de", "x"]) for _ in range(rng.randint(0, 3))) + rng.choice(["", "/", f"/{rng.randint(0, 30)}"])
+        body = "".join(f"<{t}>{rng.choice('uvwxyz')}{rng.choice(['', ' t'])}</{t}>" for t in rng.choices(["p", "div", "li"], k=rng.randint(0, 12)))
+        pages.append((i % 110, f"http://{host}/{path}", body + ("<ul><li><a>m1</a></li><li><a>m%d</a></li></ul>" % i if i % 2 else ""), "clash"))
+    order = sorted(((u.split("/")[2].encode(), "/" + u.split("/", 3)[3], str(i).encode(), k) for k, (i, u, *_) in enumerate(pages)), key=lambda x: (x[0], x[1].encode(), x[2], x[3]))
+    want = []
+    for n, (host, path, _, k) in enumerate(order):
+        sides = [order[m] for m in (n - 1, n + 1) if 0 <= m < len(order) and order[m][0] == host]
+        partner = max(sides, key=lambda x: page_diff._common(x[1], path)) if sides else None
+        want.append((pages[k][0], page_diff.main_text(page_diff.page_lines(pages[k][2]), partner and page_diff.page_lines(pages[partner[3]][2]))))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, _host string")
+    unique = len({x[:3] for x in order}) == len(order)  # pages alike in key would make brute force's order its own
+    assert unique
+    for n, tasks in ((128, 1), (7, 3), (1, 5)):
+        got = page_diff.extract_text(df.repartition(tasks), segment_pages=n)
+        assert got.columns == ["page_id", "url", "_host", "text"]
+        assert sorted((r.page_id, r.text) for r in got.collect()) == sorted(want)
+
+
 # ---------------------------------------------------------------- 2
 
 
