@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, name: str = "part") -> DataFrame:
+def cut(df: DataFrame, name: str = "part", codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs one task.
 
     The shuffle files behind df go then.  What is written is removed by drop(), or when the driver's process ends.
@@ -54,7 +54,7 @@ def cut(df: DataFrame, name: str = "part") -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)

@@ -341,7 +341,7 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
     keyed = [*names, "_host", "_path", "_tie"]
     lined = placed.mapInArrow(_parsed(keyed, "_html", bounds), ", ".join([*fields, "_host string, _path string, _tie string, _segment int, _packed binary"]))
     lined = lined.repartition("_segment").sortWithinPartitions("_segment", "_host", "_path", "_tie")
-    done = C.cut(lined.mapInArrow(_differenced(names), ", ".join([*fields, "text string", EDGE])), "pages")
+    done = C.cut(lined.mapInArrow(_differenced(names), ", ".join([*fields, "text string", EDGE])), "pages", "zstd")
     inner = done.where("_place = 0").select(*names, "text")
     edges = done.where("_place <> 0")
     # segments that hold pages, in order: at most max_segments numbers
