@@ -384,6 +384,59 @@ def test_mix(docs, rows, empty, spark):
     assert stay.columns == docs.columns and stay.where("text is null").isEmpty()
 
 
+def highest_quotients(votes, seats, caps):
+    out = [0] * len(votes)
+    for _ in range(min(seats, sum(c for c, v in zip(caps, votes) if v > 0))):
+        out[max((i for i in range(len(votes)) if out[i] < caps[i] and votes[i] > 0), key=lambda i: (Fraction(votes[i]) / (2 * out[i] + 1), -i))] += 1
+    return out
+
+
+def test_mix_by_listing_blocks(docs, rows):
+    """Quotas by dealing seat after seat, words taken by listing every word's block; repeated rows, null ids and clashing names included."""
+    extra = docs.where("doc_id % 4 = 0").withColumn("doc_id", F.when(F.col("doc_id") % 8 != 0, F.col("doc_id")))
+    many = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(extra).unionByName(extra).withColumns({"key": F.lit(1), "n": F.lit(2), "shard": F.lit("x"), "size": F.lit(3)})
+    how = dict(block=4, shard_docs=3, fan=2, seed=5)
+    dealt = [r.asDict() for r in mixing._dealt(many, "doc_id", "source", "text", (5, 2, 1), 3, 4, 3, 5, 99, 2).collect()]
+    assert sum(r["n"] for r in dealt) == many.count()
+    starts = {(r.source, r.shard): r.s for r in docs.sparkSession.createDataFrame([(r["source"], r["shard"]) for r in dealt], "source string, shard long").select("source", "shard", F.xxhash64("source", "shard", F.lit(5)).alias("s")).collect()}
+    want = collections.Counter()
+    for source in {r["source"] for r in dealt}:
+        own = [r for r in dealt if r["source"] == source]
+        shards = sorted({r["shard"] for r in own})
+        words_of = {s: sum(r["size"] * r["n"] for r in own if r["shard"] == s) for s in shards}
+        blocks = {s: -(-words_of[s] // 4) for s in shards}
+        groups = [[s for s in shards if s // 2 == g] for g in sorted({s // 2 for s in shards})]
+        top = highest_quotients([sum(words_of[s] for s in g) for g in groups], own[0]["source_quota"], [3 * sum(blocks[s] for s in g) for g in groups])
+        assert own[0]["source_quota"] == min(sum(3 * b for b in blocks.values()), own[0]["source_quota"])
+        for g, q in zip(groups, top):
+            for s, quota in zip(g, highest_quotients([words_of[s] for s in g], q, [3 * blocks[s] for s in g])):
+                here = sorted((r for r in own if r["shard"] == s), key=lambda r: r["end"])
+                assert {r["quota"] for r in here} == {quota}
+                n = max(blocks[s], 1)
+                start, more = starts[source, s] % n, quota % n
+                times = [quota // n + ((j + 1) * more + start) // n - (j * more + start) // n for j in range(n)]
+                laid = [(r["doc_id"], source, r["text_hash"], k) for r in here for k in range(r["n"]) for _ in range(r["size"])]
+                counts = collections.Counter()
+                for i, of in enumerate(laid):
+                    counts[of] += times[i // 4]
+                want.update((d, source, r["size"], counts[d, source, h, k]) for r in here for k in range(r["n"]) for d, h in [(r["doc_id"], r["text_hash"])])
+    got = collections.Counter((r.doc_id, r.source, r.size, r.taken) for r in mixing.mix_sources(many, **how).collect())
+    assert got == want
+    kept = mixing.mixed(many, **how)
+    assert kept.columns == many.columns
+    rows_of = collections.Counter((r.doc_id, r.source, r.text) for r in many.collect())
+    found = collections.Counter((r.doc_id, r.source, r.text) for r in kept.collect())
+    assert all(found[x] <= 3 * rows_of[x] for x in found)
+    for s in {(r["source"], r["shard"]) for r in dealt}:  # a shard's words are its quota's, but for half of one of its smallest documents
+        own = [r for r in dealt if (r["source"], r["shard"]) == s and r["size"]]
+        ids = {r["doc_id"] for r in own}
+        if own and None not in ids and len(ids) == len(own):
+            words_kept = sum(len(words(t)) * c for (d, q, t), c in found.items() if q == s[0] and d in ids)
+            small = min(int(math.log2(r["size"])) for r in own)
+            rate = min(3.0, own[0]["quota"] * 4 / sum(r["size"] * r["n"] for r in own))
+            assert abs(words_kept - rate * sum(r["size"] * r["n"] for r in own)) <= 2 ** (small + 1) * 1.5 or rate > 2.5
+
+
 # ---------------------------------------------------------------- 4
 
 
