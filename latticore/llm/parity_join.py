@@ -9,7 +9,8 @@ intersection >= similarity * union.  Sets of a and b shingles that link differ i
    their hashes.  A shingle in which two sets differ changes one block, so linked sets differ in at most D blocks, and of
    any D + 1 blocks of one of them that are not empty, one agrees with the other's (the pigeonholes).  Each set hands on its first D + 1
    blocks in an order that is the same for all sets: those of most shingles first, which chance or a common passage seldom makes
-   agree.  A set with too few blocks that are not empty hands on all, and joins again with twice the blocks.
+   agree.  A set with too few blocks that are not empty hands on all, and joins again with twice the blocks.  At a similarity of 0.5
+   or less, more shingles may differ than there are blocks; sets then hand on the first of their shingles by hash, as many as linked sets must share one of.
 3. Star round: a set is compared with the smallest node of each of its blocks, first by parity sketches, whose Hamming
    distance never exceeds the symmetric difference, then, if that leaves a link possible, by the shingles themselves.
 4. In blocks that hold several components by then (blocks of the same members count once), sketches are compared within tiles of bounded
@@ -66,6 +67,8 @@ def most_apart(total: int, s: Fraction) -> int:
 def block_keys(u: np.ndarray, s: Fraction) -> np.ndarray:
     """The keys that a set with sorted distinct hashes u hands on."""
     n = len(u)
+    if 2 * s <= 1:  # more may differ than there are blocks: the first shingles, of which linked sets share one
+        return C.mix(u[: n - int(-(-s * n // 1)) + 1])
     own = n.bit_length() - 1
     values = C.mix(u ^ U(0x9E3779B97F4A7C15))
     out = []
@@ -287,6 +290,8 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         members = (F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("v"))
         mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m"), *members).where("x < y")
         mixed = C.cut(mixed.groupBy("m", "u", "v").agg(F.min("key").alias("key")).select("key", "m"), "mixed")
+        if mixed.isEmpty():
+            break
         dealt = now.join(mixed, "key")
         if most != "all":  # the rounds before the last: each set in its largest block only
             dealt = C.cut(dealt, "blocks")

@@ -544,13 +544,13 @@ def sets(rows):
     return out
 
 
-def brute_components(rows):
+def brute_components(rows, similarity=Fraction(3, 4)):
     s = sets(rows)
     at = list(range(len(s)))
     find = lambda i: i if at[i] == i else find(at[i])
     for i, (_, x) in enumerate(s):
         for j, (_, y) in enumerate(s[:i]):
-            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            if x and y and len(x & y) >= similarity * len(x | y):
                 a, b = find(i), find(j)
                 at[max(a, b)] = min(a, b)
     ids = collections.defaultdict(list)
@@ -559,15 +559,17 @@ def brute_components(rows):
     return [(d, len(x), min((k for k in ids[find(i)] if k is not None), default=None)) for i, (d, x) in enumerate(s)]
 
 
-def test_linked_sets_share_a_key_and_sketches_bound():
+@pytest.mark.parametrize("similarity", ["0.05", "0.3", "0.5", "0.51", "0.6", "0.75", "0.9", "1"])
+def test_linked_sets_share_a_key_and_sketches_bound(similarity):
     rng = np.random.default_rng(9)
-    s = Fraction("0.75")
+    s = Fraction(similarity)
     for _ in range(400):
         n = int(rng.integers(1, 200))
         x = np.unique(common.mix(rng.integers(1, 2**62, n).astype(np.uint64)))
-        y = np.unique(np.concatenate([x[rng.random(len(x)) > 0.12], common.mix(rng.integers(1, 2**62, int(rng.integers(0, max(1, n // 8)))).astype(np.uint64))]))
+        gone, new = rng.random(2) * (1 - float(s)) * [1, 1 / float(s)]
+        y = np.unique(np.concatenate([x[rng.random(len(x)) >= gone], common.mix(rng.integers(1, 2**62, int(n * min(new, 3))).astype(np.uint64))]))
         both = len(np.intersect1d(x, y))
-        if not len(y) or 4 * both < 3 * (len(x) + len(y) - both):
+        if not len(y) or both < s * (len(x) + len(y) - both):
             continue
         assert set(parity_join.block_keys(x, s)) & set(parity_join.block_keys(y, s))
         a, b = parity_join.sketch(x), parity_join.sketch(y)
@@ -606,6 +608,13 @@ def test_jaccard_components(docs, rows, empty, spark):
     assert parity_join.jaccard_components(empty).collect() == []
 
 
+@pytest.mark.parametrize("similarity", ["0.35", "0.9"])
+def test_jaccard_components_at_any_similarity(docs, rows, similarity):
+    clash = docs.withColumns({"node": F.lit(1), "key": F.lit("x"), "comp": F.lit(2)})
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in parity_join.jaccard_components(clash, similarity=similarity).collect())
+    assert got == sorted(brute_components(rows, Fraction(similarity)))
+
+
 # ---------------------------------------------------------------- 7
 
 
