@@ -13,7 +13,7 @@ greatest difference between the shares of bad and of good labelled documents rej
 that this vector leaves at 100 is off, and all are where nothing is separated or labels are too few to certify any vector.
 
 Defined cases: a null text has no words and fails the base rules; labels that are null are ignored, and a document with
-several labels counts as good if one says so; a null stratum is a stratum of its own; without labels, or with an empty
+several labels counts as good if one says so, and one with several rows is one labelled case, of the row that goes first; a null stratum is a stratum of its own; without labels, or with an empty
 table of documents, no rule is certified and only the base rules reject; repeated document rows are judged alike.
 
 Scale: one pass over the texts writes a narrow table of counts per document (no text is shuffled); it meets the labels by
@@ -177,7 +177,7 @@ def certified_cutoffs(features: DataFrame, labels: DataFrame, *, stratum: str, d
     C.need(features, doc_id, stratum)
     C.need(labels, doc_id, label)
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max((F.col(label) > 0).cast("int")).alias("_good"))
-    rows = features.join(known, doc_id, "left").select(_stratum(stratum), "_good", F.array(*(_percent(*r) for r in RULES.values())).alias("_values"))
+    rows = features.join(known, doc_id, "left").select(F.col(doc_id).alias("_doc"), _stratum(stratum), "_good", F.array(*(_percent(*r) for r in RULES.values())).alias("_values"))
     rows = C.cut(rows, "quality")
     hist = rows.where("_good IS NULL OR _good = 0").select("_stratum", "_good", F.posexplode("_values").alias("_rule", "_bin"))
 
@@ -189,7 +189,9 @@ def certified_cutoffs(features: DataFrame, labels: DataFrame, *, stratum: str, d
     paths = hist.groupBy("_stratum", "_good", "_rule", "_bin").count().groupBy("_stratum").applyInPandas(order, "_stratum string, _levels array<int>")
     paths = C.cut(paths, "quality")
     first = F.array_max(F.transform("_values", lambda v, k: F.element_at("_levels", (k * 101 + v + 1).cast("int"))))
-    steps = rows.where("_good IS NOT NULL").join(paths, "_stratum").groupBy("_stratum", "_good", first.alias("_level")).count()
+    # a labelled document is one case, however many rows it has: the one that goes first
+    cases = rows.where("_good IS NOT NULL").join(paths, "_stratum").groupBy("_stratum", "_good", "_doc").agg(F.max(first).alias("_level"))
+    steps = cases.groupBy("_stratum", "_good", "_level").count()
     steps = C.cut(steps, "quality")
     share = error / max(1, rows.where("_good IS NOT NULL").select("_stratum").distinct().count())
 

@@ -239,7 +239,7 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     anchors = keyed.mapInArrow(_anchor_rows(width), "anchor bigint, doc bigint, salt bigint")
     shared = anchors.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("final"))
     shared = C.cut(shared.where("first < final").select("anchor", "first"), "anchors")
-    held = C.cut(anchors.join(shared, "anchor").groupBy("doc", "salt").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("first").alias("firsts")), "held")
+    held = C.cut(anchors.join(shared, "anchor").groupBy("doc", "salt").agg(F.collect_set(F.struct("anchor", "first")).alias("x")).select("doc", "salt", F.col("x.anchor").alias("anchors"), F.col("x.first").alias("firsts")), "held")
 
     found = keyed.join(held, (F.col("_doc") == F.col("doc")) & (F.col("_salt") == F.col("salt"))).select("_doc", "_salt", "_text", "anchors", "firsts")
     passages = C.cut(found.mapInArrow(_passages(width), "holder bigint, kind int, doc bigint, salt bigint, start bigint, n bigint, words binary"), "passages")
@@ -261,13 +261,15 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     firsts = left.groupBy("words").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first < final").select("words", "first")
     late = left.join(C.cut(firsts, "left"), "words").where("doc > first").select("doc", "salt", "start", "end")
     gone = spans.where("words is null").select("doc", "salt", "start", "end").unionByName(late)
-    gone = gone.groupBy("doc", "salt").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("spans"))
+    gone = gone.groupBy("doc", "salt").agg(F.flatten(F.collect_set(F.array("start", "end"))).alias("spans"))
 
     kept = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "spans", "kept")]
-    names = [f.name for f in kept]
-    joined = docs.select(*(f"`{n}`" for n in names), key, salt, F.col(text).alias("_text")).join(gone, (F.col("_doc") == F.col("doc")) & (F.col("_salt") == F.col("salt")), "left")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-    return joined.select(*(docs[f"`{n}`"] for n in names), "_text", "spans").mapInArrow(_finish(names), ", ".join([*fields, "n_words bigint, n_removed bigint, spans array<bigint>, kept string"]))
+    own = {f.name: f"_own{i}" for i, f in enumerate(kept)}  # names that clash with none of ours
+    names = list(own.values())
+    joined = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()), key, salt, F.col(f"`{text}`").alias("_text")).join(gone, (F.col("_doc") == F.col("doc")) & (F.col("_salt") == F.col("salt")), "left")
+    fields = [f"{own[f.name]} {f.dataType.simpleString()}" for f in kept]
+    done = joined.select(*names, "_text", "spans").mapInArrow(_finish(names), ", ".join([*fields, "n_words bigint, n_removed bigint, spans array<bigint>, kept string"]))
+    return done.withColumnsRenamed({n: c for c, n in own.items()})
 
 
 def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", width: int = 13) -> DataFrame:

@@ -656,6 +656,8 @@ def test_substring_dedup(docs, rows, empty, spark):
     df = spark.createDataFrame(mess, docs.schema)
     assert got(df) == sorted(brute_removed(mess), key=str)
     assert got(df, width=6) == sorted(brute_removed(mess, 6), key=str)
+    again = docs.unionByName(docs.where("doc_id % 4 < 2")).unionByName(docs.where("doc_id % 4 < 2")).withColumns({"anchor": F.lit(1), "doc": F.lit(2), "holder": F.lit(3)})
+    assert got(again) == sorted([x for x in brute_removed(rows) for _ in range(3 if x[0] % 4 < 2 else 1)], key=str)
     out = substring_dedup.drop_repeats(docs.withColumn("spans", F.lit("own")))
     assert out.columns == [*docs.columns, "spans"] and out.where("spans <> 'own'").isEmpty()
     want = {d: (t if not n else k) for (d, t, *_), (_, _, n, k) in zip(rows, brute_removed(rows))}
@@ -781,6 +783,65 @@ def test_cutoffs_are_certified_together(spark):
     assert kept & {d for d, _ in marks} == {d for d, good in marks if good and strata[d] != "d"}
 
 
+def plain_cutoffs(rows, good, max_false, error):
+    """A stratum's cutoffs, one step of one rule after the other: rows are (doc, values); good says what the labels say."""
+    at, left, order = [100] * 6, 600, {}
+    bad = [v for d, v in rows if good.get(d) == 0]
+    others = [v for d, v in rows if d not in good]
+    while left:
+        best = None
+        for r in range(6):
+            for low in range(at[r], 0, -1):
+                n = at[r] - low + 1
+                ratio = sum(low <= v[r] <= at[r] for v in bad) / (sum(low <= v[r] <= at[r] for v in others) + n / 100)
+                if best is None or ratio > best[0] + 1e-12:
+                    best = (ratio, r, low)
+        _, r, low = best
+        for v in range(at[r], low - 1, -1):
+            order[r, v] = left
+            left -= 1
+        at[r] = low - 1
+    level = lambda v: max(order.get((r, x), 0) for r, x in enumerate(v))
+    cases = {d: max(level(v) for e, v in rows if e == d) for d, _ in rows if d in good}
+    n, m = sum(good[d] for d in cases), sum(1 - good[d] for d in cases)
+    taken, gain = None, 0.0
+    for cutoff in range(599, -1, -1):
+        k = sum(good[d] and x > cutoff for d, x in cases.items())
+        if k >= n or sum(math.comb(n, i) * max_false**i * (1 - max_false) ** (n - i) for i in range(k + 1)) > error:
+            break
+        g = sum(not good[d] and x > cutoff for d, x in cases.items()) / max(m, 1) - k / n
+        if m and g > gain + 1e-12:
+            taken, gain = cutoff, g
+    return taken, lambda v: taken is not None and level(v) > taken
+
+
+def test_kept_by_plain_cutoffs(spark):
+    """The verdict on every row, by brute force; a labelled document's repeated rows are one case."""
+    rng = random.Random(21)
+    rows, marks = [], {}
+    for d in range(900):
+        lang, bad = rng.choice(["a", "b", "b", None]), rng.random() < 0.25
+        counts = dict.fromkeys(quality.COUNTS, 0) | {"n_words": 100, "word_chars": 100, "n_lines": 100}
+        for c, top in (("n_symbols", 12), ("n_digits", 30), ("n_upper", 20), ("n_dup_lines", 9)):
+            counts[c] = rng.randint(0, top) + (rng.choice([0, 25]) if bad else 0)
+        if rng.random() < 0.6:
+            marks[d] = int(not bad) if rng.random() < 0.98 else int(bad)
+        rows += [(d, lang, *counts.values())] * rng.choice([1, 1, 1, 6])
+    features = spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in quality.COUNTS))
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, quality int")
+    cutoffs = quality.certified_cutoffs(features, labels, stratum="lang", max_false_rejection=0.1, error=0.3)
+    got = sorted((r.doc_id, r.kept) for r in quality.judged(features, cutoffs, stratum="lang").collect())
+    index = {c: i + 2 for i, c in enumerate(quality.COUNTS)}
+    value = lambda r: [min(100, 100 * r[index[a]] // r[index[b]]) if r[index[b]] else 0 for a, b in quality.RULES.values()]
+    want, certified = [], 0
+    for lang in {r[1] for r in rows}:
+        own = [(r[0], value(r)) for r in rows if r[1] == lang]
+        taken, rejects = plain_cutoffs(own, marks, 0.1, 0.1)
+        certified += taken is not None
+        want += [(d, not rejects(v)) for d, v in own]
+    assert got == sorted(want) and certified >= 2
+
+
 def test_order_of_cutoffs():
     bad, others = np.zeros((6, 101), int), np.zeros((6, 101), int)
     bad[0, 30], others[0, 30], others[0, 3] = 10, 2, 500
