@@ -10,6 +10,7 @@ import itertools
 import math
 import pickle
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -146,9 +147,9 @@ def absolute_fit(observed: DataFrame, n_cells: int, n_params: int) -> DataFrame:
 
 def expected_patterns(fit: M.Fit, df: DataFrame, weight: str | None = None) -> DataFrame:
     """Complete patterns of categorical items with o and e."""
-    table = P.collapse(df.dropna(subset=[f"`{c}`" for c in fit.spec.items]), fit.spec.items, weight, names=("o", "_n"))
+    table = P.collapse(fit.coded(df).dropna(subset=[f"`{c}`" for c in fit.spec.items]), fit.spec.items, weight, names=("o", "_n"))
     n = table.agg(F.sum("o")).first()[0] or 0.0
-    return fit.transform(table).select(*(f"`{c}`" for c in fit.spec.items), "o", (F.exp("loglik") * float(n)).alias("e"))
+    return replace(fit, coding={}).transform(table).select(*(f"`{c}`" for c in fit.spec.items), "o", (F.exp("loglik") * float(n)).alias("e"))
 
 
 def fit_absolute(fit: M.Fit, df: DataFrame, weight: str | None = None) -> dict:
@@ -289,9 +290,7 @@ def blrt(df: DataFrame, small: M.Fit, large: M.Fit, *, n_reps: int = 99, n_init:
         for f in frames:
             out = []
             for i in f["rep"]:
-                rows = M.simulate(small, n, seed * 1_000_003 + int(i))[small.spec.items]
-                table = rows.groupby(list(rows.columns), sort=True).size().reset_index(name="_weight")
-                x, w = M.pattern_arrays(table, small.spec.items)
+                x, w = M.simulated_patterns(small, n, seed * 1_000_003 + int(i))
                 null = M.fit_table(pickle.loads(pickle.dumps(small.spec)), x, w, starts=[(small.pi, small.params)], tol=tol)
                 alt = M.fit_table(pickle.loads(pickle.dumps(spec)), x, w, n_init=2 * n_init, seed=int(i), tol=tol)
                 out.append(2 * (alt.loglik - null.loglik))
@@ -388,14 +387,29 @@ def local_dependence(scored: DataFrame, fit: M.Fit, weight: str | None = None) -
 
 
 def align_classes(reference: np.ndarray, other: np.ndarray) -> list[int]:
-    """The order of other's rows nearest to reference's by squared distance (all orders up to eight classes, else greedily)."""
+    """The order of other's rows nearest to reference's by the sum of squared distances: exact for any number, by shortest augmenting paths."""
     cost = ((reference[:, None, :] - other[None, :, :]) ** 2).sum(axis=2)
     k = len(cost)
-    if k <= 8:
-        return list(min(itertools.permutations(range(k)), key=lambda o: sum(cost[i, j] for i, j in enumerate(o))))
-    out, left = [], set(range(k))
-    for i in range(k):
-        j = min(left, key=lambda j: cost[i, j])
-        out.append(j)
-        left.discard(j)
-    return out
+    of = np.full(k, -1)  # the row that a column is given to
+    u, v = np.zeros(k), np.zeros(k)
+    for row in range(k):
+        best, before, done = np.full(k, np.inf), np.full(k, -1), np.zeros(k, bool)
+        i, last = row, -1
+        length = 0.0
+        while i >= 0:  # the nearest column by reduced costs, until one is free
+            reach = length + cost[i] - u[i] - v
+            nearer = ~done & (reach < best)
+            best[nearer], before[nearer] = reach[nearer], last
+            last = int(np.where(done, np.inf, best).argmin())
+            length = best[last]
+            done[last] = True
+            i = int(of[last])
+        reached = done & (of >= 0)
+        u[of[reached]] += length - best[reached]
+        u[row] += length
+        v[done] -= length - best[done]
+        while last >= 0:  # columns along the path change hands
+            to = int(before[last])
+            of[last] = of[to] if to >= 0 else row
+            last = to
+    return [int(np.flatnonzero(of == i)[0]) for i in range(k)]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from latticore.functions.special import EPS, expit, gauss_hermite, golden, inverse, lgamma, logsumexp, pinv
 from latticore.operators import mixture as M
+from latticore.operators import passes
 from latticore.plans import patterns as P
 from latticore.sources import panel
 
@@ -177,13 +178,13 @@ def _lcga_sums(family: str, y: np.ndarray, w: np.ndarray, x: np.ndarray, state:
     return out
 
 
-def _lcga_run(family, step, m, x, k, start, dispersion, max_iter, tol) -> dict:
-    """EM of curves; step(state) gives sums over all rows, m the outcome's overall mean and variance."""
+def _lcga_run(family, m, x, k, start, dispersion, max_iter, tol):
+    """EM of curves as a run (see passes); m holds the outcome's overall mean and variance."""
     pi, beta, extra = start
     t_max, last, done = len(x), -math.inf, False
     mean = max(m["mean"], 1e-6)
     for it in range(max_iter + 1):
-        a = step((pi, beta, extra))
+        a = yield pi, beta, extra
         value = a["ll"]
         done = it > 0 and value - last < tol * (1 + abs(value))
         if done or it == max_iter:
@@ -257,13 +258,13 @@ def _gmm_sums(y: np.ndarray, w: np.ndarray, x: np.ndarray, q: int, state: tuple)
     return out
 
 
-def _gmm_run(step, x, k, start, psi_equal, max_iter, tol) -> dict:
-    """EM of the structured normal: psi equal or free over classes, theta by occasion, equal over classes."""
+def _gmm_run(x, k, start, psi_equal, max_iter, tol):
+    """EM of the structured normal, as a run: psi equal or free over classes, theta by occasion, equal over classes."""
     pi, beta, extra = start
     psi, theta = extra["psi"], extra["theta"]
     q, last, done = psi.shape[1], -math.inf, False
     for it in range(max_iter + 1):
-        a = step((pi, beta, {"psi": psi, "theta": theta}))
+        a = yield pi, beta, {"psi": psi, "theta": theta}
         value = a["ll"]
         done = it > 0 and value - last < tol * (1 + abs(value))
         if done or it == max_iter:
@@ -291,12 +292,12 @@ def _binary_gmm_sums(y: np.ndarray, w: np.ndarray, x: np.ndarray, state: tuple)
     return {"ll": float(w @ ll), "entropy": -float((r * np.log(post + EPS)).sum()), "size": r.sum(axis=0), "n": np.stack([v @ seen for v in mass]), "s": np.stack([v @ z for v in mass])}
 
 
-def _binary_gmm_run(step, x, k, nodes, start, max_iter, tol) -> dict:
+def _binary_gmm_run(x, k, nodes, start, max_iter, tol):
     pi, beta, extra = start
     sd, (q, _), last, done = extra["sd"].copy(), gauss_hermite(nodes), -math.inf, False
     rows = np.column_stack([np.tile(x, (len(q), 1)), np.repeat(q, len(x))])  # the node is a covariate with slope sd
     for it in range(max_iter + 1):
-        a = step((pi, beta, {"sd": sd, "nodes": nodes}))
+        a = yield pi, beta, {"sd": sd, "nodes": nodes}
         value = a["ll"]
         done = it > 0 and value - last < tol * (1 + abs(value))
         if done or it == max_iter:
@@ -318,42 +319,49 @@ def _added(a: dict | None, b: dict) -> dict:
     return {n: a[n] + b[n] for n in a}
 
 
+#: Patterns that starting values are drawn from.
+START_PATTERNS = 10_000
+
+
 def _fit(df: DataFrame, columns, sums, kernel, make_start, n_init, seed, weight, max_patterns):
-    """A task for each start on a small pattern table; else a pass over the rows in each iteration, with sums from each partition.
+    """A task for each start on a small pattern table; else passes over the rows that all starts share.
 
-    sums(y, w, state) are additive statistics of rows; kernel(step, moments, state) is the EM loop.  Starts are drawn from a table's
-    rows: where it is large, from a sample of it.
+    sums(y, w, state) are additive statistics of rows; kernel(moments, state) is the EM loop, as a run.  Starts are drawn from at most START_PATTERNS
+    patterns, the first by hash, wherever the fit is made.
     """
     df = panel.drop_empty(df, columns)
     rows = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in columns), *([F.col(weight).cast("double").alias("_w")] if weight else []))
-    table = P.collapse(rows, columns, "_w" if weight else None, names=("_weight", "_rows")).limit(max_patterns + 1).toPandas()
+    patterns = P.collapse(rows, columns, "_w" if weight else None, names=("_weight", "_rows"))
+    table = patterns.limit(max_patterns + 1).toPandas()
     if not len(table):
         raise ValueError("no row with an observed occasion")
     small = len(table) <= max_patterns
-    if not small:
-        table = table.head(10_000)  # only for starting values
-    table = table.sort_values(columns, na_position="first", ignore_index=True)
-    y, w = M.pattern_arrays(table, columns)
+    sample = table if small and len(table) <= START_PATTERNS else patterns.orderBy(F.xxhash64(*(f"`{c}`" for c in columns)), *(f"`{c}`" for c in columns)).limit(START_PATTERNS).toPandas()
+    ordered = lambda t: M.pattern_arrays(t.sort_values(columns, na_position="first", ignore_index=True), columns)
+    y, w = ordered(sample)
     starts = [make_start(y, w, np.random.default_rng([seed, i])) for i in range(n_init)]
     m = {"mean": float(np.nanmean(y)), "var": float(np.nanvar(y))}
     if not small:
         rows = rows.persist()
-        step, total = _partition_step(rows, columns, sums, "_w" if weight else None), rows.agg(F.sum("_w") if weight else F.count(F.lit(1))).first()[0]
-        runs = [kernel(step, m, s) for s in starts]
+        total = rows.agg(F.sum("_w") if weight else F.count(F.lit(1))).first()[0]
+        runs = passes.together([kernel(m, s) for s in starts], rows, columns, "_w" if weight else None, sums, _added)
         rows.unpersist()
-    elif n_init == 1 or len(w) * n_init < 2000:
-        total, runs = w.sum(), [kernel(lambda state: sums(y, w, state), m, s) for s in starts]
     else:
-        total, spark = w.sum(), df.sparkSession
-        shared = spark.sparkContext.broadcast((y, w, starts))
+        y, w = ordered(table)
+        total = w.sum()
+        if n_init == 1 or len(w) * n_init < 2000:
+            runs = [passes.alone(kernel(m, s), lambda state: sums(y, w, state)) for s in starts]
+        else:
+            spark = df.sparkSession
+            shared = spark.sparkContext.broadcast((y, w, starts))
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            y, w, starts = shared.value
-            for f in frames:
-                yield pd.DataFrame({"start": f["start"], "run": [pickle.dumps(kernel(lambda state: sums(y, w, state), m, starts[i])) for i in f["start"]]})
+            def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                y, w, starts = shared.value
+                for f in frames:
+                    yield pd.DataFrame({"start": f["start"], "run": [pickle.dumps(passes.alone(kernel(m, starts[i]), lambda state: sums(y, w, state))) for i in f["start"]]})
 
-        ids = spark.createDataFrame([(i,) for i in range(n_init)], "start int").repartition(n_init, "start")
-        runs = [pickle.loads(r.run) for r in ids.mapInPandas(run, "start int, run binary").orderBy("start").collect()]
+            ids = spark.createDataFrame([(i,) for i in range(n_init)], "start int").repartition(n_init, "start")
+            runs = [pickle.loads(r.run) for r in ids.mapInPandas(run, "start int, run binary").orderBy("start").collect()]
     best = max(runs, key=lambda r: r["ll"])
     order = np.argsort(-best["pi"], kind="stable")
     k = len(order)
@@ -361,27 +369,6 @@ def _fit(df: DataFrame, columns, sums, kernel, make_start, n_init, seed, weight,
     return best | {"pi": best["pi"][order], "beta": best["beta"][order], "extra": extra}, float(total), [r["ll"] for r in runs]
 
 
-def _partition_step(rows: DataFrame, columns, sums, weight: str | None):
-    def step(state):
-        shared = rows.sparkSession.sparkContext.broadcast(state)
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
-            for f in frames:
-                if len(f):
-                    total = _added(total, sums(f[columns].to_numpy(float, na_value=np.nan), f[weight].to_numpy(float) if weight else np.ones(len(f)), shared.value))
-            if total is not None:
-                yield pd.DataFrame({"s": [pickle.dumps(total)]})
-
-        total = None
-        for r in rows.mapInPandas(run, "s binary").toLocalIterator():  # a row per partition
-            total = _added(total, pickle.loads(r.s))
-        shared.unpersist()
-        return total
-
-    return step
-
-
 def _check(columns, degree, scores):
     if degree + 1 >= len(columns):
         raise ValueError("a curve needs more occasions than coefficients")
@@ -410,7 +397,7 @@ def fit_lcga(df: DataFrame, columns: Sequence[str], n_classes: int = 2, *, degre
         extra = {"gaussian": {"var": np.full((k, len(x)), np.nanvar(y))}, "zip": {"zero": rng.uniform(0.1, 0.4, k)}, "negbin": {"alpha": 0.5}}.get(family, {})
         return rng.dirichlet(np.full(k, 5.0)), np.array(beta), extra
 
-    best, n, lls = _fit(df, columns, lambda y, w, state: _lcga_sums(family, y, w, x, state), lambda step, m, s: _lcga_run(family, step, m, x, k, s, dispersion, max_iter, tol), make, n_init if k > 1 else 1, seed, weight, max_patterns)
+    best, n, lls = _fit(df, columns, lambda y, w, state: _lcga_sums(family, y, w, x, state), lambda m, s: _lcga_run(family, m, x, k, s, dispersion, max_iter, tol), make, n_init if k > 1 else 1, seed, weight, max_patterns)
     p = k - 1 + k * (degree + 1) + {"gaussian": k if dispersion == "class" else len(x), "zip": k, "negbin": 1}.get(family, 0)
     return Growth(family, columns, x, best["pi"], best["beta"], best["extra"], best["ll"], p, n, best["entropy"], best["converged"], lls)
 
@@ -429,7 +416,7 @@ def fit_gmm(df: DataFrame, columns: Sequence[str], n_classes: int = 2, *, degree
             b = _wls(x, base, np.ones(len(x)))
             return rng.dirichlet(np.full(k, 5.0)), b + rng.standard_normal((k, degree + 1)) * np.array([1.0] + [0.3] * degree), {"sd": np.full(k, 0.8), "nodes": n_quadrature}
 
-        best, n, lls = _fit(df, columns, lambda y, w, state: _binary_gmm_sums(y, w, x, state), lambda step, m, s: _binary_gmm_run(step, x, k, n_quadrature, s, max_iter, tol), make, n_init if k > 1 else 1, seed, weight, max_patterns)
+        best, n, lls = _fit(df, columns, lambda y, w, state: _binary_gmm_sums(y, w, x, state), lambda m, s: _binary_gmm_run(x, k, n_quadrature, s, max_iter, tol), make, n_init if k > 1 else 1, seed, weight, max_patterns)
         return Growth("binomial+random", columns, x, best["pi"], best["beta"], best["extra"], best["ll"], k - 1 + k * (degree + 1) + k, n, best["entropy"], best["converged"], lls)
 
     if psi not in ("equal", "free"):
@@ -442,7 +429,7 @@ def fit_gmm(df: DataFrame, columns: Sequence[str], n_classes: int = 2, *, degree
         scale = np.diag([var.mean() / 3] + [var.mean() / 30] * (q - 1))
         return rng.dirichlet(np.full(k, 5.0)), beta, {"psi": np.repeat(scale[None], k, axis=0), "theta": np.repeat((var / 2)[None, :], k, axis=0)}
 
-    best, n, lls = _fit(df, columns, lambda y, w, state: _gmm_sums(y, w, x, q, state), lambda step, m, s: _gmm_run(step, x, k, s, psi == "equal", max_iter, tol), make, n_init if k > 1 else 1, seed, weight, max_patterns)
+    best, n, lls = _fit(df, columns, lambda y, w, state: _gmm_sums(y, w, x, q, state), lambda m, s: _gmm_run(x, k, s, psi == "equal", max_iter, tol), make, n_init if k > 1 else 1, seed, weight, max_patterns)
     p = k - 1 + k * (degree + 1) + q * (q + 1) // 2 * (1 if psi == "equal" else k) + len(x)
     return Growth("gaussian+random", columns, x, best["pi"], best["beta"], best["extra"], best["ll"], p, n, best["entropy"], best["converged"], lls)
 

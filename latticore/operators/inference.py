@@ -104,14 +104,12 @@ def bvr_bootstrap(df: DataFrame, fit: M.Fit, *, n_reps: int = 50, seed: int = 1)
 
     from latticore.plans import patterns as P
 
-    table = P.collapse(df, items, fit.weight, names=("_weight", "_rows")).limit(100_001).toPandas()
+    table = P.collapse(fit.coded(df), items, fit.weight, names=("_weight", "_rows")).limit(100_001).toPandas()
     if len(table) > 100_000:
         raise ValueError("more than 100000 patterns")
     seen, sims = residuals(fit, *M.pattern_arrays(table, items)), []
     for i in range(n_reps):
-        rows = M.simulate(fit, int(round(fit.n)), seed + i)[items]
-        own = rows.groupby(items, sort=True).size().reset_index(name="_weight")
-        x, w = M.pattern_arrays(own, items)
+        x, w = M.simulated_patterns(fit, int(round(fit.n)), seed + i)
         sims.append(residuals(M.fit_table(M.Spec(fit.spec.blocks, fit.spec.k), x, w, starts=[(fit.pi, fit.params)], tol=1e-6), x, w))
     p = (np.sum(np.stack(sims) >= seen, axis=0) + 1) / (n_reps + 1) if sims else np.full(len(seen), math.nan)
     pairs = list(itertools.combinations(items, 2))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -63,6 +63,7 @@ class Fit:
     logliks: list[float] = field(default_factory=list)
     marginals: list[Params] = field(default_factory=list)
     weight: str | None = None
+    coding: dict[str, tuple] = field(default_factory=dict)  # (low, high) of binary items that are not 0 and 1
 
     # -------------------------------------------------- numbers
 
@@ -81,11 +82,22 @@ class Fit:
         parts = [e.columns(p) for e, p in zip(self.spec.emissions(), self.params)]
         return [sum((b[k] for b in parts), F.lit(math.log(float(self.pi[k]) + EPS))) for k in range(self.spec.k)]
 
+    def coded(self, df: DataFrame) -> DataFrame:
+        """df with the items as the fit has them: binary ones as 0 and 1."""
+        return panel.coded(df, self.coding)
+
     def transform(self, df: DataFrame, posterior: str = "posterior") -> DataFrame:
         """df with posterior (array), modal class (first of ties), its probability and the row's log-likelihood; batch or stream.
 
-        A row without an observed item has nulls.
+        Items are coded as in the fit, and handed on as they are.  A row without an observed item has nulls.
         """
+        if self.coding:
+            kept = {f"_as_is_{i}": F.col(f"`{c}`") for i, c in enumerate(self.coding)}
+            out = self._scored(self.coded(df.withColumns(kept)), posterior)
+            return out.withColumns({c: F.col(n) for n, c in zip(kept, self.coding)}).drop(*kept)
+        return self._scored(df, posterior)
+
+    def _scored(self, df: DataFrame, posterior: str) -> DataFrame:
         seen = F.coalesce(*(F.col(f"`{c}`").cast("string") for c in self.spec.items)).isNotNull()
         out = df.withColumn("_log", F.when(seen, F.array(*self.log_densities()))).withColumn("_top", F.array_max("_log"))
         out = out.withColumn("_sum", F.aggregate("_log", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("_top"))))
@@ -290,8 +302,12 @@ def pattern_arrays(pdf: pd.DataFrame, items: Sequence[str]) -> tuple[np.ndarray,
     return pdf[list(items)].to_numpy(dtype=float, na_value=np.nan), pdf["_weight"].to_numpy(float)
 
 
-def fit_mixture(df: DataFrame, items: Sequence[str], n_classes: int, measurement, *, weight: str | None = None, weight_type: str = "sampling", n_init: int = 20, max_iter: int = 1000, tol: float = 1e-8, seed: int = 1, alpha: Mapping[str, float] | None = None, variances_equal: bool | None = None, cats: Mapping[str, int] | None = None, max_patterns: int = 50_000) -> Fit:
-    """A latent class, profile or mixed model of the rows of df; missing cells stay in the likelihood, empty rows go."""
+def fit_mixture(df: DataFrame, items: Sequence[str], n_classes: int, measurement, *, weight: str | None = None, weight_type: str = "sampling", n_init: int = 20, max_iter: int = 1000, tol: float = 1e-8, seed: int = 1, alpha: Mapping[str, float] | None = None, variances_equal: bool | None = None, cats: Mapping[str, int] | None = None, same_coding: Mapping[str, Sequence[str]] | None = None, max_patterns: int = 50_000) -> Fit:
+    """A latent class, profile or mixed model of the rows of df; missing cells stay in the likelihood, empty rows go.
+
+    Binary items of any two values are coded as 0 and 1, and the coding is kept for scoring; `same_coding` names sets of items that share
+    one.  `max_patterns` only says where the table is fitted: starts, rounds, refusals and the choice among runs are the same.
+    """
     if n_classes < 1:
         raise ValueError("at least one class")
     blocks = panel.normalize_measurement(items, measurement)
@@ -302,8 +318,15 @@ def fit_mixture(df: DataFrame, items: Sequence[str], n_classes: int, measurement
     if counts:
         panel.check_counts(df, counts)
     binary = [c for f, cols in blocks if f == "binary" for c in cols]
+    groups = {g: [c for c in cols if c in binary] for g, cols in (same_coding or {}).items()}
+    groups |= {c: [c] for c in binary if not any(c in cols for cols in groups.values())}
+    coding: dict[str, tuple] = {}
     if binary:
-        df, _ = panel.recode_binary(df, binary)
+        df, found = panel.recode_binary(df, binary, groups)
+        coding = panel.columns_coding(found, groups)
+    categorical = [c for f, cols in blocks if f in ("categorical", "ordinal") for c in cols]
+    if categorical:
+        panel.check_categories(df, categorical)
     df = panel.drop_empty(df, items)
     if weight:
         df = panel.rescale_weights(df, weight, weight_type, "_w")
@@ -319,7 +342,7 @@ def fit_mixture(df: DataFrame, items: Sequence[str], n_classes: int, measurement
         fit = _fit_tasks(df, spec, head, n_init=n_init, seed=seed, max_iter=max_iter, tol=tol)
     else:
         fit = _fit_partitions(rows, spec, "_w" if weight else None, n_init=n_init, seed=seed, max_iter=max_iter, tol=tol)
-    fit.weight = weight
+    fit.weight, fit.coding = weight, coding
     return fit
 
 
@@ -400,12 +423,23 @@ def _fit_partitions(rows: DataFrame, spec: Spec, weight: str | None, *, n_init,
                 r |= {"done": True, "converged": True}
             elif i < max_iter:
                 r["last"], r["state"] = value, _maximised(spec, s, m, r["state"][1])
-        if i == 10 and len(open_) > 4:  # after ten passes only the leading starts go on
-            for r in sorted(live, key=lambda r: -r["penalised"])[max(4, len(live) // 4) :]:
-                r["done"] = True
-    rows.unpersist()
     runs = [r | {"pi": r["state"][0], "params": r["state"][1]} for r in live]
-    return _best(spec, runs, m, lambda r: False)
+    fit = _best(spec, runs, m, lambda r: degenerate_rows(spec, r, rows, weight))
+    rows.unpersist()
+    return fit
+
+
+def degenerate_rows(spec: Spec, res: dict, rows: DataFrame, weight: str | None) -> bool:
+    """degenerate() of a table that stays where it is: two aggregations for each continuous item with class variances."""
+    items = [c for (f, cols), e in zip(spec.blocks, spec.emissions()) if f.startswith("continuous") and getattr(e, "kind", "") == "class" for c in cols]
+    w = F.col(weight) if weight else F.lit(1.0)
+    scored = with_parameters(spec, res["pi"], res["params"]).transform(rows)
+    for c in items:
+        own = scored.where(F.col(f"`{c}`").isNotNull()).groupBy(f"`{c}`").agg(*(F.sum(w * F.col("posterior")[k]).alias(f"s{k}") for k in range(spec.k)))
+        row = own.agg(F.count(F.lit(1)).alias("n"), *(f(f"s{k}").alias(f"{n}{k}") for k in range(spec.k) for n, f in (("top", F.max), ("all", F.sum)))).first()
+        if row.n > 1 and any((row[f"all{k}"] or 0) > 0 and row[f"top{k}"] > 0.9 * row[f"all{k}"] for k in range(spec.k)):
+            return True
+    return False
 
 
 def compare_mixtures(df: DataFrame, items: Sequence[str], k_range: Sequence[int], measurement, **how) -> tuple[DataFrame, dict[int, Fit]]:
@@ -444,10 +478,29 @@ def simulate(fit: Fit, n: int, seed: int = 1) -> pd.DataFrame:
                 v = rng.poisson(p["rate"][c, j]).astype(float)
                 if kind == "zip":
                     v[rng.random(n) < p["zero"][c, j]] = 0.0
-            out[name] = v
+            out[name] = np.where(v == 1, fit.coding[name][1], fit.coding[name][0]) if name in fit.coding else v
     return pd.DataFrame(out).assign(**{"class": c + 1})
 
 
+#: Patterns whose probabilities are listed, so that a simulated table costs by patterns, not by rows.
+LISTED = 1 << 17
+
+
+def simulated_patterns(fit: Fit, n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The pattern table (items as coded, weights) of n rows drawn from the model: multinomial counts of all patterns where their
+    number allows it, else by drawing the rows."""
+    levels = []
+    for f, cols in fit.spec.blocks:
+        levels += [np.arange(2.0) if f == "binary" else np.arange(1.0, fit.spec.cats[c] + 1) if f in ("categorical", "ordinal") else None for c in cols]
+    if all(v is not None for v in levels) and math.prod(len(v) for v in levels) <= LISTED:
+        x = np.stack([g.ravel() for g in np.meshgrid(*levels, indexing="ij")], axis=1)
+        p = np.exp(logsumexp(_joint(fit.spec, fit.pi, fit.params, x)))
+        counts = np.random.default_rng(seed).multinomial(n, p / p.sum())
+        return x[counts > 0], counts[counts > 0].astype(float)
+    rows = simulate(replace(fit, coding={}), n, seed)[fit.spec.items]
+    return pattern_arrays(rows.groupby(fit.spec.items, sort=True).size().reset_index(name="_weight"), fit.spec.items)
+
+
 # ---------------------------------------------------------------- one iteration as a query
 
 
@@ -517,4 +570,5 @@ def em_rounds(table: DataFrame, spec: Spec, pi: np.ndarray, params: list[Params]
     m = marginals(table, spec, weight)
     for _ in range(rounds):
         pi, params = m_step(with_parameters(spec, pi, params).transform(table), spec, params, m, weight)
+    table.unpersist()
     return with_parameters(spec, pi, params)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from latticore.functions.special import EPS, logsumexp
 from latticore.operators import mixture as M
+from latticore.operators import passes
 from latticore.operators.emissions import Params
 from latticore.plans import patterns as P
 from latticore.sources import panel
@@ -81,6 +82,11 @@ class Chain:
     entropy: float
     converged: bool
     logliks: list[float] = field(default_factory=list)
+    coding: dict[str, tuple] = field(default_factory=dict)  # (low, high) of columns of binary items that are not 0 and 1
+
+    def coded(self, df: DataFrame) -> DataFrame:
+        """df with the items as the fit has them: binary ones as 0 and 1."""
+        return panel.coded(df, self.coding)
 
     @property
     def columns(self) -> list[str]:
@@ -105,19 +111,21 @@ class Chain:
 
     def transform(self, df: DataFrame, kind: str = "modal") -> DataFrame:
         """df with statuses (array over occasions): modal posterior, or viterbi; and posteriors (array of arrays) and loglik."""
-        chain, cols = self, self.columns
+        chain, cols = self, [f"_item_{i}" for i in range(len(self.columns))]
+        coded = panel.coded(df.withColumns({n: F.col(f"`{c}`") for n, c in zip(cols, self.columns)}), {n: self.coding[c] for n, c in zip(cols, self.columns) if c in self.coding})
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 if not len(f):
                     continue
                 lb = chain.log_b(f[cols].to_numpy(float, na_value=np.nan))
+                f = f.drop(columns=cols)
                 ll, gamma, _ = forward_backward(lb, chain.start, chain.moves)
                 path = viterbi(lb, chain.start, chain.moves) if kind == "viterbi" else gamma.argmax(axis=2)
                 yield f.assign(statuses=list(path + 1), posteriors=[list(map(list, g)) for g in gamma], loglik=ll)
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        return df.mapInPandas(run, fields + ", statuses array<int>, posteriors array<array<double>>, loglik double")
+        return coded.mapInPandas(run, fields + ", statuses array<int>, posteriors array<array<double>>, loglik double")
 
     def transition_patterns(self, spark, kind: str = "model", df: DataFrame | None = None) -> DataFrame:
         """status_1..status_T, count, proportion of every path (refused over 10000 paths)."""
@@ -161,12 +169,12 @@ def _added(a: dict | None, b: dict) -> dict:
     return out | {"stats": [M._add({"ll": 0, "entropy": 0, "n": 0, "blocks": s}, {"ll": 0, "entropy": 0, "n": 0, "blocks": t})["blocks"] for s, t in zip(a["stats"], b["stats"])]}
 
 
-def _chain_em(spec: M.Spec, t_max: int, step, m, state, *, invariant: bool, same_moves: bool, allowed: np.ndarray, alpha: float, max_iter: int, tol: float) -> dict:
-    """EM with step(state) giving summed statistics, from any number of partitions."""
+def _chain_run(spec: M.Spec, t_max: int, m, state, *, invariant: bool, same_moves: bool, allowed: np.ndarray, alpha: float, max_iter: int, tol: float):
+    """EM as a run (see passes): it is sent the sums of _chain_sums."""
     start, moves, params = state
     k, last, done = spec.k, -math.inf, False
     for i in range(max_iter + 1):
-        s = step((start, moves, params))
+        s = yield start, moves, params
         prior = alpha / k * np.log(start + EPS).sum() + sum((alpha / (k * allowed[t].sum(axis=1, keepdims=True)) * np.where(allowed[t], np.log(moves[t] + EPS), 0)).sum() for t in range(1 if same_moves else t_max - 1)) + sum(e.log_prior(p, mm) for t in range(1 if invariant else t_max) for e, p, mm in zip(spec.emissions(), params[t], m[t]))
         value = s["ll"] + float(prior)
         done = i > 0 and value - last < tol * (1 + abs(value))
@@ -192,37 +200,22 @@ def _chain_em(spec: M.Spec, t_max: int, step, m, state, *, invariant: bool, same
     return {"start": start, "moves": moves, "params": params, "ll": s["ll"], "penalised": value, "entropy": s["entropy"], "n": s["n"], "converged": bool(done)}
 
 
-def _partition_step(rows: DataFrame, spec: M.Spec, cols: list[str], t_max: int, weight: str | None):
-    """A step over a persisted table: a row of sums from each partition."""
-
-    def step(state):
-        shared = rows.sparkSession.sparkContext.broadcast((spec, state))
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            spec, state = shared.value
-            total = None
-            for f in frames:
-                if len(f):
-                    w = f[weight].to_numpy(float) if weight else np.ones(len(f))
-                    total = _added(total, _chain_sums(spec, t_max, f[cols].to_numpy(float, na_value=np.nan), w, state))
-            if total is not None:
-                yield pd.DataFrame({"s": [pickle.dumps(total)]})
-
-        total = None
-        for r in rows.mapInPandas(run, "s binary").toLocalIterator():
-            total = _added(total, pickle.loads(r.s))
-        shared.unpersist()
-        return total
-
-    return step
-
-
 def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: int = 2, *, measurement="binary", invariance: str = "full", transition_invariance: str = "none", forbidden: Sequence[tuple[int, int]] = (), weight: str | None = None, n_init: int = 20, alpha: float = 1.0, max_iter: int = 1000, tol: float = 1e-8, seed: int = 1, max_patterns: int = 100_000) -> Chain:
     """A hidden Markov model of columns item@time; `forbidden` are moves (from, to) that never happen."""
     blocks = panel.normalize_measurement(items, measurement)
     blocks = [(f + ":class" if f == "continuous" else f, c) for f, c in blocks]
     spec = M.Spec(blocks, n_statuses, {n: alpha for n in ("latent", "categorical", "poisson", "variances")})
     cols, k, t_max = panel.column_names(spec.items, times), n_statuses, len(times)
+    of = {c: [cols[t * len(spec.items) + i] for t in range(t_max)] for i, c in enumerate(spec.items)}  # an item's occasions share its coding
+    binary = {c: of[c] for f, own in blocks if f == "binary" for c in own}
+    coding: dict[str, tuple] = {}
+    if binary:
+        df, found = panel.recode_binary(df, [], binary)
+        coding = panel.columns_coding(found, binary)
+    for check, kinds in ((panel.check_counts, ("count", "zip", "negbin")), (panel.check_categories, ("categorical", "ordinal"))):
+        own = [c for f, named in blocks if f in kinds for i in named for c in of[i]]
+        if own:
+            check(df, own)
     df = panel.drop_empty(df, cols)
     rows = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in cols), *([F.col(weight).cast("double").alias("_w")] if weight else []))
     table = P.collapse(rows, cols, "_w" if weight else None, names=("_weight", "_rows")).limit(max_patterns + 1).toPandas()
@@ -259,13 +252,10 @@ def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: in
         states.append((rng.dirichlet(np.full(k, 5.0)), mv / np.maximum(mv.sum(axis=2, keepdims=True), EPS), [one] * t_max if invariant else [one] + [[{n: v.copy() for n, v in p.items()} for p in one] for _ in range(t_max - 1)]))
     how = {"invariant": invariant, "same_moves": transition_invariance == "full", "allowed": allowed, "alpha": alpha, "max_iter": max_iter, "tol": tol}
     if not small:
-        step = _partition_step(rows, spec, cols, t_max, "_w" if weight else None)
-        short = [_chain_em(spec, t_max, step, m, s, **(how | {"max_iter": min(10, max_iter)})) for s in states]
-        lead = sorted(short, key=lambda r: -r["penalised"])[: max(1, len(short) // 4)]  # ten passes each, then only the leading starts go on
-        runs = [_chain_em(spec, t_max, step, m, (r["start"], r["moves"], r["params"]), **how) for r in lead]
+        runs = passes.together([_chain_run(spec, t_max, m, s, **how) for s in states], rows, cols, "_w" if weight else None, lambda x, w, s: _chain_sums(spec, t_max, x, w, s), _added)
         rows.unpersist()
     elif len(states) == 1 or len(w) * t_max * len(states) < 2000:
-        runs = [_chain_em(spec, t_max, lambda s: _chain_sums(spec, t_max, x, w, s), m, s, **how) for s in states]
+        runs = [passes.alone(_chain_run(spec, t_max, m, s, **how), lambda s: _chain_sums(spec, t_max, x, w, s)) for s in states]
     else:
         spark = df.sparkSession
         shared = spark.sparkContext.broadcast((spec, t_max, x, w, m, states, how))
@@ -273,7 +263,7 @@ def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: in
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             spec, t_max, x, w, m, states, how = shared.value
             for f in frames:
-                yield pd.DataFrame({"start": f["start"], "run": [pickle.dumps(_chain_em(spec, t_max, lambda s: _chain_sums(spec, t_max, x, w, s), m, states[i], **how)) for i in f["start"]]})
+                yield pd.DataFrame({"start": f["start"], "run": [pickle.dumps(passes.alone(_chain_run(spec, t_max, m, states[i], **how), lambda s: _chain_sums(spec, t_max, x, w, s))) for i in f["start"]]})
 
         ids = spark.createDataFrame([(i,) for i in range(len(states))], "start int").repartition(len(states), "start")
         runs = [pickle.loads(r.run) for r in ids.mapInPandas(run, "start int, run binary").orderBy("start").collect()]
@@ -283,12 +273,13 @@ def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: in
     params = [[e.permuted(p, order) for e, p in zip(spec.emissions(), ps)] for ps in best["params"]]
     per = sum(e.n_params(mm) for e, mm in zip(spec.emissions(), whole))
     n_moves = int((allowed.sum(axis=2) - 1).sum()) // (max(t_max - 1, 1) if transition_invariance == "full" else 1)
-    return Chain(spec, list(times), best["start"][order], moves, params, best["ll"], best["penalised"], k - 1 + n_moves + per * (1 if invariant else t_max), best["n"], best["entropy"], best["converged"], [r["ll"] for r in runs])
+    return Chain(spec, list(times), best["start"][order], moves, params, best["ll"], best["penalised"], k - 1 + n_moves + per * (1 if invariant else t_max), best["n"], best["entropy"], best["converged"], [r["ll"] for r in runs], coding)
 
 
 def fit_rmlca(df: DataFrame, items: Sequence[str], times: Sequence, n_classes: int = 2, *, measurement: str = "binary", **how) -> M.Fit:
-    """One class over all occasions, with each occasion's own probabilities."""
-    return M.fit_mixture(df, panel.column_names(items, times), n_classes, measurement, **how)
+    """One class over all occasions, with each occasion's own probabilities; an item's occasions share one coding."""
+    cols = panel.column_names(items, times)
+    return M.fit_mixture(df, cols, n_classes, measurement, same_coding={c: [x for x in cols if x in panel.column_names([c], times)] for c in items}, **how)
 
 
 def fit_joint_classes(df: DataFrame, x_items: Sequence[str], y_items: Sequence[str], n_x: int, n_y: int, **how) -> dict:
@@ -331,7 +322,7 @@ def transition_counts(chain: Chain, df: DataFrame, weight: str | None = None) ->
         t, a, b = np.indices(total.shape)
         yield pd.DataFrame({"occasion": t.ravel() + 1, "from_status": a.ravel() + 1, "to_status": b.ravel() + 1, "count": total.ravel()})
 
-    part = df.select(*(F.col(f"`{c}`") for c in cols), *([weight] if weight else [])).mapInPandas(run, "occasion int, from_status int, to_status int, count double")
+    part = chain.coded(df).select(*(F.col(f"`{c}`") for c in cols), *([weight] if weight else [])).mapInPandas(run, "occasion int, from_status int, to_status int, count double")
     return part.groupBy("occasion", "from_status", "to_status").agg(F.sum("count").alias("count"))
 
 

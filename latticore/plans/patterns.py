@@ -20,11 +20,22 @@ def collapse(df: DataFrame, items: Sequence[str], weight: str | None = None, ext
 def numbered(patterns: DataFrame, items: Sequence[str]) -> DataFrame:
     """Patterns with pattern_id, numbered from 1 in the order of their items, null first.
 
-    A global order in one task: for tables of patterns, which are small.
+    Patterns are numbered within those of the same first half of the items, in parallel; only these halves, about the square root of
+    the patterns, are put in order in one task.
     """
     from pyspark.sql import Window
 
-    return patterns.withColumn("pattern_id", F.row_number().over(Window.orderBy(*(F.col(f"`{c}`").asc_nulls_first() for c in items))))
+    order = lambda cols: [F.col(f"`{c}`").asc_nulls_first() for c in cols]
+    half = list(items[: max(1, len(items) // 2)])
+    sizes = patterns.groupBy(*(F.col(f"`{c}`") for c in half)).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*order(half)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*(F.col(f"`{c}`").alias(f"_h{i}") for i, c in enumerate(half)), before.alias("_before"))
+    own = patterns.withColumn("_own", F.row_number().over(Window.partitionBy(*(F.col(f"`{c}`") for c in half)).orderBy(*order(items[len(half) :] or half))))
+    same = F.lit(True)
+    for i, c in enumerate(half):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_h{i}"))
+    out = own.join(offsets, same).withColumn("pattern_id", (F.col("_before") + F.col("_own")).cast("int"))
+    return out.drop("_own", "_before", *(f"_h{i}" for i in range(len(half))))
 
 
 def expand(df: DataFrame, patterns: DataFrame, items: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -136,6 +136,29 @@ def recode_binary(df: DataFrame, items: Sequence[str], groups: Mapping[str, Sequ
     return df.withColumns(new), coding
 
 
+def coded(df: DataFrame, coding: Mapping[str, tuple]) -> DataFrame:
+    """df with columns as a coding (column to low and high) says: a value that it lacks is refused where the row is read."""
+    new = {}
+    for c, (lo, hi) in coding.items():
+        x = F.col(f"`{c}`")
+        if lo is None:
+            continue
+        strange = F.when(x.isNotNull(), F.raise_error(F.concat(F.lit(f"a value of {c} that the fit has not seen: "), x.cast("string"))).cast("int"))
+        new[c] = F.when(x == F.lit(hi), F.lit(1 if lo != hi else int(hi == 1))).when(x == F.lit(lo), F.lit(0)).otherwise(strange)
+    return df.withColumns(new) if new else df
+
+
+def columns_coding(coding: Mapping[str, tuple], groups: Mapping[str, Sequence[str]]) -> dict[str, tuple]:
+    """The coding of each column that needs one: 0 and 1 stand for themselves."""
+    return {c: ends for g, ends in coding.items() for c in groups[g] if ends[0] is not None and not set(ends) <= {0, 1}}
+
+
+def check_categories(df: DataFrame, items: Sequence[str]) -> None:
+    bad = [c for c, s in inspect(df, items).items() if s["min"] is not None and not (s["whole"] and s["min"] >= 1)]
+    if bad:
+        raise ValueError("categories must be whole codes from 1: " + ", ".join(bad))
+
+
 def check_counts(df: DataFrame, items: Sequence[str]) -> None:
     bad = [c for c, s in inspect(df, items).items() if s["min"] is not None and not (s["whole"] and s["min"] >= 0)]
     if bad:
