@@ -302,11 +302,11 @@ def pattern_arrays(pdf: pd.DataFrame, items: Sequence[str]) -> tuple[np.ndarray,
     return pdf[list(items)].to_numpy(dtype=float, na_value=np.nan), pdf["_weight"].to_numpy(float)
 
 
-def fit_mixture(df: DataFrame, items: Sequence[str], n_classes: int, measurement, *, weight: str | None = None, weight_type: str = "sampling", n_init: int = 20, max_iter: int = 1000, tol: float = 1e-8, seed: int = 1, alpha: Mapping[str, float] | None = None, variances_equal: bool | None = None, cats: Mapping[str, int] | None = None, same_coding: Mapping[str, Sequence[str]] | None = None, max_patterns: int = 50_000) -> Fit:
+def fit_mixture(df: DataFrame, items: Sequence[str], n_classes: int, measurement, *, weight: str | None = None, weight_type: str = "sampling", n_init: int = 20, max_iter: int = 1000, tol: float = 1e-8, seed: int = 1, alpha: Mapping[str, float] | None = None, variances_equal: bool | None = None, cats: Mapping[str, int] | None = None, same_coding: Mapping[str, Sequence[str]] | None = None, starts: list[tuple[np.ndarray, list[Params]]] | None = None, max_patterns: int = 50_000) -> Fit:
     """A latent class, profile or mixed model of the rows of df; missing cells stay in the likelihood, empty rows go.
 
     Binary items of any two values are coded as 0 and 1, and the coding is kept for scoring; `same_coding` names sets of items that share
-    one.  `max_patterns` only says where the table is fitted: starts, rounds, refusals and the choice among runs are the same.
+    one.  `starts`, (class shares, parameters of each block), are used in place of `n_init` random ones.  `max_patterns` only says where the table is fitted: starts, rounds, refusals and the choice among runs are the same.
     """
     if n_classes < 1:
         raise ValueError("at least one class")
@@ -339,18 +339,18 @@ def fit_mixture(df: DataFrame, items: Sequence[str], n_classes: int, measurement
         if not len(head):
             raise ValueError("no row with an observed item")
         head = head.sort_values(spec.items, na_position="first", ignore_index=True)
-        fit = _fit_tasks(df, spec, head, n_init=n_init, seed=seed, max_iter=max_iter, tol=tol)
+        fit = _fit_tasks(df, spec, head, n_init=n_init, seed=seed, max_iter=max_iter, tol=tol, starts=starts)
     else:
-        fit = _fit_partitions(rows, spec, "_w" if weight else None, n_init=n_init, seed=seed, max_iter=max_iter, tol=tol)
+        fit = _fit_partitions(rows, spec, "_w" if weight else None, n_init=n_init, seed=seed, max_iter=max_iter, tol=tol, starts=starts)
     fit.weight, fit.coding = weight, coding
     return fit
 
 
-def _fit_tasks(df: DataFrame, spec: Spec, table: pd.DataFrame, *, n_init, seed, max_iter, tol) -> Fit:
+def _fit_tasks(df: DataFrame, spec: Spec, table: pd.DataFrame, *, n_init, seed, max_iter, tol, starts=None) -> Fit:
     """A task for each start, each with the whole (small) pattern table."""
     x, w = pattern_arrays(table, spec.items)
     m = [e.marginal(b, w) for e, b in zip(_resolved(spec, x), spec.split(x))]
-    starts = _starts(spec, m, n_init if spec.k > 1 else 1, seed)
+    starts = starts or _starts(spec, m, n_init if spec.k > 1 else 1, seed)
     if len(starts) == 1 or len(w) * len(starts) < 2000:
         runs = [run_em(lambda pi, ps: _statistics(spec, pi, ps, x, w), spec, *s, m, max_iter=max_iter, tol=tol) for s in starts]
     else:
@@ -368,7 +368,7 @@ def _fit_tasks(df: DataFrame, spec: Spec, table: pd.DataFrame, *, n_init, seed,
     return _best(spec, runs, m, lambda r: degenerate(spec, r, x, w))
 
 
-def _fit_partitions(rows: DataFrame, spec: Spec, weight: str | None, *, n_init, seed, max_iter, tol) -> Fit:
+def _fit_partitions(rows: DataFrame, spec: Spec, weight: str | None, *, n_init, seed, max_iter, tol, starts=None) -> Fit:
     """One pass over the rows in each iteration; all live starts share it.  A partition returns one row of statistics."""
     rows = rows.persist()
     spark, items = rows.sparkSession, spec.items
@@ -411,7 +411,7 @@ def _fit_partitions(rows: DataFrame, spec: Spec, weight: str | None, *, n_init,
         shared.unpersist()
         return total
 
-    live = [{"state": s, "last": -math.inf, "done": False, "i": 0} for s in _starts(spec, m, n_init if spec.k > 1 else 1, seed)]
+    live = [{"state": s, "last": -math.inf, "done": False, "i": 0} for s in starts or _starts(spec, m, n_init if spec.k > 1 else 1, seed)]
     for i in range(max_iter + 1):
         open_ = [r for r in live if not r["done"]]
         if not open_:

@@ -200,8 +200,12 @@ def _chain_run(spec: M.Spec, t_max: int, m, state, *, invariant: bool, same_move
     return {"start": start, "moves": moves, "params": params, "ll": s["ll"], "penalised": value, "entropy": s["entropy"], "n": s["n"], "converged": bool(done)}
 
 
-def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: int = 2, *, measurement="binary", invariance: str = "full", transition_invariance: str = "none", forbidden: Sequence[tuple[int, int]] = (), weight: str | None = None, n_init: int = 20, alpha: float = 1.0, max_iter: int = 1000, tol: float = 1e-8, seed: int = 1, max_patterns: int = 100_000) -> Chain:
-    """A hidden Markov model of columns item@time; `forbidden` are moves (from, to) that never happen."""
+def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: int = 2, *, measurement="binary", invariance: str = "full", transition_invariance: str = "none", forbidden: Sequence[tuple[int, int]] = (), weight: str | None = None, n_init: int = 20, alpha: float = 1.0, max_iter: int = 1000, tol: float = 1e-8, seed: int = 1, starts: list[tuple] | None = None, max_patterns: int = 100_000) -> Chain:
+    """A hidden Markov model of columns item@time; `forbidden` are moves (from, to) that never happen.
+
+    `starts`, (starting shares, moves, parameters of each block), are used in place of `n_init` random ones.  `max_patterns` only says where the
+    table is fitted.
+    """
     blocks = panel.normalize_measurement(items, measurement)
     blocks = [(f + ":class" if f == "continuous" else f, c) for f, c in blocks]
     spec = M.Spec(blocks, n_statuses, {n: alpha for n in ("latent", "categorical", "poisson", "variances")})
@@ -242,8 +246,8 @@ def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: in
         allowed[:, a - 1, b - 1] = False
     if not allowed.any(axis=2).all():
         raise ValueError("a status without any allowed move")
-    states = []
-    for i in range(n_init if k > 1 else 1):
+    states = [(np.asarray(a, float), np.asarray(b, float), [p] * t_max) for a, b, p in starts or []]
+    for i in range(0 if starts else n_init if k > 1 else 1):
         rng = np.random.default_rng([seed, i])
         mv = np.where(allowed, rng.dirichlet(np.ones(k), (max(t_max - 1, 0), k)) + np.eye(k), 0)
         if transition_invariance == "full" and len(mv):
