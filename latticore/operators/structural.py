@@ -137,6 +137,23 @@ def add_covariates(scored: DataFrame, columns: Sequence[str], k: int, *, correct
     return pd.DataFrame(rows, columns=["class", "term", "estimate", "odds_ratio", "se", "z", "p"])
 
 
+def _newton_finish(ll, score, beta: np.ndarray, *, rounds: int = 30, tol: float = 1e-9) -> np.ndarray:
+    """Newton steps from where EM stopped to a zero of the score; a step that does not raise the log-likelihood is halved, then given up."""
+    now, size = ll(beta), 1.0 + abs(ll(beta))
+    for _ in range(rounds):
+        g = score(beta)
+        if np.abs(g).max() < tol * size:
+            break
+        step, share = inverse(-hessian(ll, beta)) @ g, 1.0
+        while share > 1e-3 and not ll(beta + share * step) >= now - 1e-12 * size:
+            share /= 2
+        if share <= 1e-3:
+            break
+        beta = beta + share * step
+        now = ll(beta)
+    return beta
+
+
 def ml_covariates(x: np.ndarray, assigned: np.ndarray, error: np.ndarray, *, rounds: int = 500, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood of assigned classes given the fixed error table: EM over true classes, then the observed information."""
     k, d = error.shape[0], x.shape[1]
@@ -155,6 +172,14 @@ def ml_covariates(x: np.ndarray, assigned: np.ndarray, error: np.ndarray, *, rou
         if now - last < tol * (1 + abs(now)):
             break
         last = now
+
+    def score(b):
+        p = softmax(np.column_stack([x @ b.reshape(k - 1, d).T, np.zeros(len(x))]))
+        joint = p[:, None, :] * error[None, :, :]
+        expected = (assigned[:, :, None] * joint / np.maximum(joint.sum(axis=2, keepdims=True), 1e-300)).sum(axis=1)
+        return ((expected - assigned.sum(axis=1, keepdims=True) * p)[:, : k - 1].T @ x).ravel()
+
+    beta = _newton_finish(ll, score, beta.ravel()).reshape(k - 1, d)
     return beta, inverse(-hessian(ll, beta.ravel()))
 
 
@@ -203,6 +228,13 @@ def two_step_covariates(scored: DataFrame, columns: Sequence[str], pi: Sequence[
         if now - last < 1e-10 * (1 + abs(now)):
             break
         last = now
+
+    def score(b):
+        p = softmax(np.column_stack([x @ b.reshape(k - 1, d + 1).T, np.zeros(len(x))]))
+        own = p * f
+        return ((n[:, None] * (own / np.maximum(own.sum(axis=1, keepdims=True), 1e-300) - p))[:, : k - 1].T @ x).ravel()
+
+    beta = _newton_finish(ll, score, beta.ravel()).reshape(k - 1, d + 1)
     v = inverse(-hessian(ll, beta.ravel()))
     names, rows = ["(intercept)", *columns], []
     for c in range(k - 1):

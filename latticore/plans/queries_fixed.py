@@ -122,3 +122,168 @@ def fit_lta_from_start(spark, sf):
         rows += [(n, a + 1, float(c.params[0][0]["p"][a, j])) for j, n in enumerate(QM.LTA_ITEMS)]
         rows += [(f"stay{t}", a + 1, float(c.moves[t, a, a])) for t in range(3)]
     return rounded(spark.createDataFrame(rows, PARAMS), 5)
+
+
+# ---------------------------------------------------------------- continuous items
+
+
+def gauss_rounds(rounds: int) -> str:
+    """EM of a latent profile model with class variances; classes then by size."""
+    names, both = ("quantity", "discount"), (0, 1)
+    start = ", ".join(f"{num((0.55, 0.45)[c])} AS pi{c}, " + ", ".join(f"{num(Q.GAUSS['mean'][c, j])} AS m_{n}_{c}, {num(Q.GAUSS['var'][c, j])} AS s_{n}_{c}" for j, n in enumerate(names)) for c in both)
+    logs = ", ".join(f"ln(pi{c} + 1e-15) + " + " + ".join(f"(-0.5e0 * (({n} - m_{n}_{c}) * ({n} - m_{n}_{c}) / s_{n}_{c} + ln(2 * pi() * s_{n}_{c})))" for n in names) + f" AS l{c}" for c in both)
+    new = ", ".join(f"(sum(r{c}) + 0.5e0) / (count(*) + 1), " + ", ".join(f"sum(r{c} * {n}) / sum(r{c}), (sum(r{c} * {n} * {n}) - sum(r{c} * {n}) * (sum(r{c} * {n}) / sum(r{c})) + 0.5e0 * any_value(v_{n})) / (sum(r{c}) + 0.5e0)" for n in names) for c in both)
+    last = f"(SELECT * FROM t WHERE it = {rounds})"
+    size = lambda c: f"CAST(1 + CASE WHEN pi{1 - c} > pi{c} THEN 1 ELSE 0 END AS BIGINT)"
+    out = [f"SELECT 'class' AS item, {size(c)} AS class, round(pi{c}, 5) AS estimate FROM {last}" for c in both]
+    out += [f"SELECT '{n} {p}', {size(c)}, round({q}_{n}_{c} * {scale}, 4) FROM {last}" for c in both for n, scale in (("quantity", 1), ("discount", 100)) for p, q in (("mean", "m"), ("var", "s"))]
+    return f"""WITH RECURSIVE {Q.SQL_SIZES}, marg AS (SELECT {', '.join(f'var_pop({n}) AS v_{n}' for n in names)} FROM sizes),
+t AS (SELECT 0 AS it, {start} UNION ALL
+SELECT it + 1, {new} FROM (SELECT *, 1 / (1 + exp(l1 - l0)) AS r0, 1 / (1 + exp(l0 - l1)) AS r1 FROM (SELECT it, quantity, discount, {logs} FROM sizes, t WHERE it < {rounds})), marg GROUP BY it)
+{' UNION ALL '.join(out)}"""
+
+
+@query("fit_lpa_from_start", gauss_rounds(12))
+def fit_lpa_from_start(spark, sf):
+    names = ["quantity", "discount"]
+    start = [(np.array([0.55, 0.45]), [{k: v.copy() for k, v in Q.GAUSS.items()}])]
+    fit = M.fit_mixture(Q.sizes(spark, sf), names, 2, "continuous", variances_equal=False, starts=start, max_iter=12, tol=-1)
+    rows = [("class", c + 1, round(float(fit.pi[c]), 5)) for c in range(2)]
+    rows += [(f"{n} {p}", c + 1, round(float(fit.params[0][k][c, j]) * (1, 100)[j], 4)) for c in range(2) for j, n in enumerate(names) for p, k in (("mean", "mean"), ("var", "var"))]
+    return spark.createDataFrame(rows, PARAMS)
+
+
+# ---------------------------------------------------------------- closed forms
+
+SQL_SPLIT = f"{Q.SQL_CAT}, z AS (SELECT post.*, CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END AS dear FROM post JOIN orders USING (o_orderkey))"
+#: Share of class 1 and n in either half; e, the error table.  Of a saturated regression the estimates are differences of logits.
+SQL_STEP3 = f"""{SQL_SPLIT}, e AS (SELECT sum(p1 * p1) / sum(p1) AS e11, sum(p1 * p2) / sum(p2) AS e12 FROM z),
+h AS (SELECT dear, count(*) AS n, sum(p1) / count(*) AS r FROM z GROUP BY dear),
+q AS (SELECT dear, n, r, e11, e12, (r - e12) / (e11 - e12) AS q FROM h, e),
+g AS (SELECT 'ML' AS correction, dear, ln(q / (1 - q)) AS b, r * (1 - r) / (n * pow((e11 - e12) * q * (1 - q), 2)) AS v FROM q
+UNION ALL SELECT 'BCH', dear, ln(q / (1 - q)), 1 / (n * q * (1 - q)) FROM q UNION ALL SELECT 'none', dear, ln(r / (1 - r)), 1 / (n * r * (1 - r)) FROM q)"""
+
+
+@query("three_step_saturated", f"""WITH {SQL_STEP3}
+SELECT correction, '(intercept)' AS term, round(b, 4) AS estimate, round(sqrt(v), 4) AS se FROM g WHERE dear = 0
+UNION ALL SELECT a.correction, 'dear', round(c.b - a.b, 4), round(sqrt(a.v + c.v), 4) FROM g a JOIN g c USING (correction) WHERE a.dear = 0 AND c.dear = 1""")
+def three_step_saturated(spark, sf):
+    """A regression on one yes-or-no covariate, under each correction: estimates and standard errors."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 150000, 1.0).otherwise(0.0).alias("dear"))
+    scored = Q.cat_scored(spark, sf).join(o, "o_orderkey")
+    rows = [(c, r.term, float(r.estimate), float(r.se)) for c in ("ML", "BCH", "none") for r in S.add_covariates(scored, ["dear"], 2, correction=c).itertuples()]
+    return rounded(spark.createDataFrame(rows, "correction string, term string, estimate double, se double"), 4)
+
+
+def two_step_sql(rounds: int = 60) -> str:
+    """In either half, the share of class 1 at which the score is zero, by bisection, and the information there."""
+    slope = "(p1 / 0.6e0 - p2 / 0.4e0) / ({0} * p1 / 0.6e0 + (1 - {0}) * p2 / 0.4e0)"
+    return f"""WITH RECURSIVE {SQL_SPLIT}, t AS (SELECT 0 AS it, dear, 1e-9 AS lo, 1 - 1e-9 AS hi FROM (SELECT DISTINCT dear FROM z) UNION ALL
+SELECT it + 1, t.dear, CASE WHEN sum({slope.format('((lo + hi) / 2)')}) > 0 THEN (any_value(lo) + any_value(hi)) / 2 ELSE any_value(lo) END, CASE WHEN sum({slope.format('((lo + hi) / 2)')}) > 0 THEN any_value(hi) ELSE (any_value(lo) + any_value(hi)) / 2 END
+FROM t JOIN z ON t.dear = z.dear WHERE it < {rounds} GROUP BY it, t.dear),
+g AS (SELECT t.dear, any_value(ln(lo / (1 - lo))) AS b, 1 / (any_value(pow(lo * (1 - lo), 2)) * sum(pow({slope.format('lo')}, 2))) AS v FROM t JOIN z ON t.dear = z.dear WHERE it = {rounds} GROUP BY t.dear)
+SELECT '(intercept)' AS term, round(b, 4) AS estimate, round(sqrt(v), 3) AS se FROM g WHERE dear = 0
+UNION ALL SELECT 'dear', round(c.b - a.b, 4), round(sqrt(a.v + c.v), 3) FROM g a, g c WHERE a.dear = 0 AND c.dear = 1"""
+
+
+@query("two_step_saturated", two_step_sql())
+def two_step_saturated(spark, sf):
+    """The same regression with the measurement held: the score is zero, and the observed information gives the errors."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 150000, 1.0).otherwise(0.0).alias("dear"))
+    t = S.two_step_covariates(Q.cat_scored(spark, sf).join(o, "o_orderkey"), ["dear"], [0.6, 0.4])
+    return spark.createDataFrame([(r.term, round(float(r.estimate), 4), round(float(r.se), 3)) for r in t.itertuples()], "term string, estimate double, se double")
+
+
+SQL_MODAL = f"{QM.SQL_PRICED}, e AS (SELECT sum(CASE WHEN class = 1 THEN p1 ELSE 0 END) / sum(p1) AS e11, sum(CASE WHEN class = 1 THEN p2 ELSE 0 END) / sum(p2) AS e12 FROM priced), n AS (SELECT segment AS category, sum(CASE WHEN class = 1 THEN 1.0e0 ELSE 0 END) AS a, sum(CASE WHEN class = 2 THEN 1.0e0 ELSE 0 END) AS b FROM priced GROUP BY 1), m AS (SELECT category, ((1 - e12) * a - e12 * b) / (e11 - e12) AS one, (e11 * b - (1 - e11) * a) / (e11 - e12) AS two FROM n, e)"
+
+
+@query("ml_outcome_saturated", f"WITH {SQL_MODAL} SELECT 1 AS class, category, round(one / (SELECT sum(one) FROM m), 4) AS proportion FROM m UNION ALL SELECT 2, category, round(two / (SELECT sum(two) FROM m), 4) FROM m")
+def ml_outcome_saturated(spark, sf):
+    return rounded(spark.createDataFrame(S.ml_outcome(QM.priced(spark, sf), "segment", 2)), 4)
+
+
+SQL_BCH_MEANS = ", ".join(f"sum(w{c}) AS n{c}, sum(w{c} * y) / sum(w{c}) AS m{c}" for c in (1, 2))
+
+
+@query("add_outcome_bch", f"WITH {QM.SQL_PRICED}, s AS (SELECT {SQL_BCH_MEANS} FROM priced) " + " UNION ALL ".join(f"SELECT {c} AS class, round(any_value(n{c}), 3) AS n, round(any_value(m{c}), 2) AS mean, round(sqrt(sum(pow(w{c} * (y - m{c}), 2))) / any_value(n{c}), 2) AS se FROM priced, s" for c in (1, 2)))
+def add_outcome_bch(spark, sf):
+    from latticore.operators import inference as I
+
+    t = I.add_outcome(QM.priced(spark, sf), "y", 2)["estimates"]
+    return spark.createDataFrame([(int(r["class"]), round(float(r["n"]), 3), round(float(r["mean"]), 2), round(float(r["se"]), 2)) for _, r in t.iterrows()], "class bigint, n double, mean double, se double")
+
+
+SQL_ONE = ", ".join(f"avg({f}) AS {f}" for f in Q.FLAGS)
+
+
+@query("measurement_estimates_one_class", f"WITH {Q.SQL_FLAGS}, m AS (SELECT count(*) AS n, {SQL_ONE} FROM flags) " + " UNION ALL ".join(f"SELECT '{f}' AS item, round({f}, 6) AS estimate, round(sqrt({f} * (1 - {f}) / n), 6) AS se FROM m" for f in Q.FLAGS))
+def measurement_estimates_one_class(spark, sf):
+    from latticore.plans import patterns as P
+
+    df = Q.flags(spark, sf)
+    t = P.collapse(df, Q.FLAGS, names=("_weight", "_rows")).toPandas()  # at most 2^5 patterns
+    est = M.fit_mixture(df, Q.FLAGS, 1, "binary").measurement_estimates(*M.pattern_arrays(t, Q.FLAGS))
+    return rounded(spark.createDataFrame(est[["item", "estimate", "se"]]))
+
+
+def merge_sql() -> str:
+    xlogx = lambda p: f"(CASE WHEN {p} > 0 THEN {p} * ln({p}) ELSE 0 END)"
+    pairs = [(1, 2, 3, "1+2", "1+2+3"), (1, 3, 2, "1+3", "1+3+2"), (2, 3, 1, "2+3", "1+2+3")]
+    gains = " UNION ALL ".join(f"SELECT '{m}' AS merged, '{w}' AS whole, sum(o * ({xlogx(f'(p{a} + p{b})')} - {xlogx(f'p{a}')} - {xlogx(f'p{b}')})) AS gain, sum(o * (p{a} + p{b})) AS moved FROM post" for a, b, _, m, w in pairs)
+    return f"""WITH {Q.SQL_FULL}, gains AS ({gains}), best AS (SELECT * FROM gains ORDER BY gain DESC LIMIT 1), now AS (SELECT sum(o) AS n, -sum(o * ({' + '.join(xlogx(f'p{c}') for c in (1, 2, 3))})) AS e FROM post)
+SELECT 3 AS k, '' AS merged, round(e, 5) AS merge_entropy, 0.0e0 AS entropy_drop, 0.0e0 AS cases_merged FROM now
+UNION ALL SELECT 2, merged, round(e - gain, 5), round(gain, 5), round(moved, 5) FROM now, best UNION ALL SELECT 1, whole, 0.0e0, round(e - gain, 5), round(n, 5) FROM now, best"""
+
+
+@query("merge_path_given", merge_sql())
+def merge_path_given(spark, sf):
+    from latticore.operators import diagnostics as D
+    from latticore.plans import patterns as P
+
+    t = Q.lca().transform(P.collapse(Q.flags(spark, sf), Q.FLAGS)).select("posterior", "w").toPandas()  # at most 2^5 patterns
+    path = D.merge_path(np.stack(t["posterior"].to_numpy()), t["w"].to_numpy())
+    return spark.createDataFrame([(int(r.k), r.merged, *(round(float(v), 5) + 0.0 for v in (r.merge_entropy, r.entropy_drop, r.cases_merged))) for r in path.itertuples()], "k bigint, merged string, merge_entropy double, entropy_drop double, cases_merged double")
+
+
+def profile_sql() -> str:
+    share, out = (0.55, 0.45), []
+    for j, n in enumerate(("quantity", "discount")):
+        m, v = Q.GAUSS["mean"][:, j], Q.GAUSS["var"][:, j]
+        mu = " + ".join(f"{num(share[c])} * {num(m[c])}" for c in (0, 1))
+        sd = "sqrt(" + " + ".join(f"{num(share[c])} * ({num(v[c])} + pow({num(m[c])} - ({mu}), 2))" for c in (0, 1)) + ")"
+        out += [f"SELECT {c + 1} AS class, '{n}' AS item, round(({num(m[c])} - ({mu})) / {sd}, 6) AS value" for c in (0, 1)]
+    return " UNION ALL ".join(out)
+
+
+@query("profile_data_given", profile_sql())
+def profile_data_given(spark, sf):
+    from latticore.operators import report as R
+
+    return rounded(R.profile_data(M.with_parameters(Q.LPA, np.array([0.55, 0.45]), [Q.GAUSS]), spark))
+
+
+def mcar_sql(rounds: int) -> str:
+    """EM over the 32 cells of the saturated model, then twice the sum of observed by expected logs over patterns of missing cells."""
+    f = Q.FLAGS
+    match = lambda a, b: " AND ".join(f"({a}.{x} IS NULL OR {a}.{x} = {b}.{x})" for x in f)
+    mask = ", ".join(f"{x} IS NULL AS u_{x}" for x in f)
+    masks = ", ".join(f"u_{x}" for x in f)
+    cells = ", ".join(f"(VALUES (0), (1)) v_{x}({x})" for x in f)
+    return f"""WITH RECURSIVE {Q.SQL_FLAGS}, {Q.SQL_GAPS}, pat AS (SELECT row_number() OVER () AS id, * FROM (SELECT {', '.join(f)}, CAST(count(*) AS DOUBLE) AS w FROM gaps {Q.SOME} GROUP BY ALL)),
+cells AS (SELECT * FROM {cells}),
+t AS (SELECT 0 AS it, {', '.join(f)}, 1.0e0 / 32 AS p FROM cells UNION ALL
+SELECT it + 1, {', '.join(f'c_{x}' for x in f)}, sum(w * p / s) / any_value(total) FROM (SELECT it, {', '.join(f't.{x} AS c_{x}' for x in f)}, p, w, sum(p) OVER (PARTITION BY pat.id) AS s, (SELECT sum(w) FROM pat) AS total FROM pat JOIN t ON {match('pat', 't')} WHERE it < {rounds}) GROUP BY it, {', '.join(f'c_{x}' for x in f)}),
+m AS (SELECT pat.*, {mask}, sum(w) OVER (PARTITION BY {', '.join(f'{x} IS NULL' for x in f)}) AS n FROM pat),
+x AS (SELECT id, any_value(w) AS o, any_value(n) * sum(p) AS e FROM m JOIN t ON {match('m', 't')} WHERE it = {rounds} GROUP BY id),
+d AS (SELECT sum(pow(2, {' + '.join(f'CASE WHEN u_{x} THEN 0 ELSE 1 END' for x in f)}) - 1) AS df FROM (SELECT DISTINCT {masks} FROM m))
+SELECT round(sum(2 * o * ln(o / e)), 3) AS stat, CAST(any_value(df) - 31 AS BIGINT) AS df FROM x, d"""
+
+
+@query("mcar_statistic", mcar_sql(80))
+def mcar_statistic(spark, sf):
+    from latticore.operators import diagnostics as D
+    from latticore.plans import patterns as P
+
+    t = P.collapse(Q.gaps(Q.flags(spark, sf)).where(F.coalesce(*Q.FLAGS).isNotNull()), Q.FLAGS, names=("_weight", "_rows")).toPandas()  # at most 3^5 patterns
+    r = D.mcar_test(*M.pattern_arrays(t, Q.FLAGS), [[0, 1]] * 5)
+    return spark.createDataFrame([(round(float(r["stat"]), 3), int(r["df"]))], "stat double, df bigint")
