@@ -161,6 +161,18 @@ def fit_absolute(fit: M.Fit, df: DataFrame, weight: str | None = None) -> dict:
     return row | {"p_value": chi2_sf(row["g2"], row["df"]), "p_value_x2": chi2_sf(row["x2"], row["df"]), "p_value_cressie_read": chi2_sf(row["cressie_read"], row["df"])}
 
 
+def fit_absolute_groups(fits: dict[str, M.Fit], df: DataFrame, group: str, n_params: int, weight: str | None = None) -> dict:
+    """absolute_fit() over groups, each with its own model: the table of groups by patterns, whose group sizes are given."""
+    spec = next(iter(fits.values())).spec
+    cells = math.prod(2 if f == "binary" else spec.cats[c] for f, cols in spec.blocks for c in cols)
+    parts = [expected_patterns(fit, df.where(F.col(group).cast("string") == str(g)), weight).select("o", "e") for g, fit in fits.items()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    row = absolute_fit(whole, cells * len(fits), n_params + len(fits) - 1).first().asDict()
+    return row | {"p_value": chi2_sf(row["g2"], row["df"]) if row["df"] > 0 else math.nan}
+
+
 def saturated_mar(x: np.ndarray, w: np.ndarray, levels: Sequence[Sequence[float]], *, rounds: int = 2000, tol: float = 1e-10, most: int = 100_000) -> tuple[np.ndarray, np.ndarray, float]:
     """The saturated model under missing at random: (cells, probabilities, log-likelihood) by EM on the cell grid."""
     if math.prod(map(len, levels)) > most:

@@ -83,7 +83,7 @@ def design_table(scored: DataFrame, columns: Sequence[str], values: Sequence[Col
     w = _w(weight)
     table = scored.dropna(subset=[f"`{c}`" for c in columns]).groupBy(*(F.col(f"`{c}`").cast("double").alias(f"_x{j}") for j, c in enumerate(columns))).agg(*(F.sum(w * v).alias(n) for n, v in zip(names, values))).limit(max_rows + 1).toPandas()
     if len(table) > max_rows:
-        raise ValueError(f"more than {max_rows} design rows; use data_newton()")
+        raise ValueError(f"more than {max_rows} design rows")
     return table.sort_values([f"_x{j}" for j in range(len(columns))], ignore_index=True)
 
 
@@ -205,14 +205,9 @@ def ml_outcome(scored: DataFrame, outcome: str, k: int, *, assignment: str = "mo
     return pd.DataFrame([(c + 1, v, rho[i, c]) for c in range(k) for i, v in enumerate(by["category"])], columns=["class", "category", "proportion"])
 
 
-def two_step_covariates(scored: DataFrame, columns: Sequence[str], pi: Sequence[float], *, weight: str | None = None, max_rows: int = 200_000) -> pd.DataFrame:
-    """Class regression with the measurement part held: densities enter through posterior / prior, by design row and pattern."""
-    k = len(pi)
-    keys = [f"_f{c}" for c in range(k)]
-    dens = scored.where(F.col("posterior").isNotNull()).withColumns({f: F.round(F.col("posterior")[c] / float(pi[c]), 12) for c, f in enumerate(keys)})
-    table = design_table(dens, [*columns, *keys], [F.lit(1.0)], ["_n"], weight=weight, max_rows=max_rows)
-    d = len(columns)
-    x, f, n = _design(table, d), table[[f"_x{d + c}" for c in range(k)]].to_numpy(), table["_n"].to_numpy()
+def two_step_arrays(x: np.ndarray, f: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and covariance of a class regression given each row's densities f (rows x classes, up to a factor) and weight n."""
+    k, d = f.shape[1], x.shape[1] - 1
     beta = np.zeros((k - 1, d + 1))
 
     def ll(b):
@@ -235,7 +230,17 @@ def two_step_covariates(scored: DataFrame, columns: Sequence[str], pi: Sequence[
         return ((n[:, None] * (own / np.maximum(own.sum(axis=1, keepdims=True), 1e-300) - p))[:, : k - 1].T @ x).ravel()
 
     beta = _newton_finish(ll, score, beta.ravel()).reshape(k - 1, d + 1)
-    v = inverse(-hessian(ll, beta.ravel()))
+    return beta, inverse(-hessian(ll, beta.ravel()))
+
+
+def two_step_covariates(scored: DataFrame, columns: Sequence[str], pi: Sequence[float], *, weight: str | None = None, max_rows: int = 200_000) -> pd.DataFrame:
+    """Class regression with the measurement part held: densities enter through posterior / prior, by design row and pattern."""
+    k = len(pi)
+    keys = [f"_f{c}" for c in range(k)]
+    dens = scored.where(F.col("posterior").isNotNull()).withColumns({f: F.round(F.col("posterior")[c] / float(pi[c]), 12) for c, f in enumerate(keys)})
+    table = design_table(dens, [*columns, *keys], [F.lit(1.0)], ["_n"], weight=weight, max_rows=max_rows)
+    d = len(columns)
+    beta, v = two_step_arrays(_design(table, d), table[[f"_x{d + c}" for c in range(k)]].to_numpy(), table["_n"].to_numpy())
     names, rows = ["(intercept)", *columns], []
     for c in range(k - 1):
         for j, t in enumerate(names):

@@ -287,3 +287,69 @@ def mcar_statistic(spark, sf):
     t = P.collapse(Q.gaps(Q.flags(spark, sf)).where(F.coalesce(*Q.FLAGS).isNotNull()), Q.FLAGS, names=("_weight", "_rows")).toPandas()  # at most 3^5 patterns
     r = D.mcar_test(*M.pattern_arrays(t, Q.FLAGS), [[0, 1]] * 5)
     return spark.createDataFrame([(round(float(r["stat"]), 3), int(r["df"]))], "stat double, df bigint")
+
+
+# ---------------------------------------------------------------- finish, later steps, groups, levels
+
+SQL_OWES = f"{QM.SQL_PRICED}, n AS (SELECT segment, CASE WHEN x < 0 THEN 1 ELSE 0 END AS owes, sum(p1) AS n1, sum(p2) AS n2 FROM priced GROUP BY 1, 2), top AS (SELECT max(segment) AS ref FROM n)"
+
+
+def slopes_sql() -> str:
+    out = []
+    for c in (1, 2):
+        out.append(f"SELECT {c} AS class, a.segment AS category, max(CASE WHEN owes = 0 THEN ln(a.n{c} / b.n{c}) END) AS i0, max(CASE WHEN owes = 1 THEN ln(a.n{c} / b.n{c}) END) AS i1, max(CASE WHEN owes = 0 THEN 1 / a.n{c} + 1 / b.n{c} END) AS v0, max(CASE WHEN owes = 1 THEN 1 / a.n{c} + 1 / b.n{c} END) AS v1 FROM n a JOIN n b USING (owes) JOIN top ON b.segment = ref WHERE a.segment <> ref GROUP BY a.segment")
+    return f"WITH {SQL_OWES}, s AS ({' UNION ALL '.join(out)}) SELECT class, category, '(intercept)' AS term, round(i0, 4) AS estimate, round(sqrt(v0), 4) AS se FROM s UNION ALL SELECT class, category, 'owes', round(i1 - i0, 4), round(sqrt(v0 + v1), 4) FROM s"
+
+
+@query("outcome_slopes_categorical", slopes_sql())
+def outcome_slopes_categorical(spark, sf):
+    from latticore.operators import finish
+
+    df = QM.priced(spark, sf).withColumn("owes", F.when(F.col("x") < 0, 1.0).otherwise(0.0))
+    t = finish.outcome_slopes_categorical(df, "segment", ["owes"], 2, column="posterior")
+    return rounded(spark.createDataFrame(t[["class", "category", "term", "estimate", "se"]]), 4)
+
+
+FINISH = (np.array([0.6, 0.4]), [{"p": np.array([[0.4, 0.3, 0.3, 0.4, 0.5], [0.6, 0.5, 0.4, 0.7, 0.8]])}])
+
+
+@query("lca_newton_finish", binary_rounds(Q.SQL_FLAGS, "flags", Q.FLAGS, FINISH[0].tolist(), FINISH[1][0]["p"].tolist(), 6000).replace(", 5) AS estimate", ", 3) AS estimate").replace(", 5) FROM", ", 3) FROM"))
+def lca_newton_finish(spark, sf):
+    """A short EM and a Newton finish are where thousands of rounds lead."""
+    from latticore.operators import finish
+    from latticore.plans import patterns as P
+
+    df = Q.flags(spark, sf)
+    fit = M.fit_mixture(df, Q.FLAGS, 2, "binary", starts=[FINISH], max_iter=60, tol=-1)
+    t = P.collapse(df, Q.FLAGS, names=("_weight", "_rows")).toPandas()  # at most 2^5 patterns
+    return rounded(class_parameters(spark, finish.newton_finish(fit, *M.pattern_arrays(t, Q.FLAGS)), Q.FLAGS), 3)
+
+
+SQL_HALVES = f"{Q.SQL_FLAGS}, pat AS (SELECT o_totalprice > 150000 AS dear, {', '.join(Q.FLAGS)}, CAST(count(*) AS DOUBLE) AS o FROM flags JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), " + Q.posterior_sql(Q.LCA_LOGS, "pat", "dear, " + ", ".join(Q.FLAGS) + ", o") + ", cells AS (SELECT o, exp(loglik) * sum(o) OVER (PARTITION BY dear) AS e FROM post)"
+
+
+@query("absolute_fit_groups", f"WITH {SQL_HALVES} SELECT round(sum(2 * o * ln(o / e)), 3) AS g2, round(sum((o - e) * (o - e) / e) + greatest(sum(o) - sum(e), 0), 3) AS x2, CAST(64 - 1 - 34 - 1 AS BIGINT) AS df FROM cells")
+def absolute_fit_groups(spark, sf):
+    from latticore.operators import diagnostics as D
+
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_totalprice") > 150000).alias("dear"))
+    r = D.fit_absolute_groups({"true": Q.lca(), "false": Q.lca()}, Q.flags(spark, sf).join(o, "l_orderkey"), "dear", 34)
+    return spark.createDataFrame([(round(r["g2"], 3), round(r["x2"], 3), int(r["df"]))], "g2 double, x2 double, df bigint")
+
+
+@query("encode_levels", "SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) AS o_orderpriority, CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS o_orderstatus FROM orders")
+def encode_levels(spark, sf):
+    from latticore.sources import panel
+
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    coded, _ = panel.encode_levels(o, ["o_orderpriority", "o_orderstatus"], {"o_orderstatus": ["P", "O", "F"]})
+    return coded.select("o_orderkey", F.col("o_orderpriority").cast("bigint").alias("o_orderpriority"), "o_orderstatus")
+
+
+@query("align_rows", f"WITH {Q.SQL_FLAGS}, {Q.SQL_GAPS} SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders JOIN gaps ON o_orderkey = l_orderkey {Q.SOME}")
+def align_rows(spark, sf):
+    from latticore.sources import panel
+
+    fitted = panel.drop_empty(Q.gaps(Q.flags(spark, sf)), Q.FLAGS).select(F.col("l_orderkey").alias("o_orderkey"))
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return panel.align_rows(rows, fitted, "o_orderkey").select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"))

@@ -153,6 +153,28 @@ def columns_coding(coding: Mapping[str, tuple], groups: Mapping[str, Sequence[st
     return {c: ends for g, ends in coding.items() for c in groups[g] if ends[0] is not None and not set(ends) <= {0, 1}}
 
 
+def align_rows(rows: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
+    """Of rows given for the original data, those that a fit kept: one for each key of `fitted`; a key without a row, or with several, is refused."""
+    held = rows.join(fitted.select(F.col(f"`{key}`")), key, "left_semi")
+    n, keys, asked = held.count(), held.select(f"`{key}`").distinct().count(), fitted.count()
+    if not n == keys == asked:
+        raise ValueError(f"{asked} fitted rows, {keys} of them with a row here, {n} rows")
+    return held
+
+
+def encode_levels(df: DataFrame, items: Sequence[str], levels: Mapping[str, Sequence] | None = None, max_levels: int = 100) -> tuple[DataFrame, dict[str, list]]:
+    """Categorical columns of any type as codes 1..C in the order of their levels, with the levels found (or given) as labels."""
+    labels = {}
+    for c in items:
+        found = list((levels or {}).get(c) or sorted(r[0] for r in df.select(f"`{c}`").where(F.col(f"`{c}`").isNotNull()).distinct().limit(max_levels + 1).collect()))
+        if len(found) > max_levels:
+            raise ValueError(f"{c} has more than {max_levels} levels")
+        labels[c] = found
+    strange = lambda c: F.when(F.col(f"`{c}`").isNotNull(), F.raise_error(F.concat(F.lit(f"a level of {c} that is not known: "), F.col(f"`{c}`").cast("string"))).cast("int"))
+    codes = {c: F.when(F.col(f"`{c}`").isin(v), F.array_position(F.array(*map(F.lit, v)), F.col(f"`{c}`")).cast("int")).otherwise(strange(c)) for c, v in labels.items()}
+    return df.withColumns(codes), labels
+
+
 def check_categories(df: DataFrame, items: Sequence[str]) -> None:
     bad = [c for c, s in inspect(df, items).items() if s["min"] is not None and not (s["whole"] and s["min"] >= 1)]
     if bad:
