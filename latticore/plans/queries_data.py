@@ -362,8 +362,8 @@ def bern_update_sql(k: int, items, w: str = "1", source: str = "post") -> str:
 
 @query("mstep_bernoulli", f"WITH {SQL_LCA} {share_sql(3)} UNION ALL {bern_update_sql(3, FLAGS)}")
 def mstep_bernoulli(spark, sf):
-    df, fit = gaps(flags(spark, sf)), lca()
-    pi, params = M.m_step(fit.transform(df), LCA, fit.params, M.marginals(df, LCA))
+    table, fit = P.collapse(gaps(flags(spark, sf)), FLAGS), lca()
+    pi, params = M.m_step(fit.transform(table), LCA, fit.params, M.marginals(table, LCA, "w"), "w")
     return params_frame(spark, LCA, pi, params)
 
 

@@ -22,7 +22,7 @@ def binary_rounds(ctes: str, rows: str, items: list[str], pi: list[float], prob:
     classes = range(k)
     cells = [f"{f}_{c}" for c in classes for f in items]
     start = ", ".join([*(f"{num(pi[c])} AS pi{c}" for c in classes), *(f"{num(prob[c][j])} AS {f}_{c}" for c in classes for j, f in enumerate(items))])
-    logs = ", ".join(f"ln(pi{c} + 1e-15) + " + " + ".join(f"coalesce({f} * (ln({f}_{c}) - ln(1 - {f}_{c})) + ln(1 - {f}_{c}), 0)" for f in items) + f" AS l{c}" for c in classes)
+    logs = ", ".join(f"ln(pi{c} + 1e-15) + " + " + ".join(f"coalesce(CASE WHEN {f} = 1 THEN ln(greatest({f}_{c}, 1e-15)) WHEN {f} = 0 THEN ln(greatest(1 - {f}_{c}, 1e-15)) END, 0)" for f in items) + f" AS l{c}" for c in classes)
     top = f"greatest({', '.join(f'l{c}' for c in classes)})"
     post = ", ".join(f"w * exp(l{c} - {top}) / ({' + '.join(f'exp(l{d} - {top})' for d in classes)}) AS r{c}" for c in classes)
     new = [f"(sum(r{c}) + 1.0e0 / {k}) / (sum(w) + 1)" for c in classes] + [f"(coalesce(sum(r{c} * {f}), 0) + any_value(m_{f}) / {k}) / (coalesce(sum(CASE WHEN {f} IS NOT NULL THEN r{c} END), 0) + 1.0e0 / {k})" for c in classes for f in items]

@@ -41,6 +41,11 @@ def run_available(stream: DataFrame, name: str = "stream") -> DataFrame:
     import uuid
 
     spark = stream.sparkSession
-    at = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/latticore").rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:  # a local folder only where the executors are this very process
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file:///tmp/checkpoints/latticore"
+    at = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
