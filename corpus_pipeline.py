@@ -1,4 +1,14 @@
-"""From raw documents to training tokens: five stages, each over all that the one before it kept."""
+"""From raw documents to training tokens: five stages, each over all that the one before it kept.
+
+Defined cases, stage by stage.  Quality rules: a null text has no words and goes; a null language is a stratum of its own; documents without
+labels are judged by the cutoffs of their language.  Jaccard join: rows alike in id and text are one; texts without words
+stay; a null id is last in order.  Substring dedup: a text that loses nothing stays as it is, a text that loses all its words stays as an empty one.
+Mix: texts without words go; a document stands as often as its source's target asks, at most three times for each of its rows; a null source is a
+source.  Tokens: a null text has no tokens.  An empty table stays empty in every stage; extra columns are kept by all stages but the last.
+
+Scale: see the operators; texts are shuffled by document in the Jaccard join, the dedup and the mix, and never grouped by a shared key.  Each stage is written
+to the shared folder, so a lost executor costs tasks of one stage.
+"""
 
 from __future__ import annotations
 
