@@ -5,6 +5,7 @@ import hashlib
 
 import corpus_pipeline
 from latticore.llm import bpe_fst, common, mixing
+from pyspark.sql import functions as F
 from test_corpus import brute_components, brute_counts, brute_removed
 
 
@@ -52,3 +53,19 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
         docs = out
     assert kept[0] >= kept[1] == kept[2] > 0
     assert corpus_pipeline.run(spark, sf).count() == kept[-1]
+
+
+def test_stages_take_nulls_repeats_and_empty_tables(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = docs.limit(12)
+    odd = odd.withColumn("doc_id", F.lit(None).cast("bigint")).unionByName(odd).unionByName(odd).unionByName(docs.limit(5).withColumns({"text": F.lit(None).cast("string"), "lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}))
+    mess = docs.unionByName(odd).withColumn("key", F.lit("own"))
+    for table in (mess, mess.limit(0)):
+        before = table
+        for name, stage in corpus_pipeline.STAGES:
+            after = common.cut(stage(spark, before, sf))
+            n = after.count()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert after.columns == before.columns and after.where("key <> 'own'").isEmpty()
+            assert n > 0 if table is mess else n == 0
+            before = after
