@@ -218,7 +218,7 @@ def fit_lta_covariates(df: DataFrame, items: Sequence[str], times: Sequence, n_s
 
 
 def fit_ri_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: int, *, random_intercept: str = "continuous", n_quadrature: int = 15, weight: str | None = None, n_init: int = 5, seed: int = 1, max_iter: int = 500, tol: float = 1e-7) -> dict:
-    """Binary items with logit p = theta_kj + lambda_j u, u of a case constant over time: normal (by quadrature) or two-valued."""
+    """Binary items with logit p = theta_kj + lambda_j u, u of a case constant over time: normal (by quadrature) or two-valued.  Each of `n_init` starts is followed to its end."""
     base = T.fit_lta(df, items, times, n_statuses, weight=weight, n_init=n_init, seed=seed)
     cols, k, t_max, j = panel.column_names(items, times), n_statuses, len(times), len(items)
     x, w = M.pattern_arrays(pattern_table(df, cols, (), weight), cols)
@@ -226,8 +226,22 @@ def fit_ri_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses:
     seen, xx = ~np.isnan(x), np.where(np.isnan(x), 0, x)
     nodes, mass = gauss_hermite(n_quadrature) if random_intercept == "continuous" else (np.array([-1.0, 1.0]), np.array([0.5, 0.5]))
     p = np.clip(base.params[0][0]["p"], 0.02, 0.98)
-    theta, load, start, moves, last = np.log(p) - np.log1p(-p), np.full(j, 0.5), base.start.copy(), base.moves.copy(), -math.inf
-    q_max = len(nodes)
+    first, found = np.log(p) - np.log1p(-p), []
+    for i in range(n_init):  # the base chain with small loadings, then others around it
+        rng = np.random.default_rng([seed, i])
+        theta = first + (rng.normal(0, 0.7, first.shape) if i else 0)
+        load = rng.uniform(0, 2, j) if i else np.full(j, 0.5)
+        own = 0.7 * base.moves + 0.3 * rng.dirichlet(np.ones(k), (t_max - 1, k)) if i else base.moves.copy()
+        found.append(_ri_climb(xx, seen, w, theta, load, base.start.copy(), own, nodes, mass, random_intercept == "binary", max_iter, tol))
+    best = max(found, key=lambda r: r["loglik"])
+    if best["loadings"].sum() < 0:  # the intercept's sign is free
+        best |= {"loadings": -best["loadings"], "scores": -best["scores"], "mass": best["mass"][::-1]}
+    return best | {"logliks": [r["loglik"] for r in found], "n_params": k - 1 + (t_max - 1) * k * (k - 1) + k * j + j + (random_intercept == "binary")}
+
+
+def _ri_climb(xx: np.ndarray, seen: np.ndarray, w: np.ndarray, theta: np.ndarray, load: np.ndarray, start: np.ndarray, moves: np.ndarray, nodes: np.ndarray, mass: np.ndarray, free_mass: bool, max_iter: int, tol: float) -> dict:
+    """EM of a random-intercept chain from one start."""
+    (k, j), q_max, last = theta.shape, len(nodes), -math.inf
     for _ in range(max_iter):
         lls, gammas, xis = [], [], []
         for u in nodes:
@@ -248,7 +262,7 @@ def fit_ri_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses:
         start = s / s.sum()
         counts = sum(np.einsum("n,ntab->tab", post[:, q], xis[q]) for q in range(q_max)) + 1 / (k * k)
         moves = counts / counts.sum(axis=2, keepdims=True)
-        if random_intercept == "binary":
+        if free_mass:
             mass = post.sum(axis=0) / post.sum()
         n = np.stack([np.einsum("n,ntk,ntj->kj", post[:, q], gammas[q], seen) for q in range(q_max)])  # Q x K x J
         y = np.stack([np.einsum("n,ntk,ntj->kj", post[:, q], gammas[q], xx) for q in range(q_max)])
@@ -263,7 +277,7 @@ def fit_ri_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses:
                 step = np.clip(np.linalg.solve(h, g), -1.5, 1.5)
                 theta[:, c] += step[:k]
                 load[c] += step[k]
-    return {"loglik": value, "theta": theta, "loadings": load, "start": start, "moves": moves, "nodes": nodes, "mass": mass, "scores": post / post.sum(axis=1, keepdims=True) @ nodes, "n_params": k - 1 + (t_max - 1) * k * (k - 1) + k * j + j + (random_intercept == "binary")}
+    return {"loglik": value, "theta": theta, "loadings": load, "start": start, "moves": moves, "nodes": nodes, "mass": mass, "scores": post / post.sum(axis=1, keepdims=True) @ nodes}
 
 
 # ---------------------------------------------------------------- mixtures of chains

@@ -200,6 +200,22 @@ def _chain_run(spec: M.Spec, t_max: int, m, state, *, invariant: bool, same_move
     return {"start": start, "moves": moves, "params": params, "ll": s["ll"], "penalised": value, "entropy": s["entropy"], "n": s["n"], "converged": bool(done)}
 
 
+def coded_items(df: DataFrame, blocks: Sequence[tuple], items: Sequence[str], times: Sequence | None) -> tuple[DataFrame, dict[str, tuple]]:
+    """df with binary items as 0 and 1, and their coding by column; counts and categories are checked.  An item's occasions share its coding."""
+    cols = panel.column_names(items, times) if times is not None else list(items)
+    of = {c: [cols[t * len(items) + i] for t in range(len(cols) // len(items))] for i, c in enumerate(items)}
+    binary = {c: of[c] for f, own in blocks if f == "binary" for c in own}
+    coding: dict[str, tuple] = {}
+    if binary:
+        df, found = panel.recode_binary(df, [], binary)
+        coding = panel.columns_coding(found, binary)
+    for check, kinds in ((panel.check_counts, ("count", "zip", "negbin")), (panel.check_categories, ("categorical", "ordinal"))):
+        own = [c for f, named in blocks if f in kinds for i in named for c in of[i]]
+        if own:
+            check(df, own)
+    return df, coding
+
+
 def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: int = 2, *, measurement="binary", invariance: str = "full", transition_invariance: str = "none", forbidden: Sequence[tuple[int, int]] = (), weight: str | None = None, n_init: int = 20, alpha: float = 1.0, max_iter: int = 1000, tol: float = 1e-8, seed: int = 1, starts: list[tuple] | None = None, max_patterns: int = 100_000) -> Chain:
     """A hidden Markov model of columns item@time; `forbidden` are moves (from, to) that never happen.
 
@@ -210,16 +226,7 @@ def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: in
     blocks = [(f + ":class" if f == "continuous" else f, c) for f, c in blocks]
     spec = M.Spec(blocks, n_statuses, {n: alpha for n in ("latent", "categorical", "poisson", "variances")})
     cols, k, t_max = panel.column_names(spec.items, times), n_statuses, len(times)
-    of = {c: [cols[t * len(spec.items) + i] for t in range(t_max)] for i, c in enumerate(spec.items)}  # an item's occasions share its coding
-    binary = {c: of[c] for f, own in blocks if f == "binary" for c in own}
-    coding: dict[str, tuple] = {}
-    if binary:
-        df, found = panel.recode_binary(df, [], binary)
-        coding = panel.columns_coding(found, binary)
-    for check, kinds in ((panel.check_counts, ("count", "zip", "negbin")), (panel.check_categories, ("categorical", "ordinal"))):
-        own = [c for f, named in blocks if f in kinds for i in named for c in of[i]]
-        if own:
-            check(df, own)
+    df, coding = coded_items(df, blocks, spec.items, times)
     df = panel.drop_empty(df, cols)
     rows = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in cols), *([F.col(weight).cast("double").alias("_w")] if weight else []))
     table = P.collapse(rows, cols, "_w" if weight else None, names=("_weight", "_rows")).limit(max_patterns + 1).toPandas()

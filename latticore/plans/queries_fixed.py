@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from latticore.operators import jointly as J
 from latticore.operators import mixture as M
 from latticore.operators import structural as S
 from latticore.operators import transition as T
@@ -82,8 +83,8 @@ def lta_recoded(spark, sf):
     return rounded(scored.select("user_id", "loglik", *(F.col("posteriors")[t][0].alias(f"g{t}") for t in QM.TIMES)))
 
 
-def chain_rounds(rounds: int) -> str:
-    """Baum-Welch of a chain with the same measurement at all occasions, over all paths of states."""
+def chain_rounds(rounds: int, where: str = "TRUE", ordered: bool = True) -> str:
+    """Baum-Welch of a chain with the same measurement at all occasions, over all paths of states; statuses then by starting share, or as they are."""
     items, times, both = QM.LTA_ITEMS, QM.TIMES, (1, 2)
     start = [*(f"{num(QM.START[a - 1])} AS s_{a}" for a in both), *(f"{num(QM.MOVES[t][a - 1][b - 1])} AS m_{t}_{a}{b}" for t in times[:-1] for a in both for b in both), *(f"{num(QM.RHO[a - 1][j])} AS r_{n}_{a}" for a in both for j, n in enumerate(items))]
     pick = lambda values, of: "CASE " + " ".join(f"WHEN {w} THEN ln({v} + 1e-300)" for v, w in zip(values, of)) + " END"
@@ -99,13 +100,14 @@ def chain_rounds(rounds: int) -> str:
     wide = ", ".join(WAVES)
     marg = ", ".join("(" + " + ".join(f"sum(coalesce({n}{t}, 0))" for t in times) + ") * 1.0e0 / (" + " + ".join(f"count({n}{t})" for t in times) + f") AS m_{n}" for n in items)
     last = f"(SELECT * FROM t WHERE it = {rounds})"
-    first, other = "CASE WHEN s_1 >= s_2 THEN {0} ELSE {1} END", "CASE WHEN s_1 >= s_2 THEN {1} ELSE {0} END"
+    test = "s_1 >= s_2" if ordered else "TRUE"
+    first, other = f"CASE WHEN {test} THEN {{0}} ELSE {{1}} END", f"CASE WHEN {test} THEN {{1}} ELSE {{0}} END"
     out = []
     for a, form in ((1, first), (2, other)):
         out.append(f"SELECT 'start' AS item, {a} AS class, round({form.format('s_1', 's_2')}, 5) AS estimate FROM {last}")
         out += [f"SELECT '{n}', {a}, round({form.format(f'r_{n}_1', f'r_{n}_2')}, 5) FROM {last}" for n in items]
         out += [f"SELECT 'stay{t}', {a}, round({form.format(f'm_{t}_11', f'm_{t}_22')}, 5) FROM {last}" for t in times[:-1]]
-    return f"""WITH RECURSIVE {QM.SQL_STATES}, seen AS (SELECT user_id, {wide} FROM states WHERE coalesce({wide}) IS NOT NULL), marg AS (SELECT {marg} FROM seen),
+    return f"""WITH RECURSIVE {QM.SQL_STATES}, seen AS (SELECT user_id, {wide} FROM states WHERE coalesce({wide}) IS NOT NULL AND {where}), marg AS (SELECT {marg} FROM seen),
 g AS (SELECT * FROM (VALUES (1), (2)) a(s0), (VALUES (1), (2)) b(s1), (VALUES (1), (2)) c(s2), (VALUES (1), (2)) d(s3)),
 t AS (SELECT 0 AS it, {', '.join(start)} UNION ALL
 SELECT it + 1, {', '.join(f'{e} AS {n}' for e, n in zip(new, names))} FROM (SELECT *, exp(lp) / sum(exp(lp)) OVER (PARTITION BY user_id) AS p
@@ -116,12 +118,71 @@ SELECT it + 1, {', '.join(f'{e} AS {n}' for e, n in zip(new, names))} FROM (SELE
 @query("fit_lta_from_start", chain_rounds(15))
 def fit_lta_from_start(spark, sf):
     c = T.fit_lta(QM.states(spark, sf), QM.LTA_ITEMS, QM.TIMES, 2, starts=[(QM.START, QM.MOVES, [{"p": np.array(QM.RHO)}])], max_iter=15, tol=-1)
+    return rounded(spark.createDataFrame(chain_parameters(c), PARAMS), 5)
+
+
+def chain_parameters(c: T.Chain) -> list[tuple]:
     rows = []
     for a in range(2):
         rows.append(("start", a + 1, float(c.start[a])))
         rows += [(n, a + 1, float(c.params[0][0]["p"][a, j])) for j, n in enumerate(QM.LTA_ITEMS)]
         rows += [(f"stay{t}", a + 1, float(c.moves[t, a, a])) for t in range(3)]
-    return rounded(spark.createDataFrame(rows, PARAMS), 5)
+    return rows
+
+
+#: Both groups' statuses in the order of their starting shares over all.
+SQL_HALVES_ORDER = f"""WITH {QM.SQL_STATES}, sizes AS (SELECT user_id % 2 AS half, count(*) AS n FROM states WHERE coalesce({', '.join(WAVES)}) IS NOT NULL GROUP BY ALL),
+fitted AS ({" UNION ALL ".join(f"SELECT {g} AS half, * FROM ({chain_rounds(15, f'user_id % 2 = {g}', ordered=False)})" for g in (0, 1))}),
+turn AS (SELECT sum(CASE WHEN class = 1 THEN n * estimate ELSE -n * estimate END) < 0 AS turned FROM fitted JOIN sizes USING (half) WHERE item = 'start')
+SELECT CAST(half AS BIGINT) AS half, item, CAST(CASE WHEN turned THEN 3 - class ELSE class END AS BIGINT) AS class, estimate FROM fitted, turn"""
+
+
+@query("fit_lta_groups_from_start", SQL_HALVES_ORDER)
+def fit_lta_groups_from_start(spark, sf):
+    """Nothing is equal over the groups: each goes its own way from the common start."""
+    halves = QM.states(spark, sf).withColumn("half", (F.col("user_id") % 2).cast("int"))
+    fit = J.fit_lta_groups(halves, QM.LTA_ITEMS, QM.TIMES, "half", 2, measurement_equal=False, starts=[(QM.START, QM.MOVES, [{"p": np.array(QM.RHO)}])], max_iter=15, tol=-1)
+    return rounded(spark.createDataFrame([(g, *r) for g, c in fit["groups"].items() for r in chain_parameters(c)], f"half bigint, {PARAMS}"), 5)
+
+
+TWO_JOINT, TWO_X, TWO_Y = [[0.4, 0.15], [0.15, 0.3]], [[0.2, 0.3, 0.4], [0.7, 0.8, 0.6]], [[0.3, 0.2], [0.6, 0.7]]
+
+
+def two_latent_sql(rounds: int) -> str:
+    """EM over the four cells of two binary latent variables; classes then by size, 0 where an item is not of the variable."""
+    both, xs, ys = (0, 1), Q.FLAGS[:3], Q.FLAGS[3:]
+    sides = [("x", xs, TWO_X, lambda a: f"(r{a}0 + r{a}1)"), ("y", ys, TWO_Y, lambda b: f"(r0{b} + r1{b})")]
+    cells = [(a, b) for a in both for b in both]
+    start = [f"{num(TWO_JOINT[a][b])} AS p{a}{b}" for a, b in cells] + [f"{num(prob[c][j])} AS {f}_{c}" for _, items, prob, _ in sides for c in both for j, f in enumerate(items)]
+    log = lambda f, c: f"coalesce(CASE WHEN {f} = 1 THEN ln(greatest({f}_{c}, 1e-15)) WHEN {f} = 0 THEN ln(greatest(1 - {f}_{c}, 1e-15)) END, 0)"
+    logs = ", ".join(f"ln(p{a}{b} + 1e-15) + " + " + ".join([*(log(f, a) for f in xs), *(log(f, b) for f in ys)]) + f" AS l{a}{b}" for a, b in cells)
+    top = f"greatest({', '.join(f'l{a}{b}' for a, b in cells)})"
+    post = ", ".join(f"w * exp(l{a}{b} - {top}) / ({' + '.join(f'exp(l{c}{d} - {top})' for c, d in cells)}) AS r{a}{b}" for a, b in cells)
+    new = [f"(sum(r{a}{b}) + 0.25e0) / (sum(w) + 1)" for a, b in cells]
+    new += [f"(coalesce(sum({r(c)} * {f}), 0) + any_value(m_{f}) / 2) / (coalesce(sum(CASE WHEN {f} IS NOT NULL THEN {r(c)} END), 0) + 0.5e0)" for _, items, _, r in sides for c in both for f in items]
+    turned = {"x": "p10 + p11 > p00 + p01", "y": "p01 + p11 > p00 + p10"}
+    at = lambda side, c: f"CAST(CASE WHEN {turned[side]} THEN {2 - c} ELSE {1 + c} END AS BIGINT)"
+    out = [f"SELECT 'share' AS item, {at('x', a)} AS class_x, {at('y', b)} AS class_y, round(p{a}{b}, 5) AS estimate FROM last" for a, b in cells]
+    out += [f"SELECT '{f}', {at('x', c)}, 0, round({f}_{c}, 5) FROM last" for c in both for f in xs] + [f"SELECT '{f}', 0, {at('y', c)}, round({f}_{c}, 5) FROM last" for c in both for f in ys]
+    out.append(f"SELECT 'log odds', 1, 1, round(CASE WHEN ({turned['x']}) = ({turned['y']}) THEN 1 ELSE -1 END * ln(p00 * p11 / (p01 * p10)), 4) FROM last")
+    return f"""WITH RECURSIVE {Q.SQL_FLAGS}, {Q.SQL_GAPS}, pat AS (SELECT {', '.join(Q.FLAGS)}, CAST(count(*) AS DOUBLE) AS w FROM gaps WHERE coalesce({', '.join(Q.FLAGS)}) IS NOT NULL GROUP BY ALL),
+marg AS (SELECT {', '.join(f'sum(w * {f}) / sum(CASE WHEN {f} IS NOT NULL THEN w END) AS m_{f}' for f in Q.FLAGS)} FROM pat),
+t AS (SELECT 0 AS it, {', '.join(start)} UNION ALL
+SELECT it + 1, {', '.join(new)} FROM (SELECT *, {post} FROM (SELECT it, {', '.join(Q.FLAGS)}, w, {logs} FROM pat, t WHERE it < {rounds})), marg GROUP BY it),
+last AS (SELECT * FROM t WHERE it = {rounds})
+{' UNION ALL '.join(out)}"""
+
+
+@query("two_latent_from_start", two_latent_sql(40))
+def two_latent_from_start(spark, sf):
+    xs, ys = Q.FLAGS[:3], Q.FLAGS[3:]
+    start = [(np.array(TWO_JOINT), [{"p": np.array(TWO_X)}], [{"p": np.array(TWO_Y)}])]
+    fit = J.fit_two_latent(Q.gaps(Q.flags(spark, sf)), xs, ys, 2, 2, starts=start, max_iter=40, tol=-1)
+    rows = [("share", a + 1, b + 1, round(float(fit["joint"][a, b]), 5)) for a in range(2) for b in range(2)]
+    rows += [(f, c + 1, 0, round(float(fit["params"][0][0]["p"][c, j]), 5)) for c in range(2) for j, f in enumerate(xs)]
+    rows += [(f, 0, c + 1, round(float(fit["params"][1][0]["p"][c, j]), 5)) for c in range(2) for j, f in enumerate(ys)]
+    rows.append(("log odds", 1, 1, round(float(fit["coefficients"]["estimate"][0]), 4)))
+    return spark.createDataFrame(rows, "item string, class_x bigint, class_y bigint, estimate double")
 
 
 # ---------------------------------------------------------------- continuous items
