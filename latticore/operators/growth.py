@@ -46,12 +46,19 @@ class Growth:
     entropy: float
     converged: bool
     logliks: list[float] = field(default_factory=list)
+    predictors: list[str] = field(default_factory=list)  # of the growth factors; extra["slopes"] is K x (degree + 1) x predictors
+    by_class: bool = False  # slopes are a class's own
+
+    @property
+    def inputs(self) -> list[str]:
+        """The columns a density is of: occasions, then predictors."""
+        return [*self.columns, *self.predictors]
 
     def metrics(self) -> dict[str, float]:
         return M.information_criteria(self.loglik, self.n_params, self.n, self.entropy, len(self.pi))
 
     def curves(self, spark) -> DataFrame:
-        """class, occasion, expected: the mean trajectory on the outcome's scale."""
+        """class, occasion, expected: the mean trajectory on the outcome's scale, where predictors are 0."""
         eta = self.beta @ self.design.T
         mean = {"binomial": expit(eta), "gaussian": eta}.get(self.family.partition("+")[0], np.exp(np.clip(eta, -30, 30)))
         if self.family == "zip":
@@ -59,25 +66,31 @@ class Growth:
         return spark.createDataFrame([(c + 1, t + 1, float(mean[c, t])) for c in range(len(self.pi)) for t in range(mean.shape[1])], "class int, occasion int, expected double")
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """df with posterior, class and loglik."""
+        """df with posterior, class and loglik; rows without a predictor have no expected curve and go."""
         g = self
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 if not len(f):
                     continue
-                y = f[g.columns].to_numpy(float, na_value=np.nan)
+                y = f[g.inputs].to_numpy(float, na_value=np.nan)
                 joint = np.log(g.pi + EPS) + _density(g.family, y, g.design, g.beta, g.extra)
                 ll = logsumexp(joint)
                 post = np.exp(joint - ll[:, None])
                 yield f.assign(**{"posterior": [list(map(float, p)) for p in post], "class": post.argmax(axis=1).astype("int32") + 1, "loglik": ll})
 
+        if g.predictors:
+            df = df.dropna(subset=[f"`{c}`" for c in g.predictors])
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
         return df.mapInPandas(run, fields + ", posterior array<double>, class int, loglik double")
 
 
 def _density(family: str, y: np.ndarray, x: np.ndarray, beta: np.ndarray, extra: dict) -> np.ndarray:
-    """n x K log-densities."""
+    """n x K log-densities; predictors of growth factors stand in y after the occasions."""
+    if family == "gaussian+random" and "slopes" in extra:
+        own, z = {n: v for n, v in extra.items() if n != "slopes"}, y[:, len(x) :]
+        one = lambda k: {n: v[k : k + 1] for n, v in own.items()}
+        return np.concatenate([_density(family, y[:, : len(x)] - z @ extra["slopes"][k].T @ x.T, x, beta[k : k + 1], one(k)) for k in range(len(beta))], axis=1)
     if family == "gaussian+random":
         return np.stack([_normal(y, x @ b, x[:, : len(p)] @ p @ x[:, : len(p)].T + np.diag(extra["theta"][k])) for k, (b, p) in enumerate(zip(beta, extra["psi"]))], axis=1)
     if family == "binomial+random":
@@ -232,12 +245,14 @@ def _gmm_sums(y: np.ndarray, w: np.ndarray, x: np.ndarray, q: int, state: tuple)
     """One pass over rows of the structured normal: moments of the random effects and of what they leave of the outcome."""
     pi, beta, extra = state
     psi, theta, k, d, t_max = extra["psi"], extra["theta"], len(pi), x.shape[1], len(x)
-    z, mask = x[:, :q], np.isnan(y)
     joint = np.log(pi + EPS) + _density("gaussian+random", y, x, beta, extra)
+    y, given = y[:, :t_max], np.column_stack([np.ones(len(y)), y[:, t_max:]])
+    z, mask, factors = x[:, :q], np.isnan(y), _factors(beta, extra)
+    p = given.shape[1]
     ll = logsumexp(joint)
     post = np.exp(joint - ll[:, None])
     r = post * w[:, None]
-    out = {"ll": float(w @ ll), "entropy": -float((r * np.log(post + EPS)).sum()), "size": r.sum(axis=0), "second": np.zeros((k, q, q)), "n": np.zeros((k, t_max)), "s1": np.zeros((k, t_max)), "s2": np.zeros((k, t_max)), "spread": np.zeros((k, t_max))}
+    out = {"ll": float(w @ ll), "entropy": -float((r * np.log(post + EPS)).sum()), "size": r.sum(axis=0), "second": np.zeros((k, q, q)), "n": np.zeros((k, t_max, p, p)), "s1": np.zeros((k, t_max, p)), "s2": np.zeros((k, t_max)), "spread": np.zeros((k, t_max))}
     for m in np.unique(mask, axis=0):
         rows, s = np.flatnonzero((mask == m).all(axis=1)), ~m
         if not s.any():
@@ -248,35 +263,63 @@ def _gmm_sums(y: np.ndarray, w: np.ndarray, x: np.ndarray, q: int, state: tuple)
             gain = psi[c] @ zs.T @ np.linalg.inv(v)
             left = psi[c] - gain @ zs @ psi[c]
             own = y[rows][:, s]
-            u, rr = (own - x[s] @ beta[c]) @ gain.T, r[rows, c]
+            u, rr = (own - given[rows] @ factors[c].T @ x[s].T) @ gain.T, r[rows, c]
             out["second"][c] += (u * rr[:, None]).T @ u + rr.sum() * left
             adj = own - u @ zs.T
-            out["n"][c, s] += rr.sum()
-            out["s1"][c, s] += rr @ adj
+            weighted = given[rows] * rr[:, None]
+            out["n"][c, s] += weighted.T @ given[rows]
+            out["s1"][c, s] += adj.T @ weighted
             out["s2"][c, s] += rr @ adj**2
             out["spread"][c, s] += rr.sum() * np.einsum("ti,ij,tj->t", zs, left, zs)
     return out
 
 
-def _gmm_run(x, k, start, psi_equal, max_iter, tol):
-    """EM of the structured normal, as a run: psi equal or free over classes, theta by occasion, equal over classes."""
+def _factors(beta: np.ndarray, extra: dict) -> np.ndarray:
+    """K x (degree + 1) x (1 + predictors): what a growth factor is expected to be, by a constant and the predictors."""
+    return np.concatenate([beta[:, :, None], extra["slopes"]], axis=2) if "slopes" in extra else beta[:, :, None]
+
+
+def _gls(x: np.ndarray, n: np.ndarray, s: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """The coefficients (columns of x by given variables) of sums over rows: n (T x p x p), s (T x p), residual variances theta."""
+    h = sum(np.kron(np.outer(v, v), a) / t for v, a, t in zip(x, n, theta))
+    return (inverse(h) @ sum(np.kron(v, a) / t for v, a, t in zip(x, s, theta))).reshape(x.shape[1], -1)
+
+
+def _gmm_run(x, k, start, psi_equal, max_iter, tol, by_class=False, residual="occasion", residual_equal=True):
+    """EM of the structured normal, as a run: psi equal or free over classes, theta by occasion or constant, equal or free over classes.
+
+    Slopes equal over classes are updated after the curves at them, so a round still climbs.
+    """
     pi, beta, extra = start
     psi, theta = extra["psi"], extra["theta"]
+    slopes = {"slopes": extra["slopes"]} if "slopes" in extra else {}
     q, last, done = psi.shape[1], -math.inf, False
     for it in range(max_iter + 1):
-        a = yield pi, beta, {"psi": psi, "theta": theta}
+        a = yield pi, beta, {"psi": psi, "theta": theta} | slopes
         value = a["ll"]
         done = it > 0 and value - last < tol * (1 + abs(value))
         if done or it == max_iter:
             break
-        last, size = value, a["size"]
+        last, size, n, s1 = value, a["size"], a["n"], a["s1"]
         pi = (size + 1.0 / k) / (size.sum() + 1.0)
-        beta = np.stack([inverse(x.T @ (x * (a["n"][c] / theta[c])[:, None])) @ (x.T @ (a["s1"][c] / theta[c])) for c in range(k)])
-        mu = beta @ x.T
-        e2 = (a["s2"] - 2 * mu * a["s1"] + mu**2 * a["n"] + a["spread"]).sum(axis=0)
+        if not slopes or by_class:
+            both = np.stack([_gls(x, n[c], s1[c], theta[c]) for c in range(k)])
+            beta = both[:, :, 0]
+            slopes = {"slopes": both[:, :, 1:]} if slopes else {}
+        else:
+            shift = np.einsum("td,dj->tj", x, slopes["slopes"][0])
+            beta = np.stack([_gls(x, n[c, :, :1, :1], s1[c, :, :1] - (shift * n[c, :, 1:, 0]).sum(axis=1, keepdims=True), theta[c])[:, 0] for c in range(k)])
+            left = s1[:, :, 1:] - (beta @ x.T)[:, :, None] * n[:, :, 0, 1:]
+            one = _gls(np.tile(x, (k, 1)), n[:, :, 1:, 1:].reshape(-1, n.shape[2] - 1, n.shape[2] - 1), left.reshape(-1, n.shape[2] - 1), theta.ravel())
+            slopes = {"slopes": np.repeat(one[None], k, axis=0)}
+        mu = np.einsum("td,kdj->ktj", x, _factors(beta, slopes))
+        e2 = a["s2"] - 2 * (mu * s1).sum(axis=2) + np.einsum("kti,ktij,ktj->kt", mu, n, mu) + a["spread"]
+        count = n[:, :, 0, 0]
+        over = ((0,) if residual_equal else ()) + ((1,) if residual == "constant" else ())
+        e2, count = (v.sum(axis=over, keepdims=True) if over else v for v in (e2, count))
         psi = np.repeat((a["second"].sum(axis=0) / size.sum())[None], k, axis=0) if psi_equal else (a["second"] + 1e-6 * np.eye(q)) / np.maximum(size, EPS)[:, None, None]
-        theta = np.repeat(np.maximum(e2 / np.maximum(a["n"].sum(axis=0), EPS), 1e-8)[None, :], k, axis=0)
-    return {"pi": pi, "beta": beta, "extra": {"psi": psi, "theta": theta}, "ll": value, "entropy": a["entropy"], "converged": bool(done)}
+        theta = np.broadcast_to(np.maximum(e2 / np.maximum(count, EPS), 1e-8), (k, len(x))).copy()
+    return {"pi": pi, "beta": beta, "extra": {"psi": psi, "theta": theta} | slopes, "ll": value, "entropy": a["entropy"], "converged": bool(done)}
 
 
 def _binary_gmm_sums(y: np.ndarray, w: np.ndarray, x: np.ndarray, state: tuple) -> dict:
@@ -402,8 +445,16 @@ def fit_lcga(df: DataFrame, columns: Sequence[str], n_classes: int = 2, *, degre
     return Growth(family, columns, x, best["pi"], best["beta"], best["extra"], best["ll"], p, n, best["entropy"], best["converged"], lls)
 
 
-def fit_gmm(df: DataFrame, columns: Sequence[str], n_classes: int = 2, *, degree: int = 1, random_effects: str = "intercept_slope", psi: str = "equal", family: str = "gaussian", n_quadrature: int = 15, time_scores: Sequence[float] | None = None, weight: str | None = None, n_init: int = 20, seed: int = 1, max_iter: int = 2000, tol: float = 1e-8, max_patterns: int = 200_000) -> Growth:
-    """Classes of curves with random effects around them; binomial outcomes have a random intercept integrated by quadrature."""
+def fit_gmm(df: DataFrame, columns: Sequence[str], n_classes: int = 2, *, degree: int = 1, random_effects: str = "intercept_slope", psi: str = "equal", residual: str = "occasion", residual_equal: bool = True, predictors: Sequence[str] = (), by_class: bool = False, family: str = "gaussian", n_quadrature: int = 15, time_scores: Sequence[float] | None = None, weight: str | None = None, n_init: int = 20, seed: int = 1, max_iter: int = 2000, tol: float = 1e-8, max_patterns: int = 200_000) -> Growth:
+    """Classes of curves with random effects around them; binomial outcomes have a random intercept integrated by quadrature.
+
+    Residual variances are by occasion or constant, equal over classes or free.  `predictors` shift a case's growth factors within its class, by slopes
+    equal over classes or a class's own (`by_class`); rows without one of them take no part.
+    """
+    if residual not in ("occasion", "constant"):
+        raise ValueError("residual is occasion or constant")
+    if (predictors or residual != "occasion" or not residual_equal) and (family != "gaussian" or random_effects == "none"):
+        raise ValueError("predictors and residuals are of gaussian curves with random effects")
     if family == "gaussian" and random_effects == "none":
         return fit_lcga(df, columns, n_classes, degree=degree, time_scores=time_scores, weight=weight, n_init=n_init, seed=seed)
     columns, x, k = list(columns), _check(columns, degree, time_scores), n_classes
@@ -423,15 +474,19 @@ def fit_gmm(df: DataFrame, columns: Sequence[str], n_classes: int = 2, *, degree
         raise ValueError("psi is equal or free")
 
     def make(y, w, rng):
+        y = y[:, : len(x)]
         mean, var = np.nanmean(y, axis=0), np.nanvar(y, axis=0)
         pick = rng.choice(len(y), k, p=w / w.sum(), replace=len(y) < k)
         beta = np.array([_wls(x, np.where(np.isnan(y[i]), mean, y[i]), np.ones(len(x))) for i in pick])
         scale = np.diag([var.mean() / 3] + [var.mean() / 30] * (q - 1))
-        return rng.dirichlet(np.full(k, 5.0)), beta, {"psi": np.repeat(scale[None], k, axis=0), "theta": np.repeat((var / 2)[None, :], k, axis=0)}
-
-    best, n, lls = _fit(df, columns, lambda y, w, state: _gmm_sums(y, w, x, q, state), lambda m, s: _gmm_run(x, k, s, psi == "equal", max_iter, tol), make, n_init if k > 1 else 1, seed, weight, max_patterns)
-    p = k - 1 + k * (degree + 1) + q * (q + 1) // 2 * (1 if psi == "equal" else k) + len(x)
-    return Growth("gaussian+random", columns, x, best["pi"], best["beta"], best["extra"], best["ll"], p, n, best["entropy"], best["converged"], lls)
+        return rng.dirichlet(np.full(k, 5.0)), beta, {"psi": np.repeat(scale[None], k, axis=0), "theta": np.repeat((var / 2)[None, :], k, axis=0)} | ({"slopes": np.zeros((k, degree + 1, len(predictors)))} if predictors else {})
+
+    predictors = list(predictors)
+    if predictors:
+        df = panel.drop_empty(df, columns).dropna(subset=[f"`{c}`" for c in predictors])
+    best, n, lls = _fit(df, [*columns, *predictors], lambda y, w, state: _gmm_sums(y, w, x, q, state), lambda m, s: _gmm_run(x, k, s, psi == "equal", max_iter, tol, by_class, residual, residual_equal), make, n_init if k > 1 else 1, seed, weight, max_patterns)
+    p = k - 1 + k * (degree + 1) + q * (q + 1) // 2 * (1 if psi == "equal" else k) + (len(x) if residual == "occasion" else 1) * (1 if residual_equal else k) + len(predictors) * (degree + 1) * (k if by_class else 1)
+    return Growth("gaussian+random", columns, x, best["pi"], best["beta"], best["extra"], best["ll"], p, n, best["entropy"], best["converged"], lls, predictors, by_class)
 
 
 def growth_observed(scored: DataFrame, columns: Sequence[str], k: int) -> DataFrame:

@@ -198,25 +198,19 @@ def fit_rmlca_invariant(df: DataFrame, items: Sequence[str], times: Sequence, n_
 
 def growth_estimates(g: G.Growth, y: np.ndarray, w: np.ndarray, kind: str = "robust") -> pd.DataFrame:
     """Growth coefficients with standard errors; class shares are estimated with them, dispersions held."""
-    k, d = g.beta.shape
-
-    def ll(t):
-        e = np.exp(np.append(t[: k - 1], 0.0))
-        return logsumexp(np.log(e / e.sum() + EPS) + G._density(g.family, y, g.design, t[k - 1 :].reshape(k, d), g.extra))
-
-    theta = np.concatenate([np.log(g.pi[:-1] / g.pi[-1]), g.beta.ravel()])
+    ll, theta = _growth_density(g, y)
     scores = gradient(ll, theta)
     meat, bread = scores.T @ (scores * w[:, None]), inverse(-hessian(lambda t: float(w @ ll(t)), theta))
     v = inverse(meat) if kind == "opg" else bread if kind == "hessian" else bread @ meat @ bread
-    se = np.sqrt(np.maximum(np.diag(v)[k - 1 :], 0))
-    out = pd.DataFrame([(c + 1, j) for c in range(k) for j in range(d)], columns=["class", "degree"]).assign(estimate=g.beta.ravel(), se=se)
-    return out.assign(z=out["estimate"] / out["se"], p_value=two_sided(out["estimate"] / out["se"]))
+    return _growth_table(g, theta, v)
 
 
 def growth_estimates_opg(g: G.Growth, df: DataFrame, weight: str | None = None) -> pd.DataFrame:
     """growth_estimates() from the outer products of scores, of which each partition returns the sum: for any number of rows."""
-    k, d = g.beta.shape
-    size, cols = k - 1 + k * d, g.columns
+    cols = g.inputs
+    size = len(_growth_density(g, np.zeros((0, len(cols))))[1])
+    if g.predictors:
+        df = df.dropna(subset=[f"`{c}`" for c in g.predictors])
 
     def run(frames):
         total = np.zeros((size, size))
@@ -232,25 +226,45 @@ def growth_estimates_opg(g: G.Growth, df: DataFrame, weight: str | None = None)
     meat = np.zeros((size, size))
     for r in rows:
         meat[r.i, r.j] = r.v
-    se = np.sqrt(np.maximum(np.diag(inverse(meat))[k - 1 :], 0))
-    out = pd.DataFrame([(c + 1, j) for c in range(k) for j in range(d)], columns=["class", "degree"]).assign(estimate=g.beta.ravel(), se=se)
-    return out.assign(z=out["estimate"] / out["se"], p_value=two_sided(out["estimate"] / out["se"]))
+    return _growth_table(g, _growth_density(g, np.zeros((0, len(g.inputs))))[1], inverse(meat))
 
 
 def _growth_scores(g: G.Growth, y: np.ndarray) -> np.ndarray:
+    return gradient(*_growth_density(g, y))
+
+
+def _growth_density(g: G.Growth, y: np.ndarray):
+    """Log-likelihoods of rows as a function of class logits, curves and predictors' slopes, and where these are."""
     k, d = g.beta.shape
+    slopes = g.extra.get("slopes", np.zeros((k, d, 0)))
+    at = k - 1 + k * d
 
     def ll(t):
-        e = np.exp(np.append(t[: k - 1], 0.0))
-        return logsumexp(np.log(e / e.sum() + EPS) + G._density(g.family, y, g.design, t[k - 1 :].reshape(k, d), g.extra))
+        e, extra = np.exp(np.append(t[: k - 1], 0.0)), g.extra
+        if g.predictors:
+            own = t[at:].reshape(-1, d, len(g.predictors))
+            extra = extra | {"slopes": own if g.by_class else np.repeat(own, k, axis=0)}
+        return logsumexp(np.log(e / e.sum() + EPS) + G._density(g.family, y, g.design, t[k - 1 : at].reshape(k, d), extra))
+
+    return ll, np.concatenate([np.log(g.pi[:-1] / g.pi[-1]), g.beta.ravel(), (slopes if g.by_class else slopes[:1]).ravel()])
 
-    return gradient(ll, np.concatenate([np.log(g.pi[:-1] / g.pi[-1]), g.beta.ravel()]))
+
+def _growth_table(g: G.Growth, theta: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+    """class, degree, estimate, se, z, p_value; with predictors their slopes follow, by a column `term` (class 0: equal over classes)."""
+    k, d = g.beta.shape
+    rows = [(c + 1, j, "(intercept)") for c in range(k) for j in range(d)]
+    rows += [(c, j, n) for c in (range(1, k + 1) if g.by_class else [0]) for j in range(d) for n in g.predictors]
+    out = pd.DataFrame(rows, columns=["class", "degree", "term"]).assign(estimate=theta[k - 1 :], se=np.sqrt(np.maximum(np.diag(v)[k - 1 :], 0)))
+    out = out.assign(z=out["estimate"] / out["se"], p_value=two_sided(out["estimate"] / out["se"]))
+    return out if g.predictors else out.drop(columns="term")
 
 
 def simulate_growth(g: G.Growth, n: int, seed: int = 1) -> pd.DataFrame:
     """n complete rows drawn from a growth model, with their class."""
     rng = np.random.default_rng(seed)
     c = rng.choice(len(g.pi), n, p=g.pi / g.pi.sum())
+    if g.predictors:
+        raise ValueError("rows of a model with predictors are drawn given the predictors, which are not at hand")
     eta = g.beta[c] @ g.design.T
     if g.family == "gaussian+random":
         q = g.extra["psi"].shape[1]

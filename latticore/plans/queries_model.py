@@ -289,8 +289,10 @@ def growth_curves(spark, sf):
     return rounded(lcga_fit().curves(spark))
 
 
-def gmm_sql(c: int) -> str:
-    d = [f"(y{t} - {num(BETA[c][0] + BETA[c][1] * t)})" for t in TIMES]
+def gmm_sql(c: int, slopes=None) -> str:
+    """The log-joint of class c; slopes are of the growth factors by z = user_id % 2."""
+    shift = [f" - {num(slopes[c][0] + slopes[c][1] * t)} * (user_id % 2)" if slopes else "" for t in TIMES]
+    d = [f"(y{t} - {num(BETA[c][0] + BETA[c][1] * t)}{shift[t]})" for t in TIMES]
     n = " + ".join(f"(y{t} IS NOT NULL)::INT" for t in TIMES)
     sq, s = " + ".join(f"coalesce({x} * {x}, 0)" for x in d), " + ".join(f"coalesce({x}, 0)" for x in d)
     psi, theta = num(PSI[c]), num(THETA[c])
@@ -299,8 +301,22 @@ def gmm_sql(c: int) -> str:
 
 @query("gmm_loglik", f"WITH {SQL_TRAJ}, " + Q.posterior_sql([gmm_sql(0), gmm_sql(1)], "traj", "user_id") + " " + Q.out_sql(2, "user_id"))
 def gmm_loglik(spark, sf):
-    g = G.Growth("gaussian+random", VALUES, G.polynomial(TIMES, 1), np.array([0.6, 0.4]), np.array(BETA), {"psi": np.array([[[PSI[0]]], [[PSI[1]]]]), "theta": np.array([[THETA[0]] * 4, [THETA[1]] * 4])}, math.nan, 0, math.nan, math.nan, True)
-    return Q.scored_out(g.transform(trajectories(spark, sf)), ["user_id"], 2)
+    return Q.scored_out(gmm_fit().transform(trajectories(spark, sf)), ["user_id"], 2)
+
+
+def gmm_fit() -> G.Growth:
+    extra = {"psi": np.array([[[PSI[0]]], [[PSI[1]]]]), "theta": np.array([[THETA[0]] * 4, [THETA[1]] * 4])}
+    return G.Growth("gaussian+random", VALUES, G.polynomial(TIMES, 1), np.array([0.6, 0.4]), np.array(BETA), extra, math.nan, 0, math.nan, math.nan, True)
+
+
+GROWTH_SLOPES = [[1.5, -0.5], [-2.0, 0.25]]
+
+
+@query("gmm_predictors_loglik", f"WITH {SQL_TRAJ}, " + Q.posterior_sql([gmm_sql(0, GROWTH_SLOPES), gmm_sql(1, GROWTH_SLOPES)], "traj", "user_id") + " " + Q.out_sql(2, "user_id"))
+def gmm_predictors_loglik(spark, sf):
+    g = gmm_fit()
+    g.extra["slopes"], g.predictors, g.by_class = np.array(GROWTH_SLOPES)[:, :, None], ["z"], True
+    return Q.scored_out(g.transform(trajectories(spark, sf).withColumn("z", (F.col("user_id") % 2).cast("double"))), ["user_id"], 2)
 
 
 # ---------------------------------------------------------------- streams
