@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where it can express them."""
 
-from latticore.llm import bpe_fst, chat, hmm_lm, mixing, page_diff, parity_join, quality, substring_dedup, topk, url_trie
+from latticore.llm import bpe_fst, chat, filter_audit, hmm_lm, language_id, mixing, page_diff, parity_join, quality, substring_dedup, token_links, topk, url_trie
 
 QUERIES = {
     "op1_page_text": page_diff.op1_page_text,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_top_k": topk.op8_top_k,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_perspectives": chat.op10_perspectives,
+    "op11_token_links": token_links.op11_token_links,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_language_id": language_id.op13_language_id,
 }
 
 ORACLES = {
@@ -21,4 +24,5 @@ ORACLES = {
     "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op8_top_k": topk.OP8_SQL,
     "op10_perspectives": chat.OP10_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
 }
