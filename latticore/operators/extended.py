@@ -23,7 +23,7 @@ from latticore.sources import panel
 
 
 def pattern_table(df: DataFrame, items: Sequence[str], extra: Sequence[str] = (), weight: str | None = None, most: int = 200_000) -> pd.DataFrame:
-    """Distinct rows of items and extra columns with _weight, on the driver; refused beyond `most` rows."""
+    """Distinct rows of items (coded already) and extra columns with _weight, on the driver; refused beyond `most` rows."""
     rows = panel.drop_empty(df, items).dropna(subset=[f"`{c}`" for c in extra]) if extra else panel.drop_empty(df, items)
     table = P.collapse(rows, items, weight, extra, names=("_weight", "_rows")).limit(most + 1).toPandas()
     if len(table) > most:
@@ -36,9 +36,14 @@ def pattern_table(df: DataFrame, items: Sequence[str], extra: Sequence[str] = ()
 # ---------------------------------------------------------------- groups
 
 
-def fit_groups(df: DataFrame, items: Sequence[str], group: str, n_classes: int, measurement="binary", *, measurement_equal: bool | Sequence[str] = False, prevalence_equal: bool = False, weight: str | None = None, n_init: int = 10, seed: int = 1, max_iter: int = 1000, tol: float = 1e-8) -> dict:
-    """A mixture in several groups: measurement free, equal, or equal for named items; class shares free or equal."""
+def fit_groups(df: DataFrame, items: Sequence[str], group: str, n_classes: int, measurement="binary", *, measurement_equal: bool | Sequence[str] = False, prevalence_equal: bool = False, weight: str | None = None, n_init: int = 10, seed: int = 1, max_iter: int = 1000, tol: float = 1e-8, starts: list[tuple] | None = None) -> dict:
+    """A mixture in several groups: measurement free, equal, or equal for named items; class shares free or equal.
+
+    `starts`, (class shares by group, parameters of each block) with blocks as in `groups` of the result, are used in place of `n_init` random ones.
+    Binary items of any two values are coded alike in all groups.
+    """
     blocks = panel.normalize_measurement(items, measurement)
+    df, coding = T.coded_items(df, blocks, list(items), None)
     equal = set(items) if measurement_equal is True else set(measurement_equal or ())
     parts = [(f + ":class" if f == "continuous" else f, own, same) for f, cols in blocks for same, own in ((True, [c for c in cols if c in equal]), (False, [c for c in cols if c not in equal])) if own]
     spec = M.Spec([(f, own) for f, own, _ in parts], n_classes)
@@ -49,10 +54,13 @@ def fit_groups(df: DataFrame, items: Sequence[str], group: str, n_classes: int,
     whole = [e.marginal(b, w) for e, b in zip(M._resolved(spec, x), spec.split(x))]
     m = [[mm if same else e.marginal(b, w[r]) for e, b, mm, (_, _, same) in zip(spec.emissions(), spec.split(x[r]), whole, parts)] for r in rows]
     best = None
-    for i in range(n_init if n_classes > 1 else 1):
-        rng = np.random.default_rng([seed, i])
-        one = [e.start(mm, rng) for e, mm in zip(spec.emissions(), whole)]
-        pi = np.repeat(rng.dirichlet(np.full(n_classes, 5.0))[None], len(names), axis=0)
+    for i in range(len(starts) if starts else n_init if n_classes > 1 else 1):
+        if starts:
+            pi, one = np.asarray(starts[i][0], float), starts[i][1]
+        else:
+            rng = np.random.default_rng([seed, i])
+            one = [e.start(mm, rng) for e, mm in zip(spec.emissions(), whole)]
+            pi = np.repeat(rng.dirichlet(np.full(n_classes, 5.0))[None], len(names), axis=0)
         params, last, done = [one] * len(names), -math.inf, False
         for it in range(max_iter + 1):
             s = [M._statistics(spec, pi[g], params[g], x[r], w[r]) for g, r in enumerate(rows)]
@@ -81,7 +89,7 @@ def fit_groups(df: DataFrame, items: Sequence[str], group: str, n_classes: int,
             best = {"pi": pi, "params": params, "loglik": ll, "penalised": value, "converged": done, "entropy": sum(t["entropy"] for t in s)}
     p = (n_classes - 1) * (1 if prevalence_equal else len(names)) + sum(e.n_params(mm) * (1 if same else len(names)) for e, mm, (_, _, same) in zip(spec.emissions(), whole, parts))
     n = float(w.sum())
-    fits = {g: M.Fit(spec, best["pi"][i], best["params"][i], math.nan, math.nan, 0, float(w[rows[i]].sum()), math.nan, 0, best["converged"]) for i, g in enumerate(names)}
+    fits = {g: M.Fit(spec, best["pi"][i], best["params"][i], math.nan, math.nan, 0, float(w[rows[i]].sum()), math.nan, 0, best["converged"], coding=coding) for i, g in enumerate(names)}
     return {"groups": fits, "loglik": best["loglik"], "n_params": p, "n": n} | M.information_criteria(best["loglik"], p, n, best["entropy"], n_classes)
 
 
@@ -90,6 +98,7 @@ def fit_groups(df: DataFrame, items: Sequence[str], group: str, n_classes: int,
 
 def fit_dif(df: DataFrame, items: Sequence[str], covariate: str, n_classes: int, *, dif_items: Sequence[str], by_class: bool = False, predict_class: bool = True, weight: str | None = None, n_init: int = 5, seed: int = 1, max_iter: int = 500, tol: float = 1e-8) -> dict:
     """Binary items of which some depend on a covariate within classes: logit p = theta_kj + beta_j z (or beta_kj z)."""
+    df, coding = T.coded_items(df, [("binary", list(items))], list(items), None)
     table = pattern_table(df, items, [covariate], weight)
     x, w = M.pattern_arrays(table, items)
     z = table[covariate].to_numpy(float)
@@ -152,7 +161,7 @@ def fit_dif(df: DataFrame, items: Sequence[str], covariate: str, n_classes: int,
     rows = [(items[c], covariate, a + 1 if by_class else None, best["beta"][a, c]) for c in at for a in (range(k) if by_class else [0])]
     effects = pd.DataFrame(rows, columns=["item", "covariate", "class", "estimate"]).assign(se=se)
     effects["z"] = effects["estimate"] / effects["se"]
-    return best | {"effects": effects.assign(p=two_sided(effects["z"])), "n_params": k * j + len(point) + best["gamma"].size}
+    return best | {"effects": effects.assign(p=two_sided(effects["z"])), "n_params": k * j + len(point) + best["gamma"].size, "coding": coding}
 
 
 # ---------------------------------------------------------------- chains with covariates
@@ -181,7 +190,7 @@ def fit_lta_covariates(df: DataFrame, items: Sequence[str], times: Sequence, n_s
     base = T.fit_lta(df, items, times, n_statuses, measurement=measurement, weight=weight, n_init=n_init, seed=seed)
     spec, k, t_max = base.spec, n_statuses, len(times)
     cols, extra = panel.column_names(spec.items, times), list(dict.fromkeys([*initial, *transition]))
-    table = pattern_table(df, cols, extra, weight)
+    table = pattern_table(base.coded(df), cols, extra, weight)
     x, w = M.pattern_arrays(table, cols)
     z = {c: table[c].to_numpy(float) for c in extra}
     one = np.ones(len(w))
@@ -211,7 +220,7 @@ def fit_lta_covariates(df: DataFrame, items: Sequence[str], times: Sequence, n_s
         params = [e.update(b, mm, p) for e, b, mm, p in zip(spec.emissions(), total, m, params)]
     rows = [("initial", None, None, c + 1, n, gamma[c, i], math.sqrt(max(0.0, vg[c * di.shape[1] + i, c * di.shape[1] + i]))) for c in range(k - 1) for i, n in enumerate(["(intercept)", *initial])]
     rows += [("transition", t + 1, a + 1, c + 1, n, tau[t, a, c, i], math.nan) for t in range(t_max - 1) for a in range(k) for c in range(k - 1) for i, n in enumerate(["(intercept)", *transition])]
-    return {"loglik": value, "coefficients": pd.DataFrame(rows, columns=["part", "occasion", "from_status", "to_status", "term", "estimate", "se"]), "params": params, "n_params": gamma.size + tau.size + sum(e.n_params(mm) for e, mm in zip(spec.emissions(), m))}
+    return {"loglik": value, "coefficients": pd.DataFrame(rows, columns=["part", "occasion", "from_status", "to_status", "term", "estimate", "se"]), "params": params, "n_params": gamma.size + tau.size + sum(e.n_params(mm) for e, mm in zip(spec.emissions(), m)), "coding": base.coding}
 
 
 # ---------------------------------------------------------------- random intercepts
@@ -221,7 +230,7 @@ def fit_ri_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses:
     """Binary items with logit p = theta_kj + lambda_j u, u of a case constant over time: normal (by quadrature) or two-valued.  Each of `n_init` starts is followed to its end."""
     base = T.fit_lta(df, items, times, n_statuses, weight=weight, n_init=n_init, seed=seed)
     cols, k, t_max, j = panel.column_names(items, times), n_statuses, len(times), len(items)
-    x, w = M.pattern_arrays(pattern_table(df, cols, (), weight), cols)
+    x, w = M.pattern_arrays(pattern_table(base.coded(df), cols, (), weight), cols)
     x = x.reshape(len(x), t_max, j)
     seen, xx = ~np.isnan(x), np.where(np.isnan(x), 0, x)
     nodes, mass = gauss_hermite(n_quadrature) if random_intercept == "continuous" else (np.array([-1.0, 1.0]), np.array([0.5, 0.5]))
@@ -236,7 +245,7 @@ def fit_ri_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses:
     best = max(found, key=lambda r: r["loglik"])
     if best["loadings"].sum() < 0:  # the intercept's sign is free
         best |= {"loadings": -best["loadings"], "scores": -best["scores"], "mass": best["mass"][::-1]}
-    return best | {"logliks": [r["loglik"] for r in found], "n_params": k - 1 + (t_max - 1) * k * (k - 1) + k * j + j + (random_intercept == "binary")}
+    return best | {"logliks": [r["loglik"] for r in found], "n_params": k - 1 + (t_max - 1) * k * (k - 1) + k * j + j + (random_intercept == "binary"), "coding": base.coding}
 
 
 def _ri_climb(xx: np.ndarray, seen: np.ndarray, w: np.ndarray, theta: np.ndarray, load: np.ndarray, start: np.ndarray, moves: np.ndarray, nodes: np.ndarray, mass: np.ndarray, free_mass: bool, max_iter: int, tol: float) -> dict:
@@ -288,7 +297,7 @@ def fit_mixture_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_stat
     cols, k, t_max, j = panel.column_names(items, times), n_statuses, len(times), len(items)
     base = T.fit_lta(df, items, times, k, weight=weight, n_init=n_init, seed=seed)
     spec = base.spec
-    x, w = M.pattern_arrays(pattern_table(df, cols, (), weight), cols)
+    x, w = M.pattern_arrays(pattern_table(base.coded(df), cols, (), weight), cols)
     c_max, best = 2 if mover_stayer else n_classes, None
     m = [e.marginal(b, np.tile(w, t_max)) for e, b in zip(spec.emissions(), spec.split(np.concatenate([x[:, t * j : (t + 1) * j] for t in range(t_max)])))]
     for i in range(n_init):
@@ -325,7 +334,7 @@ def fit_mixture_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_stat
         if best is None or value > best["loglik"]:
             best = {"loglik": value, "share": share, "starts": [s.copy() for s in starts], "moves": [v.copy() for v in moves], "params": params}
     per = (t_max - 1) * k * (k - 1)
-    return best | {"n_params": c_max - 1 + c_max * (k - 1) + per * (1 if mover_stayer else c_max) + sum(e.n_params(mm) for e, mm in zip(spec.emissions(), m))}
+    return best | {"n_params": c_max - 1 + c_max * (k - 1) + per * (1 if mover_stayer else c_max) + sum(e.n_params(mm) for e, mm in zip(spec.emissions(), m)), "coding": base.coding}
 
 
 def fit_three_step_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: int, *, measurement="binary", n_init: int = 10, seed: int = 1, rounds: int = 2000, tol: float = 1e-10) -> dict:

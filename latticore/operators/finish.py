@@ -7,6 +7,7 @@ log-density.  Scores, their products and derivatives add up over rows: over arra
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticore.functions.special import gradient, inverse, logsumexp, two_sided
-from latticore.operators import emissions as E
+from latticore.operators import curvature as V
 from latticore.operators import mixture as M
 from latticore.operators import passes
 from latticore.operators import structural as S
+from latticore.operators import transition as T
+from latticore.operators.curvature import added, family_scores
 from latticore.plans import patterns as P
 from latticore.sources import panel
 
@@ -25,26 +28,6 @@ from latticore.sources import panel
 HELD = 15.0
 
 
-def family_scores(e: E.Emission, x: np.ndarray, p: dict, r: np.ndarray) -> np.ndarray:
-    """Rows by free parameters: the posterior times the derivative of the class's log-density."""
-    seen = ~np.isnan(x)
-    z = np.where(seen, x, 0.0)
-    if type(e) is E.Bernoulli:
-        return (r[:, :, None] * np.where(seen[:, None, :], z[:, None, :] - p["p"][None], 0.0)).reshape(len(x), -1)
-    if type(e) is E.Poisson:
-        return (r[:, :, None] * np.where(seen[:, None, :], z[:, None, :] - p["rate"][None], 0.0)).reshape(len(x), -1)
-    if type(e) is E.Categorical:
-        return np.concatenate([r[:, k : k + 1] * np.where(seen[:, j : j + 1], (z[:, j : j + 1] == np.arange(1, c)) - p["p"][k, j, : c - 1], 0.0) for k in range(e.k) for j, c in enumerate(e.cats)], axis=1)
-    if type(e) is E.Gaussian:
-        off = np.where(seen[:, None, :], z[:, None, :] - p["mean"][None], 0.0)
-        mean = (r[:, :, None] * off / p["var"][None]).reshape(len(x), -1)
-        if e.kind == "unit":
-            return mean
-        spread = r[:, :, None] * np.where(seen[:, None, :], 0.5 * (off**2 / p["var"][None] - 1), 0.0)
-        return np.concatenate([mean, spread.sum(axis=1) if e.kind == "equal" else spread.reshape(len(x), -1)], axis=1)
-    return gradient(lambda t: (r * e.loglik(x, e.fixed(t, p))).sum(axis=1), e.free(p))
-
-
 def case_scores(fit: M.Fit, x: np.ndarray, theta: np.ndarray | None = None) -> np.ndarray:
     """The derivative of each row's log-likelihood by the free parameters (Fit.free)."""
     pi, params = (fit.pi, fit.params) if theta is None else fit.at(theta)
@@ -54,29 +37,27 @@ def case_scores(fit: M.Fit, x: np.ndarray, theta: np.ndarray | None = None) -> n
 
 
 def score_sums(fit: M.Fit, x: np.ndarray, w: np.ndarray, theta: np.ndarray) -> dict:
-    """Log-likelihood, gradient and Hessian (differences of the analytic gradient), summed over rows."""
-    return {"ll": float(w @ fit.case_logliks(x, theta)), "g": w @ case_scores(fit, x, theta), "h": gradient(lambda t: w @ case_scores(fit, x, t), theta, 1e-5)}
-
-
-def _added(a: dict | None, b: dict) -> dict:
-    return b if a is None else {k: a[k] + b[k] for k in b}
+    """Log-likelihood, gradient, squared scores and Hessian, summed over rows; all analytic."""
+    return V.mixture_sums(fit.spec, *fit.at(theta), x, w)
 
 
-def newton_run(fit: M.Fit, n: float, *, rounds: int = 50, tol: float = 1e-10):
-    """Newton steps on the penalised log-likelihood, as a run (see passes), until its gradient per unit of weight is under tol.
+def climb(theta: np.ndarray, prior, n: float, *, rounds: int = 50, tol: float = 1e-10, near: float = 1e-3):
+    """Steps to the maximum of the penalised log-likelihood, as a run (see passes), until its gradient per unit of weight is under tol.
 
-    Probabilities at a bound are held there; a step is capped at 1 in every parameter and halved while it doesn't climb.
+    While the gradient is over `near` the squared scores stand for the curvature (BHHH), then the Hessian does (Newton).  prior(theta)
+    gives value, gradient and Hessian.  Parameters at a bound are held there; a step is capped at 1 in every parameter and halved while it doesn't climb.
     """
-    prior = lambda t: M._log_prior(fit.spec, *fit.at(t), fit.marginals)
-    theta = fit.free()
     s = yield theta
-    value = s["ll"] + prior(theta)
+    pv, pg, ph = prior(theta)
+    value, i, kinds = s["ll"] + pv, 0, []
     for i in range(rounds):
-        g = s["g"] + gradient(prior, theta)
+        g = s["g"] + pg
         bound = (np.abs(theta) > HELD) & (theta * g >= 0)
-        if np.abs(np.where(bound, 0, g)).max(initial=0) < tol * n:
+        steep = np.abs(np.where(bound, 0, g)).max(initial=0) / n
+        if steep < tol:
             break
-        h = s["h"] + gradient(lambda t: gradient(prior, t), theta, 1e-4)
+        kinds.append("bhhh" if steep > near else "newton")
+        h = (-s["outer"] if steep > near else s["h"]) + ph
         h = (h + h.T) / 2
         free = np.flatnonzero(~bound)
         values, vectors = np.linalg.eigh(h[np.ix_(free, free)])
@@ -87,19 +68,34 @@ def newton_run(fit: M.Fit, n: float, *, rounds: int = 50, tol: float = 1e-10):
         share = 1.0
         while share > 1e-6:
             new = yield theta + share * step
-            if np.isfinite(new["ll"]) and new["ll"] + prior(theta + share * step) >= value - 1e-12 * (1 + abs(value)):
+            own = prior(theta + share * step)
+            if np.isfinite(new["ll"]) and new["ll"] + own[0] >= value - 1e-12 * (1 + abs(value)):
                 break
             share /= 2
         else:
             break
-        theta, s = theta + share * step, new
-        value = s["ll"] + prior(theta)
-    return {"theta": theta, "ll": s["ll"], "penalised": value, "gradient": float(np.abs(np.where(bound, 0, g)).max(initial=0) / n), "h": s["h"], "steps": i}
+        theta, s, (pv, pg, ph) = theta + share * step, new, own
+        value = s["ll"] + pv
+    g = s["g"] + pg
+    bound = (np.abs(theta) > HELD) & (theta * g >= 0)
+    return {"theta": theta, "ll": s["ll"], "penalised": value, "gradient": float(np.abs(np.where(bound, 0, g)).max(initial=0) / n), "h": s["h"], "outer": s["outer"], "held": bound, "steps": len(kinds), "kinds": kinds}
 
 
-def _finished(fit: M.Fit, r: dict, entropy: float) -> M.Fit:
-    from dataclasses import replace
+def newton_run(fit: M.Fit, n: float, **how):
+    """climb() of a mixture."""
+    emissions = fit.spec.emissions()
+
+    def prior(theta):
+        pi, params = fit.at(theta)
+        a = fit.spec.alpha.get("latent", 1.0)
+        parts = [V.family_prior(e, p, m) for e, p, m in zip(emissions, params, fit.marginals)]
+        g = np.concatenate([a / fit.spec.k * (1 - fit.spec.k * pi)[:-1], *(d for d, _ in parts)])
+        return M._log_prior(fit.spec, pi, params, fit.marginals), g, V._blocks([V._softmax_curvature(pi, a), *(d for _, d in parts)])
+
+    return climb(fit.free(), prior, n, **how)
+
 
+def _finished(fit: M.Fit, r: dict, entropy: float) -> M.Fit:
     pi, params = fit.at(r["theta"])
     return replace(fit, pi=pi, params=params, loglik=r["ll"], penalised=r["penalised"], entropy=entropy, converged=True)
 
@@ -114,17 +110,82 @@ def newton_finish_table(fit: M.Fit, df: DataFrame, weight: str | None = None, **
     """The same on the rows of a table, which stay where they are: one pass for each step."""
     items = fit.spec.items
     rows = panel.drop_empty(fit.coded(df), items).select(*(F.col(f"`{c}`").cast("double").alias(c) for c in items), *([F.col(weight).cast("double").alias("_w")] if weight else [])).persist()
-    r = passes.together([newton_run(fit, fit.n, **how)], rows, items, "_w" if weight else None, lambda x, w, t: score_sums(fit, x, w, t), _added)[0]
+    r = passes.together([newton_run(fit, fit.n, **how)], rows, items, "_w" if weight else None, lambda x, w, t: score_sums(fit, x, w, t), added)[0]
     done = _finished(fit, r, fit.entropy)
     p = F.col("posterior")
     w = F.col("_w") if weight else F.lit(1.0)
-    from dataclasses import replace
-
     entropy = replace(done, coding={}).transform(rows).agg(F.sum(w * -sum((p[k] * F.log(p[k] + F.lit(1e-15)) for k in range(fit.spec.k)), F.lit(0.0)))).first()[0]
     rows.unpersist()
     return replace(done, entropy=float(entropy))
 
 
+# ---------------------------------------------------------------- chains
+
+
+def finish_chain(chain: T.Chain, df: DataFrame, *, weight: str | None = None, alpha: float = 1.0, same_moves: bool = False, **how) -> tuple[T.Chain, dict]:
+    """The chain moved to the maximum nearby, and a report: theta, names, gradient per unit weight, steps, their kinds, and vcov by kind.
+
+    Rows collapse to patterns, which stay where they are; each step is one pass over them, in which a partition returns one row of sums.  Moves that are
+    0 stay so; `same_moves` keeps those of all occasions equal; `alpha` is the fit's.
+    """
+    cols, spec = chain.columns, chain.spec
+    rows = panel.drop_empty(chain.coded(df), cols).select(*(F.col(f"`{c}`").cast("double").alias(c) for c in cols), *([F.col(weight).cast("double").alias("_in")] if weight else []))
+    table = P.collapse(rows, cols, "_in" if weight else None, names=("_w", "_rows")).persist()
+    long = panel.stack_occasions(table, spec.items, chain.times, ["_w"])
+    whole = M.marginals(long, spec, "_w")
+    packing = V.Packing(chain, same_moves)
+    m = [whole] if packing.equal else [M.marginals(long.where(F.col("occasion") == t + 1), spec, "_w") for t in range(len(chain.times))]
+    n = float(table.agg(F.sum("_w")).first()[0])
+    run = climb(packing.free(), lambda t: packing.prior(t, alpha, m), n, **how)
+    r = passes.together([run], table, cols, "_w", packing.sums, added)[0]
+    start, moves, params = packing.at(r["theta"])
+    done = replace(chain, start=start, moves=moves, params=params, loglik=r["ll"], penalised=r["penalised"], converged=True)
+    entropy = passes.together([_once((start, moves, params))], table, cols, "_w", lambda x, w, s: {"entropy": T._chain_sums(spec, len(chain.times), x, w, s)["entropy"]}, added)[0]["entropy"]
+    table.unpersist()
+    free = ~r["held"]
+    keep = np.ix_(free, free)
+    bread, meat = inverse(-r["h"][keep]), r["outer"][keep]
+    whole_v = lambda v: _spread(v, keep, packing.size)
+    vcov = {"hessian": whole_v(bread), "opg": whole_v(inverse(meat)), "robust": whole_v(bread @ meat @ bread)}
+    return replace(done, entropy=entropy), {**{k: r[k] for k in ("theta", "gradient", "steps", "kinds")}, "vcov": vcov, "packing": packing}
+
+
+def _once(state):
+    s = yield state
+    return s
+
+
+def _spread(v: np.ndarray, keep, size: int) -> np.ndarray:
+    """v in the rows and columns kept; held parameters have no variance."""
+    out = np.zeros((size, size))
+    out[keep] = v
+    return out
+
+
+def chain_errors(chain: T.Chain, report: dict, kind: str = "robust") -> pd.DataFrame:
+    """part, term, estimate and se of a finished chain, on the scale of probabilities (start, moves) and of reported parameters."""
+    packing, v, out = report["packing"], report["vcov"][kind], []
+    for t, a, states, at in packing.rows:
+        p = (chain.start if a is None else chain.moves[t, a])[states]
+        jac = (np.diag(p) - np.outer(p, p))[:, :-1]
+        own = slice(at, at + len(p) - 1)
+        se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", jac, v[own, own], jac), 0))
+        names = [("initial", str(s + 1)) if a is None else ("transition", f"{t + 1}:{a + 1}>{s + 1}") for s in states]
+        out += [(*name, float(e), float(d)) for name, e, d in zip(names, p, se)]
+    for i, params in enumerate(chain.params[: len(packing.measured) - 1]):
+        at = packing.measured[i]
+        for e, p in zip(packing.emissions, params):
+            theta = e.free(p)
+            own = slice(at, at + len(theta))
+            reported = lambda t, e=e, p=p: np.array([r[-1] for r in e.rows(e.fixed(t, p))])
+            jac = gradient(reported, theta)
+            se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", jac, v[own, own], jac), 0))
+            when = "" if packing.equal else f"@{i + 1}"
+            out += [("measurement", f"{r[0]}{when}|{r[1]}|{r[2] or ''}|{r[3]}", float(r[4]), float(d)) for r, d in zip(e.rows(p), se)]
+            at += len(theta)
+    return pd.DataFrame(out, columns=["part", "term", "estimate", "se"])
+
+
 # ---------------------------------------------------------------- later steps
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ def polish(fit: M.Fit, x: np.ndarray, w: np.ndarray, *, rounds: int = 200) -> M.
         return fit
     pi, params = fit.at(theta)
     s = M._statistics(fit.spec, pi, params, x, w)
-    return M.Fit(fit.spec, pi, params, s["ll"], s["ll"] + M._log_prior(fit.spec, pi, params, fit.marginals), fit.n_params, fit.n, s["entropy"], fit.iterations, True, fit.logliks, fit.marginals, fit.weight)
+    return replace(fit, pi=pi, params=params, loglik=s["ll"], penalised=s["ll"] + M._log_prior(fit.spec, pi, params, fit.marginals), entropy=s["entropy"], converged=True)
 
 
 def squared_em(fit: M.Fit, x: np.ndarray, w: np.ndarray, *, rounds: int = 200, tol: float = 1e-9) -> M.Fit:
@@ -61,7 +62,7 @@ def squared_em(fit: M.Fit, x: np.ndarray, w: np.ndarray, *, rounds: int = 200, t
         value = after
     pi, params = fit.at(theta)
     s = M._statistics(spec, pi, params, x, w)
-    return M.Fit(spec, pi, params, s["ll"], after, fit.n_params, fit.n, s["entropy"], fit.iterations, True, fit.logliks, m, fit.weight)
+    return replace(fit, pi=pi, params=params, loglik=s["ll"], penalised=after, entropy=s["entropy"], converged=True)
 
 
 def boundary(fit: M.Fit, near: float = 1e-3) -> pd.DataFrame:
@@ -110,7 +111,7 @@ def bvr_bootstrap(df: DataFrame, fit: M.Fit, *, n_reps: int = 50, seed: int = 1)
     seen, sims = residuals(fit, *M.pattern_arrays(table, items)), []
     for i in range(n_reps):
         x, w = M.simulated_patterns(fit, int(round(fit.n)), seed + i)
-        sims.append(residuals(M.fit_table(M.Spec(fit.spec.blocks, fit.spec.k), x, w, starts=[(fit.pi, fit.params)], tol=1e-6), x, w))
+        sims.append(residuals(M.fit_table(replace(fit.spec), x, w, starts=[(fit.pi, fit.params)], tol=1e-6), x, w))
     p = (np.sum(np.stack(sims) >= seen, axis=0) + 1) / (n_reps + 1) if sims else np.full(len(seen), math.nan)
     pairs = list(itertools.combinations(items, 2))
     return pd.DataFrame({"item_a": [a for a, _ in pairs], "item_b": [b for _, b in pairs], "bvr": seen, "p_value": p})

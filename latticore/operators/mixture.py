@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticore.functions.special import EPS, gradient, hessian, inverse, logsumexp, two_sided
+from latticore.functions.special import EPS, gradient, inverse, logsumexp, two_sided
 from latticore.operators.emissions import Emission, Params, build
 from latticore.plans import patterns as P
 from latticore.sources import panel
@@ -143,13 +143,13 @@ class Fit:
 
     def vcov(self, x: np.ndarray, w: np.ndarray, kind: str = "robust") -> np.ndarray:
         """The free parameters' covariance on a pattern table: hessian, opg or robust (sandwich)."""
-        theta = self.free()
-        scores = gradient(lambda t: self.case_logliks(x, t), theta)
-        meat = scores.T @ (scores * w[:, None])
+        from latticore.operators.curvature import mixture_sums
+
+        s = mixture_sums(self.spec, self.pi, self.params, x, w)
         if kind == "opg":
-            return inverse(meat)
-        bread = inverse(-hessian(lambda t: float(w @ self.case_logliks(x, t)), theta))
-        return bread if kind == "hessian" else bread @ meat @ bread
+            return inverse(s["outer"])
+        bread = inverse(-s["h"])
+        return bread if kind == "hessian" else bread @ s["outer"] @ bread
 
     def measurement_estimates(self, x: np.ndarray, w: np.ndarray, kind: str = "robust") -> pd.DataFrame:
         """Parameters on the reported scale with standard errors by the delta method."""

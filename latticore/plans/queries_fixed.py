@@ -376,14 +376,12 @@ FINISH = (np.array([0.6, 0.4]), [{"p": np.array([[0.4, 0.3, 0.3, 0.4, 0.5], [0.6
 
 @query("lca_newton_finish", binary_rounds(Q.SQL_FLAGS, "flags", Q.FLAGS, FINISH[0].tolist(), FINISH[1][0]["p"].tolist(), 6000).replace(", 5) AS estimate", ", 3) AS estimate").replace(", 5) FROM", ", 3) FROM"))
 def lca_newton_finish(spark, sf):
-    """A short EM and a Newton finish are where thousands of rounds lead."""
+    """A short EM and a Newton finish in passes over the table are where thousands of rounds lead."""
     from latticore.operators import finish
-    from latticore.plans import patterns as P
 
     df = Q.flags(spark, sf)
     fit = M.fit_mixture(df, Q.FLAGS, 2, "binary", starts=[FINISH], max_iter=60, tol=-1)
-    t = P.collapse(df, Q.FLAGS, names=("_weight", "_rows")).toPandas()  # at most 2^5 patterns
-    return rounded(class_parameters(spark, finish.newton_finish(fit, *M.pattern_arrays(t, Q.FLAGS)), Q.FLAGS), 3)
+    return rounded(class_parameters(spark, finish.newton_finish_table(fit, df), Q.FLAGS), 3)
 
 
 SQL_HALVES = f"{Q.SQL_FLAGS}, pat AS (SELECT o_totalprice > 150000 AS dear, {', '.join(Q.FLAGS)}, CAST(count(*) AS DOUBLE) AS o FROM flags JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), " + Q.posterior_sql(Q.LCA_LOGS, "pat", "dear, " + ", ".join(Q.FLAGS) + ", o") + ", cells AS (SELECT o, exp(loglik) * sum(o) OVER (PARTITION BY dear) AS e FROM post)"

@@ -60,7 +60,7 @@ def array_to_panel(df: DataFrame, column: str, items: Sequence[str], times: Sequ
 def stack_occasions(df: DataFrame, items: Sequence[str], times: Sequence, keep: Sequence[str] = ()) -> DataFrame:
     """One row per case and occasion: the columns of `keep`, occasion (from 1), time, and the items."""
     waves = F.array(*(F.struct(F.lit(b + 1).alias("occasion"), F.lit(t).alias("time"), *(F.col(f"`{i}@{t}`").alias(i) for i in items)) for b, t in enumerate(times)))
-    return df.select(*keep, F.explode(waves).alias("_w")).select(*keep, "_w.*")
+    return df.select(*keep, F.explode(waves).alias("_at_occasion")).select(*keep, "_at_occasion.*")
 
 
 def wave_missing(df: DataFrame, items: Sequence[str], times: Sequence) -> DataFrame:
