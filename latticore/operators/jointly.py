@@ -19,7 +19,7 @@ from latticore.functions.special import EPS, inverse, logsumexp, two_sided
 from latticore.operators import mixture as M
 from latticore.operators import passes
 from latticore.operators import transition as T
-from latticore.operators.finish import family_scores
+from latticore.operators.curvature import family_scores
 from latticore.plans import patterns as P
 from latticore.sources import panel
 
@@ -56,7 +56,38 @@ def _groups_added(a: list | None, b: list) -> list:
     return b if a is None else [u if v is None else T._added(u, v) for u, v in zip(a, b)]
 
 
-def _groups_run(spec: M.Spec, pools: dict, m: dict, state: tuple, *, start_equal: bool, moves_equal: bool, allowed: np.ndarray, alpha: float, max_iter: int, tol: float):
+def tied(e, stats: dict, m: dict, params: dict, equal: str) -> dict:
+    """Continuous items whose means or variances are equal over blocks (of groups or occasions), by conditional maximisation.
+
+    Equal means are weighed by the blocks' present variances, and each block's variances are then taken about them; equal variances pool the
+    squares about each block's own means.  Arguments are by block; the log-prior is that of each block.
+    """
+    a = e.alpha / e.k
+    n = {p: np.maximum(s["n"], EPS) for p, s in stats.items()}
+    if equal == "means":
+        mean = sum(s["x"] / params[p]["var"] for p, s in stats.items()) / sum(n[p] / params[p]["var"] for p in stats)
+        about = {p: np.maximum(s["xx"] - 2 * mean * s["x"] + s["n"] * mean**2, 0.0) for p, s in stats.items()}
+        return {p: {"mean": mean, "var": np.maximum((about[p] + a * m[p]["var"]) / (s["n"] + a), 1e-12)} for p, s in stats.items()}
+    means = {p: s["x"] / n[p] for p, s in stats.items()}
+    squares = sum(np.maximum(s["xx"] - s["x"] * means[p], 0.0) + a * m[p]["var"] for p, s in stats.items())
+    var = np.maximum(squares / sum(s["n"] + a for s in stats.values()), 1e-12)
+    return {p: {"mean": means[p], "var": var} for p in stats}
+
+
+def _updated(spec: M.Spec, totals: dict, m: dict, held: dict, equal: str | None) -> dict:
+    """Each pool's parameters from its statistics."""
+    new: dict = {p: [] for p in held}
+    for b, e in enumerate(spec.emissions()):
+        if equal and e.name == "continuous":
+            own = tied(e, *({p: v[p][b] for p in held} for v in (totals, m, held)), equal)
+        else:
+            own = {p: e.update(totals[p][b], m[p][b], held[p][b]) for p in held}
+        for p in held:
+            new[p].append(own[p])
+    return new
+
+
+def _groups_run(spec: M.Spec, pools: dict, m: dict, state: tuple, *, equal: str | None = None, start_equal: bool, moves_equal: bool, allowed: np.ndarray, alpha: float, max_iter: int, tol: float):
     """EM as a run; pools: (group, occasion) to the measurement it shares."""
     starts, moves, params = state
     k, g_max, last, done = spec.k, len(starts), -math.inf, False
@@ -79,18 +110,23 @@ def _groups_run(spec: M.Spec, pools: dict, m: dict, state: tuple, *, start_equal
         totals: dict = {}
         for (g, t), p in pools.items():
             totals[p] = _pooled(totals.get(p), s[g]["stats"][t])
-        new = {p: [e.update(b, mm, own) for e, b, mm, own in zip(spec.emissions(), totals[p], m[p], held[p])] for p in held}
+        new = _updated(spec, totals, m, held, equal)
         params = [[new[pools[g, t]] for t in range(len(params[g]))] for g in range(g_max)]
     return {"state": (starts, moves, params), "ll": [a["ll"] for a in s], "penalised": value, "entropy": [a["entropy"] for a in s], "n": [a["n"] for a in s], "converged": bool(done)}
 
 
-def fit_lta_groups(df: DataFrame, items: Sequence[str], times: Sequence, group: str, n_statuses: int = 2, *, measurement="binary", invariance: str = "full", measurement_equal: bool = True, start_equal: bool = False, moves_equal: bool = False, forbidden: Sequence[tuple[int, int]] = (), weight: str | None = None, n_init: int = 10, alpha: float = 1.0, max_iter: int = 1000, tol: float = 1e-8, seed: int = 1, starts: list[tuple] | None = None, max_patterns: int = 100_000, max_groups: int = 100) -> dict:
+def fit_lta_groups(df: DataFrame, items: Sequence[str], times: Sequence, group: str, n_statuses: int = 2, *, measurement="binary", invariance: str = "full", measurement_equal: bool = True, equal: str | None = None, start_equal: bool = False, moves_equal: bool = False, forbidden: Sequence[tuple[int, int]] = (), weight: str | None = None, n_init: int = 10, alpha: float = 1.0, max_iter: int = 1000, tol: float = 1e-8, seed: int = 1, starts: list[tuple] | None = None, max_patterns: int = 100_000, max_groups: int = 100) -> dict:
     """Hidden Markov chains in groups: measurement, starting shares and moves equal over groups or free.
 
     Gives the group's chains by name, the log-likelihood, number of parameters and criteria.  Rows of a null group or without an observed item take
     no part; more than `max_groups` groups are refused.  Statuses are ordered by their starting shares over all groups.  `starts`, (starting shares,
     moves, parameters of each block), serve all groups in place of `n_init` random ones.
+
+    Where measurement is free over groups or occasions, `equal` ("means" or "variances") keeps those of the continuous items equal over all of them.
+    One occasion makes it a mixture in groups.
     """
+    if equal not in (None, "means", "variances"):
+        raise ValueError("equal is means or variances")
     spec, k, t_max, j = _spec(items, measurement, n_statuses, alpha), n_statuses, len(times), len(items)
     cols = panel.column_names(spec.items, times)
     df, coding = T.coded_items(df, spec.blocks, spec.items, times)
@@ -135,7 +171,7 @@ def fit_lta_groups(df: DataFrame, items: Sequence[str], times: Sequence, group:
         given.append((rng.dirichlet(np.full(k, 5.0)), mv / np.maximum(mv.sum(axis=2, keepdims=True), EPS), one))
     states = [(np.repeat(a[None], g_max, axis=0), np.repeat(b[None], g_max, axis=0), [[p] * t_max for _ in names]) for a, b, p in given]
     sums = lambda x, w, s: _group_sums(spec, t_max, x, w, s)
-    runs = [_groups_run(spec, pools, m, s, start_equal=start_equal, moves_equal=moves_equal, allowed=allowed, alpha=alpha, max_iter=max_iter, tol=tol) for s in states]
+    runs = [_groups_run(spec, pools, m, s, equal=equal, start_equal=start_equal, moves_equal=moves_equal, allowed=allowed, alpha=alpha, max_iter=max_iter, tol=tol) for s in states]
     if small:
         found = [passes.alone(r, lambda s: sums(x, w, s)) for r in runs]
     else:
@@ -150,6 +186,8 @@ def fit_lta_groups(df: DataFrame, items: Sequence[str], times: Sequence, group:
         chains[name] = T.Chain(spec, list(times), first[g][order], moves[g][:, order][:, :, order], own, best["ll"][g], math.nan, 0, best["n"][g], best["entropy"][g], best["converged"], [], coding)
     n_moves = int((allowed.sum(axis=2) - 1).sum())
     p = (k - 1) * (1 if start_equal else g_max) + n_moves * (1 if moves_equal else g_max) + sum(e.n_params(mm) for ms in m.values() for e, mm in zip(spec.emissions(), ms))
+    if equal:
+        p -= (len(m) - 1) * sum(k * len(e.items) for e in spec.emissions() if e.name == "continuous")
     ll, n = float(sum(best["ll"])), float(sum(best["n"]))
     return {"groups": chains, "loglik": ll, "n_params": p, "n": n, "converged": best["converged"], "logliks": [float(sum(r["ll"])) for r in found]} | M.information_criteria(ll, p, n, float(sum(best["entropy"])), k)
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from latticore.operators import direct as D
 from latticore.operators import extended as X
 from latticore.operators import finish as FN
 from latticore.operators import inference as I
+from latticore.operators import jointly as J
 from latticore.operators import mixture as M
 from latticore.operators import transition as T
 from latticore.plans import patterns as P
@@ -94,3 +96,89 @@ def groups_recoded(spark, sf):
     rows = [(int(g), "class", c + 1, float(f.pi[c])) for g, f in fit["groups"].items() for c in range(2)]
     rows += [(int(g), item, c + 1, float(f.params[0]["p"][c, j])) for g, f in fit["groups"].items() for c in range(2) for j, item in enumerate(Q.FLAGS)]
     return rounded(spark.createDataFrame(rows, f"dear int, {QF.PARAMS.replace('bigint', 'int')}"), 5)
+
+
+# ---------------------------------------------------------------- direct effects
+
+
+def direct_sql() -> str:
+    """One class and a covariate of two values: each half has its own share, so logits, their difference and its error have closed forms."""
+    half = lambda f, g: f"avg(CASE WHEN g = {g} THEN {f} END)"
+    cells = ", ".join(f"{half(f, g)} AS p{g}_{f}" for f in Q.FLAGS for g in (0, 1))
+    logit = lambda p: f"ln({p} / (1 - {p}))"
+    out = []
+    for f in Q.FLAGS:
+        v = [f"1 / (n{g} * p{g}_{f} * (1 - p{g}_{f}))" for g in (0, 1)]
+        se = [f"round(sqrt({v[0]}), 5)", f"round(sqrt({v[0]} + {v[1]}), 5)"] if f == "bulk" else ["NULL", "NULL"]
+        out.append(f"SELECT 'threshold' AS part, '{f}' AS item, round({logit(f'p0_{f}')}, 5) AS estimate, CAST({se[0]} AS DOUBLE) AS se FROM m")
+        out.append(f"SELECT 'effect', '{f}', round({logit(f'p1_{f}')} - {logit(f'p0_{f}')}, 5), {se[1]} FROM m")
+    return f"""WITH {Q.SQL_FLAGS}, x AS (SELECT flags.*, CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END AS g FROM flags JOIN orders ON l_orderkey = o_orderkey),
+m AS (SELECT {cells}, count(*) FILTER (WHERE g = 0) AS n0, count(*) FILTER (WHERE g = 1) AS n1 FROM x)
+{' UNION ALL '.join(out)}"""
+
+
+@query("direct_effects_saturated", direct_sql())
+def direct_effects_saturated(spark, sf):
+    """Effects of a yes-or-no covariate on every binary item of one class, and the standard errors where one item is fitted alone."""
+    df, how = dear_flags(spark, sf), {"measurement": "binary", "tol": 1e-13}
+    fit = D.fit_direct_effects(df, Q.FLAGS, ["dear"], 1, effects={f: ["dear"] for f in Q.FLAGS}, **how)
+    alone = D.fit_direct_effects(df, ["bulk"], ["dear"], 1, effects={"bulk": ["dear"]}, **how).estimates.set_index("part")["se"]
+    rows = [(r.part, r.item, float(r.estimate), float(alone[r.part]) if r.item == "bulk" else None) for r in fit.estimates.itertuples()]
+    return rounded(spark.createDataFrame(rows, "part string, item string, estimate double, se double"), 5)
+
+
+@query("direct_effects_ordinal")
+def direct_effects_ordinal(spark, sf):
+    """Two classes of ordinal order features of which priority depends on the customer's balance within classes."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") / 10000).alias("balance")), "o_custkey")
+    level = lambda c, *cuts: sum(((F.col(c) > v).cast("int") for v in cuts), F.lit(1))
+    rows = o.select("balance", F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), level("o_totalprice", 80000, 160000).alias("price"), F.quarter("o_orderdate").alias("quarter"))
+    rows = rows.withColumn("balance", F.round("balance", 1))
+    fit = D.fit_direct_effects(rows, ["priority", "price", "quarter"], ["balance"], 2, effects={"priority": ["balance"]}, n_init=3, max_iter=100, tol=1e-7)
+    return spark.createDataFrame(fit.estimates[["part", "item", "class", "term", "estimate", "se"]].fillna({"item": ""}))
+
+
+# ---------------------------------------------------------------- equal means, own variances
+
+
+def tied_rounds(rounds: int) -> str:
+    """EM of a profile model in two groups: means are equal over them, weighed by the variances of the round before; shares and variances are each group's own."""
+    names, both = ("quantity", "discount"), (0, 1)
+    cells = [(g, c, n, j) for g in both for c in both for j, n in enumerate(names)]
+    start = ", ".join([f"{num((0.55, 0.45)[c])} AS pi{g}_{c}" for g in both for c in both] + [f"{num(Q.GAUSS['mean'][c, j])} AS m_{n}_{c}" for c in both for j, n in enumerate(names)] + [f"{num(Q.GAUSS['var'][c, j])} AS s{g}_{n}_{c}" for g, c, n, j in cells])
+    own = lambda v: f"CASE WHEN g = 0 THEN {v.format(0)} ELSE {v.format(1)} END"
+    log = lambda n, c: f"(-0.5e0 * (({n} - m_{n}_{c}) * ({n} - m_{n}_{c}) / ({own(f's{{0}}_{n}_{c}')}) + ln(2 * pi() * ({own(f's{{0}}_{n}_{c}')}))))"
+    logs = ", ".join(f"ln({own(f'pi{{0}}_{c}')} + 1e-15) + " + " + ".join(log(n, c) for n in names) + f" AS l{c}" for c in both)
+    mass = [f"sum(CASE WHEN g = {g} THEN r{c} ELSE 0 END) AS n{g}_{c}" for g in both for c in both]
+    mass += [f"sum(CASE WHEN g = {g} THEN r{c} * {n} ELSE 0 END) AS x{g}_{n}_{c}, sum(CASE WHEN g = {g} THEN r{c} * {n} * {n} ELSE 0 END) AS q{g}_{n}_{c}, any_value(s{g}_{n}_{c}) AS s{g}_{n}_{c}" for g, c, n, _ in cells]
+    means = [f"(x0_{n}_{c} / s0_{n}_{c} + x1_{n}_{c} / s1_{n}_{c}) / (n0_{c} / s0_{n}_{c} + n1_{c} / s1_{n}_{c}) AS m_{n}_{c}" for c in both for n in names]
+    new = [f"(n{g}_{c} + 0.5e0) / (n{g}_0 + n{g}_1 + 1)" for g in both for c in both] + [f"m_{n}_{c}" for c in both for n in names]
+    new += [f"(q{g}_{n}_{c} - 2 * m_{n}_{c} * x{g}_{n}_{c} + n{g}_{c} * m_{n}_{c} * m_{n}_{c} + 0.5e0 * v{g}_{n}) / (n{g}_{c} + 0.5e0)" for g, c, n, _ in cells]
+    at = lambda c: f"CAST(CASE WHEN k0 * pi0_1 + k1 * pi1_1 > k0 * pi0_0 + k1 * pi1_0 THEN {2 - c} ELSE {1 + c} END AS BIGINT)"
+    out = [f"SELECT CAST({g} AS BIGINT) AS odd, 'class' AS item, {at(c)} AS class, round(pi{g}_{c}, 5) AS estimate FROM last, marg" for g in both for c in both]
+    for g, c, n, j in cells:
+        scale = (1, 100)[j]
+        out += [f"SELECT {g}, '{n} mean', {at(c)}, round(m_{n}_{c} * {scale}, 4) FROM last, marg", f"SELECT {g}, '{n} var', {at(c)}, round(s{g}_{n}_{c} * {scale}, 4) FROM last, marg"]
+    return f"""WITH RECURSIVE {Q.SQL_SIZES}, x AS (SELECT l_orderkey % 2 AS g, quantity, discount FROM sizes),
+marg AS (SELECT {', '.join(f'var_pop(CASE WHEN g = {g} THEN {n} END) AS v{g}_{n}' for g in both for n in names)}, count(*) FILTER (WHERE g = 0) AS k0, count(*) FILTER (WHERE g = 1) AS k1 FROM x),
+t AS (SELECT 0 AS it, {start} UNION ALL
+SELECT it + 1, {', '.join(new)} FROM (SELECT *, {', '.join(means)} FROM (SELECT it, {', '.join(mass)} FROM
+  (SELECT *, 1 / (1 + exp(l1 - l0)) AS r0, 1 / (1 + exp(l0 - l1)) AS r1 FROM (SELECT t.*, g, quantity, discount, {logs} FROM x, t WHERE it < {rounds})) GROUP BY it)), marg),
+last AS (SELECT * FROM t WHERE it = {rounds})
+{' UNION ALL '.join(out)}"""
+
+
+@query("groups_equal_means", tied_rounds(12))
+def groups_equal_means(spark, sf):
+    """Profiles of odd and even orders whose means are equal and whose variances and shares are not, from a given start."""
+    names = ["quantity", "discount"]
+    rows = Q.sizes(spark, sf).select(*(F.col(n).alias(f"{n}@0") for n in names), (F.col("l_orderkey") % 2).alias("odd"))
+    start = [(np.array([0.55, 0.45]), np.zeros((0, 2, 2)), [{k: v.copy() for k, v in Q.GAUSS.items()}])]
+    fit = J.fit_lta_groups(rows, names, [0], "odd", 2, measurement="continuous", measurement_equal=False, equal="means", starts=start, max_iter=12, tol=-1)
+    out = []
+    for g, c in fit["groups"].items():
+        p = c.params[0][0]
+        for k in range(2):
+            out.append((int(g), "class", k + 1, round(float(c.start[k]), 5)))
+            out += [(int(g), f"{n} {what}", k + 1, round(float(p[what][k, j]) * (1, 100)[j], 4)) for j, n in enumerate(names) for what in ("mean", "var")]
+    return spark.createDataFrame(out, f"odd bigint, {QF.PARAMS}")

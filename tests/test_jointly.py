@@ -101,3 +101,37 @@ def test_one_class_beside_is_a_mixture(pairs):
         J.fit_two_latent(pairs, "abc", "cd", 2, 2)
     with pytest.raises(ValueError, match="no row"):
         J.fit_two_latent(pairs.limit(0), "abcd", "efgh", 2, 2)
+
+
+@pytest.mark.parametrize("equal", ["means", "variances"])
+@pytest.mark.parametrize("max_patterns", [100_000, 10])
+def test_equal_means_or_variances_over_groups_and_occasions(spark, equal, max_patterns):
+    """What is equal is equal, EM climbs, both places of fitting agree, and the true values are recovered."""
+    rng = np.random.default_rng(4)
+    out = []
+    for i in range(1500):
+        g, s = i % 2, int(rng.random() < 0.4)
+        row = [g]
+        for t in range(2):
+            mean = (0.0, 4.0)[s] + (0.0 if equal == "means" else g + t)
+            sd = 1.0 + (0.5 * g + 0.3 * t if equal == "means" else 0.0)
+            row.append(float(rng.normal(mean, sd)) if rng.random() > 0.05 else None)
+            s = s if rng.random() < 0.8 else 1 - s
+        out.append(tuple(row))
+    df = spark.createDataFrame(out, "g int, `y@0` double, `y@1` double").repartition(3)
+    how = {"measurement": "continuous", "measurement_equal": False, "invariance": "none", "equal": equal, "n_init": 1, "seed": 3, "max_patterns": max_patterns}
+    start = [(np.array([0.6, 0.4]), np.array([[[0.8, 0.2], [0.2, 0.8]]]), [{"mean": np.array([[0.5], [3.5]]), "var": np.array([[1.0], [1.0]])}])]
+    lls = [J.fit_lta_groups(df, ["y"], [0, 1], "g", 2, starts=start, max_iter=n, tol=-1, **how)["loglik"] for n in (2, 12)]
+    fit = J.fit_lta_groups(df, ["y"], [0, 1], "g", 2, starts=start, max_iter=60, **how)
+    params = [p[0] for c in fit["groups"].values() for p in c.params]
+    key, other = ("mean", "var") if equal == "means" else ("var", "mean")
+    assert all(np.allclose(p[key], params[0][key]) for p in params) and not np.allclose(params[0][other], params[1][other], atol=1e-3)
+    assert lls[0] < lls[1] <= fit["loglik"] + 1e-6
+    assert fit["n_params"] == 2 * (1 + 2) + 4 * 4 - 3 * 2
+    want = np.array([0.0, 4.0]) if equal == "means" else np.array([1.0, 1.0])
+    assert np.allclose(np.sort(params[0][key].ravel()), want, atol=0.3)
+
+
+def test_equal_is_means_or_variances(spark):
+    with pytest.raises(ValueError, match="means or variances"):
+        J.fit_lta_groups(spark.createDataFrame([(1, 0.5)], "g int, `y@0` double"), ["y"], [0], "g", 1, measurement="continuous", equal="covariances")
