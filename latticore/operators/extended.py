@@ -1,6 +1,7 @@
 """Extended models: groups, direct covariate effects, covariates and random intercepts on chains, mixtures of chains, three-step chains.
 
-All work on the pattern table (with group or covariate columns among its keys), which is bounded and small; rows are only aggregated.
+Chains with covariates pass over patterns where they are.  The others work on the pattern table (with group or covariate columns among its keys), which is
+bounded and small; rows are only aggregated.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 from latticore.functions.special import EPS, expit, gauss_hermite, hessian, inverse, logsumexp, softmax, two_sided
 from latticore.operators import growth as G
 from latticore.operators import mixture as M
+from latticore.operators import passes
 from latticore.operators import structural as S
 from latticore.operators import transition as T
+from latticore.operators.curvature import family_scores
 from latticore.plans import patterns as P
 from latticore.sources import panel
 
@@ -185,42 +188,118 @@ def forward_backward_rows(log_b: np.ndarray, start: np.ndarray, moves: np.ndarra
     return (np.log(np.maximum(scale, 1e-300)) + top[:, :, 0]).sum(axis=1), alpha * beta, xi
 
 
-def fit_lta_covariates(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: int, *, initial: Sequence[str] = (), transition: Sequence[str] = (), measurement="binary", weight: str | None = None, n_init: int = 5, seed: int = 1, max_iter: int = 500, tol: float = 1e-8) -> dict:
-    """A chain whose first status and moves are multinomial logits of covariates (last status as reference); measurement equal over time."""
-    base = T.fit_lta(df, items, times, n_statuses, measurement=measurement, weight=weight, n_init=n_init, seed=seed)
-    spec, k, t_max = base.spec, n_statuses, len(times)
-    cols, extra = panel.column_names(spec.items, times), list(dict.fromkeys([*initial, *transition]))
-    table = pattern_table(base.coded(df), cols, extra, weight)
-    x, w = M.pattern_arrays(table, cols)
-    z = {c: table[c].to_numpy(float) for c in extra}
-    one = np.ones(len(w))
-    di, dt = np.column_stack([one, *(z[c] for c in initial)]), np.column_stack([one, *(z[c] for c in transition)])
-    j = len(spec.items)
-    m = [e.marginal(b, np.tile(w, t_max)) for e, b in zip(spec.emissions(), spec.split(np.concatenate([x[:, t * j : (t + 1) * j] for t in range(t_max)])))]
-    logits = lambda p: np.log(np.maximum(p[..., :-1], 1e-6)) - np.log(np.maximum(p[..., -1:], 1e-6))
-    gamma = np.column_stack([logits(base.start), np.zeros((k - 1, di.shape[1] - 1))])
-    tau = np.concatenate([logits(base.moves)[..., None], np.zeros((t_max - 1, k, k - 1, dt.shape[1] - 1))], axis=3)
-    params, last = base.params[0], -math.inf
-    for _ in range(max_iter):
-        start = softmax(np.column_stack([di @ gamma.T, np.zeros(len(w))]))
-        moves = np.stack([np.stack([softmax(np.column_stack([dt @ tau[t, a].T, np.zeros(len(w))])) for a in range(k)], axis=1) for t in range(t_max - 1)])
-        ll, g, xi = forward_backward_rows(T._emissions(spec, [params] * t_max, x, t_max), start, moves)
-        value = float(w @ ll)
-        if value - last < tol * (1 + abs(value)):
+def _covariate_sums(spec: M.Spec, t_max: int, initial: list[int], transition: list[int], x: np.ndarray, w: np.ndarray, state: dict) -> dict:
+    """One pass of a chain whose start and moves depend on covariates (the columns after the items): log-likelihood, the measurement's statistics,
+    gradient and information of each regression, and the products of the cases' scores."""
+    j, k = len(spec.items), spec.k
+    z = x[:, t_max * j :]
+    one = np.ones((len(x), 1))
+    zi, zt = np.hstack([one, z[:, initial]]), np.hstack([one, z[:, transition]])
+    edge = np.zeros((len(x), 1))
+    start = softmax(np.hstack([zi @ state["gamma"].T, edge]))
+    moves = np.stack([np.stack([softmax(np.hstack([zt @ state["tau"][t, a].T, edge])) for a in range(k)], axis=1) for t in range(t_max - 1)]) if t_max > 1 else np.zeros((0, len(x), k, k))
+    params = state["params"]
+    ll, g, xi = forward_backward_rows(T._emissions(spec, [params] * t_max, x, t_max), start, moves)
+
+    def regression(res, p, mass, d):
+        """Scores by logits and covariates, and their information: mass is the rows' weight in the regression."""
+        scores = (res[:, :-1, None] * d[:, None, :]).reshape(len(d), -1)
+        inner = np.einsum("n,na,ab->nab", mass, p, np.eye(k)) - np.einsum("n,na,nb->nab", mass, p, p)
+        size = scores.shape[1]
+        return scores, np.einsum("nab,ni,nj->aibj", inner[:, :-1, :-1], d, d, optimize=True).reshape(size, size)
+
+    first, info = regression(g[:, 0] - start, start, w, zi)
+    out = {"ll": float(w @ ll), "n": float(w.sum()), "g:start": w @ first, "i:start": info}
+    scores = [first]
+    for t in range(t_max - 1):
+        for a in range(k):
+            own, info = regression(xi[:, t, a] - g[:, t, a, None] * moves[t][:, a], moves[t][:, a], w * g[:, t, a], zt)
+            out |= {f"g:{t},{a}": w @ own, f"i:{t},{a}": info}
+            scores.append(own)
+    blocks = [spec.split(x[:, t * j : (t + 1) * j]) for t in range(t_max)]
+    total = None
+    for t in range(t_max):
+        stats = [e.stats(b, g[:, t] * w[:, None], p) for e, b, p in zip(spec.emissions(), blocks[t], params)]
+        total = stats if total is None else _pooled(total, stats)
+    scores.append(sum(np.concatenate([family_scores(e, b, p, g[:, t]) for e, b, p in zip(spec.emissions(), blocks[t], params)], axis=1) for t in range(t_max)))
+    every = np.concatenate(scores, axis=1)
+    return out | {"outer": every.T @ (every * w[:, None]), "stats": total}
+
+
+def _pooled(a: list, b: list) -> list:
+    whole = lambda s: {"ll": 0, "entropy": 0, "n": 0, "blocks": s}
+    return M._add(whole(a), whole(b))["blocks"]
+
+
+def _covariate_added(a: dict | None, b: dict) -> dict:
+    return b if a is None else {n: _pooled(a[n], b[n]) if n == "stats" else a[n] + b[n] for n in b}
+
+
+def _covariate_run(spec: M.Spec, m: list, state: dict, max_iter: int, tol: float):
+    """Generalised EM as a run (see passes): the measurement is maximised, each regression moves by a Newton step, by halves where the likelihood would fall."""
+    prior = lambda s: sum(e.log_prior(p, mm) for e, p, mm in zip(spec.emissions(), s["params"], m))
+
+    def moved(s, sums, share):
+        step = lambda n: np.clip(inverse(sums[f"i:{n}"] + 1e-12 * np.eye(len(sums[f"i:{n}"]))) @ sums[f"g:{n}"], -5, 5) * share
+        tau = s["tau"].copy()
+        for t in range(len(tau)):
+            for a in range(spec.k):
+                tau[t, a] += step(f"{t},{a}").reshape(tau[t, a].shape)
+        params = [e.update(b, mm, p) for e, b, mm, p in zip(spec.emissions(), sums["stats"], m, s["params"])]
+        bounded = lambda v: np.clip(v, -25, 25)
+        return {"gamma": bounded(s["gamma"] + step("start").reshape(s["gamma"].shape)), "tau": bounded(tau), "params": params}
+
+    sums = yield state
+    value, i, done = sums["ll"] + prior(state), 0, False
+    for i in range(max_iter):
+        share = 1.0
+        while True:
+            new = moved(state, sums, share)
+            after = yield new
+            risen = after["ll"] + prior(new)
+            if risen >= value - 1e-10 * (1 + abs(value)) or share < 1e-4:
+                break
+            share /= 2
+        done = risen - value < tol * (1 + abs(value))
+        state, sums, value = new, after, risen
+        if done:
             break
-        last = value
-        gamma, vg = S.fit_mnl(di, g[:, 0] * w[:, None] + 1e-9)
-        for t in range(t_max - 1):
-            for a in range(k):
-                tau[t, a], _ = S.fit_mnl(dt, xi[:, t, a] * w[:, None] + 1e-9)
-        stats = [[e.stats(b, g[:, t] * w[:, None], p) for e, b, p in zip(spec.emissions(), spec.split(x[:, t * j : (t + 1) * j]), params)] for t in range(t_max)]
-        total = stats[0]
-        for more in stats[1:]:
-            total = [{n: a[n] + b[n] for n in a} for a, b in zip(total, more)]
-        params = [e.update(b, mm, p) for e, b, mm, p in zip(spec.emissions(), total, m, params)]
-    rows = [("initial", None, None, c + 1, n, gamma[c, i], math.sqrt(max(0.0, vg[c * di.shape[1] + i, c * di.shape[1] + i]))) for c in range(k - 1) for i, n in enumerate(["(intercept)", *initial])]
-    rows += [("transition", t + 1, a + 1, c + 1, n, tau[t, a, c, i], math.nan) for t in range(t_max - 1) for a in range(k) for c in range(k - 1) for i, n in enumerate(["(intercept)", *transition])]
-    return {"loglik": value, "coefficients": pd.DataFrame(rows, columns=["part", "occasion", "from_status", "to_status", "term", "estimate", "se"]), "params": params, "n_params": gamma.size + tau.size + sum(e.n_params(mm) for e, mm in zip(spec.emissions(), m)), "coding": base.coding}
+    return {"state": state, "sums": sums, "penalised": value, "iterations": i + 1, "converged": bool(done)}
+
+
+def fit_lta_covariates(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: int, *, initial: Sequence[str] = (), transition: Sequence[str] = (), measurement="binary", weight: str | None = None, n_init: int = 5, seed: int = 1, max_iter: int = 500, tol: float = 1e-8, starts: list[tuple] | None = None) -> dict:
+    """A chain whose first status and moves are multinomial logits of covariates (last status as reference); measurement equal over time.
+
+    Rows collapse to patterns of items and covariates and stay in Spark, whatever their number; a round is a pass in which a partition returns one row of
+    sums.  It starts where the chain without covariates ends, or follows each of `starts` (starting shares, moves, parameters of each block).  Rows with a null covariate go.
+    Standard errors are those of the cases' scores.
+    """
+    k, t_max, extra = n_statuses, len(times), list(dict.fromkeys([*initial, *transition]))
+    df = df.dropna(subset=[f"`{c}`" for c in extra]) if extra else df
+    base = T.fit_lta(df, items, times, k, measurement=measurement, weight=weight, n_init=n_init, seed=seed, **({"starts": starts[:1], "max_iter": 0, "tol": -1} if starts else {}))
+    spec, cols = base.spec, base.columns
+    rows = panel.drop_empty(base.coded(df), cols).select(*(F.col(f"`{c}`").cast("double").alias(c) for c in [*cols, *extra]), *([F.col(f"`{weight}`").cast("double").alias("_in")] if weight else []))
+    table = P.collapse(rows, [*cols, *extra], "_in" if weight else None, names=("_w", "_rows")).persist()
+    m = M.marginals(panel.stack_occasions(table, spec.items, times, ["_w"]), spec, "_w")
+    at = lambda names: [extra.index(c) for c in names]
+    logits = lambda p: np.log(np.maximum(p[..., :-1], 1e-6)) - np.log(np.maximum(p[..., -1:], 1e-6))
+
+    def opened(start, moves, params):
+        gamma = np.column_stack([logits(np.asarray(start, float)), np.zeros((k - 1, len(initial)))])
+        return {"gamma": gamma, "tau": np.concatenate([logits(np.asarray(moves, float))[..., None], np.zeros((t_max - 1, k, k - 1, len(transition)))], axis=3), "params": params}
+
+    runs = [_covariate_run(spec, m, opened(*s), max_iter, tol) for s in starts or [(base.start, base.moves, base.params[0])]]
+    found = passes.together(runs, table, [*cols, *extra], "_w", lambda x, w, s: _covariate_sums(spec, t_max, at(initial), at(transition), x, w, s), _covariate_added)
+    table.unpersist()
+    best = max(found, key=lambda r: r["penalised"])
+    gamma, tau, sums = best["state"]["gamma"], best["state"]["tau"], best["sums"]
+    v = inverse(sums["outer"])
+    se = iter(np.sqrt(np.maximum(np.diag(v), 0)))
+    coefficients = [("initial", None, None, c + 1, n, float(gamma[c, i]), float(next(se))) for c in range(k - 1) for i, n in enumerate(["(intercept)", *initial])]
+    coefficients += [("transition", t + 1, a + 1, c + 1, n, float(tau[t, a, c, i]), float(next(se))) for t in range(t_max - 1) for a in range(k) for c in range(k - 1) for i, n in enumerate(["(intercept)", *transition])]
+    n_params = gamma.size + tau.size + sum(e.n_params(mm) for e, mm in zip(spec.emissions(), m))
+    table_of = pd.DataFrame(coefficients, columns=["part", "occasion", "from_status", "to_status", "term", "estimate", "se"])
+    return {"loglik": sums["ll"], "coefficients": table_of, "params": best["state"]["params"], "gamma": gamma, "tau": tau, "vcov": v, "n_params": n_params, "n": sums["n"], "converged": best["converged"], "iterations": best["iterations"], "logliks": [r["sums"]["ll"] for r in found], "coding": base.coding}
 
 
 # ---------------------------------------------------------------- random intercepts

@@ -182,3 +182,49 @@ def groups_equal_means(spark, sf):
             out.append((int(g), "class", k + 1, round(float(c.start[k]), 5)))
             out += [(int(g), f"{n} {what}", k + 1, round(float(p[what][k, j]) * (1, 100)[j], 4)) for j, n in enumerate(names) for what in ("mean", "var")]
     return spark.createDataFrame(out, f"odd bigint, {QF.PARAMS}")
+
+
+# ---------------------------------------------------------------- chains with a covariate
+
+
+def covariate_rounds(rounds: int) -> str:
+    """A chain whose start and moves depend on a yes-or-no covariate: logits in either half go by Newton steps, the measurement by EM, over all paths of states."""
+    items, times, both = QM.LTA_ITEMS, QM.TIMES, (0, 1)
+    logit = lambda p: num(float(np.log(p[0] / p[1])))
+    start = [f"{logit(QM.START)} AS g{h}" for h in both] + [f"{logit(QM.MOVES[t][a - 1])} AS u{h}_{t}_{a}" for h in both for t in times[:-1] for a in (1, 2)]
+    start += [f"{num(QM.RHO[a - 1][j])} AS r_{n}_{a}" for a in (1, 2) for j, n in enumerate(items)]
+    own = lambda v: f"CASE WHEN h = 0 THEN {v.format(0)} ELSE {v.format(1)} END"
+    log = lambda state, v: f"-ln(1 + exp(CASE WHEN {state} = 1 THEN -1 ELSE 1 END * ({v})))"
+    lp = [log("s0", own("g{0}"))]
+    lp += [log(f"s{t + 1}", f"CASE WHEN s{t} = 1 THEN {own(f'u{{0}}_{t}_1')} ELSE {own(f'u{{0}}_{t}_2')} END") for t in times[:-1]]
+    lp += [f"coalesce(CASE WHEN s{t} = 1 THEN {n}{t} * ln(r_{n}_1) + (1 - {n}{t}) * ln(1 - r_{n}_1) ELSE {n}{t} * ln(r_{n}_2) + (1 - {n}{t}) * ln(1 - r_{n}_2) END, 0)" for t in times for n in items]
+    mass = lambda where: f"sum(CASE WHEN {where} THEN p ELSE 0 END)"
+    newton = lambda v, hit, of: f"any_value({v}) + ({hit} - {of} / (1 + exp(-any_value({v})))) / ({of} / (1 + exp(-any_value({v}))) / (1 + exp(any_value({v}))))"
+    new = [newton(f"g{h}", mass(f"h = {h} AND s0 = 1"), mass(f"h = {h}")) for h in both]
+    new += [newton(f"u{h}_{t}_{a}", mass(f"h = {h} AND s{t} = {a} AND s{t + 1} = 1"), mass(f"h = {h} AND s{t} = {a}")) for h in both for t in times[:-1] for a in (1, 2)]
+    new += [f"({' + '.join(mass(f's{t} = {a} AND {n}{t} = 1') for t in times)} + any_value(m_{n}) / 2) / ({' + '.join(mass(f's{t} = {a} AND {n}{t} IS NOT NULL') for t in times)} + 0.5e0)" for a in (1, 2) for n in items]
+    names = [x.split(" AS ")[1] for x in start]
+    wide = ", ".join(QF.WAVES)
+    marg = ", ".join("(" + " + ".join(f"sum(coalesce({n}{t}, 0))" for t in times) + ") * 1.0e0 / (" + " + ".join(f"count({n}{t})" for t in times) + f") AS m_{n}" for n in items)
+    rows = [("initial", 0, 0, "g{0}")] + [("transition", t + 1, a, f"u{{0}}_{t}_{a}") for t in times[:-1] for a in (1, 2)]
+    out = []
+    for part, t, a, v in rows:
+        out.append(f"SELECT '{part}' AS part, {t} AS occasion, {a} AS from_status, '(intercept)' AS term, round({v.format(0)}, 4) AS estimate FROM last")
+        out.append(f"SELECT '{part}', {t}, {a}, 'z', round({v.format(1)} - {v.format(0)}, 4) FROM last")
+    return f"""WITH RECURSIVE {QM.SQL_STATES}, seen AS (SELECT user_id, user_id % 2 AS h, {wide} FROM states WHERE coalesce({wide}) IS NOT NULL), marg AS (SELECT {marg} FROM seen),
+q AS (SELECT * FROM (VALUES (1), (2)) a(s0), (VALUES (1), (2)) b(s1), (VALUES (1), (2)) c(s2), (VALUES (1), (2)) d(s3)),
+t AS (SELECT 0 AS it, {', '.join(start)} UNION ALL
+SELECT it + 1, {', '.join(f'{e} AS {n}' for e, n in zip(new, names))} FROM (SELECT *, exp(lp) / sum(exp(lp)) OVER (PARTITION BY user_id) AS p
+  FROM (SELECT t.*, seen.*, s0, s1, s2, s3, {' + '.join(lp)} AS lp FROM seen, q, t WHERE it < {rounds})), marg GROUP BY it),
+last AS (SELECT * FROM t WHERE it = {rounds})
+{' UNION ALL '.join(out)}"""
+
+
+@query("lta_covariates_from_start", covariate_rounds(2))
+def lta_covariates_from_start(spark, sf):
+    """Start and moves that depend on a yes-or-no covariate, from a given start, round by round."""
+    df = QM.states(spark, sf).withColumn("z", (F.col("user_id") % 2).cast("double"))
+    fit = X.fit_lta_covariates(df, QM.LTA_ITEMS, QM.TIMES, 2, initial=["z"], transition=["z"], starts=CHAIN_START, max_iter=2, tol=-1)
+    c = fit["coefficients"].fillna({"occasion": 0, "from_status": 0})
+    rows = [(r.part, int(r.occasion), int(r.from_status), r.term, round(float(r.estimate), 4)) for r in c.itertuples()]
+    return spark.createDataFrame(rows, "part string, occasion int, from_status int, term string, estimate double")

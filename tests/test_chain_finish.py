@@ -195,3 +195,57 @@ def test_every_fit_is_the_same_under_any_two_codes(panel_rows, plain, codes):
             assert want[name][0] < 0
             if len(want[name]) == 2:
                 assert want[name][1] == pytest.approx(want[name][0], rel=1e-6), name
+
+
+# ---------------------------------------------------------------- chains with covariates
+
+
+def test_covariate_pass_against_differences():
+    t_max, k = 3, 2
+    spec, x, w, m, params, rng = made("categorical", t_max)
+    z = np.column_stack([rng.normal(size=len(x)), rng.integers(0, 2, len(x))])
+    x = np.hstack([x, z])
+    state = {"gamma": rng.normal(size=(1, 2)), "tau": rng.normal(size=(2, 2, 1, 3)), "params": params()}
+    s = X._covariate_sums(spec, t_max, [0], [0, 1], x, w, state)
+
+    def at(theta):
+        return state | {"gamma": theta[:2].reshape(1, 2), "tau": theta[2:].reshape(2, 2, 1, 3)}
+
+    theta = np.concatenate([state["gamma"].ravel(), state["tau"].ravel()])
+    want = gradient(lambda t: X._covariate_sums(spec, t_max, [0], [0, 1], x, w, at(t))["ll"], theta)
+    got = np.concatenate([s["g:start"], *(s[f"g:{t},{a}"] for t in range(2) for a in range(2))])
+    assert np.allclose(got, want, atol=1e-5)
+    each = np.stack([gradient(lambda t, i=i: X._covariate_sums(spec, t_max, [0], [0, 1], x[i : i + 1], np.ones(1), at(t))["ll"], theta) for i in range(len(x))])
+    assert np.allclose(s["outer"][:14, :14], each.T @ (each * w[:, None]), atol=1e-4)
+
+
+def test_chain_covariates_without_effect_are_the_chain_without(spark, panel_rows):
+    """A covariate that says nothing leaves the likelihood nearly where it is; errors are finite, and rows without it go."""
+    plain = T.fit_lta(panel_rows, list("abc"), range(3), 2, n_init=2, seed=1)
+    fit = X.fit_lta_covariates(panel_rows, list("abc"), range(3), 2, initial=["z"], transition=["z"], n_init=2, seed=1, max_iter=60)
+    assert 0 <= fit["loglik"] - plain.loglik < 12 and fit["n_params"] == plain.n_params + 5
+    slopes = fit["coefficients"].query("term == 'z'")
+    assert np.isfinite(fit["coefficients"]["se"]).all() and (slopes["estimate"].abs() < 4 * slopes["se"]).all()
+    some = panel_rows.withColumn("z", F.when(F.col("id") % 3 > 0, F.col("z")))
+    assert X.fit_lta_covariates(some, list("abc"), range(3), 2, initial=["z"], n_init=1, max_iter=3)["n"] == 600
+
+
+def test_chain_covariates_are_recovered(spark):
+    rng = np.random.default_rng(9)
+    out = []
+    for i in range(1500):
+        z, row = float(rng.integers(0, 2)), []
+        s = int(rng.random() < 1 / (1 + np.exp(-(-0.8 + 1.2 * z))))  # status 1 of (0, 1)
+        for _ in range(2):
+            row += [int(rng.random() < (0.9 if s else 0.1)) for _ in range(4)]
+            s = int(rng.random() < ((0.8 if s else 0.15) if z == 0 else (0.8 if s else 0.6)))
+        out.append((z, *row))
+    df = spark.createDataFrame(out, "z double, " + ", ".join(f"`{n}@{t}` int" for t in range(2) for n in "abcd")).repartition(3)
+    fit = X.fit_lta_covariates(df, list("abcd"), range(2), 2, initial=["z"], transition=["z"], n_init=2, max_iter=100)
+    high = int(np.argmax(fit["params"][0]["p"][:, 0]))
+    c = fit["coefficients"].set_index(["part", "from_status", "term"])
+    first, move = c.loc[("initial", np.nan, "z")], c.loc[("transition", 2 - high, "z")]  # moves out of the low status
+    sign = 1 if high == 0 else -1
+    logit = lambda p: np.log(p / (1 - p))
+    assert abs(sign * float(first["estimate"].iloc[0] if hasattr(first["estimate"], "iloc") else first["estimate"]) - 1.2) < 0.5
+    assert abs(sign * float(move["estimate"].iloc[0] if hasattr(move["estimate"], "iloc") else move["estimate"]) - (logit(0.6) - logit(0.15))) < 0.7
