@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType, NullType
 
 #: Bytes of text that one numpy pass handles; a longer single text is handled alone.
 SLICE_BYTES = 1 << 20
@@ -103,6 +104,13 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns: {', '.join(lacking)}")
 
 
+def need_integer(df: DataFrame, column: str) -> None:
+    """Refuse a column of ids that aren't integers: their order would not be that of their values as numbers."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"{column} must be of an integer type, not {kind.simpleString()}")
+
+
 # ---------------------------------------------------------------- words
 
 

@@ -18,7 +18,7 @@ intersection >= similarity * union.  Sets of a and b shingles that link differ i
    so pairs within one component need no test; no pair of different components that share a block goes untested.
 
 Defined cases: words are runs of bytes other than space and 0x09-0x0D, with A-Z lowered; a null or empty text has the empty set, which
-links with nothing, not even another empty one; rows with the same id are judged one by one; a null id is in no order, so
+links with nothing, not even another empty one; rows with the same id are judged one by one; ids of types other than integers are refused; a null id is in no order, so
 a component's id is its smallest id that is not null; a similarity of exactly the threshold links; an empty table stays empty; extra columns are ignored.
 
 Scale: what is shuffled is about 0.35 numbers for each shingle, twice, and the texts of documents that may link.  Keys are counted
@@ -258,6 +258,7 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: str = "0.75", width: int = 5, tile: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id, component (unique; null for an empty set) and text_hash of every row."""
     C.need(docs, doc_id, text)
+    C.need_integer(docs, doc_id)
     C.short_batches(docs.sparkSession)
     s = Fraction(similarity)
     if not 0 < s <= 1:

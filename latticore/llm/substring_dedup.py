@@ -14,7 +14,7 @@ Hashes only decide what is compared; the automaton or the words themselves decid
 broadcast to all executors, as the shards grow with the data; it is sent to as many tasks as its share of the stream needs.
 
 Defined cases: words are runs of bytes other than space and 0x09-0x0D, compared unchanged; a null text has none; texts
-below `width` words lose nothing; a null document id is after all others; rows with the same id are never smaller than one
+below `width` words lose nothing; a null document id is after all others; ids of types other than integers are refused; rows with the same id are never smaller than one
 another; ties cannot arise, as only a smaller id counts; an empty table stays empty; extra columns are kept (result columns replace theirs).
 
 Scale: what is shuffled is one row of three numbers for each 4 to 5 words, the text twice (by document id), and repeated
@@ -229,6 +229,7 @@ def _finish(names: list[str]):
 def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, stream_words: int = 10_000) -> DataFrame:
     """docs with n_words, n_removed, spans (begin, end, begin, end ... of the words removed) and kept (the other words, joined by a space)."""
     C.need(docs, doc_id, text)
+    C.need_integer(docs, doc_id)
     if width < GRAM:
         raise ValueError(f"windows of at least {GRAM} words")
     C.short_batches(docs.sparkSession)

@@ -9,7 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
-from latticore.llm import filter_audit, language_id, token_links
+from latticore.llm import filter_audit, language_id, parity_join, substring_dedup, token_links
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -275,3 +275,21 @@ def test_language_cases(spark):
     assert {r.score for r in language_id.identify(docs.where("doc_id < 40"), only).collect()} == {1.0}
     with pytest.raises(ValueError, match="max_labels"):
         language_id.fit(docs, max_labels=1)
+
+
+# ---------------------------------------------------------------- ids
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_ids_that_are_no_integers_are_refused(spark, ansi):
+    docs = spark.createDataFrame([("a1", "one two three four five six"), ("a2", "one two three four five six")], "doc_id string, text string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        for f in (parity_join.jaccard_components, parity_join.keep_one, substring_dedup.dedup_substrings, substring_dedup.drop_repeats):
+            with pytest.raises(TypeError, match="integer"):
+                f(docs)
+        short = docs.select(F.substring("doc_id", 2, 1).cast("short").alias("doc_id"), "text")
+        assert {r.component_id for r in parity_join.jaccard_components(short).collect()} == {1}
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
