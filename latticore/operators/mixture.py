@@ -332,8 +332,8 @@ def fit_mixture(df: DataFrame, items: Sequence[str], n_classes: int, measurement
         df = panel.rescale_weights(df, weight, weight_type, "_w")
     spec = Spec(blocks, n_classes, alpha or {}, cats or {})
     rows = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in spec.items), *([F.col("_w")] if weight else []))
-    table = P.collapse(rows, spec.items, "_w" if weight else None, names=("_weight", "_rows"))
-    # the pattern table comes to the driver only where it is small
+    table = P.collapse(rows, spec.items, "_w" if weight else None, names=("_weight", "_rows")).drop("_rows").persist()
+    # the pattern table comes to the driver only where it is small; a larger one stays, and passes go over its weighted patterns
     head = table.limit(max_patterns + 1).toPandas()
     if len(head) <= max_patterns:
         if not len(head):
@@ -341,7 +341,8 @@ def fit_mixture(df: DataFrame, items: Sequence[str], n_classes: int, measurement
         head = head.sort_values(spec.items, na_position="first", ignore_index=True)
         fit = _fit_tasks(df, spec, head, n_init=n_init, seed=seed, max_iter=max_iter, tol=tol, starts=starts)
     else:
-        fit = _fit_partitions(rows, spec, "_w" if weight else None, n_init=n_init, seed=seed, max_iter=max_iter, tol=tol, starts=starts)
+        fit = _fit_partitions(table, spec, "_weight", n_init=n_init, seed=seed, max_iter=max_iter, tol=tol, starts=starts)
+    table.unpersist()
     fit.weight, fit.coding = weight, coding
     return fit
 
@@ -369,8 +370,7 @@ def _fit_tasks(df: DataFrame, spec: Spec, table: pd.DataFrame, *, n_init, seed,
 
 
 def _fit_partitions(rows: DataFrame, spec: Spec, weight: str | None, *, n_init, seed, max_iter, tol, starts=None) -> Fit:
-    """One pass over the rows in each iteration; all live starts share it.  A partition returns one row of statistics."""
-    rows = rows.persist()
+    """One pass over the (persisted) rows in each iteration; all live starts share it.  A partition returns one row of statistics."""
     spark, items = rows.sparkSession, spec.items
     cells = []
     w = F.col(weight) if weight else F.lit(1.0)
@@ -425,7 +425,6 @@ def _fit_partitions(rows: DataFrame, spec: Spec, weight: str | None, *, n_init,
                 r["last"], r["state"] = value, _maximised(spec, s, m, r["state"][1])
     runs = [r | {"pi": r["state"][0], "params": r["state"][1]} for r in live]
     fit = _best(spec, runs, m, lambda r: degenerate_rows(spec, r, rows, weight))
-    rows.unpersist()
     return fit
 
 

@@ -229,7 +229,8 @@ def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: in
     df, coding = coded_items(df, blocks, spec.items, times)
     df = panel.drop_empty(df, cols)
     rows = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in cols), *([F.col(weight).cast("double").alias("_w")] if weight else []))
-    table = P.collapse(rows, cols, "_w" if weight else None, names=("_weight", "_rows")).limit(max_patterns + 1).toPandas()
+    full = P.collapse(rows, cols, "_w" if weight else None, names=("_weight", "_rows")).drop("_rows").persist()
+    table = full.limit(max_patterns + 1).toPandas()
     if not len(table):
         raise ValueError("no row with an observed item")
     invariant, small = invariance == "full", len(table) <= max_patterns
@@ -242,12 +243,11 @@ def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: in
         whole = [e.marginal(b, np.tile(w, t_max)) for e, b in zip(spec.emissions(), spec.split(stacked))]
         m = [whole if invariant else [e.marginal(b, w) for e, b in zip(spec.emissions(), spec.split(x[:, t * j : (t + 1) * j]))] for t in range(t_max)]
     else:  # the table stays where it is
-        rows = rows.persist()
-        long = panel.stack_occasions(rows, spec.items, times, ["_w"] if weight else [])
+        long = panel.stack_occasions(full, spec.items, times, ["_weight"])
         named = [c for f, own in spec.blocks if f in ("categorical", "ordinal") for c in own]
         spec.cats = {c: int(v) for c, v in long.agg(*(F.max(f"`{c}`").alias(c) for c in named)).first().asDict().items()} if named else {}
-        whole = M.marginals(long, spec, "_w" if weight else None)
-        m = [whole if invariant else M.marginals(long.where(F.col("occasion") == t + 1), spec, "_w" if weight else None) for t in range(t_max)]
+        whole = M.marginals(long, spec, "_weight")
+        m = [whole if invariant else M.marginals(long.where(F.col("occasion") == t + 1), spec, "_weight") for t in range(t_max)]
     allowed = np.ones((max(t_max - 1, 0), k, k), bool)
     for a, b in forbidden:
         allowed[:, a - 1, b - 1] = False
@@ -263,8 +263,7 @@ def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: in
         states.append((rng.dirichlet(np.full(k, 5.0)), mv / np.maximum(mv.sum(axis=2, keepdims=True), EPS), [one] * t_max if invariant else [one] + [[{n: v.copy() for n, v in p.items()} for p in one] for _ in range(t_max - 1)]))
     how = {"invariant": invariant, "same_moves": transition_invariance == "full", "allowed": allowed, "alpha": alpha, "max_iter": max_iter, "tol": tol}
     if not small:
-        runs = passes.together([_chain_run(spec, t_max, m, s, **how) for s in states], rows, cols, "_w" if weight else None, lambda x, w, s: _chain_sums(spec, t_max, x, w, s), _added)
-        rows.unpersist()
+        runs = passes.together([_chain_run(spec, t_max, m, s, **how) for s in states], full, cols, "_weight", lambda x, w, s: _chain_sums(spec, t_max, x, w, s), _added)
     elif len(states) == 1 or len(w) * t_max * len(states) < 2000:
         runs = [passes.alone(_chain_run(spec, t_max, m, s, **how), lambda s: _chain_sums(spec, t_max, x, w, s)) for s in states]
     else:
@@ -278,6 +277,7 @@ def fit_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: in
 
         ids = spark.createDataFrame([(i,) for i in range(len(states))], "start int").repartition(len(states), "start")
         runs = [pickle.loads(r.run) for r in ids.mapInPandas(run, "start int, run binary").orderBy("start").collect()]
+    full.unpersist()
     best = max(runs, key=lambda r: r["penalised"])
     order = np.argsort(-best["start"], kind="stable")
     moves = best["moves"][:, order][:, :, order] if t_max > 1 else best["moves"]
