@@ -20,9 +20,9 @@ the only page of a host loses no undecided line; an article that is named a comm
 empty; extra columns are kept (result columns replace theirs).
 
 Scale: one pass over html; then lines, packed, not html, are shuffled once, in segments of the order by host and path, so that a host with a third
-of all pages is many segments; their bounds come from a sample of at most 20 x `max_segments` URLs, the only thing broadcast.  Segments are streamed
-sorted, three pages at a time; a segment's first and last page meet those of the segments beside it in a join.  The result depends neither on the
-sample nor on partitions.  Alignment takes time by lines times lines / 64, and memory by their square root times lines / 8.
+of all pages is many segments; their bounds come from a sample of at most `max_sample` URLs, the only thing broadcast.  A segment has 128 pages up to
+8 million pages, and `max_segments` of them grow from there (76,000 pages each at 5 billion); they are streamed sorted, three pages at a time, so time grows, not memory; a segment's first and last page meet those of the segments beside it in a join.  The result depends neither on the
+sample nor on partitions.  Reading a page takes time by its length, however deep its elements are.  Alignment takes time by lines times lines / 64, and memory by their square root times lines / 8.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ import math
 import re
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -81,7 +82,9 @@ def page_lines(page: str | None) -> list[tuple[int, str, str]]:
         return []
     lines: list[tuple[int, str, str]] = []
     held: list[str] = []
-    stack: list[tuple[str, int, int, str]] = []  # (tag, furniture, main, class and id) of open elements, with what they are in
+    #: (tag, furniture, main, place of the nearest block, sum of the blocks' names) of open elements, each with what it is in
+    stack: list[tuple[str, int, int, int, int]] = []
+    opened: Counter[str] = Counter()  # open elements by tag
     at, end = 0, len(page)
     furniture = main = 0  # furniture: 1 by a word of layout, 2 by another name or its tag; main: 1 perhaps, 2 inside article or main
     linked = True  # all text held is links
@@ -92,17 +95,23 @@ def page_lines(page: str | None) -> list[tuple[int, str, str]]:
         held.clear()
         if text:
             kind = NONE if furniture else (UNDECIDED, PERHAPS, CONTENT)[main]
-            slot = "/".join(tag + name for tag, _, _, name in stack if tag not in INLINE)
-            lines.append((kind, f"{zlib.crc32(slot.encode('utf-8', 'replace')):08x}{'a' if linked else '-'}", text))
+            lines.append((kind, f"{stack[-1][4] if stack else 0:08x}{'a' if linked else '-'}", text))
         linked = True
 
     def hold(text: str) -> None:
         nonlocal linked
         if text:
             held.append(text)
-            if linked and not text.isspace() and not any(x[0] == "a" for x in stack):
+            if linked and not opened["a"] and not text.isspace():
                 linked = False
 
+    def close(k: int) -> None:
+        nonlocal furniture, main
+        for x in stack[k:]:
+            opened[x[0]] -= 1
+        del stack[k:]
+        furniture, main = stack[-1][1:3] if stack else (0, 0)
+
     while at < end:
         m = _MARKUP.search(page, at)
         if m is None:
@@ -115,15 +124,15 @@ def page_lines(page: str | None) -> list[tuple[int, str, str]]:
             continue
         name = name.lower()
         if m[1]:  # an end tag closes what is open down to its element
-            if any(x[0] == name for x in stack):
+            if opened[name]:
                 if name not in INLINE:
                     flush()
-                k = max(i for i, x in enumerate(stack) if x[0] == name)
-                after = stack[k - 1][1:3] if k else (0, 0)
-                if held and after != (furniture, main):
+                k = len(stack) - 1
+                while stack[k][0] != name:  # all of these close
+                    k -= 1
+                if held and (stack[k - 1][1:3] if k else (0, 0)) != (furniture, main):
                     flush()
-                del stack[k:]
-                furniture, main = after
+                close(k)
             elif name == "p":
                 flush()
             continue
@@ -133,11 +142,9 @@ def page_lines(page: str | None) -> list[tuple[int, str, str]]:
         attributes = m[3]
         if name not in INLINE:
             flush()
-            if name in CLOSES_P and any(x[0] == "p" for x in stack):
-                k = max(i for i, x in enumerate(stack) if x[0] == "p")
-                if all(x[0] in INLINE for x in stack[k + 1 :]):  # what stands open in a paragraph ends with it
-                    del stack[k:]
-                    furniture, main = stack[-1][1:3] if stack else (0, 0)
+            block = stack[-1][3] if stack else -1
+            if name in CLOSES_P and block >= 0 and stack[block][0] == "p":  # what stands open in a paragraph ends with it
+                close(block)
         if name in VOID or attributes.endswith("/"):
             continue
         own, inside = 2 * (name in FURNITURE), main
@@ -158,7 +165,12 @@ def page_lines(page: str | None) -> list[tuple[int, str, str]]:
         if held and (closed, inside) != (furniture, main):
             flush()
         furniture, main = closed, inside
-        stack.append((name, furniture, main, "".join(f".{x}" for g in _NAMED.findall(attributes) for x in "".join(g).split()) if attributes else ""))
+        block, slot = stack[-1][3:] if stack else (-1, 0)
+        if name not in INLINE:
+            own_name = name + ("".join(f".{x}" for g in _NAMED.findall(attributes) for x in "".join(g).split()) if attributes else "")
+            block, slot = len(stack), zlib.crc32((own_name if block < 0 else f"/{own_name}").encode("utf-8", "replace"), slot)
+        stack.append((name, furniture, main, block, slot))
+        opened[name] += 1
     flush()
     return lines
 
@@ -314,19 +326,20 @@ def _rejoined(names: list[str]):
     return run
 
 
-def _bounds(placed: DataFrame, segment_pages: int, max_segments: int) -> list[tuple[bytes, ...]]:
+def _bounds(placed: DataFrame, segment_pages: int, max_segments: int, max_sample: int) -> list[tuple[bytes, ...]]:
     """Upper bounds of all segments but the last, from a sample of the keys."""
     keys = placed.select("_host", "_path", "_tie")
     pages = keys.count()
     segments = min(max_segments, -(-pages // segment_pages))
     if segments < 2:
         return []
-    draw = F.pmod(F.xxhash64("_host", "_path", "_tie"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 20 * segments / pages))
-    rows = sorted(tuple(x.encode() for x in r) for r in keys.where(draw).limit(40 * max_segments).toArrow().to_pandas().itertuples(index=False))
+    share = min(20 * segments, max_sample / 2) / pages  # half of what is allowed, so that chance does not exceed it
+    draw = F.pmod(F.xxhash64("_host", "_path", "_tie"), F.lit(1 << 62)) < int((1 << 62) * min(1.0, share))
+    rows = sorted(tuple(x.encode() for x in r) for r in keys.where(draw).limit(max_sample).toArrow().to_pandas().itertuples(index=False))
     return sorted({rows[len(rows) * k // segments] for k in range(1, segments)}) if rows else []
 
 
-def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", segment_pages: int = 128, max_segments: int = 8192) -> DataFrame:
+def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", segment_pages: int = 128, max_segments: int = 65_536, max_sample: int = 400_000) -> DataFrame:
     """pages without html, with text: the main text of each."""
     C.need(pages, page_id, url, html)
     spark = pages.sparkSession
@@ -337,7 +350,7 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
     fields = [f"{own[f.name]} {f.dataType.simpleString()}" for f in kept]
     tie = F.coalesce(F.col(f"`{page_id}`").cast("string"), F.lit(""))
     placed = pages.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()), F.col(f"`{html}`").alias("_html"), url_host(F.col(url)).alias("_host"), url_path(F.col(url)).alias("_path"), tie.alias("_tie"))
-    bounds = spark.sparkContext.broadcast(_bounds(placed, segment_pages, max_segments))
+    bounds = spark.sparkContext.broadcast(_bounds(placed, segment_pages, max_segments, max_sample))
     keyed = [*names, "_host", "_path", "_tie"]
     lined = placed.mapInArrow(_parsed(keyed, "_html", bounds), ", ".join([*fields, "_host string, _path string, _tie string, _segment int, _packed binary"]))
     lined = lined.repartition("_segment").sortWithinPartitions("_segment", "_host", "_path", "_tie")
