@@ -1,4 +1,4 @@
-"""Extended models: groups, direct covariate effects, covariates and random intercepts on chains, mixtures of chains, three-step chains.
+"""Extended models: groups, direct covariate effects, covariates and random intercepts on chains, mixtures of chains.
 
 Chains with covariates pass over patterns where they are.  The others work on the pattern table (with group or covariate columns among its keys), which is
 bounded and small; rows are only aggregated.
@@ -416,33 +416,6 @@ def fit_mixture_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_stat
     return best | {"n_params": c_max - 1 + c_max * (k - 1) + per * (1 if mover_stayer else c_max) + sum(e.n_params(mm) for e, mm in zip(spec.emissions(), m)), "coding": base.coding}
 
 
-def fit_three_step_lta(df: DataFrame, items: Sequence[str], times: Sequence, n_statuses: int, *, measurement="binary", n_init: int = 10, seed: int = 1, rounds: int = 2000, tol: float = 1e-10) -> dict:
-    """Statuses from a model of stacked occasions; chains from modal statuses with that model's classification error held fixed."""
-    stacked = panel.stack_occasions(df.withColumn("_id", F.monotonically_increasing_id()), items, times, ["_id"]).drop("time")
-    one = M.fit_mixture(stacked, items, n_statuses, measurement, n_init=n_init, seed=seed)
-    scored = one.transform(stacked)
-    error = S.classification_error(scored, n_statuses)
-    by = scored.groupBy("_id").agg(*(F.max(F.when(F.col("occasion") == t + 1, F.col("class"))).alias(f"s{t}") for t in range(len(times))))
-    cols = [f"s{t}" for t in range(len(times))]
-    table = P.collapse(by, cols, names=("_weight", "_rows")).toPandas()  # at most (statuses + 1) ^ occasions rows
-    a, w = M.pattern_arrays(table, cols)
-    logs = np.vstack([np.log(np.maximum(error, 1e-300)), np.zeros(n_statuses)])  # the last row: nothing assigned
-    lb = logs[np.where(np.isnan(a), n_statuses, a - 1).astype(int)]
-    k, t_max = n_statuses, len(times)
-    start, moves, last = np.full(k, 1 / k), np.repeat((np.eye(k) * 0.5 + 0.5 / k)[None], t_max - 1, axis=0), -math.inf
-    for _ in range(rounds):
-        ll, g, xi = T.forward_backward(lb, start, moves)
-        value = float(w @ ll)
-        if value - last < tol * (1 + abs(value)):
-            break
-        last = value
-        s = w @ g[:, 0] + 1 / k
-        start = s / s.sum()
-        n = np.einsum("n,ntab->tab", w, xi) + 1 / (k * k)
-        moves = n / n.sum(axis=2, keepdims=True)
-    return {"step1": one, "error": error, "start": start, "moves": moves, "loglik": value}
-
-
 def compare_longitudinal(df: DataFrame, items: Sequence[str], times: Sequence, k_range: Sequence[int], *, model: str = "lta", **how) -> DataFrame:
     """The enumeration table of chains (lta), repeated-measures classes (rmlca), or curves of one item (lcga, gmm)."""
     fits = {"lta": T.fit_lta, "rmlca": T.fit_rmlca, "lcga": G.fit_lcga, "gmm": G.fit_gmm}

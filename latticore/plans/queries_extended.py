@@ -12,6 +12,7 @@ from latticore.operators import inference as I
 from latticore.operators import mixture as M
 from latticore.operators import report as R
 from latticore.operators import structural as S
+from latticore.operators import threestep as TS
 from latticore.plans import patterns as P
 from latticore.plans import queries_data as Q
 from latticore.plans import queries_model as QM
@@ -60,7 +61,7 @@ def fit_mover_stayer(spark, sf):
 
 @query("fit_three_step_lta")
 def fit_three_step_lta(spark, sf):
-    r = X.fit_three_step_lta(_panel(spark, sf), QM.LTA_ITEMS, QM.TIMES, 2, n_init=3)
+    r = TS.fit_three_step_lta(_panel(spark, sf), QM.LTA_ITEMS, QM.TIMES, 2, n_init=3)
     return spark.createDataFrame([(t + 1, a + 1, b + 1, float(r["moves"][t, a, b])) for t in range(3) for a in range(2) for b in range(2)], "occasion int, from_status int, to_status int, probability double")
 
 

@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from latticore.plans import queries_data, queries_extended, queries_fixed, queries_model, queries_passes  # noqa: E402, F401
+from latticore.plans import queries_data, queries_extended, queries_fixed, queries_model, queries_passes, queries_steps  # noqa: E402, F401

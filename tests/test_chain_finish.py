@@ -12,6 +12,7 @@ from latticore.operators import inference as I
 from latticore.operators import jointly as J
 from latticore.operators import mixture as M
 from latticore.operators import passes
+from latticore.operators import threestep as TS
 from latticore.operators import transition as T
 from latticore.plans import patterns as P
 from pyspark.sql import functions as F
@@ -175,7 +176,7 @@ def chain_fits(df):
         "covariates": (X.fit_lta_covariates(df, items, times, 2, initial=["z"], max_iter=15, **small)["loglik"],),
         "random intercept": (X.fit_ri_lta(df, items, times, 2, n_quadrature=5, max_iter=10, **small)["loglik"],),
         "mixture of chains": (X.fit_mixture_lta(df, items, times, 2, max_iter=10, **small)["loglik"],),
-        "three steps": (X.fit_three_step_lta(df, items, times, 2, rounds=50, **small)["loglik"],),
+        "three steps": (TS.fit_three_step_lta(df, items, times, 2, max_iter=50, **small)["loglik"],),
         "groups": (J.fit_lta_groups(df, items, times, "z", 2, max_iter=15, **small)["loglik"],),
     }
 

@@ -14,6 +14,7 @@ from latticore.operators import growth as G
 from latticore.operators import mixture as M
 from latticore.operators import report as R
 from latticore.operators import structural as S
+from latticore.operators import threestep as TS
 from latticore.operators import transition as T
 from latticore.plans import patterns as P
 from latticore.sources import panel
@@ -409,8 +410,8 @@ def test_chain_extensions(spark, chains):
     s, x = chains
     rng = np.random.default_rng(12)
     items = [f"i{j}" for j in range(4)]
-    three = X.fit_three_step_lta(wide(spark, x), items, [0, 1, 2], 2, n_init=3)
-    order = np.argsort(-three["step1"].params[0]["p"][:, 0])
+    three = TS.fit_three_step_lta(wide(spark, x), items, [0, 1, 2], 2, n_init=3)
+    order = np.argsort(-three["params"][0]["p"][:, 0])
     assert three["moves"][:, order][:, :, order] == pytest.approx(MOVES, abs=0.1)
     mover = X.fit_mixture_lta(wide(spark, x), items, [0, 1, 2], 2, mover_stayer=True, n_init=2, tol=1e-6)
     assert mover["moves"][1] == pytest.approx(np.repeat(np.eye(2)[None], 2, axis=0)) and mover["loglik"] > -1e5
