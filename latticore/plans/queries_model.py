@@ -101,36 +101,60 @@ def survey_meat(spark, sf):
 
 # ---------------------------------------------------------------- tests
 
-P_VALUES = [0.001, 0.02, 0.03, 0.2, 0.8]
-SQL_P = "WITH p(i, p) AS (VALUES " + ", ".join(f"({i + 1}, {num(p)})" for i, p in enumerate(P_VALUES)) + "), r AS (SELECT i, p, row_number() OVER (ORDER BY p, i) AS k FROM p)"
+SQL_TESTS = """b AS (SELECT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS i, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1.0e0 ELSE 0.0e0 END) AS f FROM orders GROUP BY 1),
+a AS (SELECT sum(f) / sum(n) AS s FROM b),
+tests AS (SELECT i, n * (f / n - s) * (f / n - s) / (s * (1 - s)) AS x FROM b, a)"""
 
 
-@query("p_adjust", f"{SQL_P} SELECT i, round(least(1, 5 * p), 6) AS bonferroni, round(max(least(1, (6 - k) * p)) OVER (ORDER BY k), 6) AS holm, round(min(least(1, 5 * p / k)) OVER (ORDER BY k DESC), 6) AS bh FROM r")
+def priority_tests(spark, sf):
+    """i, x: for each of the five priorities, how far its share of finished orders is from that of all, as a chi-squared statistic."""
+    finished = F.sum((F.col("o_orderstatus") == "F").cast("double"))
+    t = table(spark, sf, "orders").groupBy(F.substring("o_orderpriority", 1, 1).cast("int").alias("i")).agg(F.count(F.lit(1)).alias("n"), finished.alias("f")).toPandas().sort_values("i")
+    share = t["f"].sum() / t["n"].sum()
+    return t.assign(x=t["n"] * (t["f"] / t["n"] - share) ** 2 / (share * (1 - share)))[["i", "x"]]
+
+
+@query("p_adjust", f"WITH {SQL_TESTS}, r AS (SELECT i, exp(-x / 2) AS p, row_number() OVER (ORDER BY exp(-x / 2), i) AS k FROM tests) SELECT i, round(least(1, 5 * p), 6) AS bonferroni, round(max(least(1, (6 - k) * p)) OVER (ORDER BY k), 6) AS holm, round(min(least(1, 5 * p / k)) OVER (ORDER BY k DESC), 6) AS bh FROM r")
 def p_adjust(spark, sf):
     from latticore.functions.special import adjust_p
 
-    cols = {"bonferroni": "bonferroni", "holm": "holm", "bh": "BH"}
-    v = {c: adjust_p(P_VALUES, m) for c, m in cols.items()}
-    return rounded(spark.createDataFrame([(i + 1, *(float(v[c][i]) for c in cols)) for i in range(len(P_VALUES))], "i bigint, bonferroni double, holm double, bh double"))
+    t = priority_tests(spark, sf)
+    p = [chi2_sf(float(x), 2) for x in t["x"]]
+    v = [adjust_p(p, m) for m in ("bonferroni", "holm", "BH")]
+    return rounded(spark.createDataFrame([(int(i), *(float(u) for u in row)) for i, *row in zip(t["i"], *v)], "i bigint, bonferroni double, holm double, bh double"))
 
 
-@query("chi2_tail", "SELECT x, round(exp(-x / 2), 9) AS df2, round(exp(-x / 2) * (1 + x / 2), 9) AS df4, round(exp(-x / 2) * (1 + x / 2 + x * x / 8 + x * x * x / 48), 9) AS df8 FROM (VALUES (0.5e0), (3.0e0), (9.0e0), (30.0e0)) AS t(x)")
+@query("chi2_tail", f"WITH {SQL_TESTS} SELECT round(x, 9) AS x, round(exp(-x / 2), 9) AS df2, round(exp(-x / 2) * (1 + x / 2), 9) AS df4, round(exp(-x / 2) * (1 + x / 2 + x * x / 8 + x * x * x / 48), 9) AS df8 FROM tests")
 def chi2_tail(spark, sf):
-    return rounded(spark.createDataFrame([(x, chi2_sf(x, 2), chi2_sf(x, 4), chi2_sf(x, 8)) for x in (0.5, 3.0, 9.0, 30.0)], "x double, df2 double, df4 double, df8 double"), 9)
+    return rounded(spark.createDataFrame([(float(x), *(chi2_sf(float(x), d) for d in (2, 4, 8))) for x in priority_tests(spark, sf)["x"]], "x double, df2 double, df4 double, df8 double"), 9)
+
+
+STATUSES = ["F", "O", "P"]
+SQL_PRICES = "prices AS (SELECT o_orderstatus AS s, avg(o_totalprice / 100000.0e0) AS m, var_pop(o_totalprice / 100000.0e0) AS v, count(*) AS n FROM orders GROUP BY 1)"
+
+
+def prices(spark, sf):
+    """Means of the price by status, their covariance and the variances."""
+    y = F.col("o_totalprice") / 100000.0
+    rows = {r.s: r for r in table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("s")).agg(F.avg(y).alias("m"), F.var_pop(y).alias("v"), F.count(F.lit(1)).alias("n")).collect()}
+    m, v, n = (np.array([float(rows[s][c]) for s in STATUSES]) for c in ("m", "v", "n"))
+    return m, np.diag(v / n), v
 
 
-EST, VC = [1.2, 0.4, -0.3], np.array([[0.04, 0.01, 0.0], [0.01, 0.09, 0.02], [0.0, 0.02, 0.16]])
+def contrast_sql(a: int, b: int) -> str:
+    return f"SELECT {a + 1} AS class, {b + 1} AS reference, round(a.m - b.m, 6) AS estimate, round(sqrt(a.v / a.n + b.v / b.n), 6) AS se, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS z, round((a.m - b.m) / sqrt((a.v + b.v) / 2), 6) AS d FROM prices a, prices b WHERE a.s = '{STATUSES[a]}' AND b.s = '{STATUSES[b]}'"
 
 
-@query("outcome_contrasts", " UNION ALL ".join(f"SELECT {a + 1} AS class, {b + 1} AS reference, round({num(EST[a] - EST[b])}, 6) AS estimate, round(sqrt({num(VC[a, a])} + {num(VC[b, b])} - 2 * {num(VC[a, b])}), 6) AS se, round({num(EST[a] - EST[b])} / sqrt({num(VC[a, a])} + {num(VC[b, b])} - 2 * {num(VC[a, b])}), 6) AS z, round({num(EST[a] - EST[b])} / sqrt(({num((1.0, 2.0, 1.5)[a])} + {num((1.0, 2.0, 1.5)[b])}) / 2), 6) AS d" for a in range(3) for b in range(a)))
+@query("outcome_contrasts", f"WITH {SQL_PRICES} " + " UNION ALL ".join(contrast_sql(a, b) for a in range(3) for b in range(a)))
 def outcome_contrasts(spark, sf):
-    c = D.contrasts(EST, VC, variances=[1.0, 2.0, 1.5])
-    return rounded(spark.createDataFrame(c[["class", "reference", "estimate", "se", "z", "d"]]))
+    m, vc, v = prices(spark, sf)
+    return rounded(spark.createDataFrame(D.contrasts(m.tolist(), vc, variances=v.tolist())[["class", "reference", "estimate", "se", "z", "d"]]))
 
 
-@query("wald_statistic", f"SELECT round({num((EST[0] - EST[1]) ** 2)} / ({num(VC[0, 0] + VC[1, 1])} - 2 * {num(VC[0, 1])}), 6) AS wald_chi2, 1 AS df")
+@query("wald_statistic", f"WITH {SQL_PRICES} SELECT round((a.m - b.m) * (a.m - b.m) / (a.v / a.n + b.v / b.n), 6) AS wald_chi2, 1 AS df FROM prices a, prices b WHERE a.s = 'F' AND b.s = 'O'")
 def wald_statistic(spark, sf):
-    w = D.wald_test(np.array(EST), VC, np.array([1.0, -1.0, 0.0]))
+    m, vc, _ = prices(spark, sf)
+    w = D.wald_test(m, vc, np.array([1.0, -1.0, 0.0]))
     return rounded(spark.createDataFrame([(w["wald_chi2"], w["df"])], "wald_chi2 double, df bigint"))
 
 
