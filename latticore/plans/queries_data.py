@@ -265,9 +265,16 @@ def estep_multinoulli(spark, sf):
     return scored_out(cat_scored(spark, sf), ["o_orderkey"], 2)
 
 
-@query("ordinal_thresholds", " UNION ALL ".join(f"SELECT {c + 1} AS class, {v + 1} AS threshold, round({num(float(np.log(CAT_P[c, 0, v + 1:].sum()) - np.log(CAT_P[c, 0, : v + 1].sum())))}, 6) AS logit" for c in range(2) for v in range(4)))
+SQL_THRESHOLDS = " UNION ALL ".join(f"SELECT CAST(o_orderkey % 2 + 1 AS BIGINT) AS class, {v} AS threshold, round(ln(count(*) FILTER (WHERE priority > {v}) * 1.0e0 / count(*) FILTER (WHERE priority <= {v})), 6) AS logit FROM coded GROUP BY 1" for v in range(1, 5))
+
+
+@query("ordinal_thresholds", f"WITH {SQL_CODED} {SQL_THRESHOLDS}")
 def ordinal_thresholds(spark, sf):
-    th = CAT.emissions()[0].thresholds({"p": CAT_P})[0]
+    """Cumulative logits of priorities; orders of even and odd key are the classes."""
+    shares = coded(spark, sf).groupBy((F.col("o_orderkey") % 2).alias("h")).agg(*(F.avg((F.col("priority") == v).cast("double")).alias(f"p{v}") for v in range(1, 6))).orderBy("h").collect()
+    p = CAT_P.copy()
+    p[:, 0] = [[r[f"p{v}"] for v in range(1, 6)] for r in shares]
+    th = CAT.emissions()[0].thresholds({"p": p})[0]
     return rounded(spark.createDataFrame([(c + 1, v + 1, float(th[c, v])) for c in range(2) for v in range(4)], "class bigint, threshold bigint, logit double"))
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -256,16 +257,40 @@ def transition_patterns(spark, sf):
     return p.select(*(F.col(f"status_{t}").cast("bigint").alias(f"status_{t}") for t in range(1, 5)), F.round("count").cast("bigint").alias("n"))
 
 
-@query("transition_model_patterns", "SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, {c}, {d}, round({num(START[a - 1] * MOVES[0][a - 1][b - 1] * MOVES[1][b - 1][c - 1] * MOVES[2][c - 1][d - 1])}, 6))" for a, b, c, d in itertools.product((1, 2), repeat=4)) + ") t(status_1, status_2, status_3, status_4, proportion)")
+def rate_sql(t: int, a: int) -> str:
+    hit = lambda last: f"sum(CASE WHEN busy{t} = {a} AND busy{t + 1} {last} THEN 1.0e0 ELSE 0.0e0 END)"
+    return f"({hit('= 1')} + 1) / ({hit('IS NOT NULL')} + 2)"
+
+
+#: Busy (1) and other (2) weeks as statuses seen without error: a start g and moves to busy, m, each with one case more a way.
+SQL_BUSY = f"{SQL_STATES}, busy AS (SELECT (sum(CASE WHEN busy0 = 1 THEN 1.0e0 ELSE 0.0e0 END) + 1) / (count(busy0) + 2) AS g, " + ", ".join(f"{rate_sql(t, 2 - s)} AS m{t}_{s}" for t in range(3) for s in (1, 2)) + " FROM states)"
+
+
+def busy_chain(spark, sf) -> T.Chain:
+    """The chain of busy weeks by their own frequencies."""
+    b = lambda t: F.col(f"`busy@{t}`")
+    hit = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
+    cells = [hit(b(0) == 1), F.count(b(0))] + [hit(c) for t in range(3) for a in (1, 0) for c in ((b(t) == a) & (b(t + 1) == 1), (b(t) == a) & b(t + 1).isNotNull())]
+    n = np.array([float(v or 0) for v in states(spark, sf).agg(*cells).first()]).reshape(7, 2)
+    p = (n[:, 0] + 1) / (n[:, 1] + 2)
+    both = np.column_stack([p, 1 - p])
+    return T.with_parameters(M.Spec([("binary", LTA_ITEMS)], 2), TIMES, both[0], both[1:].reshape(3, 2, 2), [{"p": np.array(RHO)}])
+
+
+def busy_sql(t: int, a: str, b: str) -> str:
+    return f"(CASE WHEN {b} = 1 THEN CASE WHEN {a} = 1 THEN m{t}_1 ELSE m{t}_2 END ELSE 1 - CASE WHEN {a} = 1 THEN m{t}_1 ELSE m{t}_2 END END)"
+
+
+@query("transition_model_patterns", f"WITH {SQL_BUSY}, q AS (SELECT * FROM (VALUES (1), (2)) a(s0), (VALUES (1), (2)) b(s1), (VALUES (1), (2)) c(s2), (VALUES (1), (2)) d(s3)) SELECT s0 AS status_1, s1 AS status_2, s2 AS status_3, s3 AS status_4, round((CASE WHEN s0 = 1 THEN g ELSE 1 - g END) * {' * '.join(busy_sql(t, f's{t}', f's{t + 1}') for t in range(3))}, 6) AS proportion FROM q, busy")
 def transition_model_patterns(spark, sf):
-    c = chain()
+    c = busy_chain(spark, sf)
     c.n = 1.0
     return rounded(c.transition_patterns(spark).drop("count"))
 
 
-@query("transition_matrix", " UNION ALL ".join(f"SELECT {t + 1} AS occasion, {a + 1} AS from_status, {b + 1} AS to_status, {num(MOVES[t][a][b])} AS probability" for t in range(3) for a in range(2) for b in range(2)))
+@query("transition_matrix", f"WITH {SQL_BUSY} " + " UNION ALL ".join(f"SELECT {t + 1} AS occasion, {a} AS from_status, {b} AS to_status, round({busy_sql(t, str(a), str(b))}, 6) AS probability FROM busy" for t in range(3) for a in (1, 2) for b in (1, 2)))
 def transition_matrix(spark, sf):
-    return rounded(chain().transition_matrix(spark))
+    return rounded(busy_chain(spark, sf).transition_matrix(spark))
 
 
 @query("lta_pattern_collapse", f"WITH {SQL_STATES} SELECT " + ", ".join(f"{n}{t}" for t in TIMES for n in LTA_ITEMS) + ", count(*) AS n FROM states GROUP BY ALL")
@@ -308,9 +333,11 @@ def growth_observed(spark, sf):
     return rounded(G.growth_observed(lcga_fit().transform(trajectories(spark, sf)), VALUES, 2))
 
 
-@query("growth_curves", " UNION ALL ".join(f"SELECT {c + 1} AS class, {t + 1} AS occasion, {num(BETA[c][0] + BETA[c][1] * t)} AS expected" for c in range(2) for t in TIMES))
+@query("growth_curves", f"WITH {Q.SQL_WEEKLY}, lines AS (SELECT user_id % 2 AS h, regr_intercept(value, week) AS a, regr_slope(value, week) AS b FROM weekly GROUP BY 1) " + " UNION ALL ".join(f"SELECT CAST(h + 1 AS BIGINT) AS class, {t + 1} AS occasion, round(a + b * {t}, 6) AS expected FROM lines" for t in TIMES))
 def growth_curves(spark, sf):
-    return rounded(lcga_fit().curves(spark))
+    """Lines of the users of even and odd number as two classes."""
+    rows = Q.weekly(spark, sf).groupBy((F.col("user_id") % 2).alias("h")).agg(F.regr_intercept("value", "week").alias("a"), F.regr_slope("value", "week").alias("b")).orderBy("h").collect()
+    return rounded(replace(lcga_fit(), beta=np.array([[r.a, r.b] for r in rows])).curves(spark))
 
 
 def gmm_sql(c: int, slopes=None) -> str:
