@@ -580,16 +580,21 @@ def log_prior(spark, sf):
     return rounded(spark.createDataFrame([(M._log_prior(LCA, np.array(PI), lca().params, m),)], "log_prior double"))
 
 
+SQL_MOMENTS = "moments AS (SELECT CASE WHEN returns > 0 THEN 1 ELSE 0 END AS g, avg(quantity) AS quantity_m, var_pop(quantity) AS quantity_v, avg(discount) AS discount_m, var_pop(discount) AS discount_v FROM sizes GROUP BY 1)"
 SEPARATION_SQL = " UNION ALL ".join(f"SELECT 1 AS class_a, 2 AS class_b, '{n}' AS item, round(a.{n}_m - b.{n}_m, 6) AS difference, round((a.{n}_m - b.{n}_m) / sqrt((a.{n}_v + b.{n}_v) / 2), 6) AS d FROM moments a, moments b WHERE a.g = 0 AND b.g = 1" for n in ("quantity", "discount"))
 
 
-@query("class_separation", f"WITH {SQL_SIZES}, moments AS (SELECT CASE WHEN returns > 0 THEN 1 ELSE 0 END AS g, avg(quantity) AS quantity_m, var_pop(quantity) AS quantity_v, avg(discount) AS discount_m, var_pop(discount) AS discount_v FROM sizes GROUP BY 1) {SEPARATION_SQL}")
-def class_separation(spark, sf):
-    """Orders without and with returns as two classes."""
+def returns_fit(spark, sf):
+    """Orders without and with returns as two classes, by their moments."""
     names = ("quantity", "discount")
     g = sizes(spark, sf).groupBy((F.col("returns") > 0).cast("int").alias("g")).agg(*(f(n).alias(f"{n}_{k}") for n in names for k, f in (("m", F.avg), ("v", F.var_pop)))).orderBy("g").collect()
     moments = {what: np.array([[float(r[f"{n}_{k}"]) for n in names] for r in g]) for what, k in (("mean", "m"), ("var", "v"))}
-    return rounded(D.class_separation(M.with_parameters(LPA, np.array([0.55, 0.45]), [moments]), spark))
+    return M.with_parameters(LPA, np.array([0.55, 0.45]), [moments])
+
+
+@query("class_separation", f"WITH {SQL_SIZES}, {SQL_MOMENTS} {SEPARATION_SQL}")
+def class_separation(spark, sf):
+    return rounded(D.class_separation(returns_fit(spark, sf), spark))
 
 
 @query("skew_kurtosis", "WITH m AS (SELECT avg(quantity) AS a, avg(discount) AS b FROM sizes), " .replace("WITH m", f"WITH {SQL_SIZES}, m") + "d AS (SELECT quantity - a AS q, discount - b AS d FROM sizes, m) SELECT 'quantity' AS item, round(avg(q * q * q) / pow(avg(q * q), 1.5), 6) AS skewness, round(avg(q * q * q * q) / pow(avg(q * q), 2), 6) AS kurtosis FROM d UNION ALL SELECT 'discount', round(avg(d * d * d) / pow(avg(d * d), 1.5), 6), round(avg(d * d * d * d) / pow(avg(d * d), 2), 6) FROM d")

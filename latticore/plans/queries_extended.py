@@ -72,7 +72,7 @@ def compare_longitudinal(spark, sf):
 
 @query("report_profile_data")
 def report_profile_data(spark, sf):
-    return R.profile_data(M.with_parameters(Q.LPA, np.array([0.55, 0.45]), [Q.GAUSS]), spark)
+    return R.profile_data(Q.returns_fit(spark, sf), spark)
 
 
 @query("report_checklist")

@@ -307,20 +307,20 @@ def merge_path_given(spark, sf):
 
 
 def profile_sql() -> str:
-    share, out = (0.55, 0.45), []
-    for j, n in enumerate(("quantity", "discount")):
-        m, v = Q.GAUSS["mean"][:, j], Q.GAUSS["var"][:, j]
-        mu = " + ".join(f"{num(share[c])} * {num(m[c])}" for c in (0, 1))
-        sd = "sqrt(" + " + ".join(f"{num(share[c])} * ({num(v[c])} + pow({num(m[c])} - ({mu}), 2))" for c in (0, 1)) + ")"
-        out += [f"SELECT {c + 1} AS class, '{n}' AS item, round(({num(m[c])} - ({mu})) / {sd}, 6) AS value" for c in (0, 1)]
-    return " UNION ALL ".join(out)
+    out = []
+    for n in ("quantity", "discount"):
+        mu = f"(0.55e0 * a.{n}_m + 0.45e0 * b.{n}_m)"
+        sd = f"sqrt(0.55e0 * (a.{n}_v + pow(a.{n}_m - {mu}, 2)) + 0.45e0 * (b.{n}_v + pow(b.{n}_m - {mu}, 2)))"
+        out += [f"SELECT {c + 1} AS class, '{n}' AS item, round(({own}.{n}_m - {mu}) / {sd}, 6) AS value FROM moments a, moments b WHERE a.g = 0 AND b.g = 1" for c, own in enumerate("ab")]
+    return f"WITH {Q.SQL_SIZES}, {Q.SQL_MOMENTS} " + " UNION ALL ".join(out)
 
 
 @query("profile_data_given", profile_sql())
 def profile_data_given(spark, sf):
+    """Orders without and with returns as two profiles."""
     from latticore.operators import report as R
 
-    return rounded(R.profile_data(M.with_parameters(Q.LPA, np.array([0.55, 0.45]), [Q.GAUSS]), spark))
+    return rounded(R.profile_data(Q.returns_fit(spark, sf), spark))
 
 
 def mcar_sql(rounds: int) -> str:
