@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from latticore.functions.special import EPS, gradient, inverse, logsumexp, two_sided
 from latticore.operators.emissions import Emission, Params, build
+from latticore.operators import passes
 from latticore.plans import patterns as P
 from latticore.sources import panel
 
@@ -334,11 +335,11 @@ def fit_mixture(df: DataFrame, items: Sequence[str], n_classes: int, measurement
     rows = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in spec.items), *([F.col("_w")] if weight else []))
     table = P.collapse(rows, spec.items, "_w" if weight else None, names=("_weight", "_rows")).drop("_rows").persist()
     # the pattern table comes to the driver only where it is small; a larger one stays, and passes go over its weighted patterns
-    head = table.limit(max_patterns + 1).toPandas()
-    if len(head) <= max_patterns:
-        if not len(head):
-            raise ValueError("no row with an observed item")
-        head = head.sort_values(spec.items, na_position="first", ignore_index=True)
+    n = table.count()
+    if not n:
+        raise ValueError("no row with an observed item")
+    if n <= max_patterns:
+        head = table.toPandas().sort_values(spec.items, na_position="first", ignore_index=True)
         fit = _fit_tasks(df, spec, head, n_init=n_init, seed=seed, max_iter=max_iter, tol=tol, starts=starts)
     else:
         fit = _fit_partitions(table, spec, "_weight", n_init=n_init, seed=seed, max_iter=max_iter, tol=tol, starts=starts)
@@ -372,6 +373,7 @@ def _fit_tasks(df: DataFrame, spec: Spec, table: pd.DataFrame, *, n_init, seed,
 def _fit_partitions(rows: DataFrame, spec: Spec, weight: str | None, *, n_init, seed, max_iter, tol, starts=None) -> Fit:
     """One pass over the (persisted) rows in each iteration; all live starts share it.  A partition returns one row of statistics."""
     spark, items = rows.sparkSession, spec.items
+    (dealt, tasks), size = passes.dealt(rows), [None]
     cells = []
     w = F.col(weight) if weight else F.lit(1.0)
     for c in items:
@@ -394,22 +396,15 @@ def _fit_partitions(rows: DataFrame, spec: Spec, weight: str | None, *, n_init,
 
     def step_all(states: list[tuple]) -> list[dict]:
         shared = spark.sparkContext.broadcast((spec, states))
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            spec, states = shared.value
-            sums: list = [None] * len(states)
-            for f in frames:
-                x = f[items].to_numpy(float, na_value=np.nan)
-                ww = f[weight].to_numpy(float) if weight else np.ones(len(f))
-                sums = [_add(a, _statistics(spec, *s, x, ww)) for a, s in zip(sums, states)]
-            if sums[0] is not None:
-                yield pd.DataFrame({"s": [pickle.dumps(sums)]})
-
-        total: list = [None] * len(states)
-        for r in rows.mapInPandas(run, "s binary").toLocalIterator():  # a row per partition
-            total = [_add(a, b) for a, b in zip(total, pickle.loads(r.s))]
+        out, size[0] = passes.summed(dealt, tasks, of_frame, _add, shared, size[0])
         shared.unpersist()
-        return total
+        return out
+
+    def of_frame(f: pd.DataFrame, value: tuple) -> list[dict]:
+        spec, states = value
+        x = f[items].to_numpy(float, na_value=np.nan)
+        w = f[weight].to_numpy(float) if weight else np.ones(len(f))
+        return [_statistics(spec, *s, x, w) for s in states]
 
     live = [{"state": s, "last": -math.inf, "done": False, "i": 0} for s in starts or _starts(spec, m, n_init if spec.k > 1 else 1, seed)]
     for i in range(max_iter + 1):
