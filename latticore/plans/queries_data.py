@@ -369,8 +369,9 @@ def bern_update_sql(k: int, items, w: str = "1", source: str = "post") -> str:
 
 @query("mstep_bernoulli", f"WITH {SQL_LCA} {share_sql(3)} UNION ALL {bern_update_sql(3, FLAGS)}")
 def mstep_bernoulli(spark, sf):
-    table, fit = P.collapse(gaps(flags(spark, sf)), FLAGS), lca()
+    table, fit = P.collapse(gaps(flags(spark, sf)), FLAGS).persist(), lca()  # at most 3^5 patterns, aggregated once for both sums
     pi, params = M.m_step(fit.transform(table), LCA, fit.params, M.marginals(table, LCA, "w"), "w")
+    table.unpersist()
     return params_frame(spark, LCA, pi, params)
 
 
