@@ -25,7 +25,7 @@ def alone(run: Generator, sums: Callable) -> dict:
 
 
 #: Rows that are worth a task in a pass, and rows of a task at the most (unless the table has fewer partitions).
-TASK_ROWS, MOST_ROWS = 5_000, 1_000_000
+TASK_ROWS, MOST_ROWS = 250, 1_000_000
 #: Bytes of sums that come to the driver at once; more are added up in tasks first.
 SUM_BYTES = 64 << 20
 
@@ -33,7 +33,7 @@ SUM_BYTES = 64 << 20
 def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
     """The (persisted) rows in no more partitions than they are worth, without a shuffle, and how many those are at the most."""
     n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(-(-n // TASK_ROWS), max(2 * cores, -(-n // MOST_ROWS))))
+    tasks = max(1, min(-(-n // TASK_ROWS), cores if n < MOST_ROWS // 10 else max(2 * cores, -(-n // MOST_ROWS))))
     return rows.coalesce(tasks), tasks
 
 
