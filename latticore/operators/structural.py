@@ -28,7 +28,10 @@ def classification_error(scored: DataFrame, k: int, *, assignment: str = "modal"
     """P(assigned | true), columns true classes: one aggregation of the posterior array."""
     w, p = _w(weight), [F.col("posterior")[c] for c in range(k)]
     own = [(F.col("class") == s + 1).cast("double") for s in range(k)] if assignment == "modal" else p
-    row = scored.where(F.col("class").isNotNull()).agg(*(F.sum(w * own[s] * p[t]).alias(f"d{s}_{t}") for s in range(k) for t in range(k))).first()
+    return _error_table(scored.where(F.col("class").isNotNull()).agg(*(F.sum(w * own[s] * p[t]).alias(f"d{s}_{t}") for s in range(k) for t in range(k))).first(), k, floor)
+
+
+def _error_table(row, k: int, floor: float = 1e-6) -> np.ndarray:
     d = np.array([[row[f"d{s}_{t}"] or 0.0 for t in range(k)] for s in range(k)])
     d = np.maximum(d / np.maximum(d.sum(axis=0), EPS), floor)
     return d / d.sum(axis=0)
@@ -115,12 +118,32 @@ def fit_mnl(x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def add_covariates(scored: DataFrame, columns: Sequence[str], k: int, *, correction: str = "ML", assignment: str = "proportional", weight: str | None = None) -> pd.DataFrame:
     """Three-step regression of the class on covariates: class, term, estimate, odds_ratio, se, z, p (the last class as reference)."""
-    if correction not in ("ML", "BCH", "none"):
+    return compare_corrections(scored, columns, k, [correction], assignment=assignment, weight=weight)[correction]
+
+
+def compare_corrections(scored: DataFrame, columns: Sequence[str], k: int, corrections: Sequence[str] = ("ML", "BCH", "none"), *, assignment: str = "proportional", weight: str | None = None, max_rows: int = 200_000) -> dict[str, pd.DataFrame]:
+    """add_covariates() by several corrections: scored is read once, and its sums by covariates give the error table and the design."""
+    if any(c not in ("ML", "BCH", "none") for c in corrections):
         raise ValueError("correction is ML, BCH or none")
-    error = classification_error(scored, k, assignment=assignment, weight=weight)
-    own = [(F.col("class") == s + 1).cast("double") for s in range(k)] if assignment == "modal" else [F.col("posterior")[s] for s in range(k)]
-    table = design_table(scored.where(F.col("class").isNotNull()), columns, own, [f"_a{s}" for s in range(k)], weight=weight)
-    x, a = _design(table, len(columns)), table[[f"_a{s}" for s in range(k)]].to_numpy()
+    w, p = _w(weight), [F.col("posterior")[t] for t in range(k)]
+    own = [(F.col("class") == s + 1).cast("double") for s in range(k)] if assignment == "modal" else p
+    sums = [F.sum(w * own[s]).alias(f"_a{s}") for s in range(k)] + [F.sum(w * own[s] * p[t]).alias(f"_d{s}_{t}") for s in range(k) for t in range(k)]
+    cells = scored.where(F.col("class").isNotNull()).groupBy(*(F.col(f"`{c}`").cast("double").alias(f"_x{j}") for j, c in enumerate(columns))).agg(*sums).persist()
+    # rows without a covariate count in the error table only
+    row = cells.agg(*(F.sum(f"_d{s}_{t}").alias(f"d{s}_{t}") for s in range(k) for t in range(k))).first()
+    error = _error_table(row, k)
+    keys, assigned = [f"_x{j}" for j in range(len(columns))], [f"_a{s}" for s in range(k)]
+    table = cells.dropna(subset=keys).select(*keys, *assigned).limit(max_rows + 1).toPandas()
+    cells.unpersist()
+    if len(table) > max_rows:
+        raise ValueError(f"more than {max_rows} design rows")
+    table = table.sort_values(keys, ignore_index=True)
+    x, a = _design(table, len(columns)), table[assigned].to_numpy()
+    return {c: _covariate_step(x, a, error, columns, c) for c in corrections}
+
+
+def _covariate_step(x: np.ndarray, a: np.ndarray, error: np.ndarray, columns: Sequence[str], correction: str) -> pd.DataFrame:
+    k = len(error)
     if correction == "none":
         beta, v = fit_mnl(x, a)
     elif correction == "BCH":

@@ -232,7 +232,7 @@ def three_step_saturated(spark, sf):
     """A regression on one yes-or-no covariate, under each correction: estimates and standard errors."""
     o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 150000, 1.0).otherwise(0.0).alias("dear"))
     scored = Q.cat_scored(spark, sf).join(o, "o_orderkey")
-    rows = [(c, r.term, float(r.estimate), float(r.se)) for c in ("ML", "BCH", "none") for r in S.add_covariates(scored, ["dear"], 2, correction=c).itertuples()]
+    rows = [(c, r.term, float(r.estimate), float(r.se)) for c, t in S.compare_corrections(scored, ["dear"], 2).items() for r in t.itertuples()]
     return rounded(spark.createDataFrame(rows, "correction string, term string, estimate double, se double"), 4)
 
 

@@ -469,8 +469,7 @@ def fit_gmm(spark, sf):
 def three_step_covariates(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 150000, 1.0).otherwise(0.0).alias("dear"))
     scored = Q.cat_scored(spark, sf).join(o, "o_orderkey")
-    parts = [S.add_covariates(scored, ["dear"], 2, correction=c).assign(correction=c) for c in ("ML", "BCH", "none")]
-    return spark.createDataFrame(pd.concat(parts))
+    return spark.createDataFrame(pd.concat([t.assign(correction=c) for c, t in S.compare_corrections(scored, ["dear"], 2).items()]))
 
 
 @query("two_step_covariates")
