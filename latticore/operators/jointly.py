@@ -140,10 +140,11 @@ def fit_lta_groups(df: DataFrame, items: Sequence[str], times: Sequence, group:
     rows = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in cols), number.alias("_group"), *([F.col(f"`{weight}`").cast("double").alias("_w")] if weight else []))
     keys, w_col, g_max, invariant = [*cols, "_group"], "_w" if weight else None, len(names), invariance == "full"
     pools = {(g, t): (0 if measurement_equal else g, 0 if invariant else t) for g in range(g_max) for t in range(t_max)}
-    table = P.collapse(rows, keys, w_col, names=("_weight", "_rows")).limit(max_patterns + 1).toPandas()
-    small = len(table) <= max_patterns
+    # the pattern table comes to the driver only where it is small; a larger one stays, and passes go over its weighted patterns
+    table = P.collapse(rows, keys, w_col, names=("_weight", "_rows")).drop("_rows").persist()
+    small = table.count() <= max_patterns
     if small:
-        x, w = M.pattern_arrays(table.sort_values(keys, na_position="first", ignore_index=True), keys)
+        x, w = M.pattern_arrays(table.toPandas().sort_values(keys, na_position="first", ignore_index=True), keys)
 
         def of(chosen: list[tuple[int, int]]) -> list:
             at = [(x[:, -1] == g, t) for g, t in chosen]
@@ -153,8 +154,8 @@ def fit_lta_groups(df: DataFrame, items: Sequence[str], times: Sequence, group:
         whole = of(list(pools))
         m = {p: of([c for c, q in pools.items() if q == p]) for p in set(pools.values())}
     else:  # the table stays where it is
-        rows = rows.persist()
-        long = panel.stack_occasions(rows, spec.items, times, ["_group", *([w_col] if weight else [])])
+        w_col = "_weight"
+        long = panel.stack_occasions(table, spec.items, times, ["_group", w_col])
         spec.cats = _top_categories(long, spec)
         whole = M.marginals(long, spec, w_col)
         m = {p: M.marginals(long.where((F.lit(measurement_equal) | (F.col("_group") == p[0])) & (F.lit(invariant) | (F.col("occasion") == p[1] + 1))), spec, w_col) for p in set(pools.values())}
@@ -175,8 +176,8 @@ def fit_lta_groups(df: DataFrame, items: Sequence[str], times: Sequence, group:
     if small:
         found = [passes.alone(r, lambda s: sums(x, w, s)) for r in runs]
     else:
-        found = passes.together(runs, rows, keys, w_col, sums, _groups_added)
-        rows.unpersist()
+        found = passes.together(runs, table, keys, w_col, sums, _groups_added)
+    table.unpersist()
     best = max(found, key=lambda r: r["penalised"])
     first, moves, params = best["state"]
     order = np.argsort(-(np.array(best["n"]) @ first), kind="stable")
