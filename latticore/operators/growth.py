@@ -367,28 +367,28 @@ START_PATTERNS = 10_000
 
 
 def _fit(df: DataFrame, columns, sums, kernel, make_start, n_init, seed, weight, max_patterns):
-    """A task for each start on a small pattern table; else passes over the rows that all starts share.
+    """A task for each start on a small pattern table; else passes over the weighted patterns that all starts share.
 
     sums(y, w, state) are additive statistics of rows; kernel(moments, state) is the EM loop, as a run.  Starts are drawn from at most START_PATTERNS
     patterns, the first by hash, wherever the fit is made.
     """
     df = panel.drop_empty(df, columns)
     rows = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in columns), *([F.col(weight).cast("double").alias("_w")] if weight else []))
-    patterns = P.collapse(rows, columns, "_w" if weight else None, names=("_weight", "_rows"))
-    table = patterns.limit(max_patterns + 1).toPandas()
-    if not len(table):
+    # aggregated once: counted, sampled, and passed over where they are too many for a task
+    patterns = P.collapse(rows, columns, "_w" if weight else None, names=("_weight", "_rows")).drop("_rows").persist()
+    found = patterns.count()
+    if not found:
         raise ValueError("no row with an observed occasion")
-    small = len(table) <= max_patterns
+    small = found <= max_patterns
+    table = patterns.toPandas() if small else None
     sample = table if small and len(table) <= START_PATTERNS else patterns.orderBy(F.xxhash64(*(f"`{c}`" for c in columns)), *(f"`{c}`" for c in columns)).limit(START_PATTERNS).toPandas()
     ordered = lambda t: M.pattern_arrays(t.sort_values(columns, na_position="first", ignore_index=True), columns)
     y, w = ordered(sample)
     starts = [make_start(y, w, np.random.default_rng([seed, i])) for i in range(n_init)]
     m = {"mean": float(np.nanmean(y)), "var": float(np.nanvar(y))}
     if not small:
-        rows = rows.persist()
-        total = rows.agg(F.sum("_w") if weight else F.count(F.lit(1))).first()[0]
-        runs = passes.together([kernel(m, s) for s in starts], rows, columns, "_w" if weight else None, sums, _added)
-        rows.unpersist()
+        total = patterns.agg(F.sum("_weight")).first()[0]
+        runs = passes.together([kernel(m, s) for s in starts], patterns, columns, "_weight", sums, _added)
     else:
         y, w = ordered(table)
         total = w.sum()
@@ -405,6 +405,7 @@ def _fit(df: DataFrame, columns, sums, kernel, make_start, n_init, seed, weight,
 
             ids = spark.createDataFrame([(i,) for i in range(n_init)], "start int").repartition(n_init, "start")
             runs = [pickle.loads(r.run) for r in ids.mapInPandas(run, "start int, run binary").orderBy("start").collect()]
+    patterns.unpersist()
     best = max(runs, key=lambda r: r["ll"])
     order = np.argsort(-best["pi"], kind="stable")
     k = len(order)
