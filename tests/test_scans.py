@@ -73,3 +73,12 @@ def test_curves_pass_over_patterns(spark, monkeypatch):
     far, near = (G.fit_gmm(df, [f"y{t}" for t in range(4)], 2, max_patterns=m, **how) for m in (1, 1000))
     assert seen == [21]
     assert far.loglik == pytest.approx(near.loglik, rel=1e-9) and far.n == near.n == 3000
+
+
+@pytest.mark.parametrize("occasions", [1, 4, 70])
+def test_rows_by_missing_cells(occasions):
+    mask = np.random.default_rng(occasions).random((200, occasions)) < 0.1
+    want = [(m, np.flatnonzero((mask == m).all(axis=1))) for m in np.unique(mask, axis=0)]
+    got = G._by_missing(mask)
+    assert len(got) == len(want) and all(np.array_equal(a, c) and np.array_equal(b, d) for (a, b), (c, d) in zip(got, want))
+    assert G._by_missing(mask[:0]) == []
