@@ -424,16 +424,30 @@ def _fit_partitions(rows: DataFrame, spec: Spec, weight: str | None, *, n_init,
 
 
 def degenerate_rows(spec: Spec, res: dict, rows: DataFrame, weight: str | None) -> bool:
-    """degenerate() of a table that stays where it is: two aggregations for each continuous item with class variances."""
-    items = [c for (f, cols), e in zip(spec.blocks, spec.emissions()) if f.startswith("continuous") and getattr(e, "kind", "") == "class" for c in cols]
-    w = F.col(weight) if weight else F.lit(1.0)
-    scored = with_parameters(spec, res["pi"], res["params"]).transform(rows)
-    for c in items:
-        own = scored.where(F.col(f"`{c}`").isNotNull()).groupBy(f"`{c}`").agg(*(F.sum(w * F.col("posterior")[k]).alias(f"s{k}") for k in range(spec.k)))
-        row = own.agg(F.count(F.lit(1)).alias("n"), *(f(f"s{k}").alias(f"{n}{k}") for k in range(spec.k) for n, f in (("top", F.max), ("all", F.sum)))).first()
-        if row.n > 1 and any((row[f"all{k}"] or 0) > 0 and row[f"top{k}"] > 0.9 * row[f"all{k}"] for k in range(spec.k)):
-            return True
-    return False
+    """degenerate() of a table that stays where it is: one pass over the rows, whatever the items, and one aggregation by value."""
+    own = [(f.startswith("continuous") and getattr(e, "kind", "") == "class", len(cols)) for (f, cols), e in zip(spec.blocks, spec.emissions())]
+    at = [j for j, chosen in enumerate(np.repeat([c for c, _ in own], [n for _, n in own])) if chosen]
+    if not at:
+        return False
+    items, pi, params = list(spec.items), res["pi"], res["params"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if not len(f):
+                continue
+            x = f[items].to_numpy(float, na_value=np.nan)
+            joint = _joint(spec, pi, params, x)
+            r = np.exp(joint - logsumexp(joint)[:, None]) * (f[weight].to_numpy(float)[:, None] if weight else 1.0)
+            for j in at:
+                seen = ~np.isnan(x[:, j])
+                value, back = np.unique(x[seen, j], return_inverse=True)
+                yield pd.DataFrame({"item": j, "value": value, **{f"s{k}": np.bincount(back, weights=r[seen, k], minlength=len(value)) for k in range(spec.k)}})
+
+    named = [f"s{k}" for k in range(spec.k)]
+    dealt, _ = passes.dealt(rows)
+    by = dealt.mapInPandas(run, "item int, value double, " + ", ".join(f"{n} double" for n in named)).groupBy("item", "value").agg(*(F.sum(n).alias(n) for n in named))
+    tops = by.groupBy("item").agg(F.count(F.lit(1)).alias("n"), *(f(n).alias(f"{kind}:{n}") for n in named for kind, f in (("top", F.max), ("all", F.sum)))).collect()
+    return any(t.n > 1 and (t[f"all:{n}"] or 0) > 0 and t[f"top:{n}"] > 0.9 * t[f"all:{n}"] for t in tops for n in named)
 
 
 def compare_mixtures(df: DataFrame, items: Sequence[str], k_range: Sequence[int], measurement, **how) -> tuple[DataFrame, dict[int, Fit]]:
