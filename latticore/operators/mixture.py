@@ -303,6 +303,29 @@ def pattern_arrays(pdf: pd.DataFrame, items: Sequence[str]) -> tuple[np.ndarray,
     return pdf[list(items)].to_numpy(dtype=float, na_value=np.nan), pdf["_weight"].to_numpy(float)
 
 
+def weighed_patterns(df: DataFrame, items: Sequence[str], weight: str | None, weight_type: str = "sampling", as_is: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The distinct rows with an observed item: items as numbers, those of `as_is` as they are, _weight and _rows; and the persisted table behind them.
+
+    One aggregation of df.  Sampling weights sum to the number of rows; frequency weights stay.  Null or negative weights are refused.
+    """
+    if weight and weight_type not in ("sampling", "frequency"):
+        raise ValueError("weights are sampling or frequency weights")
+    keys = [F.col(f"`{c}`") if c in as_is else F.col(f"`{c}`").cast("double").alias(c) for c in items]
+    seen = panel.drop_empty(df, items)
+    if not weight:
+        table = P.collapse(seen.select(*keys), items, names=("_weight", "_rows")).persist()
+        return table, table
+    own = seen.select(*keys, F.col(f"`{weight}`").alias("_w"))
+    w = F.col("_w")
+    table = own.groupBy(*(F.col(f"`{c}`") for c in items)).agg(F.sum(w).cast("double").alias("_weight"), F.count(F.lit(1)).alias("_rows"), F.min(w).alias("_least"), F.count(w).alias("_known")).persist()
+    row = table.agg(F.sum("_weight").alias("s"), F.sum("_rows").alias("n"), F.min("_least").alias("lo"), F.sum(F.col("_rows") - F.col("_known")).alias("nulls")).first()
+    if row.n and (row.nulls or row.lo < 0 or not row.s):
+        table.unpersist()
+        raise ValueError("weights must be at least 0, not all 0, and not null")
+    scale = row.n / row.s if row.n and weight_type == "sampling" else 1.0
+    return table.select(*(F.col(f"`{c}`") for c in items), (F.col("_weight") * scale).alias("_weight"), "_rows"), table
+
+
 def fit_mixture(df: DataFrame, items: Sequence[str], n_classes: int, measurement, *, weight: str | None = None, weight_type: str = "sampling", n_init: int = 20, max_iter: int = 1000, tol: float = 1e-8, seed: int = 1, alpha: Mapping[str, float] | None = None, variances_equal: bool | None = None, cats: Mapping[str, int] | None = None, same_coding: Mapping[str, Sequence[str]] | None = None, starts: list[tuple[np.ndarray, list[Params]]] | None = None, max_patterns: int = 50_000) -> Fit:
     """A latent class, profile or mixed model of the rows of df; missing cells stay in the likelihood, empty rows go.
 
@@ -315,25 +338,23 @@ def fit_mixture(df: DataFrame, items: Sequence[str], n_classes: int, measurement
     if variances_equal is None:
         variances_equal = all(f.startswith("continuous") for f, _ in blocks)
     blocks = [(f"continuous:{'equal' if variances_equal else 'class'}" if f == "continuous" else f, cols) for f, cols in blocks]
+    spec = Spec(blocks, n_classes, alpha or {}, cats or {})
+    binary = [c for f, cols in blocks if f == "binary" for c in cols]
+    # the input is aggregated once; checks and codings are of its patterns
+    table, held = weighed_patterns(df, spec.items, weight, weight_type, as_is=binary)
     counts = [c for f, cols in blocks if f in ("count", "zip", "negbin") for c in cols]
     if counts:
-        panel.check_counts(df, counts)
-    binary = [c for f, cols in blocks if f == "binary" for c in cols]
+        panel.check_counts(table, counts)
     groups = {g: [c for c in cols if c in binary] for g, cols in (same_coding or {}).items()}
     groups |= {c: [c] for c in binary if not any(c in cols for cols in groups.values())}
     coding: dict[str, tuple] = {}
     if binary:
-        df, found = panel.recode_binary(df, binary, groups)
+        table, found = panel.recode_binary(table, binary, groups)
         coding = panel.columns_coding(found, groups)
     categorical = [c for f, cols in blocks if f in ("categorical", "ordinal") for c in cols]
     if categorical:
-        panel.check_categories(df, categorical)
-    df = panel.drop_empty(df, items)
-    if weight:
-        df = panel.rescale_weights(df, weight, weight_type, "_w")
-    spec = Spec(blocks, n_classes, alpha or {}, cats or {})
-    rows = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in spec.items), *([F.col("_w")] if weight else []))
-    table = P.collapse(rows, spec.items, "_w" if weight else None, names=("_weight", "_rows")).drop("_rows").persist()
+        panel.check_categories(table, categorical)
+    table = table.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in spec.items), "_weight")
     # the pattern table comes to the driver only where it is small; a larger one stays, and passes go over its weighted patterns
     n = table.count()
     if not n:
@@ -343,7 +364,7 @@ def fit_mixture(df: DataFrame, items: Sequence[str], n_classes: int, measurement
         fit = _fit_tasks(df, spec, head, n_init=n_init, seed=seed, max_iter=max_iter, tol=tol, starts=starts)
     else:
         fit = _fit_partitions(table, spec, "_weight", n_init=n_init, seed=seed, max_iter=max_iter, tol=tol, starts=starts)
-    table.unpersist()
+    held.unpersist()
     fit.weight, fit.coding = weight, coding
     return fit
 

@@ -10,7 +10,7 @@ import itertools
 import math
 import pickle
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -294,14 +294,21 @@ def fit_rmlca(df: DataFrame, items: Sequence[str], times: Sequence, n_classes: i
 
 
 def fit_joint_classes(df: DataFrame, x_items: Sequence[str], y_items: Sequence[str], n_x: int, n_y: int, **how) -> dict:
-    """Two latent variables: a model for each set of items, linked by the classification errors of both."""
+    """Two latent variables: a model for each set of items, linked by the classification errors of both.
+
+    The input is aggregated once, to the patterns of all items; fits, errors and the link are of these.
+    """
     from latticore.operators import structural as S
 
-    fx, fy = M.fit_mixture(df, x_items, n_x, "binary", **how), M.fit_mixture(df, y_items, n_y, "binary", **how)
-    scored = fy.transform(fx.transform(df).withColumnsRenamed({"class": "class_x", "probability": "probability_x", "loglik": "loglik_x", "posterior": "posterior_x"}))
-    ex = S.classification_error(scored.select(F.col("posterior_x").alias("posterior"), F.col("class_x").alias("class")), n_x)
-    ey = S.classification_error(scored, n_y)
-    return S.link_models(scored, "class_x", "class", ex, ey) | {"x": fx, "y": fy}
+    table = P.collapse(df, list(dict.fromkeys([*x_items, *y_items])), names=("_weight", "_rows")).drop("_rows").persist()
+    source, given = (df, how) if how.get("weight") else (table, how | {"weight": "_weight", "weight_type": "frequency"})
+    fx, fy = (replace(M.fit_mixture(source, c, n, "binary", **given), weight=how.get("weight")) for c, n in ((x_items, n_x), (y_items, n_y)))
+    scored = fy.transform(fx.transform(table).withColumnsRenamed({"class": "class_x", "probability": "probability_x", "loglik": "loglik_x", "posterior": "posterior_x"}))
+    ex = S.classification_error(scored.select("_weight", F.col("posterior_x").alias("posterior"), F.col("class_x").alias("class")), n_x, weight="_weight")
+    ey = S.classification_error(scored, n_y, weight="_weight")
+    out = S.link_models(scored, "class_x", "class", ex, ey, weight="_weight") | {"x": fx, "y": fy}
+    table.unpersist()
+    return out
 
 
 def chain_loglik(chain: Chain, x: np.ndarray) -> np.ndarray:

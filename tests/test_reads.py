@@ -48,3 +48,32 @@ def test_degenerate_classes_are_found_in_one_read(spark, counted, heap):
     assert M.degenerate_rows(spec, res, counted(table).persist(), "_weight") == (heap > 0)
     assert counted.read.value == 3000
     assert M.degenerate(spec, res, *M.pattern_arrays(table.toPandas(), spec.items)) == (heap > 0)
+
+
+def test_weights_and_codings_are_of_the_patterns(counted, rows):
+    how = {"n_init": 2, "tol": 1e-7}
+    plain = M.fit_mixture(counted(rows), ["a", "b", "c"], 2, "binary", **how)
+    assert counted.read.value == rows.count()
+    copies = rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("w")))).drop("_n", "w")
+    repeated = M.fit_mixture(copies, ["a", "b", "c"], 2, "binary", **how)
+    frequent = M.fit_mixture(rows, ["a", "b", "c"], 2, "binary", weight="w", weight_type="frequency", **how)
+    sampled = M.fit_mixture(rows, ["a", "b", "c"], 2, "binary", weight="w", **how)
+    assert plain.coding["a"] == ("no", "yes") and plain.coding["b"] == (1, 2)
+    assert frequent.n == pytest.approx(repeated.n) and frequent.loglik == pytest.approx(repeated.loglik, rel=1e-9)
+    assert sampled.n == pytest.approx(plain.n) and sampled.n == pytest.approx(rows.dropna(how="all", subset=["a", "b", "c"]).count())
+    for w in (F.when(F.col("c") == 1, -1).otherwise(1), F.when(F.col("c") == 1, 1), F.lit(0)):
+        with pytest.raises(ValueError, match="weights must be"):
+            M.fit_mixture(rows.withColumn("w", w), ["a", "b", "c"], 1, "binary", weight="w")
+
+
+def test_joint_classes_read_rows_once(counted, rows):
+    how = {"n_init": 2, "tol": 1e-7}
+    r = T.fit_joint_classes(counted(rows), ["a", "b"], ["b", "c"], 2, 2, **how)
+    assert counted.read.value == rows.count()
+    fx, fy = M.fit_mixture(rows, ["a", "b"], 2, "binary", **how), M.fit_mixture(rows, ["b", "c"], 2, "binary", **how)
+    both = fy.transform(fx.transform(rows).withColumnsRenamed({"class": "first", "posterior": "pa", "probability": "_1", "loglik": "_2"}))
+    e = [S.classification_error(both.select(F.col(p).alias("posterior"), F.col(c).alias("class")), 2) for p, c in (("pa", "first"), ("posterior", "class"))]
+    want = S.link_models(both, "first", "class", *e)
+    assert np.allclose(r["transitions"], want["transitions"], atol=1e-6) and r["n_obs"] == pytest.approx(want["n_obs"]) and r["x"].weight is None
+    weighted = T.fit_joint_classes(rows, ["a", "b"], ["b", "c"], 2, 2, weight="w", **how)
+    assert weighted["x"].weight == "w" and weighted["n_obs"] == pytest.approx(want["n_obs"])
