@@ -107,15 +107,15 @@ def newton_finish(fit: M.Fit, x: np.ndarray, w: np.ndarray, **how) -> M.Fit:
 
 
 def newton_finish_table(fit: M.Fit, df: DataFrame, weight: str | None = None, **how) -> M.Fit:
-    """The same on the rows of a table, which stay where they are: one pass for each step."""
+    """The same on the rows of a table: they collapse to patterns, which stay where they are, and each step is one pass over them."""
     items = fit.spec.items
-    rows = panel.drop_empty(fit.coded(df), items).select(*(F.col(f"`{c}`").cast("double").alias(c) for c in items), *([F.col(weight).cast("double").alias("_w")] if weight else [])).persist()
-    r = passes.together([newton_run(fit, fit.n, **how)], rows, items, "_w" if weight else None, lambda x, w, t: score_sums(fit, x, w, t), added)[0]
+    rows = panel.drop_empty(fit.coded(df), items).select(*(F.col(f"`{c}`").cast("double").alias(c) for c in items), *([F.col(weight).cast("double").alias("_in")] if weight else []))
+    table = P.collapse(rows, items, "_in" if weight else None, names=("_w", "_rows")).persist()
+    r = passes.together([newton_run(fit, fit.n, **how)], table, items, "_w", lambda x, w, t: score_sums(fit, x, w, t), added)[0]
     done = _finished(fit, r, fit.entropy)
     p = F.col("posterior")
-    w = F.col("_w") if weight else F.lit(1.0)
-    entropy = replace(done, coding={}).transform(rows).agg(F.sum(w * -sum((p[k] * F.log(p[k] + F.lit(1e-15)) for k in range(fit.spec.k)), F.lit(0.0)))).first()[0]
-    rows.unpersist()
+    entropy = replace(done, coding={}).transform(table).agg(F.sum(F.col("_w") * -sum((p[k] * F.log(p[k] + F.lit(1e-15)) for k in range(fit.spec.k)), F.lit(0.0)))).first()[0]
+    table.unpersist()
     return replace(done, entropy=float(entropy))
 
 

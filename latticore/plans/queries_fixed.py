@@ -378,10 +378,13 @@ FINISH = (np.array([0.6, 0.4]), [{"p": np.array([[0.4, 0.3, 0.3, 0.4, 0.5], [0.6
 def lca_newton_finish(spark, sf):
     """A short EM and a Newton finish in passes over the table are where thousands of rounds lead."""
     from latticore.operators import finish
+    from latticore.plans import patterns as P
 
-    df = Q.flags(spark, sf)
-    fit = M.fit_mixture(df, Q.FLAGS, 2, "binary", starts=[FINISH], max_iter=60, tol=-1)
-    return rounded(class_parameters(spark, finish.newton_finish_table(fit, df), Q.FLAGS), 3)
+    df = P.collapse(Q.flags(spark, sf), Q.FLAGS, names=("_weight", "_rows")).persist()  # at most 2^5 patterns
+    fit = M.fit_mixture(df, Q.FLAGS, 2, "binary", weight="_weight", weight_type="frequency", starts=[FINISH], max_iter=60, tol=-1)
+    done = finish.newton_finish_table(fit, df, "_weight")
+    df.unpersist()
+    return rounded(class_parameters(spark, done, Q.FLAGS), 3)
 
 
 SQL_HALVES = f"{Q.SQL_FLAGS}, pat AS (SELECT o_totalprice > 150000 AS dear, {', '.join(Q.FLAGS)}, CAST(count(*) AS DOUBLE) AS o FROM flags JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), " + Q.posterior_sql(Q.LCA_LOGS, "pat", "dear, " + ", ".join(Q.FLAGS) + ", o") + ", cells AS (SELECT o, exp(loglik) * sum(o) OVER (PARTITION BY dear) AS e FROM post)"

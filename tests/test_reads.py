@@ -77,3 +77,14 @@ def test_joint_classes_read_rows_once(counted, rows):
     assert np.allclose(r["transitions"], want["transitions"], atol=1e-6) and r["n_obs"] == pytest.approx(want["n_obs"]) and r["x"].weight is None
     weighted = T.fit_joint_classes(rows, ["a", "b"], ["b", "c"], 2, 2, weight="w", **how)
     assert weighted["x"].weight == "w" and weighted["n_obs"] == pytest.approx(want["n_obs"])
+
+
+def test_finish_passes_over_patterns(rows, monkeypatch):
+    seen, own = [], passes.together
+    monkeypatch.setattr(passes, "together", lambda runs, table, *how: seen.append(table.count()) or own(runs, table, *how))
+    fit = M.fit_mixture(rows, ["a", "b", "c"], 2, "binary", n_init=1, max_iter=30, tol=-1)
+    done = finish.newton_finish_table(fit, rows)
+    assert seen == [rows.dropna(how="all", subset=["a", "b", "c"]).select("a", "b", "c").distinct().count()]
+    table = fit.coded(rows).dropna(how="all", subset=["a", "b", "c"]).groupBy("a", "b", "c").count().toPandas()
+    here = finish.newton_finish(fit, table[["a", "b", "c"]].to_numpy(float, na_value=np.nan), table["count"].to_numpy(float))
+    assert done.loglik == pytest.approx(here.loglik, rel=1e-10) and done.entropy == pytest.approx(here.entropy, rel=1e-6)
