@@ -110,11 +110,12 @@ def local_dependence(spark, sf):
 
 @query("link_models")
 def link_models(spark, sf):
-    o = Q.flags(spark, sf)
-    a, b = (M.fit_mixture(o, c, 2, "binary", n_init=3, tol=1e-6) for c in (Q.FLAGS[:3], Q.FLAGS[2:]))
+    o = P.collapse(Q.flags(spark, sf), Q.FLAGS, names=("_weight", "_rows")).persist()  # at most 2^5 patterns
+    a, b = (M.fit_mixture(o, c, 2, "binary", weight="_weight", weight_type="frequency", n_init=3, tol=1e-6) for c in (Q.FLAGS[:3], Q.FLAGS[2:]))
     both = b.transform(a.transform(o).withColumnsRenamed({"class": "first", "posterior": "pa", "probability": "_1", "loglik": "_2"}))
-    ea, eb = S.classification_error(both.select(F.col("pa").alias("posterior"), F.col("first").alias("class")), 2), S.classification_error(both, 2)
-    r = S.link_models(both, "first", "class", ea, eb)
+    ea, eb = (S.classification_error(t, 2, weight="_weight") for t in (both.select("_weight", F.col("pa").alias("posterior"), F.col("first").alias("class")), both))
+    r = S.link_models(both, "first", "class", ea, eb, weight="_weight")
+    o.unpersist()
     return spark.createDataFrame(pd.DataFrame([{"loglik": r["loglik"], "n_parameters": r["n_parameters"], "bic": r["bic"]}]))
 
 
