@@ -240,9 +240,12 @@ def fit_direct_effects(
     strange = [c for c in effects if c not in items] + [c for own in effects.values() for c in own if c not in covariates] + [c for c in predictors or () if c not in covariates]
     if strange or not all(effects.values()):
         raise ValueError("effects name an item or covariate that is not there, or none: " + ", ".join(strange))
-    df, coding = T.coded_items(df.dropna(subset=[f"`{c}`" for c in covariates]), [(measurement, items)], items, None)
-    rows = panel.drop_empty(df, items).select(*(F.col(f"`{c}`").cast("double").alias(c) for c in [*items, *covariates]), *([F.col(weight).cast("double").alias("_in")] if weight else []))
-    table = P.collapse(rows, [*items, *covariates], "_in" if weight else None, names=("_w", "_rows")).persist()
+    # the input is aggregated once; checks and codings are of its patterns
+    number = lambda c: F.col(f"`{c}`").cast("double").alias(c)
+    rows = panel.drop_empty(df.dropna(subset=[f"`{c}`" for c in covariates]), items).select(*(F.col(f"`{c}`") if measurement == "binary" else number(c) for c in items), *map(number, covariates), *([F.col(f"`{weight}`").cast("double").alias("_in")] if weight else []))
+    held = P.collapse(rows, [*items, *covariates], "_in" if weight else None, names=("_w", "_rows")).persist()
+    table, coding = T.coded_items(held, [(measurement, items)], items, None)
+    table = table.select(*map(number, [*items, *covariates]), "_w", "_rows")
     if not starts:
         base = M.fit_mixture(table.drop("_rows"), items, n_classes, measurement, weight="_w", weight_type="frequency", n_init=n_init, seed=seed)
         starts = [(base.pi, base.params)]
@@ -271,7 +274,7 @@ def fit_direct_effects(
 
     runs = [_run(design, opened(*s), marginal, alpha, max_iter, tol) for s in starts]
     found = passes.together(runs, table, [*items, *covariates], "_w", lambda x, w, s: _pass(design, x, w, s), _added)
-    table.unpersist()
+    held.unpersist()
     return _result(design, max(found, key=lambda r: r["penalised"]), [r["sums"]["ll"] for r in found], coding)
 
 

@@ -120,9 +120,10 @@ m AS (SELECT {cells}, count(*) FILTER (WHERE g = 0) AS n0, count(*) FILTER (WHER
 @query("direct_effects_saturated", direct_sql())
 def direct_effects_saturated(spark, sf):
     """Effects of a yes-or-no covariate on every binary item of one class, and the standard errors where one item is fitted alone."""
-    df, how = dear_flags(spark, sf), {"measurement": "binary", "tol": 1e-13}
+    df, how = P.collapse(dear_flags(spark, sf), [*Q.FLAGS, "dear"], names=("_weight", "_rows")).persist(), {"measurement": "binary", "tol": 1e-13, "weight": "_weight"}  # at most 2^6 patterns
     fit = D.fit_direct_effects(df, Q.FLAGS, ["dear"], 1, effects={f: ["dear"] for f in Q.FLAGS}, **how)
     alone = D.fit_direct_effects(df, ["bulk"], ["dear"], 1, effects={"bulk": ["dear"]}, **how).estimates.set_index("part")["se"]
+    df.unpersist()
     rows = [(r.part, r.item, float(r.estimate), float(alone[r.part]) if r.item == "bulk" else None) for r in fit.estimates.itertuples()]
     return rounded(spark.createDataFrame(rows, "part string, item string, estimate double, se double"), 5)
 

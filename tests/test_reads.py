@@ -88,3 +88,21 @@ def test_finish_passes_over_patterns(rows, monkeypatch):
     table = fit.coded(rows).dropna(how="all", subset=["a", "b", "c"]).groupBy("a", "b", "c").count().toPandas()
     here = finish.newton_finish(fit, table[["a", "b", "c"]].to_numpy(float, na_value=np.nan), table["count"].to_numpy(float))
     assert done.loglik == pytest.approx(here.loglik, rel=1e-10) and done.entropy == pytest.approx(here.entropy, rel=1e-6)
+
+
+def test_direct_effects_read_rows_once(counted, rows):
+    df = rows.select("a", "b", "c", (F.col("w") > 1).cast("int").alias("z"))
+    fit = D.fit_direct_effects(counted(df), ["a", "b"], ["z"], 1, effects={"a": ["z"]}, measurement="binary")
+    assert counted.read.value == df.count() and fit.coding["a"] == ("no", "yes")
+    seen = df.where("a is not null").groupBy("z").agg(F.avg((F.col("a") == "yes").cast("int")).alias("p")).toPandas().set_index("z")["p"]
+    logit = np.log(seen / (1 - seen))
+    est = fit.estimates[fit.estimates["item"] == "a"].set_index("part")["estimate"]
+    assert est["effect"] == pytest.approx(logit[1] - logit[0], abs=1e-5)
+
+
+@pytest.mark.parametrize("name", ["joint_classes", "link_models", "lca_newton_finish", "direct_effects_saturated"])
+def test_queries_read_flags_once(spark, sf, counted, monkeypatch, name):
+    flags = Q.flags(spark, sf).persist()
+    monkeypatch.setattr(Q, "flags", lambda *_: counted(flags))
+    registry.QUERIES[name](spark, sf)
+    assert counted.read.value == flags.count()
