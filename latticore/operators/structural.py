@@ -208,9 +208,13 @@ def ml_covariates(x: np.ndarray, assigned: np.ndarray, error: np.ndarray, *, rou
 
 def ml_outcome(scored: DataFrame, outcome: str, k: int, *, assignment: str = "modal", weight: str | None = None, rounds: int = 500, tol: float = 1e-9) -> pd.DataFrame:
     """Class shares of a categorical outcome by maximum likelihood over the error table: class, category, proportion."""
-    error = classification_error(scored, k, assignment=assignment, weight=weight)
-    own = [(F.col("class") == s + 1).cast("double") for s in range(k)] if assignment == "modal" else [F.col("posterior")[s] for s in range(k)]
-    by = scored.where(F.col(outcome).isNotNull() & F.col("class").isNotNull()).groupBy(F.col(outcome).cast("string").alias("category")).agg(*(F.sum(_w(weight) * own[s]).alias(f"a{s}") for s in range(k))).orderBy("category").toPandas()
+    w, p = _w(weight), [F.col("posterior")[c] for c in range(k)]
+    own = [(F.col("class") == s + 1).cast("double") for s in range(k)] if assignment == "modal" else p
+    # one aggregation gives both the counts and, over all categories and rows without one, the error table
+    pairs = [(s, t) for s in range(k) for t in range(k)]
+    by = scored.where(F.col("class").isNotNull()).groupBy(F.col(outcome).cast("string").alias("category")).agg(*(F.sum(w * own[s]).alias(f"a{s}") for s in range(k)), *(F.sum(w * own[s] * p[t]).alias(f"d{s}_{t}") for s, t in pairs)).toPandas()
+    error = _error_table(by[[f"d{s}_{t}" for s, t in pairs]].sum(), k)
+    by = by[by["category"].notna()].sort_values("category", ignore_index=True)
     n = by[[f"a{s}" for s in range(k)]].to_numpy()  # categories x assigned
     pi, rho, last = np.full(k, 1 / k), np.repeat((n.sum(axis=1) / n.sum())[:, None], k, axis=1) + np.linspace(0, 1e-3, k)[None, :], -math.inf
     rho /= rho.sum(axis=0)

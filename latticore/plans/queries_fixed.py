@@ -260,7 +260,7 @@ SQL_MODAL = f"{QM.SQL_PRICED}, e AS (SELECT sum(CASE WHEN class = 1 THEN p1 ELSE
 
 @query("ml_outcome_saturated", f"WITH {SQL_MODAL} SELECT 1 AS class, category, round(one / (SELECT sum(one) FROM m), 4) AS proportion FROM m UNION ALL SELECT 2, category, round(two / (SELECT sum(two) FROM m), 4) FROM m")
 def ml_outcome_saturated(spark, sf):
-    return rounded(spark.createDataFrame(S.ml_outcome(QM.priced(spark, sf), "segment", 2)), 4)
+    return rounded(spark.createDataFrame(S.ml_outcome(QM.segment_patterns(spark, sf), "segment", 2, weight="n")), 4)
 
 
 SQL_BCH_MEANS = ", ".join(f"sum(w{c}) AS n{c}, sum(w{c} * y) / sum(w{c}) AS m{c}" for c in (1, 2))

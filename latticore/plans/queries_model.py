@@ -478,9 +478,18 @@ def two_step_covariates(spark, sf):
     return spark.createDataFrame(S.two_step_covariates(Q.cat_scored(spark, sf).join(o, "o_orderkey"), ["dear"], [0.6, 0.4]))
 
 
+def segment_patterns(spark, sf) -> DataFrame:
+    """Scored patterns of order features and their customer's segment, with the number of orders, n: a row depends on nothing else."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
+    rows = Q.coded(spark, sf).join(o, "o_orderkey").join(c, "o_custkey")
+    patterns = rows.groupBy("priority", "status", "segment").agg(F.sum(F.lit(1.0)).alias("n"))
+    return M.with_parameters(Q.CAT, np.array([0.6, 0.4]), [{"p": Q.CAT_P}]).transform(patterns)
+
+
 @query("ml_outcome")
 def ml_outcome(spark, sf):
-    return spark.createDataFrame(S.ml_outcome(priced(spark, sf), "segment", 2))
+    return spark.createDataFrame(S.ml_outcome(segment_patterns(spark, sf), "segment", 2, weight="n"))
 
 
 @query("simulate")

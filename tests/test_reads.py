@@ -37,19 +37,6 @@ def rows(spark):
     return spark.range(3000).select(F.when(F.col("id") % 11 > 0, F.when(bit(7, 5), "yes").otherwise("no")).alias("a"), F.when(F.col("id") % 11 > 0, bit(7, 4).cast("int") + 1).alias("b"), F.when(F.col("id") % 11 > 1, bit(13, 3).cast("int")).alias("c"), (F.col("id") % 3 + 1).alias("w")).persist()
 
 
-@pytest.mark.parametrize("heap", [0, 2700])
-def test_degenerate_classes_are_found_in_one_read(spark, counted, heap):
-    """A class that sits on one value, or none; items without own variances and missing cells stand beside."""
-    id_ = F.col("id")
-    x = F.when(id_ < heap, 50.0).otherwise((id_ * 7919 % 3000) / 300.0)
-    table = spark.range(3000).select((id_ % 2).cast("double").alias("b"), F.when(id_ % 9 > 0, x).alias("x"), (id_ * 31 % 1000 / 100.0).alias("y"), (id_ % 4 + 1).cast("double").alias("_weight"))
-    spec = M.Spec([("binary", ["b"]), ("continuous:class", ["x", "y"])], 2)
-    res = {"pi": np.array([0.5, 0.5]), "params": [{"p": np.full((2, 1), 0.5)}, {"mean": np.array([[5.0, 5.0], [50.0, 5.0]]), "var": np.array([[9.0, 9.0], [1.0, 9.0]])}]}
-    assert M.degenerate_rows(spec, res, counted(table).persist(), "_weight") == (heap > 0)
-    assert counted.read.value == 3000
-    assert M.degenerate(spec, res, *M.pattern_arrays(table.toPandas(), spec.items)) == (heap > 0)
-
-
 def test_weights_and_codings_are_of_the_patterns(counted, rows):
     how = {"n_init": 2, "tol": 1e-7}
     plain = M.fit_mixture(counted(rows), ["a", "b", "c"], 2, "binary", **how)
@@ -100,9 +87,46 @@ def test_direct_effects_read_rows_once(counted, rows):
     assert est["effect"] == pytest.approx(logit[1] - logit[0], abs=1e-5)
 
 
+@pytest.mark.parametrize("assignment", ["modal", "proportional"])
+def test_outcome_shares_read_scores_once(spark, counted, assignment):
+    """Rows without an outcome count in the error table only."""
+    p = F.when(F.col("id") % 10 < 4, 0.9).otherwise(0.2)
+    df = spark.range(400).select(F.array(p, 1 - p).alias("posterior"), F.when(p > 0.5, 1).otherwise(2).alias("class"), F.when(F.col("id") % 9 > 0, F.when(F.col("id") % 10 % 3 > 0, "u").otherwise("v")).alias("y"))
+    got = S.ml_outcome(counted(df), "y", 2, assignment=assignment)
+    assert counted.read.value == 400
+    assert got[["class", "category"]].values.tolist() == [[1, "u"], [1, "v"], [2, "u"], [2, "v"]]
+    error = S.classification_error(df, 2, assignment=assignment)
+    own = [(F.col("class") == c + 1).cast("double") if assignment == "modal" else F.col("posterior")[c] for c in range(2)]
+    n = df.where("y is not null").groupBy("y").agg(*(F.sum(v).alias(str(c)) for c, v in enumerate(own))).orderBy("y").toPandas()[["0", "1"]].to_numpy()
+    share = n @ np.linalg.inv(error).T
+    if (share > 0).all():
+        assert np.allclose(got["proportion"].to_numpy().reshape(2, 2).T, share / share.sum(axis=0), atol=1e-3)
+
+
 @pytest.mark.parametrize("name", ["joint_classes", "link_models", "lca_newton_finish", "direct_effects_saturated"])
 def test_queries_read_flags_once(spark, sf, counted, monkeypatch, name):
     flags = Q.flags(spark, sf).persist()
     monkeypatch.setattr(Q, "flags", lambda *_: counted(flags))
     registry.QUERIES[name](spark, sf)
     assert counted.read.value == flags.count()
+
+
+@pytest.mark.parametrize("name", ["ml_outcome_saturated", "ml_outcome"])
+def test_outcome_queries_read_orders_once(spark, sf, counted, monkeypatch, name):
+    coded = Q.coded(spark, sf).persist()
+    monkeypatch.setattr(Q, "coded", lambda *_: counted(coded))
+    registry.QUERIES[name](spark, sf)
+    assert counted.read.value == coded.count()
+
+
+@pytest.mark.parametrize("heap", [0, 2700])
+def test_degenerate_classes_are_found_in_one_read(spark, counted, heap):
+    """A class that sits on one value, or none; items without own variances and missing cells stand beside."""
+    id_ = F.col("id")
+    x = F.when(id_ < heap, 50.0).otherwise((id_ * 7919 % 3000) / 300.0)
+    table = spark.range(3000).select((id_ % 2).cast("double").alias("b"), F.when(id_ % 9 > 0, x).alias("x"), (id_ * 31 % 1000 / 100.0).alias("y"), (id_ % 4 + 1).cast("double").alias("_weight"))
+    spec = M.Spec([("binary", ["b"]), ("continuous:class", ["x", "y"])], 2)
+    res = {"pi": np.array([0.5, 0.5]), "params": [{"p": np.full((2, 1), 0.5)}, {"mean": np.array([[5.0, 5.0], [50.0, 5.0]]), "var": np.array([[9.0, 9.0], [1.0, 9.0]])}]}
+    assert M.degenerate_rows(spec, res, counted(table).persist(), "_weight") == (heap > 0)
+    assert counted.read.value == 3000
+    assert M.degenerate(spec, res, *M.pattern_arrays(table.toPandas(), spec.items)) == (heap > 0)
