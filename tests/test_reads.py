@@ -130,3 +130,19 @@ def test_degenerate_classes_are_found_in_one_read(spark, counted, heap):
     assert M.degenerate_rows(spec, res, counted(table).persist(), "_weight") == (heap > 0)
     assert counted.read.value == 3000
     assert M.degenerate(spec, res, *M.pattern_arrays(table.toPandas(), spec.items)) == (heap > 0)
+
+
+def test_degenerate_classes_take_the_same_jobs_for_more_items(spark):
+    table = spark.range(500).select(*((F.col("id") * n % 499 / 10.0).alias(f"x{n}") for n in (1, 2, 3)), F.lit(1.0).alias("_weight")).persist()
+    table.count()
+    jobs = []
+    for n in (1, 3):
+        spec = M.Spec([("continuous:class", [f"x{i + 1}" for i in range(n)])], 2)
+        res = {"pi": np.array([0.5, 0.5]), "params": [{"mean": np.array([[10.0] * n, [40.0] * n]), "var": np.full((2, n), 90.0)}]}
+        spark.sparkContext.setJobGroup(f"degenerate-{n}", "")
+        try:
+            assert not M.degenerate_rows(spec, res, table, "_weight")
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"degenerate-{n}")))
+    assert jobs[0] == jobs[1] > 0
