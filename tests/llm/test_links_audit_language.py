@@ -93,6 +93,39 @@ def test_links_against_brute_force(linked):
     assert sum(r[4] < r[5] for r in found) > 20  # wide groups occur
 
 
+@pytest.mark.parametrize("most,step", [(1 << 18, 40), (50, 7), (0, 500)])
+def test_chunks_have_the_tokens_of_the_whole_text(most, step):
+    a, b = token_links.public_tokenizers()
+    left, right = token_links.ByteRanks(*a), token_links.Pieces(*b)
+    assert left.apart and right.apart and not token_links.ByteRanks(a[0], r"\S+\s?|\s+").apart
+    rng = random.Random(5)
+    bits = ["a", "foo", "é", "日本", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "▁", "'s", "12", "?!", "<s>", "\x00", "🙂", "\u3000", "\u0308"]
+    values = texts() + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(400)]
+    memo = token_links.Memo(left, right, most)
+    for i in range(0, len(values), step):
+        part = values[i : i + step]
+        sides = memo.texts(part)
+        for j, text in enumerate(part):
+            want = [s.encode(text) if text else None for s in (left, right)]
+            want = [[], []] if any(x is None for x in want) else [x.tolist() for x in want]
+            assert [ids[f[j] : f[j + 1]].tolist() for ids, f in sides] == want
+        assert len(memo.known) <= most
+
+
+def test_known_chunks_are_not_encoded_again():
+    memo = token_links._memo(*token_links.public_tokenizers())
+    memo.texts(["one two three", "two"])
+    calls = []
+    for side in memo.sides:
+        side.encode = lambda text, real=side.encode: calls.append(text) or real(text)
+    try:
+        memo.texts(["three two one", "one two two four"])
+    finally:
+        for side in memo.sides:
+            del side.encode
+    assert calls == ["four", "four"]
+
+
 def test_links_of_rare_pairs_by_shuffle(spark, linked):
     _, got, docs = linked
     again = token_links.align(docs, *token_links.public_tokenizers(), max_broadcast=5).collect()
