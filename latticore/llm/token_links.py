@@ -112,14 +112,17 @@ class _Known(dict):
 class Memo:
     """The ids that two tokenizers give texts, chunk by chunk; the first `most` kinds of chunks are encoded once.
 
-    New chunks are encoded JOINED at a time: laid end to end they are a text with the same cuts.
+    New chunks are encoded JOINED at a time: laid end to end they are a text with the same cuts.  Where the chunks remembered have
+    more than CHARS times `most` characters (long ones, or whole texts), all are forgotten.
     """
 
     JOINED = 2000
+    CHARS = 16
 
     def __init__(self, left: ByteRanks, right: Pieces, most: int = 1 << 18):
         self.sides, self.most, self.apart = (left, right), most, left.apart and right.apart
         self.known = _Known()
+        self.held = 0
         self.bad = np.zeros(0, bool)
         self.ids = [np.zeros(0, np.int32) for _ in self.sides]
         self.first = [np.zeros(1, np.int64) for _ in self.sides]  # where the ids of each chunk begin, and the end
@@ -150,6 +153,7 @@ class Memo:
 
     def _learn(self) -> None:
         new, self.known.new = self.known.new, []
+        self.held += sum(map(len, new))
         own = np.array([not self.apart or c[-1].isspace() or "\u2581" in c for c in new], bool)  # these are encoded by themselves
         joint = np.flatnonzero(~own)
         groups = [*np.split(joint, range(self.JOINED, len(joint), self.JOINED)), *np.flatnonzero(own)[:, None]]
@@ -183,7 +187,9 @@ class Memo:
 
     def _forget(self) -> None:
         while len(self.known) > self.most:
-            self.known.popitem()  # the last that came
+            self.held -= len(self.known.popitem()[0])  # the last that came
+        if self.held > self.CHARS * self.most:
+            self.known, self.held = _Known(), 0
         n = len(self.known)
         self.bad, self.first = self.bad[:n], [f[: n + 1] for f in self.first]
         self.ids = [x[: f[-1]] for x, f in zip(self.ids, self.first)]

@@ -126,6 +126,17 @@ def test_known_chunks_are_not_encoded_again():
     assert calls == ["four", "four"]
 
 
+def test_long_chunks_are_forgotten():
+    a, b = token_links.public_tokenizers()
+    memo = token_links.Memo(token_links.ByteRanks(*a), token_links.Pieces(*b), 100)
+    first = memo.texts(["x" * 5000 + " y", "▁" * 5000, "x y"])
+    assert not memo.known and memo.held == 0 and all(len(x) == 0 for x in memo.ids)
+    again = memo.texts(["x" * 5000 + " y", "▁" * 5000, "x y"])
+    assert all(np.array_equal(x, y) for s, t in zip(first, again) for x, y in zip(s, t))
+    memo.texts(["x y", "x z"])
+    assert list(memo.known) == [" x", " y", " z"] and memo.held == 6
+
+
 def test_links_of_rare_pairs_by_shuffle(spark, linked):
     _, got, docs = linked
     again = token_links.align(docs, *token_links.public_tokenizers(), max_broadcast=5).collect()
